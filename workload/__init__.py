@@ -1,5 +1,5 @@
 """Registered queries over the test tables, each with its SQL twin where SQL can say it."""
 
-from workload import columns, profiles
+from workload import cleaning, columns, encoding, profiles
 
-FAMILIES = [columns, profiles]
+FAMILIES = [columns, profiles, cleaning, encoding]
