@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-WORD = r"(?U)\b\w+\b"
-WORD2 = r"(?U)\b\w\w+\b"
+# maximal runs of word characters, so no boundary assertions are needed
+WORD = r"(?U)\w+"
+WORD2 = r"(?U)\w\w+"
 
 
 def case_or_length(col: str, op: str) -> Column:

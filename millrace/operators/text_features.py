@@ -6,24 +6,26 @@ construction and broadcast; token rows are filtered by it before anything is shu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import text as T
 
 
-def terms(text_col: str, ngrams: int = 1) -> Column:
-    """Lower-cased tokens of two or more letters; with ``ngrams=2`` also adjacent pairs."""
-    w = T.words(text_col, T.WORD2)
+def with_terms(df: DataFrame, key: str, text_col: str, ngrams: int = 1) -> DataFrame:
+    """(key, terms): lower-cased tokens of two or more letters; with ``ngrams=2`` also adjacent pairs."""
+    w = F.col("terms")
+    out = df.select(key, T.words(text_col, T.WORD2).alias("terms"))
     if ngrams == 1:
-        return w
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-                       F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+        return out
+    rest = F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat_ws(" ", a, b))
+    return out.select(key, F.concat(w, pairs).alias("terms"))
 
 
 def _tokens(df: DataFrame, key: str, text_col: str, ngrams: int) -> DataFrame:
-    return df.select(key, F.explode(terms(text_col, ngrams)).alias("term"))
+    return with_terms(df, key, text_col, ngrams).select(key, F.explode("terms").alias("term"))
 
 
 def term_counts(df: DataFrame, key: str, text_col: str, vocabulary: list[str], ngrams: int = 1) -> DataFrame:
@@ -33,14 +35,19 @@ def term_counts(df: DataFrame, key: str, text_col: str, vocabulary: list[str], n
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def fit_vocabulary(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1) -> list[str]:
-    rows = (_tokens(df, key, text_col, ngrams).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def fit_vocabulary(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1) -> dict[str, int]:
+    """The ``size`` most frequent terms with the number of documents each occurs in, in one scan."""
+    t = F.col("terms")
+    hits = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+                    F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+    rows = (with_terms(df, key, text_col, ngrams).select(F.explode(hits).alias("h")).groupBy("h.term")
+            .agg(F.sum("h.tf").alias("n"), F.sum("h.df").alias("docs"))
             .orderBy(F.desc("n"), "term").limit(size).collect())
-    return [r["term"] for r in rows]
+    return {r["term"]: r["docs"] for r in rows}
 
 
 def bag_of_words(df: DataFrame, key: str, text_col: str, size: int = 100) -> DataFrame:
-    return term_counts(df, key, text_col, fit_vocabulary(df, key, text_col, size))
+    return term_counts(df, key, text_col, list(fit_vocabulary(df, key, text_col, size)))
 
 
 def _unit(df: DataFrame, key: str, weight: str) -> DataFrame:
@@ -53,9 +60,7 @@ def fit_tfidf(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1
     """idf = ln((1 + documents) / (1 + documents with the term)) + 1 for the vocabulary."""
     vocab = fit_vocabulary(df, key, text_col, size, ngrams)
     n = df.count()
-    idf = F.log(F.lit(1.0 + n) / (1.0 + F.count(F.lit(1)))) + 1.0
-    rows = term_counts(df, key, text_col, vocab, ngrams).groupBy("term").agg(idf.alias("idf")).collect()
-    return {r["term"]: r["idf"] for r in rows}
+    return {term: math.log((1.0 + n) / (1.0 + docs)) + 1.0 for term, docs in vocab.items()}
 
 
 def apply_tfidf(df: DataFrame, key: str, text_col: str, idf: dict[str, float], ngrams: int = 1) -> DataFrame:

@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join where NULL matches NULL; the right copies of the keys are dropped."""
     if not keys:
-        # only ever used with a one-row right side
-        joined = left.crossJoin(F.broadcast(right)) if how != "left_anti" else left
-        return joined
+        raise ValueError("a join needs keys")
     renamed = right.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)],
                            *[F.col(c) for c in right.columns if c not in keys])
     cond = reduce(and_, [left[k].eqNullSafe(renamed[f"_r_{i}"]) for i, k in enumerate(keys)])

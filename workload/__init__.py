@@ -1,5 +1,5 @@
 """Registered queries over the test tables, each with its SQL twin where SQL can say it."""
 
-from workload import cleaning, columns, encoding, profiles
+from workload import cleaning, columns, encoding, ontology, profiles, splits_metrics
 
-FAMILIES = [columns, profiles, cleaning, encoding]
+FAMILIES = [columns, profiles, cleaning, encoding, splits_metrics, ontology]

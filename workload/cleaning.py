@@ -197,11 +197,11 @@ WITH d AS (SELECT event_id, user_id, ts, value AS y, (row_number() OVER ({_W}) -
    (sum(value) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) - (lag(value, 6) OVER ({_W}) + lead(value, 6) OVER ({_W})) / 2) / 12 END AS trend FROM events),
  p AS (SELECT user_id, phase, avg(y - trend) AS s FROM d GROUP BY 1, 2),
  q AS (SELECT user_id, phase, s - avg(s) OVER (PARTITION BY user_id) AS seasonal FROM p)
-SELECT event_id, round(trend, 5) AS trend, round(seasonal, 5) AS seasonal, round(y - trend - seasonal, 5) AS residual
+SELECT event_id, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(y - trend - seasonal, 9) AS residual
 FROM d JOIN q USING (user_id, phase)""")
 def seasonal_decompose(spark, sf):
     out = S.seasonal_decompose(table(spark, sf, "events"), "value", ["ts", "event_id"], ["user_id"])
-    return _r(out.select("event_id", "trend", "seasonal", "residual"), 5, "trend", "seasonal", "residual")
+    return _r(out.select("event_id", "trend", "seasonal", "residual"), 9, "trend", "seasonal", "residual")
 
 
 _FENCE = """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) q1, quantile_cont(o_totalprice, 0.75) q3 FROM orders),
