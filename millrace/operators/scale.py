@@ -87,11 +87,21 @@ def box_cox(x: Column, lam: Column | float) -> Column:
     return F.when(x > 0, _power(x, lam))
 
 
+def _peak(points: list[tuple[float, float]], step: float) -> float:
+    """Top of the parabola through the best point and its two neighbours."""
+    i = max(range(len(points)), key=lambda k: points[k][1])
+    if i in (0, len(points) - 1):
+        return points[i][0]
+    a, b, c = (points[i + k][1] for k in (-1, 0, 1))
+    bend = a - 2 * b + c
+    return points[i][0] + (step * (a - c) / (2 * bend) if bend else 0.0)
+
+
 def fit_power(df: DataFrame, cols: list[str], method: str = "yeo-johnson") -> Params:
     """(lambda, mean, sd) per column by maximum likelihood.
 
-    The distinct values are counted once; each round then scores 21 values of lambda per column over the
-    counts and narrows the step tenfold, down to 0.0005.
+    The distinct values are counted once. A first round scores 21 values of lambda per column over the
+    counts, two more score five around the top of the parabola through the best three.
     """
     yj = method == "yeo-johnson"
     f = yeo_johnson if yj else box_cox
@@ -102,22 +112,20 @@ def fit_power(df: DataFrame, cols: list[str], method: str = "yeo-johnson") -> Pa
     base = {r["column"]: r for r in counts.groupBy("column").agg(
         F.sum(w).alias("n"), F.sum(w * jac).alias("j"), (F.sum(w * x) / F.sum(w)).alias("m")).collect()}
     best = {c: 0.0 for c in base}
-    step = 0.5
-    for _ in range(4):
+    for step, reach in ((0.5, 10), (0.1, 2), (0.01, 2)):
         grid = df.sparkSession.createDataFrame(
-            [(c, best[c] + step * k, base[c]["m"]) for c in base for k in range(-10, 11)], "column string, lam double, m double")
+            [(c, best[c] + step * k, base[c]["m"]) for c in base for k in range(-reach, reach + 1)],
+            "column string, lam double, m double")
         d = f(x, lam) - f(F.col("m"), lam)  # centred at the image of the mean, for precision
-        top: dict[str, tuple] = {}
+        scores: dict[str, list] = {}
         for r in (counts.join(F.broadcast(grid), "column").select("column", "lam", "n", d.alias("d"))
                   .groupBy("column", "lam").agg(F.sum(w * F.col("d")).alias("s"), F.sum(w * F.col("d") * F.col("d")).alias("q"))
                   .collect()):
             b = base[r["column"]]
             var = r["q"] / b["n"] - (r["s"] / b["n"]) ** 2
             if var > 0 and math.isfinite(var):
-                score = -b["n"] / 2 * math.log(var) + (r["lam"] - 1) * b["j"]
-                top[r["column"]] = max(top.get(r["column"], (-math.inf, 0.0)), (score, r["lam"]))
-        best.update({c: t[1] for c, t in top.items()})
-        step /= 10
+                scores.setdefault(r["column"], []).append((r["lam"], -b["n"] / 2 * math.log(var) + (r["lam"] - 1) * b["j"]))
+        best.update({c: _peak(sorted(v), step) for c, v in scores.items()})
     row = df.agg(*[a(f(num(c), best[c])).alias(f"m{i}{k}") for i, c in enumerate(best)
                    for k, a in enumerate((F.avg, F.stddev_pop))]).first()
     return {c: (best[c], row[f"m{i}0"], row[f"m{i}1"]) for i, c in enumerate(best)}

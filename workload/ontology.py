@@ -297,13 +297,13 @@ def onto_to_graph(spark, sf):
 
 # property graphs: customers and the parts they ordered ------------------------------------------------
 
-_EDGES = "e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_EDGES = "e AS (SELECT DISTINCT o_custkey || 'c' AS src, l_partkey || 'p' AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 _DEG = "d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)"
 
 
 def _edges(spark, sf):
     return (table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.expr("o_orderkey = l_orderkey"))
-            .select(F.expr("'c' || o_custkey as src"), F.expr("'p' || l_partkey as dst")))
+            .select(F.expr("o_custkey || 'c' as src"), F.expr("l_partkey || 'p' as dst")))
 
 
 @query("graph_summary", f"""WITH {_EDGES}, {_DEG} SELECT count(*) AS nodes, (SELECT count(*) FROM e) AS edges, false AS directed,
