@@ -73,7 +73,7 @@ def local_outlier_factor(df: DataFrame, cols: list[str], key: str, k: int = 20,
     return lof.withColumn("is_outlier", (F.col("lof") > threshold).cast("int"))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], target: str, train_key: str, test_key: str,
+def knn_predict(train: DataFrame, test: DataFrame, cols: list[str] | str, target: str, train_key: str, test_key: str,
                 k: int = 5, task: str = "classification") -> DataFrame:
     """(test_key, prediction): majority vote (ties to the smallest class) or mean of the k nearest rows."""
     q = test.select(F.col(test_key), vector(cols).alias("v"))

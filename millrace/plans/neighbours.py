@@ -21,8 +21,11 @@ BLOCK = 2_000
 PIVOTS = 256
 
 
-def vector(cols: list[str]) -> Column:
-    """Columns as one array<double>; any null or NaN makes the vector null."""
+def vector(cols: list[str] | str) -> Column:
+    """Columns (or one array column) as array<double>; any null or NaN makes the vector null."""
+    if isinstance(cols, str):
+        v = F.col(cols).cast("array<double>")
+        return F.when(~F.exists(v, lambda x: x.isNull() | F.isnan(x)), v)
     values = F.array(*[num(c) for c in cols])
     return F.when(F.size(F.array_compact(values)) == len(cols), values)
 

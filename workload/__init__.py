@@ -1,5 +1,5 @@
 """Registered queries over the test tables, each with its SQL twin where SQL can say it."""
 
-from workload import cleaning, columns, encoding, neighbours, ontology, profiles, splits_metrics
+from workload import cleaning, columns, encoding, neighbours, ontology, profiles, sources, splits_metrics
 
-FAMILIES = [columns, profiles, cleaning, encoding, splits_metrics, ontology, neighbours]
+FAMILIES = [columns, profiles, cleaning, encoding, splits_metrics, ontology, neighbours, sources]

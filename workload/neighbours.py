@@ -59,8 +59,8 @@ WITH d AS (SELECT a.vec_id, b.label, sqrt(list_sum(list_transform(list_zip(a.emb
  v AS (SELECT vec_id, label, count(*) c FROM r WHERE i <= 5 GROUP BY 1, 2)
 SELECT vec_id, arg_min(label, (-c, label)) AS prediction FROM v GROUP BY 1""")
 def knn_classifier(spark, sf):
-    df = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
-    return N.knn_predict(df.filter("vec_id % 5 > 0"), df.filter("vec_id % 5 = 0"), [f"e{i}" for i in range(64)], "label", "vec_id", "vec_id")
+    df = table(spark, sf, "embeddings")
+    return N.knn_predict(df.filter("vec_id % 5 > 0"), df.filter("vec_id % 5 = 0"), "embedding", "label", "vec_id", "vec_id")
 
 
 _MIN = "(SELECT doc_id, least(n_chars, 20000) / 1000.0::DOUBLE AS a, doc_id % 17 AS b, quality AS y FROM documents JOIN labels USING (doc_id))"
