@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CELLS = "origin string, height int, width int, nChannels int, data binary"
@@ -87,10 +88,13 @@ def features(images: DataFrame, how: str = "flatten", size: int | None = None) -
         flat = (px if px.shape[2] == 1 else px[:, :, 2::-1]).ravel().astype(np.float32)
         return flat if how == "flatten" else flat / 255
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 32):  # few images at a time, vectors can be long
-                part = pdf.iloc[i:i + 32]
-                yield pd.DataFrame({"origin": part["origin"], "features": [vector(r) for r in part.itertuples(index=False)]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 32):  # few images at a time, vectors can be long
+                part = b.slice(i, 32).to_pandas()
+                vecs = [vector(r) for r in part.itertuples(index=False)]
+                ends = np.concatenate([[0], np.cumsum([len(v) for v in vecs])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(vecs))
+                yield pa.RecordBatch.from_arrays([pa.array(part["origin"], pa.string()), lists], ["origin", "features"])
 
-    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(work, "origin string, features array<float>")
+    return images.select("origin", "height", "width", "nChannels", "data").mapInArrow(work, "origin string, features array<float>")
