@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.counting import num, quantiles
 from millrace.plans.hashing import kth_smallest, within_cutoff
+from millrace.plans.lineage import cut
 from millrace.plans.lookup import fit_lookup, join_lookup
 
 KDE_BINS = 4096
@@ -221,11 +222,12 @@ def target_rate(df: DataFrame, feature: str, target: str, many: int = 30, top: i
     data = df.select(F.col(feature).alias("_f"), F.col(target).alias("_t")).dropna()
     classes = [r[0] for r in data.select("_t").distinct().limit(3).collect()]
     y = (F.col("_t") == F.lit(max(classes))).cast("double") if len(classes) == 2 else F.col("_t").try_cast("double")
-    scored = data.withColumn("_y", y)
-    overall = scored.agg(F.avg("_y")).first()[0]
-    rates = scored.groupBy(F.col("_f").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate"))
-    head = rates.limit(many + 1).count()
-    if head > many:
+    per = cut(data.withColumn("_y", y).groupBy(F.col("_f").alias("category")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.count("_y").alias("k")))
+    size, total, known = per.agg(F.count(F.lit(1)), F.sum("s"), F.sum("k")).first()
+    overall = total / known if known else None
+    rates = per.select("category", "n", F.try_divide(F.col("s"), F.col("k")).alias("rate"))
+    if size > many:
         rates = rates.orderBy(F.desc("n"), "category").limit(top)
     return rates.withColumn("overall", F.lit(overall)).orderBy("rate", "category")
 

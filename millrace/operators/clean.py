@@ -185,16 +185,21 @@ def fit_winsor(df: DataFrame, cols: list[str], tail: float = 0.05) -> dict[str,
 
 # duplicates -------------------------------------------------------------------------------------------
 
+def _digest(cols: list[str]) -> Column:
+    """md5 over the values; null differs from every text."""
+    return F.md5(F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}))
+
+
 def drop_duplicates(df: DataFrame, order: list[str], subset: list[str] | None = None, keep: str = "first") -> DataFrame:
     """Keep the first or last row of each group of equal ``subset`` values, or none of a repeated group.
 
-    A plain aggregate with map-side combining: copies collapse before the shuffle, however many there are.
-    ``order`` decides what first means and is not part of the default subset.
+    A plain aggregate on a digest of the values with map-side combining: copies collapse before the shuffle,
+    however many there are. ``order`` decides what first means and is not part of the default subset.
     """
     subset = subset or [c for c in df.columns if c not in order]
     rank = F.struct(*[F.col(c) for c in order])
     pick = F.max_by if keep == "last" else F.min_by
-    groups = df.groupBy(*subset).agg(pick(F.struct(*[F.col(c) for c in df.columns]), rank).alias("_row"),
+    groups = df.groupBy(_digest(subset).alias("_key")).agg(pick(F.struct(*[F.col(c) for c in df.columns]), rank).alias("_row"),
                                      F.count(F.lit(1)).alias("_n"))
     if keep == "none":
         groups = groups.filter(F.col("_n") == 1)
@@ -206,7 +211,9 @@ def flag_duplicates(df: DataFrame, order: list[str], subset: list[str] | None =
 
     The rows are matched back on the unique ``order`` columns, never on the repeated values.
     """
-    firsts = drop_duplicates(df.select(*dict.fromkeys([*order, *(subset or df.columns)])), order, subset).select(*order)
+    subset = subset or [c for c in df.columns if c not in order]
+    firsts = (df.groupBy(_digest(subset).alias("_key")).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_o"))
+              .select("_o.*"))
     marked = df.join(firsts.withColumn("_first", F.lit(0)), order, "left")
     return marked.withColumn("is_duplicate", F.coalesce("_first", F.lit(1))).drop("_first").select(*df.columns, "is_duplicate")
 

@@ -8,6 +8,8 @@ from millrace.operators.charts import histogram
 from millrace.plans.lineage import cut
 from millrace.plans.lookup import fit_lookup, join_lookup
 
+LARGE_EDGES = 1_000_000
+
 
 def simple_edges(edges: DataFrame, directed: bool = False) -> DataFrame:
     """Distinct edges; the ends of an undirected edge are put in order."""
@@ -78,9 +80,12 @@ def from_triples(t: DataFrame) -> DataFrame:
     return t.filter("o_type <> 'literal'").select(F.col("s").alias("src"), F.col("o").alias("dst"), F.col("p").alias("label"))
 
 
-def _linked(pairs: DataFrame) -> DataFrame:
-    """(node, other) with the smallest of node and its others added as ``m``; hot nodes are split off."""
+def _linked(pairs: DataFrame, large: bool) -> DataFrame:
+    """(node, other) with the smallest of node and its others added as ``m``. In a large graph the hot nodes
+    are split off; a small one (counted) is joined as it is."""
     least = pairs.groupBy("node").agg(F.min("other").alias("_m"), F.count(F.lit(1)).alias("n"))
+    if not large:
+        return pairs.join(least.drop("n"), "node").withColumn("m", F.least("node", "_m"))
     return join_lookup(pairs, fit_lookup(least, ["node"]), ["_m"]).withColumn("m", F.least("node", "_m"))
 
 
@@ -92,12 +97,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     """
     e = cut(simple_edges(edges).filter("src <> dst").select(F.col("dst").alias("u"), F.col("src").alias("v")))
     seen = None
+    big = e.count() > LARGE_EDGES
     for _ in range(max_rounds):
         both = e.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(
             e.select(F.col("v").alias("node"), F.col("u").alias("other")))
-        large = cut(_linked(both).filter("other > node").select(F.col("other").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(_linked(both, big).filter("other > node").select(F.col("other").alias("u"), F.col("m").alias("v")).distinct())
         down = large.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("other"))
-        linked = _linked(down)
+        linked = _linked(down, big)
         small = (linked.filter("other <> m").select(F.col("other").alias("u"), F.col("m").alias("v"))
                  .unionByName(linked.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
         e = cut(small)

@@ -55,7 +55,8 @@ class Fitted:
     params: dict = field(default_factory=dict)
 
 
-def estimator(name: str, task: str, rows: int, classes: int, width: int, params: dict):
+def estimator(name: str, task: str, rows: int, classes: int, width: int, params: dict,
+              label_sd: float = 1.0):
     """The Spark estimator for a catalogue name with translated parameters."""
     p = {**DEFAULTS.get(name, {}), **params}
     cls = {"featuresCol": "_features", "labelCol": "_label"}
@@ -81,9 +82,12 @@ def estimator(name: str, task: str, rows: int, classes: int, width: int, params:
         return MultilayerPerceptronClassifier(featuresCol="_features", labelCol="_label", maxIter=p["max_iter"],
                                               layers=[width, *p["hidden"], classes], seed=42)
     if name in REGRESSORS:
-        # the squared error is divided by 2n here, by n or not at all there; hence the scaling of alpha
-        alpha, mix = p.get("alpha", 0.0), {"lasso": 1.0, "elastic_net": p.get("l1_ratio", 0.5)}.get(name, 0.0)
-        reg = alpha / max(rows, 1) if name == "ridge" else alpha
+        # Spark scales the label to unit deviation, which divides its L2 term (not the L1 term) by that
+        # deviation; ridge's alpha also stands against the summed, not the mean, squared error
+        alpha, l1 = p.get("alpha", 0.0), {"lasso": 1.0, "elastic_net": p.get("l1_ratio", 0.5)}.get(name, 0.0)
+        l2 = (alpha / max(rows, 1) if name == "ridge" else alpha) * (1 - l1) * label_sd
+        reg = alpha * l1 + l2
+        mix = alpha * l1 / reg if reg else 0.0
         return LinearRegression(**cls, regParam=reg, elasticNetParam=mix, maxIter=p.get("max_iter", 1000), standardization=False)
     raise ValueError(f"unknown model {name!r}")
 
@@ -114,7 +118,7 @@ def fit(df: DataFrame, name: str, features: list[str], target: str, task: str =
     params = params or {}
     data = df.dropna(subset=[target])
     rows = data.count()
-    stages, labels = [], []
+    stages, labels, sd = [], [], 1.0
     if task == "classification":
         labels = sorted(r[0] for r in data.select(F.col(target).cast("string")).distinct().limit(1001).collect())
         if len(labels) > 1000:
@@ -123,6 +127,8 @@ def fit(df: DataFrame, name: str, features: list[str], target: str, task: str =
         data = data.withColumn("_target", F.col(target).cast("string"))
     else:
         data = data.withColumn("_label", num(target))
+        if name in REGRESSORS:
+            sd = data.agg(F.stddev_pop("_label")).first()[0] or 1.0
     names = features
     if name == "svm_rbf":
         extra, names = _fourier(data, features, {**DEFAULTS[name], **params}["components"])
@@ -130,7 +136,7 @@ def fit(df: DataFrame, name: str, features: list[str], target: str, task: str =
     assembler = VectorAssembler(inputCols=names, outputCol="_features")
     if name == "adaboost":
         return _fit_adaboost(data, features, labels, stages, assembler, {**DEFAULTS[name], **params})
-    stages += [assembler, estimator(name, task, rows, len(labels), len(names), params)]
+    stages += [assembler, estimator(name, task, rows, len(labels), len(names), params, sd)]
     fitted = Pipeline(stages=stages).fit(data)
     # the label indexer is only for fitting; scoring frames need not have the target
     kept = [s for s in fitted.stages if not type(s).__name__.startswith("StringIndexer")]

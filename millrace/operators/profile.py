@@ -42,7 +42,9 @@ def column_metadata(df: DataFrame, cols: list[str] | None = None, exact: bool =
         F.col("rows").alias("rows")) for i, c in enumerate(cols)]
     meta = stats.select(F.explode(F.array(*per_column)).alias("m")).select("m.*")
     if exact:
-        shown = df.select(*[present[c].alias(c) for c in cols])
+        # long text is counted by its digest, so that whole documents are not shuffled
+        short = lambda c: F.when(F.length(c) > 32, F.md5(c)).otherwise(F.col(c)) if types[c] == "string" else present[c]
+        shown = df.select(*[short(c).alias(c) for c in cols])
         uniq = value_counts(shown, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
         meta = meta.drop("n_unique").join(F.broadcast(uniq), "column", "left").fillna(0, ["n_unique"])
     meta = meta.withColumn("kind", F.coalesce("chosen", kind_rule()))

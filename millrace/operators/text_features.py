@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.functions import text as T
 
@@ -52,8 +52,8 @@ def bag_of_words(df: DataFrame, key: str, text_col: str, size: int = 100) -> Dat
 
 def _unit(df: DataFrame, key: str, weight: str) -> DataFrame:
     """Divide by the L2 norm per document; a document has at most vocabulary-many rows."""
-    norms = df.groupBy(key).agg(F.sqrt(F.sum(F.col(weight) ** 2)).alias("_norm"))
-    return df.join(norms, key).withColumn(weight, F.col(weight) / F.col("_norm")).drop("_norm")
+    norm = F.sqrt(F.sum(F.col(weight) ** 2).over(W.partitionBy(key)))
+    return df.withColumn(weight, F.col(weight) / norm)
 
 
 def fit_tfidf(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1) -> dict[str, float]:

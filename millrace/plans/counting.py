@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.keys import join_on
-from millrace.plans.ordering import BLOCK_ROWS, prefix_totals
+from millrace.plans.lineage import cut
+from millrace.plans.ordering import BLOCK_ROWS, prefix_totals, running_totals
 
 DISTINCT_LIMIT = 2_000_000
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -35,12 +36,6 @@ def value_counts(df: DataFrame, cols: list[str], cast: str = "string", by: list[
             .groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def distinct_bound(df: DataFrame, cols: list[str], by: list[str] = ()) -> int:
-    """Approximate number of distinct (by, column, value) cells, one scan with sketches."""
-    aggs = [F.approx_count_distinct(F.struct(*by, F.col(c))) for c in cols]
-    return int(sum(df.agg(*aggs).first()))
-
-
 def weighted_quantiles(counts: DataFrame, by: list[str], probs: list[float], small: bool) -> DataFrame:
     """(by..., q array, n) from (by..., value, n) with linear interpolation between order statistics."""
     if small:
@@ -69,13 +64,12 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
               distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
     """Exact quantiles (linear interpolation): (by..., column, q array<double>, n).
 
-    Values are counted first. Up to ``distinct_limit`` distinct cells the counts are folded by
-    ``percentile(value, p, n)``; above it they are ranked through range partitions.
+    The data is read once, into saved value counts. Up to ``distinct_limit`` of them are folded by
+    ``percentile(value, p, n)``; more are ranked through range partitions.
     """
     by = list(by)
-    counts = value_counts(df, cols, "double", by)
-    small = distinct_bound(df, cols, by) <= distinct_limit
-    return weighted_quantiles(counts, [*by, "column"], probs, small)
+    counts = cut(value_counts(df, cols, "double", by))
+    return weighted_quantiles(counts, [*by, "column"], probs, counts.count() <= distinct_limit)
 
 
 def quantile_dict(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict[str, list[float]]:
@@ -87,10 +81,6 @@ def average_ranks(df: DataFrame, col: str, name: str, by: list[str] = (),
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(by..., col, name, n): 1-based average rank of each distinct non-null value."""
     by = list(by)
-    counts = (df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n")))
-    if distinct_bound(df, [col], by) <= block_rows:
-        w = W.partitionBy(*by).orderBy(col).rowsBetween(W.unboundedPreceding, 0)
-        run = counts.withColumn("_cum", F.sum("n").over(w))
-    else:
-        run = prefix_totals(counts, by, [col], {"_cum": F.col("n")})
+    counts = cut(df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n")))
+    run = running_totals(counts, by, [col], {"_cum": F.col("n")}, block_rows)
     return run.withColumn(name, F.col("_cum") - (F.col("n") - 1) / F.lit(2.0)).drop("_cum")

@@ -143,6 +143,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_key: str, point
         best = flat.sort_values(["row", "dist", "id"], kind="stable").groupby("row", sort=False).head(want)
         return pd.DataFrame({"vk": left["vk"].to_numpy()[best["row"]], "dist": best["dist"].to_numpy(), "id": best["id"].to_numpy()})
 
+    qb, sb = qb.toDF(*qb.columns), sb.toDF(*sb.columns)  # both sides may come from one frame
     partial = qb.groupBy("cell", "qb", "sb").cogroup(sb.groupBy("cell", "qb", "sb")).applyInPandas(
         compare, f"vk string, dist double, id {id_type}")
     best = (partial.withColumn("_i", F.row_number().over(W.partitionBy("vk").orderBy("dist", "id")))

@@ -1,5 +1,7 @@
 """Registered queries over the test tables, each with its SQL twin where SQL can say it."""
 
-from workload import cleaning, columns, encoding, learning, neighbours, ontology, profiles, sources, splits_metrics
+from workload import (cleaning, columns, encoding, flagship, iterative, learning, neighbours, ontology, profiles,
+                      sources, splits_metrics)
 
-FAMILIES = [columns, profiles, cleaning, encoding, splits_metrics, ontology, neighbours, sources, learning]
+FAMILIES = [flagship, columns, profiles, cleaning, encoding, splits_metrics, ontology, neighbours, sources, learning,
+            iterative]
