@@ -26,7 +26,11 @@ def node_ids(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = False) -> DataFrame:
     """(id, degree): a self loop counts twice; isolated nodes (from ``nodes``) have degree 0."""
-    ends = simple_edges(edges, directed).select(F.explode(F.array("src", "dst")).alias("id"), F.lit(1).alias("d"))
+    return _degrees(simple_edges(edges, directed), nodes)
+
+
+def _degrees(simple: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    ends = simple.select(F.explode(F.array("src", "dst")).alias("id"), F.lit(1).alias("d"))
     if nodes is not None:
         ends = ends.unionByName(nodes.select("id", F.lit(0).alias("d")))
     return ends.groupBy("id").agg(F.sum("d").alias("degree"))
@@ -34,8 +38,9 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = F
 
 def summary(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = False) -> DataFrame:
     """(nodes, edges, directed, density, mean_degree, max_degree)"""
-    m = simple_edges(edges, directed).count()
-    d = degrees(edges, nodes, directed).agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"),
+    e = cut(simple_edges(edges, directed))
+    m = e.count()
+    d = _degrees(e, nodes).agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("mean_degree"),
                                             F.max("degree").alias("max_degree"))
     pairs = F.col("nodes").cast("double") * (F.col("nodes") - 1)
     return d.select("nodes", F.lit(m).cast("long").alias("edges"), F.lit(directed).alias("directed"),

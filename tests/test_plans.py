@@ -190,3 +190,14 @@ def test_apply_side_accepts_streams(spark, sf):
     out = encode.one_hot(out, "c_mktsegment", ["BUILDING"])
     out = C.clip(out, {"c_acctbal": (-1.0, 1.0)}).withColumn("t", text.clean("c_name")).filter(P.predicate("c_nationkey", ">", "3"))
     assert out.isStreaming
+
+
+def test_widening_only_small_scans(spark, sf):
+    from millrace.plans.parallel import widened
+    one = spark.read.parquet(f"{sf}/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert widened(one).rdd.getNumPartitions() == cores
+    p = plan(widened(one).filter("o_orderstatus = 'F'").select("o_orderkey"))
+    assert "EqualTo(o_orderstatus,F)" in p and "o_orderpriority" not in p
+    many = one.repartition(cores * 2)
+    assert "RoundRobinPartitioning(8)" not in plan(widened(many))

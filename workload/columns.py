@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates, numeric, predicates as P, text
 from millrace.operators import columns as C, scale
-from workload.registry import query, table
+from workload.registry import query, table, wide_table
 
 
 @query("table_preview", """
@@ -229,7 +229,7 @@ def casts(spark, sf):
 SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS word
  FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 15""")
 def top_words(spark, sf):
-    return (table(spark, sf, "documents").select(F.explode(text.words("text")).alias("word"))
+    return (wide_table(spark, sf, "documents").select(F.explode(text.words("text")).alias("word"))
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(15))
 
 

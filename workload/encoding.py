@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import binning as B, encode as E, scale as S, text_features as T
-from workload.registry import query, table
+from workload.registry import query, table, wide_table
 
 
 def _r(df, digits, *cols):
@@ -224,17 +224,17 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 7) A
 
 @query("bow_counts", _tf_sql(100) + " SELECT doc_id, term, tf FROM tf")
 def bow_counts(spark, sf):
-    return T.bag_of_words(table(spark, sf, "documents"), "doc_id", "text")
+    return T.bag_of_words(wide_table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("tfidf_unigram", _tfidf_sql(50))
 def tfidf_unigram(spark, sf):
-    return _r(T.tfidf(table(spark, sf, "documents"), "doc_id", "text", 50), 7, "weight")
+    return _r(T.tfidf(wide_table(spark, sf, "documents"), "doc_id", "text", 50), 7, "weight")
 
 
 @query("tfidf_bigram", _tfidf_sql(100, 2))
 def tfidf_bigram(spark, sf):
-    return _r(T.tfidf(table(spark, sf, "documents"), "doc_id", "text", 100, 2), 7, "weight")
+    return _r(T.tfidf(wide_table(spark, sf, "documents"), "doc_id", "text", 100, 2), 7, "weight")
 
 
 @query("hashing_vector", f"""
@@ -242,4 +242,4 @@ WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_W2}')) AS te
  b AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS w FROM t GROUP BY 1, 2)
 SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 7) AS weight FROM b""")
 def hashing_vector(spark, sf):
-    return _r(T.hashing_vector(table(spark, sf, "documents"), "doc_id", "text"), 7, "weight")
+    return _r(T.hashing_vector(wide_table(spark, sf, "documents"), "doc_id", "text"), 7, "weight")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import predicates as P
 from millrace.functions.dates import add_parts
-
 from millrace.operators import binning, charts, clean
 from millrace.plans.lineage import cut
 from workload.registry import query, table

@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans.parallel import widened
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -19,5 +21,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table for CPU-heavy queries: dealt over the cores when its file has few splits."""
+    return widened(table(spark, sf, name))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
