@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.plans.counting import num, quantile_dict
-from millrace.plans.hashing import hash_numbered, hash_unit, kth_smallest, within_cutoff
+from millrace.plans.hashing import class_map, hash_numbered, hash_unit, kth_smallest, within_cutoff
 from millrace.plans.ordering import row_numbers
 
 
@@ -106,9 +106,7 @@ def oversample(df: DataFrame, keys: list[str], target: str, seed: int = 42) -> D
     top = max(sizes.values())
     data = df.filter(F.col(target).isNotNull())
     extra = within_cutoff(keys, seed, kth_smallest(data, keys, seed, {c: top % n for c, n in sizes.items()}, target), target)
-    base = F.lit(0)
-    for c, n in sizes.items():
-        base = F.when(F.col(target).cast("string") == F.lit(c), F.lit(top // n)).otherwise(base)
+    base = F.try_element_at(class_map({c: top // n for c, n in sizes.items()}), F.col(target).cast("string"))
     copies = base + extra.cast("int")
     return data.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
 
@@ -117,10 +115,8 @@ def class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k · n_c); null for a null class."""
     sizes = class_sizes(df, target)
     total, k = sum(sizes.values()), len(sizes)
-    w = F.lit(None).cast("double")
-    for c, n in sizes.items():
-        w = F.when(F.col(target).cast("string") == F.lit(c), F.lit(total / (k * n))).otherwise(w)
-    return df.withColumn(out, w)
+    weights = class_map({c: total / (k * n) for c, n in sizes.items()})
+    return df.withColumn(out, F.try_element_at(weights, F.col(target).cast("string")))
 
 
 def folds(df: DataFrame, keys: list[str], k: int = 5, target: str | None = None, seed: int = 42) -> DataFrame:

@@ -48,68 +48,64 @@ def hash_numbered(df: DataFrame, keys: list[str], seed: int, name: str, by: list
             .withColumn(name, F.col("_pos") + F.col("_off")).drop("_ord", "_hb", "_pos", "_off"))
 
 
+def class_map(values: dict) -> Column:
+    """A small dictionary of classes (at most 1000) as a map column; look up with ``try_element_at``."""
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def _class_column(by: str | None) -> Column:
+    return F.col(by).cast("string") if by else F.lit("")
+
+
 def kth_smallest(df: DataFrame, keys: list[str], seed: int, wanted: dict, by: str | None = None,
                  bucket_rows: int = BUCKET_ROWS) -> dict:
     """Per class, the hash of its k-th smallest row; ``wanted`` maps class -> k (``None`` = whole table).
 
-    Prefix counts are narrowed four hex digits at a time (at most 65 536 counts per class and round), so
-    only the one bucket that holds the k-th row is ever sorted. Classes asked for must be few.
+    Prefix counts are narrowed a few hex digits at a time, so only the one bucket that holds the k-th row is
+    ever sorted. The counts of one round are at most a few hundred thousand: the more classes, the fewer
+    digits per round. Classes asked for must be few.
     """
     if len(wanted) > 1000:
         raise ValueError("too many classes for a stratified selection")
-    cls = F.col(by).cast("string") if by else F.lit(None).cast("string")
-    base = df.select(cls.alias("c"), hash_order(keys, seed).alias("h"))
+    base = df.select(_class_column(by).alias("c"), hash_order(keys, seed).alias("h"))
+    name = {c if c is not None else "": c for c in wanted}
     out, todo = {}, {}
     for c, k in wanted.items():
         if k <= 0:
             out[c] = ""
         else:
-            todo[c] = ("", k)
+            todo[c if c is not None else ""] = ("", k)
+    digits = 4 if len(wanted) <= 8 else 3 if len(wanted) <= 100 else 2
+    width = 0
     while todo:
-        nxt = {}
-        for width in sorted({len(p) for p, _ in todo.values()}):
-            members = {c: v for c, v in todo.items() if len(v[0]) == width}
-            match = F.lit(False)
-            for c, (p, _) in members.items():
-                match = match | (F.col("c").eqNullSafe(F.lit(c)) & F.col("h").startswith(p))
-            step = 1 if width == 0 else 4
-            counts: dict = {}
-            for r in (base.filter(match).groupBy("c", F.substring("h", 1, width + step).alias("p"))
-                      .count().collect()):
-                counts.setdefault(r["c"], []).append((r["p"], r["count"]))
-            for c, (_, k) in members.items():
-                for p, n in sorted(counts.get(c, [])):
-                    if k <= n:
-                        nxt[c] = (p, k, n)
-                        break
-                    k -= n
-                else:
-                    out[c] = "g"  # every row is wanted; 'g' sorts after any hex digit
-        todo = {}
-        ready = {c: v for c, v in nxt.items() if v[2] <= bucket_rows or len(v[0]) >= 32}
-        for c, (p, k, n) in nxt.items():
-            if c not in ready:
-                todo[c] = (p, k)
+        # all open classes have prefixes of one width
+        step = 2 if width == 0 else digits
+        inside = F.col("h").startswith(F.try_element_at(class_map({c: p for c, (p, _) in todo.items()}), F.col("c")))
+        counts: dict = {}
+        for r in base.filter(inside).groupBy("c", F.substring("h", 1, width + step).alias("p")).count().collect():
+            counts.setdefault(r["c"], []).append((r["p"], r["count"]))
+        ready, nxt = {}, {}
+        width += step
+        for c, (_, k) in todo.items():
+            for p, n in sorted(counts.get(c, [])):
+                if k <= n:
+                    (ready if n <= bucket_rows or width >= 32 else nxt)[c] = (p, k)
+                    break
+                k -= n
+            else:
+                out[name[c]] = "g"  # every row is wanted; 'g' sorts after any hex digit
         if ready:
-            match = F.lit(False)
-            want = F.lit(None).cast("long")
-            for c, (p, k, _) in ready.items():
-                here = F.col("c").eqNullSafe(F.lit(c)) & F.col("h").startswith(p)
-                match = match | here
-                want = F.when(here, F.lit(k)).otherwise(want)
-            pos = F.row_number().over(W.partitionBy("c").orderBy("h"))
-            rows = (base.filter(match).withColumn("k", want).withColumn("i", pos)
-                    .filter(F.col("i") == F.col("k")).collect())
-            out.update({r["c"]: r["h"] for r in rows})
+            prefix = F.try_element_at(class_map({c: p for c, (p, _) in ready.items()}), F.col("c"))
+            want = F.try_element_at(class_map({c: k for c, (_, k) in ready.items()}), F.col("c"))
+            place = F.row_number().over(W.partitionBy("c").orderBy("h"))
+            rows = (base.filter(F.col("h").startswith(prefix)).withColumn("i", place).filter(F.col("i") == want)
+                    .select("c", "h").collect())
+            out.update({name[r["c"]]: r["h"] for r in rows})
+        todo = nxt
     return out
 
 
 def within_cutoff(keys: list[str], seed: int, cutoffs: dict, by: str | None = None) -> Column:
-    """True for the rows at or before the cutoff hash of their class."""
-    h = hash_order(keys, seed)
-    if by is None:
-        return h <= F.lit(cutoffs[None])
-    limit = F.lit("")
-    for c, v in cutoffs.items():
-        limit = F.when(F.col(by).cast("string").eqNullSafe(F.lit(c)), F.lit(v)).otherwise(limit)
-    return h <= limit
+    """True for the rows at or before the cutoff hash of their class; false for a class without one."""
+    limits = class_map({c if c is not None else "": v for c, v in cutoffs.items()})
+    return F.coalesce(hash_order(keys, seed) <= F.try_element_at(limits, _class_column(by)), F.lit(False))

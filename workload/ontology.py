@@ -38,6 +38,7 @@ _RULES = [
     ("customer", "true", f"'{X}customer_' || c_custkey", R.TYPE, f"'{X}nation_' || c_nationkey", _I, _N, _N),
     ("customer", "true", f"'{X}customer_' || c_custkey", X + "livesIn", f"'{X}nation_' || c_nationkey", _I, _N, _N),
     ("customer", "true", f"'{X}customer_' || c_custkey", X + "balance", "'b' || c_custkey", _L, _N, f"'{R.XSD}string'"),
+    ("customer", "c_custkey % 50 = 0", f"'{X}customer_' || c_custkey", X + "livesIn", f"'{X}nowhere'", _I, _N, _N),
     ("customer", "c_custkey % 4 = 0", f"'{X}customer_' || c_custkey", X + "livesIn", f"'{X}region_' || (c_custkey % 5)", _I, _N, _N),
 ]
 
