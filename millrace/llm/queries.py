@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import line_dedup, poisson_mix, url_filter
+from millrace.llm import fm_decontam, line_dedup, poisson_mix, quality_votes, rans, simhash_index, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_rans_tokens")
+def op1_rans_tokens(spark, sf):
+    return rans.encode_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 URL_RULES = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("example.com", "/en/", "block"),
              url_filter.Rule("www.example.com", "/en/", "allow"), url_filter.Rule("net", "/es/", "block"),
              url_filter.Rule("net", "/fr/", "block")]
@@ -36,7 +42,7 @@ WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3), '') AS qs FROM pages),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
                      || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical
-      FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(qs, 'list_filter(string_split(qs, '&'), x -> x <>'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS q FROM p)),
+      FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(qs, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS q FROM p)),
 listed AS (SELECT DISTINCT canonical AS l FROM c WHERE page_id % 20 = 0 AND canonical IS NOT NULL),
 rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
@@ -52,6 +58,11 @@ def op2_url_filter(spark, sf):
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "canonical", "listed", "verdict")
 
 
+@query("op4_simhash_index")
+def op4_simhash_index(spark, sf):
+    return simhash_index.near_duplicates(table(spark, sf, "documents"), keep=["doc_id"])
+
+
 @query("op5_poisson_mix", """
 WITH d AS (SELECT *, greatest(length(coalesce(text, '')), 1) AS u, coalesce('=' || source, '-') AS key FROM documents),
 s AS (SELECT key, sum(u)::DOUBLE AS size FROM d GROUP BY 1),
@@ -69,6 +80,21 @@ def op5_poisson_mix(spark, sf):
     return poisson_mix.mix_sources(table(spark, sf, "documents"), flatten=0.5).drop("rate")
 
 
+@query("op6_fm_decontam")
+def op6_fm_decontam(spark, sf):
+    docs, benchmark = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    found = fm_decontam.find_contamination(docs, benchmark, keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op7_quality_votes")
+def op7_quality_votes(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality_votes.judge_quality(docs, keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 @query("op8_line_dedup", r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
