@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import fm_decontam, line_dedup, poisson_mix, quality_votes, rans, simhash_index, url_filter
+from millrace.llm import (evidence_lang, fm_decontam, line_dedup, maxent_lm, poisson_mix, quality_votes, rans, simhash_index,
+                          url_filter, wrapper_html)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,6 +59,11 @@ def op2_url_filter(spark, sf):
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "canonical", "listed", "verdict")
 
 
+@query("op3_maxent_lm")
+def op3_maxent_lm(spark, sf):
+    return maxent_lm.score_documents(table(spark, sf, "documents"), keep=["doc_id"])
+
+
 @query("op4_simhash_index")
 def op4_simhash_index(spark, sf):
     return simhash_index.near_duplicates(table(spark, sf, "documents"), keep=["doc_id"])
@@ -108,3 +114,14 @@ def op8_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return (line_dedup.drop_frequent_lines(docs, min_documents=10, min_length=1)
             .select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")))
+
+
+@query("op9_wrapper_html")
+def op9_wrapper_html(spark, sf):
+    return wrapper_html.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
+
+
+@query("op10_evidence_lang")
+def op10_evidence_lang(spark, sf):
+    """``lang`` is what a document declares, ``source`` where it comes from; documents have no address."""
+    return evidence_lang.identify(table(spark, sf, "documents"), keep=["doc_id", "lang", "source"])
