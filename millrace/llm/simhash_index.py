@@ -22,12 +22,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.shared import ASCII_LOWER, free_name, stored
+from millrace.llm.shared import free_name, stored
 from millrace.operators.graph import connected_components
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
 LIST_LIMIT = 512
-SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def triples() -> list[tuple[int, ...]]:
@@ -43,14 +42,10 @@ def triples() -> list[tuple[int, ...]]:
 
 def fingerprint(text: str | None) -> int:
     """SimHash of the lower-cased (A-Z) text's four-word shingles, repeats included; 0 without words."""
-    words = (text or "").translate(ASCII_LOWER).translate(SPACES).split(" ")
-    words = [w for w in words if w]
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()   # bytes: ASCII letters and white space only
     if not words:
         return 0
-    if len(words) < SHINGLE:
-        shingles = [" ".join(words)]
-    else:
-        shingles = map(" ".join, zip(words, words[1:], words[2:], words[3:]))
+    shingles = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(words, words[1:], words[2:], words[3:]))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
     ones = np.zeros(64, np.int64)
