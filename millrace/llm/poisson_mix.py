@@ -69,19 +69,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, flatte
     """
     if flatten < 0 or (total is not None and not 0 <= total < math.inf) or any(w < 0 for w in (weights or {}).values()):
         raise ValueError("weights, flatten and total must not be negative")
-    rates = fit_lookup(_with_steps(repetition_rates(docs, weights, flatten, total, text, source)), ["key"])
     keep = [c for c in docs.columns if c not in ("copy", "repetitions", "rate", "mix_order")]
-    identity = (F.col(id_col), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    keyed = docs.select(*keep, source_key(F.col(source)).alias("_mix_key")).withColumnRenamed("_mix_key", "key") if "key" not in keep else None
-    if keyed is None:
-        clear = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_doc"), *[F.col(c).alias(f"_{i}") for i, c in enumerate((id_col, text, source))])
-        out = mix_sources(clear, weights, flatten, total, seed, "_0", "_1", "_2")
-        return out.select("_doc.*", "copy", "repetitions", "rate", "mix_order")
-    rated = join_lookup(keyed, rates, ["rate", "steps", "cdf"])
-    draws = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: let(F.struct(uniform(seed, *identity, i).alias("u"), F.col("cdf").alias("cdf")),
-                        lambda s: F.size(F.filter(s["cdf"], lambda c: c <= s["u"]))))
-    count = F.aggregate(draws, F.lit(0), lambda a, d: a + d)
-    repeated = rated.select(*keep, "rate", count.cast("long").alias("repetitions")).filter("repetitions > 0")
-    copies = repeated.select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.col("repetitions"))).alias("copy"), "repetitions", "rate")
-    placed = copies.withColumn("mix_order", F.conv(F.substring(F.md5(F.concat_ws("#", F.coalesce(F.col(id_col).cast("string"), F.lit("")), identity[1], F.col("copy").cast("string"), F.lit(f"order{seed}"))), 1, 15), 16, 10).cast("long"))
-    return placed.orderBy("mix_order", "copy")
+    rates = fit_lookup(_with_steps(repetition_rates(docs, weights, flatten, total, text, source)), ["key"])
+    keyed = docs.select(F.struct(*keep).alias("doc"), source_key(F.col(source)).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+                        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
+    draws = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: let(
+        F.struct(uniform(seed, F.col("id"), F.col("digest"), i).alias("u"), F.col("cdf").alias("cdf")),
+        lambda s: F.size(F.filter(s["cdf"], lambda c: c <= s["u"]))))
+    count = F.aggregate(draws, F.lit(0), lambda a, d: a + d).cast("long")
+    drawn = join_lookup(keyed, rates, ["rate", "steps", "cdf"]).select("doc", "id", "digest", "rate", count.alias("repetitions")).filter("repetitions > 0")
+    copies = drawn.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repetitions"))).alias("copy"))
+    order = F.md5(F.concat_ws("#", "id", "digest", F.col("copy").cast("string"), F.lit(f"order{seed}")))
+    placed = copies.withColumn("mix_order", F.conv(F.substring(order, 1, 15), 16, 10).cast("long")).orderBy("mix_order", "copy")
+    return placed.select("doc.*", "copy", "repetitions", "rate", "mix_order")

@@ -12,10 +12,13 @@ runs one task per group of blocks.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ SCALE_BITS = 20
 LOW, WORD = np.uint64(1 << 32), np.uint64(32)
 MAX_LANES = 1024
 BLOCK_IDS = 1 << 18          # a block ends with the document that brings it to so many ids
-CACHED_PIECES = 400_000      # pieces of text whose ids a worker remembers
+CACHED_PIECES = 400_000      # pieces of text whose ids a worker remembers, or as many as one more group of texts brings
 
 BLOCK_SCHEMA = ("part int, first_row long, start long, n_ids long, lanes int, crc32 long, doc_keys array<string>, "
                 "doc_starts array<long>, states binary, words binary")
@@ -103,68 +106,121 @@ def slot_table(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- text to ids -------------------------------------------------------------------------------------------------
 
-#: A space between two characters that no tokenizer pattern takes for white space always begins a new token of a byte-level tokenizer.
-_SPACES = "\\s\u180e\u200b-\u200d\u2060\ufeff"
-_JOINT = re.compile(f"(?<=[^{_SPACES}]) (?=[^{_SPACES}])")
-_ODD = re.compile(f"[{_SPACES}][{_SPACES}]|\\A[{_SPACES}]|[{_SPACES}]\\Z")
-
-
+#: Characters that a space may stand between without beginning a token there are white space for Python too.
+_JOINT = re.compile(r"(?<=\S) (?=\S)")
 FIRST = "\ud800"    # marks the first piece of a text, the only one that no space comes before; no text can hold it
+#: Letters, digits or marks (but for the apostrophe), and marks behind them: a byte-level tokenizer with the usual pattern makes each run one unit.
+_MARKS = "[!-&(-/:-@\\[-`{-~]"
+_PLAIN = re.compile(f" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+(?={_MARKS}|\\Z)|(?={_MARKS}))")
+_REST = re.compile(f"{_MARKS}*")
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut at the spaces before which a byte-level tokenizer with the usual pattern always ends a token; the spaces are left out."""
-    cut = text.split(" ") if not _ODD.search(text) else _JOINT.split(text)
+    """The text cut at the spaces before which a byte-level tokenizer with the usual pattern always ends a token, namely those
+    between two characters that are not white space; these spaces are left out."""
+    cut = text.split(" ")
+    if len(text.replace("\n", " ").split(" ")) != len(text.split()):   # white space is not single spaces and line feeds throughout
+        cut = _JOINT.split(text)
     cut[0] = FIRST + cut[0]
     return cut
 
 
 class PieceIds(dict):
-    """Piece to row of a growing ragged table of ids; unknown pieces are encoded together by the tokenizer."""
+    """Piece to row of a ragged table of ids. The first ``CACHED_PIECES`` pieces that a worker meets are remembered; they include
+    all frequent ones. Others live for the group of texts in which they are found."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         super().__init__()
-        self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
+        self.encode, self.new = encode, []
         self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = row = len(self)
+        return row
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids per text."""
-        if len(self) > CACHED_PIECES:
-            self.clear()
+        known = len(self)
+        gc.disable()   # many small objects and no cycles: collections would only take time
         cut = [pieces(t) if t else [] for t in texts]
-        new = list({p for c in cut for p in c if p not in self})
-        if new:
-            found = [np.asarray(x, np.uint32) for x in self.encode([p[1:] if p[0] == FIRST else " " + p for p in new])]
+        rows = np.fromiter(chain.from_iterable(map(self.__getitem__, c) for c in cut), np.int64, sum(map(len, cut)))
+        flat, begin, length = self.flat, self.begin, self.length
+        if self.new:
+            found = self.encode([p[1:] if p[0] == FIRST else " " + p for p in self.new])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            at = len(self.begin)
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.length = np.concatenate([self.length, sizes])
-            self.flat = np.concatenate([self.flat, *found])
-            self.update(zip(new, range(at, at + len(new))))
-        rows = np.fromiter((i for c in cut for i in map(self.__getitem__, c)), np.int64, sum(map(len, cut)))
-        size = self.length[rows]
+            begin = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes])
+            length = np.concatenate([length, sizes])
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            if known < CACHED_PIECES:
+                self.flat, self.begin, self.length = flat, begin, length
+            else:
+                for p in self.new:
+                    del self[p]
+            self.new = []
+        size = length[rows]
         ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.begin[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = flat[np.repeat(begin[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.cumsum([0, *map(len, cut)])
         bound = np.concatenate([[0], ends])[cuts]
+        gc.enable()
         return [flat[bound[i]:bound[i + 1]] for i in range(len(texts))]
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in own)}
+
+
+class ByteBpe:
+    """The tokenizer library's ids of many short pieces. Pieces that are one unit of the vocabulary's pre-tokenizer go through the library's
+    model as one text, one unit a line; all others go through the whole tokenizer. Strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark has a task for each core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.units = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.units.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.whole.encode_special_tokens = self.units.encode_special_tokens = True
+        self.table = str.maketrans({chr(b): c for b, c in byte_characters().items() if b != 10})
+
+    def lines(self, units: list[str], most: int = 20_000) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in range(0, len(units), most):
+            some = units[at:at + most]
+            found = self.units.encode_batch(["\n".join(some).encode("utf-8").decode("latin-1").translate(self.table)], add_special_tokens=False)[0]
+            ids, ends = found.ids, np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1)).tolist()
+            out += [ids[a:b] for a, b in zip(ends, ends[1:])]
+        return out
+
+    def __call__(self, new: list[str]) -> list[list[int]]:
+        units: dict[str, list[int]] = {"": []}
+        cut: list[tuple[str, str] | None] = []
+        begin, rest = _PLAIN.match, _REST.fullmatch
+        for p in new:
+            m = begin(p)
+            k = m.end() if m else 0
+            if not m or not rest(p, k):
+                cut.append(None)
+            else:
+                pair = (p[:k], p[k:]) if k and p[k - 1] != " " else (p, "")
+                cut.append(pair)
+                units[pair[0]] = units[pair[1]] = []
+        names = [u for u in units if u]
+        units.update(zip(names, self.lines(names)))
+        other = iter(self.whole.encode_batch_fast([p for p, c in zip(new, cut) if c is None], add_special_tokens=False))
+        return [units[c[0]] + units[c[1]] if c else next(other).ids for c in cut]
+
+
 _ENCODERS: dict[str, PieceIds] = {}
 
 
 def byte_bpe(path: str) -> PieceIds:
-    """The tokenizer file's ids by piece, loaded once per worker. Strings of special tokens are ordinary text."""
+    """The ids of the tokenizer file by piece, loaded once per worker."""
     if path not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[path] = PieceIds(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        _ENCODERS[path] = PieceIds(ByteBpe(path))
     return _ENCODERS[path]
 
 
@@ -177,7 +233,7 @@ class TokenFile:
     table: str
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     keys, texts, size = [], [], 0
     for batch in batches:
         for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
@@ -223,8 +279,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     def counts(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, raw in zip(batch.column("width").to_pylist(), batch.column("ids")):
-                c = np.bincount(np.frombuffer(raw.as_buffer(), np.uint16 if width == 2 else np.uint32))
+            wide = batch.column("width").to_numpy()
+            for width in np.unique(wide):
+                own = batch.column("ids").filter(pa.array(wide == width))
+                c = np.bincount(np.frombuffer(b"".join(own.to_pylist()), np.uint16 if width == 2 else np.uint32))
                 if len(c) > len(total):
                     total, c = c.astype(np.int64), total
                 total[:len(c)] += c

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.shared import ascii_lower, free_name
+from millrace.llm.shared import ascii_lower, stored
 
 MAX_BLOCKS = 1 << 18        # 16 MB of bits: the largest table that is ever broadcast
 BITS_PER_ADDRESS = 16
@@ -92,24 +92,21 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit in a plan")
-    base = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "canonical": canonical(F.col(url))})
-    added = free_name(base.columns, "_rule")
-    judged = (base.withColumn(added, _rule_of(F.col("host"), F.col("path"), rules))
-              .withColumns({"rule": F.col(added)["rule"], "_verdict": F.col(added)["verdict"]}).drop(added))
+    added = ("host", "path", "canonical", "rule", "listed", "verdict")
+    keep = [c for c in pages.columns if c not in added]
+    base = pages.select(F.struct(*keep).alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("canonical"))
+    judged = base.select("*", _rule_of(F.col("host"), F.col("path"), rules).alias("best")).select(*base.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
 
-    names = listed.select(canonical(F.col(listed_url)).alias("_listed")).filter("_listed is not null").distinct()
+    names = stored(listed.select(canonical(F.col(listed_url)).alias("name")).filter("name is not null").distinct(), "listed-addresses")
     blocks = int(min(max_blocks, max(1, names.count() * BITS_PER_ADDRESS // (64 * WORDS) + 1)))
     block, bits = _place(F.col("canonical"), blocks)
-    wanted = judged.withColumns({"_block": block, **{f"_b{i}": b for i, b in enumerate(bits)}})
-    table = bloom(names, "_listed", blocks).select(F.col("block").alias("_block"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(WORDS)])
-    hit = F.col("_w0").isNotNull() & F.col("canonical").isNotNull()
-    for i in range(WORDS):
-        hit = hit & (F.col(f"_w{i}").bitwiseAND(F.col(f"_b{i}")) == F.col(f"_b{i}"))
-    tested = wanted.join(F.broadcast(table), "_block", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-    keep = [*judged.columns]
-    sure = tested.filter("not _maybe").select(*keep, F.lit(False).alias("listed"))
-    maybe = tested.filter("_maybe").select(*keep)
-    exact = maybe.join(names, F.col("canonical") == F.col("_listed"), "left").select(*keep, F.col("_listed").isNotNull().alias("listed"))
-    both = sure.unionByName(exact)
-    verdict = F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow"))
-    return both.withColumn("verdict", verdict).drop("_verdict")
+    hit = F.col("w0").isNotNull() & F.col("canonical").isNotNull()
+    for i, b in enumerate(bits):
+        hit = hit & (F.col(f"w{i}").bitwiseAND(b) == b)
+    tested = (judged.withColumn("block", block).join(F.broadcast(bloom(names, "name", blocks)), "block", "left")
+              .select(*judged.columns, F.coalesce(hit, F.lit(False)).alias("maybe")))
+    sure = tested.filter("not maybe").select(*judged.columns, F.lit(False).alias("listed"))
+    exact = (tested.filter("maybe").join(names, F.col("canonical") == F.col("name"), "left")
+             .select(*judged.columns, F.col("name").isNotNull().alias("listed")))
+    verdict = F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
+    return sure.unionByName(exact).select("page.*", "host", "path", "canonical", "rule", "listed", verdict)
