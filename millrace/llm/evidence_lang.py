@@ -28,6 +28,7 @@ BUCKETS = 1 << 16
 UNKNOWN = "und"
 LEAST_SHARE = 1000        # a language needs one in so many of the declarations to be modelled
 TEMPER = 1 / 3            # overlapping trigrams: a third of them would say the same
+EVEN = 0.2                # share of a language's letters that its model deals out evenly, so that new words don't make a text 'und'
 SURE = 20                 # trigrams from which a text alone may speak for its host and its declaration
 
 #: letters A-Z in lower case, everything beyond ASCII as it is, all else a space
@@ -91,10 +92,12 @@ def text_model(docs: DataFrame, text: str, declared: str) -> LanguageModel:
 
     counts = docs.select(text, declared).mapInArrow(count, "lang long, bucket long, n long")
     sums = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()   # at most languages × BUCKETS rows
-    table = np.full((BUCKETS, len(languages) + 1), 0.1)
-    table[sums.bucket.to_numpy(), sums.lang.to_numpy()] += sums.n.to_numpy()
-    table[:, -1] = 1
-    return LanguageModel(languages, np.log(table / table.sum(0)))
+    table = np.zeros((BUCKETS, len(languages) + 1))
+    table[sums.bucket.to_numpy(), sums.lang.to_numpy()] = sums.n.to_numpy()
+    seen = table / np.maximum(table.sum(0), 1)
+    table = (1 - EVEN) * seen + EVEN / BUCKETS
+    table[:, -1] = 1 / BUCKETS
+    return LanguageModel(languages, np.log(table))
 
 
 def address_suffix(address: Column) -> Column:

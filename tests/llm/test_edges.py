@@ -275,7 +275,7 @@ def test_language(docs, empty, spark):
     out = evidence_lang.identify(docs)
     check_columns(out, docs, {"language", "confidence", "accepted"})
     got = {r.doc_id: r.accepted for r in out.collect()}
-    assert not got[3] and not got[4] and not got[6] and got[1]
+    assert not got[3] and not got[4] and not got[6] and got[5]
     assert evidence_lang.identify(empty).count() == 0
     assert evidence_lang.identify(docs.withColumn("lang", F.lit(None).cast("string"))).filter("accepted").count() == 0
 
