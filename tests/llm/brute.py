@@ -92,3 +92,65 @@ def quality_counts(text):
             covered.update(range(i, i + 5))
     n, r = len(words), len(covered)
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), r, n < 10 or 100 * r > 20 * n
+
+
+def language_model_base(rows):
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score)."""
+    words = {d: [*SPACED.findall((t or "").translate(LOWER)), None] for d, t in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    seen = Counter(w for d, ws in words.items() if not held[d] for w in ws)
+    n, v = sum(seen.values()), len(seen)
+    return {d: (held[d], len(ws), sum(w in seen for w in ws), n, sum(np.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for d, ws in words.items()}
+
+
+def article(page):
+    """The blocks of the one article element of a test page, with the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, blocks = False, None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside, self.blocks = True, [""]
+            elif self.inside and tag in ("p", "h1", "h2", "h3", "ul", "li", "div"):
+                self.blocks.append("")
+            elif self.inside and tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+            elif self.inside and tag in ("p", "h1", "h2", "h3", "ul", "li", "div"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "\n\n".join(b for x in reader.blocks or [] if (b := " ".join(x.split())))
+
+
+def copies(rows, flatten=0.5, seed=1):
+    """(doc_id, copies) of rows (doc_id, text, source) under Poisson replication."""
+    import math
+
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += max(1, len(t or ""))
+    total, shares = sum(size.values()), sum(x ** flatten for x in size.values())
+    out = {}
+    for d, t, s in rows:
+        rate = size[s] ** flatten / shares * total / size[s]
+        digest = hashlib.md5((t or "").encode()).hexdigest()
+        u = int(hashlib.md5(f"{d}#{digest}#1#{seed}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        k, p, cdf = 0, math.exp(-rate), math.exp(-rate)
+        while cdf <= u:
+            k += 1
+            p *= rate / k
+            cdf += p
+        out[d] = k
+    return out
