@@ -32,7 +32,7 @@ SCALE_BITS = 20
 LOW, WORD = np.uint64(1 << 32), np.uint64(32)
 MAX_LANES = 1024
 BLOCK_IDS = 1 << 18          # a block ends with the document that brings it to so many ids
-CACHED_PIECES = 400_000      # pieces of text whose ids a worker remembers, or as many as one more group of texts brings
+CACHED_PIECES = 900_000      # pieces of text whose ids a worker remembers, or as many as one more group of texts brings
 
 BLOCK_SCHEMA = ("part int, first_row long, start long, n_ids long, lanes int, crc32 long, doc_keys array<string>, "
                 "doc_starts array<long>, states binary, words binary")
@@ -119,7 +119,7 @@ def pieces(text: str) -> list[str]:
     """The text cut at the spaces before which a byte-level tokenizer with the usual pattern always ends a token, namely those
     between two characters that are not white space; these spaces are left out."""
     cut = text.split(" ")
-    if len(text.replace("\n", " ").split(" ")) != len(text.split()):   # white space is not single spaces and line feeds throughout
+    if text.count(" ") + text.count("\n") + 1 != len(text.split()):   # white space is not single spaces and line feeds throughout
         cut = _JOINT.split(text)
     cut[0] = FIRST + cut[0]
     return cut
