@@ -48,6 +48,11 @@ def epoch_seconds(t: Column) -> Column:
             + F.floor(F.second(t))).cast("long")
 
 
+def epoch_time(t: Column) -> Column:
+    """Seconds since 1970 with their fraction, to the microsecond."""
+    return epoch_seconds(t) + (F.extract(F.lit("SECOND"), t).cast("double") - F.floor(F.second(t)))
+
+
 def month_cycle(t: Column) -> tuple[Column, Column]:
     angle = F.month(t) * F.lit(2 * math.pi / 12)
     return F.sin(angle), F.cos(angle)

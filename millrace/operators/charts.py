@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.plans.counting import num, quantiles
 from millrace.plans.hashing import kth_smallest, within_cutoff
@@ -122,17 +122,18 @@ def top_categories(df: DataFrame, col: str, k: int) -> list:
     return [r[0] for r in rows]
 
 
-def crosstab(df: DataFrame, a: str, b: str, top: int = 10, normalise: bool = False, wide: bool = False) -> DataFrame:
-    """Counts of (a, b) over the top categories of each; shares of the row total when normalised."""
-    va, vb = top_categories(df, a, top), top_categories(df, b, top)
-    kept = df.filter(F.col(a).isin(va) & F.col(b).isin(vb))
+def crosstab(df: DataFrame, a: str, b: str, top: int | None = None, normalise: bool = False, wide: bool = False) -> DataFrame:
+    """Counts of (a, b), of the ``top`` categories of each if given; shares of the row total when normalised. ``wide`` needs ``top``."""
+    kept = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    if top or wide:
+        va, vb = top_categories(df, a, top), top_categories(df, b, top)
+        kept = df.filter(F.col(a).isin(va) & F.col(b).isin(vb))
     if wide:
         return kept.groupBy(a).pivot(b, vb).count().fillna(0)
     cells = kept.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     if not normalise:
         return cells
-    rows = cells.groupBy(a).agg(F.sum("n").alias("_row"))  # at most `top` rows
-    return cells.join(F.broadcast(rows), a).select(a, b, "n", (F.col("n") / F.col("_row")).alias("share"))
+    return cells.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(a)))  # cells are counts, one per pair of categories
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
@@ -148,7 +149,7 @@ def scatter(df: DataFrame, cols: list[str], keys: list[str], n: int | None = Non
     return (sample_rows(full, keys, n, seed) if n else full).select(*dict.fromkeys([*keys, *cols]))
 
 
-def pair_plot(df: DataFrame, cols: list[str], keys: list[str], n: int | None = None, max_columns: int = 10) -> DataFrame:
+def pair_plot(df: DataFrame, cols: list[str], keys: list[str], n: int | None = None, max_columns: int | None = None) -> DataFrame:
     return scatter(df, cols[:max_columns], keys, n)
 
 
@@ -213,8 +214,8 @@ def target_analysis(df: DataFrame, feature: str, target: str, kinds: dict[str, s
     return crosstab(df, feature, target, normalise=True)
 
 
-def target_rate(df: DataFrame, feature: str, target: str, many: int = 30, top: int = 15) -> DataFrame:
-    """(category, n, rate, overall), lowest rate first; the top 15 categories when there are over 30.
+def target_rate(df: DataFrame, feature: str, target: str, top: int | None = None) -> DataFrame:
+    """(category, n, rate, overall), lowest rate first; of the ``top`` most frequent categories if given.
 
     A two-class target counts its last class in sorted order as 1; any other target is read as a number.
     Rows with a null feature or target are left out.
@@ -224,10 +225,10 @@ def target_rate(df: DataFrame, feature: str, target: str, many: int = 30, top: i
     y = (F.col("_t") == F.lit(max(classes))).cast("double") if len(classes) == 2 else F.col("_t").try_cast("double")
     per = cut(data.withColumn("_y", y).groupBy(F.col("_f").alias("category")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.count("_y").alias("k")))
-    size, total, known = per.agg(F.count(F.lit(1)), F.sum("s"), F.sum("k")).first()
+    total, known = per.agg(F.sum("s"), F.sum("k")).first()
     overall = total / known if known else None
     rates = per.select("category", "n", F.try_divide(F.col("s"), F.col("k")).alias("rate"))
-    if size > many:
+    if top:
         rates = rates.orderBy(F.desc("n"), "category").limit(top)
     return rates.withColumn("overall", F.lit(overall)).orderBy("rate", "category")
 
@@ -241,11 +242,12 @@ def drift_numeric(a: DataFrame, b: DataFrame, col: str, points: int = 200) -> Da
     return one.unionByName(density(b, col, points=points, grid=grid).select(F.lit("b").alias("dataset"), "x", "density"))
 
 
-def drift_categorical(a: DataFrame, b: DataFrame, col: str, top: int = 15) -> DataFrame:
-    """(value, share_a, share_b), absent values 0, the most frequent first."""
+def drift_categorical(a: DataFrame, b: DataFrame, col: str, top: int | None = None) -> DataFrame:
+    """(value, share_a, share_b), absent values 0, the most frequent first; the first ``top`` if given."""
     def shares(df, name):
         present = df.filter(F.col(col).isNotNull())
         n = present.count()
         return present.groupBy(F.col(col).alias("value")).agg((F.count(F.lit(1)) / F.lit(max(n, 1))).alias(name))
     both = shares(a, "share_a").join(shares(b, "share_b"), "value", "full_outer").fillna(0.0, ["share_a", "share_b"])
-    return both.orderBy(F.desc("share_a"), F.desc("share_b"), "value").limit(top)
+    ordered = both.orderBy(F.desc("share_a"), F.desc("share_b"), "value")
+    return ordered.limit(top) if top else ordered

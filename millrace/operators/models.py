@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier)
+                                       MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier, OneVsRestModel)
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.counting import num
+from millrace.plans.hashing import hash_numbered
 from millrace.plans.lineage import cut
 
 # fixed values: the catalogue's default parameters
@@ -42,7 +43,7 @@ DEFAULTS = {
 }
 BOOSTED = ("gradient_boosting", "xgboost", "lightgbm", "catboost")
 REGRESSORS = ("linear_regression", "ridge", "lasso", "elastic_net")
-UNLIMITED_DEPTH = 20  # Spark trees need a limit; its largest is 30
+UNLIMITED_DEPTH = 30  # Spark trees need a limit; this is its largest
 
 
 @dataclass
@@ -64,7 +65,7 @@ def estimator(name: str, task: str, rows: int, classes: int, width: int, params:
         cls["weightCol"] = params["weight_col"]
     depth = p.get("max_depth") or UNLIMITED_DEPTH
     if name == "logistic_regression":
-        return LogisticRegression(**cls, maxIter=p["max_iter"], regParam=1.0 / (p["C"] * max(rows, 1)))
+        return LogisticRegression(**cls, maxIter=p["max_iter"], regParam=1.0 / (p["C"] * max(rows, 1)), standardization=False)
     if name == "random_forest":
         forest = RandomForestClassifier if task == "classification" else RandomForestRegressor
         return forest(**cls, numTrees=p["n_estimators"], maxDepth=depth, seed=42)
@@ -74,7 +75,7 @@ def estimator(name: str, task: str, rows: int, classes: int, width: int, params:
         gbt = GBTClassifier(**cls, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=depth, seed=42)
         return gbt if classes == 2 else OneVsRest(classifier=gbt, featuresCol="_features", labelCol="_label")
     if name == "svm_rbf":
-        svc = LinearSVC(**cls, maxIter=100, regParam=1.0 / (p["C"] * max(rows, 1)))
+        svc = LinearSVC(**cls, maxIter=100, regParam=1.0 / (p["C"] * max(rows, 1)), standardization=False)
         return svc if classes == 2 else OneVsRest(classifier=svc, featuresCol="_features", labelCol="_label")
     if name == "naive_bayes":
         return NaiveBayes(**cls, modelType="gaussian")
@@ -166,7 +167,7 @@ def _fit_adaboost(data: DataFrame, features, labels, stages, assembler, p) -> Fi
     k, lr = len(labels), p["learning_rate"]
     for s in stages:
         data = s.fit(data).transform(data)
-    work = cut(assembler.transform(data.dropna(subset=features)).select("_features", "_label").withColumn("_w", F.lit(1.0)))
+    work = cut(assembler.transform(data).select("_features", "_label").withColumn("_w", F.lit(1.0)))
     models, alphas = [], []
     for i in range(p["n_estimators"]):
         stump = DecisionTreeClassifier(featuresCol="_features", labelCol="_label", weightCol="_w", maxDepth=1, seed=42).fit(work)
@@ -243,8 +244,15 @@ def silhouette(clustered: DataFrame) -> float:
 def importance(f: Fitted, top: int = 20) -> DataFrame:
     """(feature, importance), largest first: tree importances, or mean absolute coefficients."""
     from pyspark.sql import SparkSession
+    if isinstance(f.model, Boosted):
+        total = sum(f.model.alphas) or 1.0
+        values = sum(a / total * m.featureImportances.toArray() for m, a in zip(f.model.models, f.model.alphas))
+        rows = sorted(zip(f.features, map(float, values)), key=lambda t: (-t[1], t[0]))[:top]
+        return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
     last = f.model.stages[-1]
-    if hasattr(last, "featureImportances"):
+    if isinstance(last, OneVsRestModel):   # the mean over the classes' models
+        values = sum(m.featureImportances.toArray() if hasattr(m, "featureImportances") else abs(m.coefficients.toArray()) for m in last.models) / len(last.models)
+    elif hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
     elif hasattr(last, "coefficientMatrix"):
         values = abs(last.coefficientMatrix.toArray()).mean(axis=0)
@@ -284,20 +292,22 @@ def permutation_importance(f: Fitted, df: DataFrame, target: str, keys: list[str
     return df.sparkSession.createDataFrame(rows, "feature string, drop double")
 
 
-def shapley(f: Fitted, rows: DataFrame, background: DataFrame, key: str, permutations: int = 20, max_background: int = 100) -> DataFrame:
+def shapley(f: Fitted, rows: DataFrame, background: DataFrame, key: str, permutations: int = 20) -> DataFrame:
     """(key, feature, value): Monte-Carlo Shapley values of every row given.
 
     Each row goes through ``permutations`` seeded feature orders; in each, features switch one by one from
-    a background row to the row's own value. The background is a bounded sample (at most 100 rows) held as
-    one array; the work is rows × permutations × (features + 1) model scores, all in one plan.
+    a background row to the row's own value. Background rows (``key`` unique there too) are numbered in hash order; a
+    (row, permutation) draws a number and meets that row in an equi-join, so every complete background row can be drawn. The
+    work is rows × permutations × (features + 1) model scores, all in one plan.
     """
     d = len(f.features)
-    bg = [list(map(float, r)) for r in background.select(*[num(c) for c in f.features]).dropna().limit(max_background).collect()]
-    pool = F.array(*[F.array(*[F.lit(v) for v in r]) for r in bg])
+    pool = background.select(F.col(key).alias("_k"), F.array(*[num(c) for c in f.features]).alias("_b")).filter(~F.exists("_b", lambda v: v.isNull()))
+    total = pool.count()
+    pool = hash_numbered(pool, ["_k"], 17, "_at", rows=total).drop("_k")
     draw = lambda *xs: F.conv(F.substring(F.md5(F.concat_ws("#", *xs)), 1, 8), 16, 10).cast("long")
     x = rows.select(F.col(key), F.array(*[num(c) for c in f.features]).alias("_x"))
     x = x.withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    x = x.withColumn("_b", F.get(pool, (draw(F.col(key).cast("string"), F.col("_m").cast("string")) % len(bg)).cast("int")))
+    x = x.withColumn("_at", draw(F.col(key).cast("string"), F.col("_m").cast("string")) % F.lit(max(total, 1)) + 1).join(pool, "_at").drop("_at")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.struct(
         F.md5(F.concat_ws("#", F.col(key).cast("string"), F.col("_m").cast("string"), j.cast("string"))).alias("h"), j.alias("j"))))
     x = x.withColumn("_o", F.transform(order, lambda s: s["j"])).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(d))))

@@ -134,8 +134,10 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 def class_balance(df: DataFrame, cols: list[str] | None = None, max_classes: int = 20) -> DataFrame:
     """(column, classes, largest_share, verdict) for non-float columns with at most ``max_classes`` values."""
     cols = cols or [c for c, t in df.dtypes if c in scalar_columns(df) and t not in ("float", "double")]
-    bounded = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    bounded = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first() if cols else {}
     few = [c for c in cols if bounded[c] <= 2 * max_classes + 20]  # far above any sketch error at 20
+    if not few:
+        return df.sparkSession.createDataFrame([], "column string, classes long, largest_share double, verdict string")
     rep = (value_counts(df, few).groupBy("column")
            .agg(F.count(F.lit(1)).alias("classes"), (F.max("n") / F.sum("n")).alias("largest_share"))
            .filter(F.col("classes") <= max_classes))

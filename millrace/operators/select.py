@@ -77,10 +77,10 @@ def eliminate(df: DataFrame, cols: list[str], target: str, keep: int = 10, task:
 
 
 def principal_components(df: DataFrame, cols: list[str], k: int = 10) -> tuple[DataFrame, list[float]]:
-    """``pc_0`` ... of the centred columns and the explained shares. The sign of a component is arbitrary."""
+    """``pc_0`` ... of the centred columns and the explained shares. The sign of a component is arbitrary. Null cells are an error."""
     mean = df.agg(*[F.avg(num(c)).alias(c) for c in cols]).first()
     centred = df.withColumns({f"_c_{c}": num(c) - F.lit(mean[c]) for c in cols})
-    data = VectorAssembler(inputCols=[f"_c_{c}" for c in cols], outputCol="_f", handleInvalid="skip").transform(centred)
+    data = VectorAssembler(inputCols=[f"_c_{c}" for c in cols], outputCol="_f", handleInvalid="error").transform(centred)
     model = PCA(k=k, inputCol="_f", outputCol="_p").fit(data)
     arr = vector_to_array("_p")
     out = model.transform(data).withColumns({f"pc_{i}": arr[i] for i in range(k)})

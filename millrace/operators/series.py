@@ -90,7 +90,7 @@ def interpolate(df: DataFrame, col: str, order: list[str], by: list[str] = (), t
     """Linear by row position, or by ``time``. Leading gaps stay null, trailing ones repeat the last value."""
     o = ordered(df, list(by), list(order), block_rows)
     if time:
-        pos: Column = dates.epoch_seconds(dates.as_time(df, time)).cast("double")
+        pos: Column = dates.epoch_time(dates.as_time(df, time))
     elif o.split:
         pos = F.col("_rn").cast("double")
     else:

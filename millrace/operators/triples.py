@@ -88,11 +88,11 @@ def property_table(t: DataFrame, kind: str) -> DataFrame:
             .join(first_object(t, R.RANGE, "range"), "s", "left").withColumnRenamed("s", "iri"))
 
 
-def individuals(t: DataFrame, max_types: int = 5) -> DataFrame:
-    """(iri, label, types): declared individuals with up to five class types, in sorted order."""
+def individuals(t: DataFrame, max_types: int | None = None) -> DataFrame:
+    """(iri, label, types): declared individuals with their class types in sorted order, the first ``max_types`` of them if given."""
     ind = typed(t, R.INDIVIDUAL)
     types = (t.filter((F.col("p") == R.TYPE) & (F.col("o") != R.INDIVIDUAL)).join(ind, "s", "left_semi")
-             .groupBy("s").agg(F.array_join(F.slice(F.sort_array(F.collect_set("o")), 1, max_types), ", ").alias("types")))
+             .groupBy("s").agg(F.array_join(F.slice(F.sort_array(F.collect_set("o")), 1, max_types or 2 ** 31 - 1), ", ").alias("types")))
     return (ind.join(first_object(t, R.LABEL, "label"), "s", "left").join(types, "s", "left").withColumnRenamed("s", "iri"))
 
 
@@ -255,13 +255,19 @@ def class_statistics(t: DataFrame) -> DataFrame:
     return out.withColumn("total", sum([F.col(n) for n in names], F.lit(0))).withColumnRenamed("s", "iri")
 
 
-def type_columns(t: DataFrame, limit: int = 50) -> DataFrame:
-    """One 0/1 column per type (the first 50 in sorted order), one row per typed entity.
+MAX_TYPE_COLUMNS = 2000   # beyond it a frame of columns is refused, not cut
+
+
+def type_columns(t: DataFrame, limit: int | None = None) -> DataFrame:
+    """One 0/1 column per type (the first ``limit`` in sorted order if given), one row per typed entity.
 
     Types that share a short name get a numbered suffix.
     """
     types = t.filter(F.col("p") == R.TYPE)
-    names = [r[0] for r in types.select("o").distinct().orderBy("o").limit(limit).collect()]
+    found = types.select("o").distinct().orderBy("o")
+    names = [r[0] for r in (found.limit(limit) if limit else found.limit(MAX_TYPE_COLUMNS + 1)).collect()]
+    if not limit and len(names) > MAX_TYPE_COLUMNS:
+        raise ValueError(f"more than {MAX_TYPE_COLUMNS} types: give a limit or keep the types as rows")
     out, used = [], {}
     for n in names:
         base = n.rsplit("#", 1)[-1] if "#" in n else n.rsplit("/", 1)[-1]
@@ -307,8 +313,8 @@ def relation_edges(t: DataFrame, predicates: list[str], limit: int | None = None
     return e.orderBy("src", "dst", "label").limit(limit) if limit else e
 
 
-def hierarchy_edges(t: DataFrame, max_nodes: int | None = 60) -> DataFrame:
-    """(parent, child, parent_role, child_role) with roles root, middle, leaf; at most ``max_nodes`` nodes."""
+def hierarchy_edges(t: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """(parent, child, parent_role, child_role) with roles root, middle, leaf; among the first ``max_nodes`` nodes if given."""
     e = t.filter((F.col("p") == R.SUBCLASS) & (F.col("o_type") == "iri")).select(F.col("o").alias("parent"), F.col("s").alias("child")).distinct()
     if max_nodes:
         nodes = e.select(F.explode(F.array("parent", "child")).alias("node")).distinct().orderBy("node").limit(max_nodes)

@@ -143,15 +143,15 @@ def pick_best(df: DataFrame, table: DataFrame, candidates: dict[str, dict], feat
 
 
 def learning_curve(df: DataFrame, name: str, features: list[str], target: str, keys: list[str], task: str = "classification",
-                   params: dict | None = None, points: int = 6, k: int = 3, max_rows: int | None = None) -> DataFrame:
+                   params: dict | None = None, points: int = 6, k: int = 3, max_rows: int | None = None, max_trees: int | None = None) -> DataFrame:
     """(rows, train_mean, train_std, val_mean, val_std) for growing shares of each training fold.
 
-    Prefixes are hash thresholds, so each size contains the smaller ones. Forests use at most 30 trees.
+    Prefixes are hash thresholds, so each size contains the smaller ones. ``max_trees`` optionally limits forests.
     ``max_rows`` optionally thins the frame first (by hash threshold).
     """
     params = dict(params or {})
-    if name in ("random_forest", *models.BOOSTED):
-        params["n_estimators"] = min(params.get("n_estimators", models.DEFAULTS[name]["n_estimators"]), 30)
+    if max_trees and name in ("random_forest", *models.BOOSTED):
+        params["n_estimators"] = min(params.get("n_estimators", models.DEFAULTS[name]["n_estimators"]), max_trees)
     data = df.select(*dict.fromkeys([*keys, *features, target])).dropna(subset=[target])
     if max_rows:
         n = data.count()

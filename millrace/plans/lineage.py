@@ -1,7 +1,7 @@
 """Cutting lineage through shared storage.
 
 The checkpoint folder is the one the cluster names in ``spark.checkpoint.dir``; only when nothing is
-configured (tests, local runs) is a fresh temporary folder used.
+configured in local mode (tests) is a fresh temporary folder used, and on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="millrace-ckpt-"))
     return sc.getCheckpointDir()
 

@@ -16,28 +16,37 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.plans.counting import num
-from millrace.plans.lineage import scratch_path
 
 # fixed values: the encodings the CSV reader takes itself
 NATIVE_ENCODINGS = {"utf-8", "utf-16", "utf-32", "utf-16be", "utf-16le", "utf-32be", "utf-32le", "iso-8859-1", "us-ascii"}
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", header: bool = True,
-             skiprows: int = 0, nrows: int | None = None, schema=None, infer: bool = True) -> DataFrame:
+             skiprows: int = 0, nrows: int | None = None, schema=None, infer: bool = True, multiline: bool = False) -> DataFrame:
     """Delimited text. Without a header the columns are ``_c0``, ``_c1`` ...
 
-    ``skiprows`` drops the first lines of every file, found from line positions in the first block only
-    (so no quoted line breaks there). Encodings the reader lacks are decoded inside the tasks.
+    ``skiprows`` drops the first lines of every file and, with a header, takes the names from the line after them (of the first file;
+    the files must agree in width); lines are found by position, so no quoted line breaks there. Encodings the reader lacks are
+    decoded in the tasks, file by file. ``multiline`` keeps quoted line breaks, at one task per file.
     """
     enc = encoding.lower().replace("latin-1", "iso-8859-1").replace("latin1", "iso-8859-1").replace("ascii", "us-ascii") \
         if encoding.lower() != "us-ascii" else "us-ascii"
-    source = path
-    if enc not in NATIVE_ENCODINGS:
-        source, enc = _decoded(spark, path, encoding), "utf-8"
-    if skiprows:
-        source, enc = _without_first_lines(spark, source, skiprows, enc), "utf-8"
-    reader = spark.read.option("sep", sep).option("header", header).option("encoding", enc)
-    df = reader.schema(schema).csv(source) if schema else reader.option("inferSchema", infer).csv(source)
+    options = {"sep": sep, "escape": '"', "multiLine": multiline}
+    if enc in NATIVE_ENCODINGS and not skiprows:
+        reader = spark.read.options(header=header, encoding=enc, **options)
+        df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", infer).csv(path)
+    else:
+        lines, names = _lines(spark, path, enc, encoding, skiprows, header, multiline)
+        if schema:
+            ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+            parsed = F.from_csv("value", ddl, {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
+            df = lines.filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
+        else:
+            reader, as_rdd = spark.read.options(header=False, **options), lambda d: d.rdd.map(lambda r: r[0])  # types are inferred from an RDD alone
+            named = reader.csv(as_rdd(names)).first() if header else None
+            df = reader.option("inferSchema", infer).csv(as_rdd(lines))
+            if named:
+                df = df.toDF(*[n if n is not None else f"_c{i}" for i, n in enumerate(named)])
     return df.limit(nrows) if nrows is not None else df
 
 
@@ -45,28 +54,51 @@ def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
     return read_csv(spark, path, sep="\t", **kw)
 
 
-def _decoded(spark: SparkSession, path: str, encoding: str) -> str:
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                yield pd.DataFrame({"value": bytes(content).decode(encoding).splitlines()})
-
-    out = scratch_path(spark, "decoded")
-    spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "value string").write.text(out)
-    return out
-
-
-def _without_first_lines(spark: SparkSession, path: str, k: int, encoding: str) -> str:
-    lines = (spark.read.option("encoding", encoding).text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("id")))
-    place = F.row_number().over(W.partitionBy("file").orderBy("id"))
-    last = (lines.filter("start = 0").select("file", "id").withColumn("i", place).filter(F.col("i") <= k)
-            .groupBy("file").agg(F.max("id").alias("last")))
-    out = scratch_path(spark, "skipped")
-    (lines.join(last, "file", "left").filter((F.col("start") > 0) | (F.col("id") > F.col("last")))
-     .select("value").write.text(out))
-    return out
+def _lines(spark: SparkSession, path: str, enc: str, encoding: str, skip: int, header: bool, multiline: bool):
+    """(data lines, the header line of the first file), both in a column ``value``. Nothing is written between."""
+    ahead = skip + bool(header)
+    if enc in NATIVE_ENCODINGS and not multiline:
+        lines = (spark.read.option("encoding", enc).text(path)
+                 .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")))
+        place = F.row_number().over(W.partitionBy("file").orderBy("id"))
+        # the heads of the first blocks alone: a task hands on at most ``ahead`` lines per file it begins
+        heads = lines.filter("start = 0").mapInPandas(lambda it: _first_of_each(it, ahead), lines.schema).withColumn("i", place).filter(F.col("i") <= ahead)
+        last = heads.groupBy("file").agg(F.max("id").alias("last"))
+        data = lines.join(last, "file", "left").filter((F.col("start") > 0) | F.col("last").isNull() | (F.col("id") > F.col("last"))).select("value")
+        names = heads.filter(F.col("i") == ahead).orderBy("file").limit(1).select("value")
+    else:
+        def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for file, content in zip(pdf["path"], pdf["content"]):
+                    text = bytes(content).decode(encoding)
+                    parts = _records(text) if multiline else text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                    if parts and parts[-1] == "":
+                        parts.pop()
+                    yield pd.DataFrame({"value": parts, "i": range(1, len(parts) + 1), "file": file})
+
+        rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "value string, i long, file string")
+        data, names = rows.filter(F.col("i") > ahead).select("value"), rows.filter(F.col("i") == ahead).orderBy("file").limit(1).select("value")
+    return data, names
+
+
+def _first_of_each(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    seen: dict[str, int] = {}
+    for pdf in batches:
+        at = pdf.groupby("file").cumcount() + pdf["file"].map(lambda f: seen.get(f, 0))
+        for f, k in pdf["file"].value_counts().items():
+            seen[f] = seen.get(f, 0) + k
+        yield pdf[at < n]
+
+
+def _records(text: str) -> list[str]:
+    """Lines of a text, those within double quotes joined to the line that opened them."""
+    out, held = [], ""
+    for line in text.replace("\r\n", "\n").split("\n"):
+        held = f"{held}\n{line}" if held else line
+        if held.count('"') % 2 == 0:
+            out.append(held)
+            held = ""
+    return out + [held] if held else out
 
 
 def read_json(spark: SparkSession, path: str, orient: str = "records", lines: bool = False, schema=None) -> DataFrame:
@@ -92,9 +124,11 @@ def from_json_layout(docs: DataFrame, orient: str, schema=None) -> DataFrame:
         out = cells.groupBy("_d", F.col(row).alias("_index")).pivot(col, names).agg(F.first("value")).drop("_d")
     elif orient == "split":
         parsed = docs.select(F.from_json("doc", "columns array<string>, index array<string>, data array<array<string>>").alias("j"))
-        names = parsed.select("j.columns").first()[0]
-        rows = parsed.select(F.explode(F.arrays_zip(F.col("j.index").alias("i"), F.col("j.data").alias("d"))).alias("r"))
-        out = rows.select(F.col("r.i").alias("_index"), *[F.get("r.d", F.lit(i)).alias(n) for i, n in enumerate(names)])
+        # names belong to their document; the frame has the union of them, in order of name
+        names = [r[0] for r in parsed.select(F.explode("j.columns").alias("n")).distinct().orderBy("n").collect()]
+        rows = parsed.select("j.columns", F.explode(F.arrays_zip(F.col("j.index").alias("i"), F.col("j.data").alias("d"))).alias("r"))
+        cells = rows.select(F.col("r.i").alias("_index"), F.map_from_arrays("columns", F.slice("r.d", F.lit(1), F.size("columns"))).alias("m"))
+        out = cells.select("_index", *[F.try_element_at("m", F.lit(n)).alias(n) for n in names])
     elif orient == "values":
         rows = docs.select(F.explode(F.from_json("doc", "array<array<string>>")).alias("d"))
         width = rows.agg(F.max(F.size("d"))).first()[0] or 0

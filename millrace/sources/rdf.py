@@ -1,22 +1,24 @@
 """Triples from N-Triples, RDF/XML and OWL/XML, format sniffing and import resolution.
 
-XML goes through the splittable XML reader, one row per element; the triples of a row are one array
-expression, so a file is read once per element kind.
+N-Triples is the path for large data: a line is a triple and files are split. RDF/XML nests without bound, so a task
+streams one file at a time through the standard library's parser. OWL/XML goes through the splittable XML reader,
+one row per element.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from urllib.parse import urljoin
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
 
 from millrace.functions import terms as R
 
 TRIPLE = "struct<s:string,p:string,o:string,o_type:string,o_lang:string,o_datatype:string>"
-# fixed values: row elements of RDF/XML
-RDF_ELEMENTS = ["owl:Class", "owl:ObjectProperty", "owl:DatatypeProperty", "owl:AnnotationProperty",
-                "owl:NamedIndividual", "rdf:Description", "owl:Ontology"]
+TRIPLE_DDL = "s string, p string, o string, o_type string, o_lang string, o_datatype string"
 
 
 def _triple(s: Column, p, o: Column, kind: str, lang: Column | None = None, dt: Column | None = None) -> Column:
@@ -54,138 +56,175 @@ def to_ntriples(t: DataFrame) -> DataFrame:
     return t.select(F.concat_ws(" ", wrap(F.col("s")), wrap(F.col("p")), obj, F.lit(".")).alias("value"))
 
 
+#: What stands before the root element of an XML document: declaration, comments, a document type with its definitions.
+_PROLOG = r"(?s)^\ufeff?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE\s+[^\[>]*(?:\[.*?\]\s*)?>)*"
+_ROOT = _PROLOG + r"<(?:[\w.-]+:)?([\w.-]+)"
+_DOCTYPE = r"(?s)^\ufeff?(?:\s|<\?.*?\?>|<!--.*?-->)*<!DOCTYPE\s+(?:[\w.-]+:)?([\w.-]+)"
+#: fixed values: root elements and line marks by which the formats are told, in order, and the telling file endings
+_ROOTS = {"Ontology": "owlxml", "RDF": "rdfxml"}
+_MARKS = [("rdfxml", r"^\s*<\?xml\s"), ("jsonld", r"^\s*[\{\[]"), ("turtle", r"(?im)^\s*@?(prefix|base)\s+\S*\s*<"),
+          ("n3", r"(?s)(^|\n)\s*#.*<http|<http.*\n\s*#"), ("nt", r"(?m)^(<[^>]+>|_:\S+)\s+<[^>]+>\s+\S")]
+_ENDINGS = {"ttl": "turtle", "nt": "nt", "n3": "n3", "jsonld": "jsonld"}
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
 def sniff(text: Column, path: Column | None = None) -> Column:
-    """Format from the first 4096 characters; a telling file ending wins over the content."""
-    h = F.substring(text, 1, 4096)
-    content = (F.when((h.contains("<Ontology") | h.contains("ontologyIRI=")) & ~h.contains("<rdf:RDF"), "owlxml")
-               .when(h.contains("<rdf:RDF") | h.contains("<?xml"), "rdfxml")
-               .when(F.ltrim(h).startswith("{") | h.contains('"@context"'), "jsonld")
-               .when(h.rlike(r"(?m)^\s*@(prefix|base)\s"), "turtle")
-               .when(h.rlike(r"(?m)^\s*#") & h.contains("<http"), "n3")
-               .when(h.rlike(r"(?m)^<[^>]+>\s+<[^>]+>\s+"), "nt").otherwise("unknown"))
-    if path is None:
-        return content
-    ext = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
-    return (F.when(ext == "ttl", "turtle").when(ext == "nt", "nt").when(ext == "n3", "n3")
-            .when(ext == "jsonld", "jsonld").otherwise(content))
+    """Format of a document by its first 4096 characters: the root element of XML (or the one its document type names), else the
+    first line mark that is found. A telling file ending wins over the content."""
+    head = F.substring(text, 1, 4096)
+    root = F.coalesce(_lookup(_ROOTS, F.regexp_extract(head, _ROOT, 1)), _lookup(_ROOTS, F.regexp_extract(head, _DOCTYPE, 1)))
+    marks = [F.when(head.rlike(pattern), F.lit(name)) for name, pattern in _MARKS]
+    ending = [_lookup(_ENDINGS, F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)))] if path is not None else []
+    return F.coalesce(*ending, root, *marks, F.lit("unknown"))
 
 
 # RDF/XML ----------------------------------------------------------------------------------------------
 
-def _prefixes(spark: SparkSession, path: str) -> dict[str, str]:
-    """Prefix table of a file set (few entries): xmlns declarations and entity definitions."""
-    lines = spark.read.text(path)
-    ns = lines.select(F.explode(F.regexp_extract_all("value", F.lit(r'xmlns:?(\w*)="[^"]*"'), F.lit(0))).alias("x")).distinct()
-    ent = lines.select(F.explode(F.regexp_extract_all("value", F.lit(r'<!ENTITY\s+\S+\s+"[^"]*"'), F.lit(0))).alias("x")).distinct()
-    out, entities = {}, {}
-    for r in ent.collect():
-        name, value = r["x"].split(None, 2)[1:]
-        entities[f"&{name};"] = value.strip('"')
-    for r in ns.collect():
-        name, value = r["x"].split("=", 1)
-        value = value.strip('"')
-        for k, v in entities.items():
-            value = value.replace(k, v)
-        out[name.partition(":")[2]] = value
-    return {"rdf": R.RDF, "rdfs": R.RDFS, "owl": R.OWL, "xsd": R.XSD, **out}
-
-
-def _expand(name: str, prefixes: dict[str, str]) -> str:
-    head, _, tail = name.partition(":")
-    return prefixes.get(head, head + ":") + tail if tail else prefixes.get("", "") + name
-
-
-def _fields(dt: DataType) -> list[str]:
-    return dt.fieldNames() if isinstance(dt, StructType) else []
-
-
-def _node(c: Column, dt: StructType, path: Column, base: Column) -> Column:
-    """Identifier of an element: rdf:about, base + rdf:ID, or a blank node hashed from file and content."""
-    out = F.concat(F.lit("_:"), F.md5(F.concat_ws("|", path, F.to_json(c))))
-    names = _fields(dt)
-    if "_rdf:ID" in names:
-        out = F.coalesce(F.concat(base, F.lit("#"), c["_rdf:ID"].cast("string")), out)
-    if "_rdf:about" in names:
-        about = c["_rdf:about"].cast("string")
-        out = F.coalesce(F.when(about.startswith("#"), F.concat(base, about)).otherwise(about), out)
-    return out
-
-
-def _element(c: Column, dt: StructType, tag: str, prefixes, path: Column, base: Column) -> Column:
-    """Array of triples of one node element and everything nested in it."""
-    me = _node(c, dt, path, base)
-    parts = []
-    if tag != "rdf:Description":
-        parts.append(F.array(_triple(me, R.TYPE, F.lit(_expand(tag, prefixes)), "iri")))
-    for f in dt.fields:
-        if f.name.startswith("_"):
-            continue
-        item = f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType
-        values = c[f.name] if isinstance(f.dataType, ArrayType) else F.array(c[f.name])
-        pred = _expand(f.name, prefixes)
-        expr = F.flatten(F.transform(F.array_compact(values), _property_of(me, pred, item, prefixes, path, base)))
-        parts.append(F.coalesce(expr, F.array().cast(f"array<{TRIPLE}>")))
-    return F.concat(*parts) if parts else F.array().cast(f"array<{TRIPLE}>")
-
-
-def _property_of(me: Column, pred: str, dt: DataType, prefixes, path: Column, base: Column):
-    return lambda v: _property(me, pred, v, dt, prefixes, path, base)
-
-
-def _nested_of(me: Column, pred: str, tag: str, dt: StructType, prefixes, path: Column, base: Column):
-    def nested(k):
-        child = _node(k, dt, path, base)
-        link = F.struct(me.alias("s"), F.lit(pred).alias("p"), child.alias("o"),
-                        F.when(child.startswith("_:"), "blank").otherwise("iri").alias("o_type"),
-                        F.lit(None).cast("string").alias("o_lang"), F.lit(None).cast("string").alias("o_datatype"))
-        return F.concat(F.array(link), _element(k, dt, tag, prefixes, path, base))
-    return nested
-
-
-def _property(me: Column, pred: str, v: Column, dt: DataType, prefixes, path: Column, base: Column) -> Column:
-    if not isinstance(dt, StructType):
-        return F.array(_triple(me, pred, v.cast("string"), "literal"))
-    names = _fields(dt)
-    empty = F.array().cast(f"array<{TRIPLE}>")
-    lang = v["_xml:lang"] if "_xml:lang" in names else None
-    typ = v["_rdf:datatype"] if "_rdf:datatype" in names else None
-    out = empty
-    if "_VALUE" in names:
-        out = F.when(v["_VALUE"].isNotNull(), F.array(_triple(me, pred, v["_VALUE"].cast("string"), "literal", lang, typ))).otherwise(out)
-    if "_rdf:resource" in names:
-        iri = v["_rdf:resource"].cast("string")
-        iri = F.when(iri.startswith("#"), F.concat(base, iri)).otherwise(iri)
-        out = F.when(iri.isNotNull(), F.array(_triple(me, pred, iri, "iri"))).otherwise(out)
-    for f in dt.fields:  # nested node elements
-        if f.name.startswith("_"):
-            continue
-        item = f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType
-        if not isinstance(item, StructType):
-            continue
-        kids = v[f.name] if isinstance(f.dataType, ArrayType) else F.array(v[f.name])
-        out = F.concat(out, F.coalesce(F.flatten(F.transform(F.array_compact(kids), _nested_of(me, pred, f.name, item, prefixes, path, base))), empty))
-    return out
-
-
-def read_rdfxml(spark: SparkSession, path: str, elements: list[str] | None = None, base: str = "") -> DataFrame:
-    """Distinct triples of the listed row elements. Property attributes and collections are not read."""
-    prefixes = _prefixes(spark, path)
-    root = base or prefixes.get("base", prefixes.get("", "")).rstrip("#")
-    frames = []
-    for tag in elements or RDF_ELEMENTS:
-        rows = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).load(path)
-        if not rows.columns:
-            continue
-        named = [n for n in rows.columns if n in ("_rdf:about", "_rdf:ID")]
-        if not named:
-            continue
-        # a nested element of the same name without an identifier belongs to its parent row
-        keep = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() for n in named])
-        whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in rows.columns])
-        file = F.col("_metadata.file_path")
-        frames.append(rows.filter(keep).select(whole.alias("e"), file.alias("f")).select(
-            F.explode(_element(F.col("e"), rows.schema, tag, prefixes, F.col("f"), F.lit(root))).alias("t")).select("t.*"))
-    return reduce(lambda a, b: a.unionByName(b), frames).distinct()
+_XML = "http://www.w3.org/XML/1998/namespace"
+
+
+class _RdfXml:
+    """One pass over one document after the W3C grammar: node elements and property elements take turns.
+
+    A frame of the stack is ["node", subject, number of rdf:li] or ["prop", subject, predicate, datatype, text, filled, list, mode];
+    language and base are inherited on a stack of their own.
+    """
+
+    def __init__(self, path: str, base: str):
+        self.blank = "_:" + hashlib.md5(path.encode()).hexdigest()[:16] + "x"
+        self.base, self.path, self.count, self.stack, self.scope, self.out = base, path, 0, [], [(None, None)], []
+
+    def fresh(self, name: str | None = None) -> str:
+        self.count += name is None
+        return f"{self.blank}{self.count}" if name is None else f"{self.blank}n{name}"
+
+    def iri(self, ref: str) -> str:
+        base = self.scope[-1][1] or self.base
+        return base.split("#")[0] + ref if not ref or ref[0] == "#" else urljoin(base, ref)
+
+    def emit(self, s: str, p: str, o: str, kind: str | None = None, lang: str | None = None, datatype: str | None = None) -> None:
+        self.out.append((s, p, o, kind or ("blank" if o.startswith("_:") else "iri"), lang, datatype))
+
+    def declared(self, prefix: str | None, uri: str | None) -> None:
+        if prefix is None and not self.base and uri:
+            self.base = uri.rstrip("#")      # without xml:base the default namespace names the document
+
+    def start(self, tag: str, found: list[str]) -> None:
+        pairs = dict(zip(found[::2], found[1::2]))
+        name = lambda x: "".join(x.split(" "))
+        own = {name(k): v for k, v in pairs.items() if not k.startswith(_XML)}
+        lang, base = self.scope[-1]
+        self.scope.append((pairs.get(f"{_XML} lang", lang) or None, pairs.get(f"{_XML} base", base)))
+        tag, rdf, top = name(tag), R.RDF, self.stack[-1] if self.stack else None
+        if top is None and tag == rdf + "RDF":
+            self.stack.append(["root"])
+        elif top is not None and top[0] == "prop" and top[7] == "Literal":
+            top[4].append("")
+            self.stack.append(["skip"])
+        elif top is not None and top[0] == "skip":
+            self.stack.append(["skip"])
+        elif top is None or top[0] in ("root", "prop"):
+            self.node(tag, own, top)
+        else:
+            self.prop(tag, own, top)
+
+    def subject(self, own: dict[str, str]) -> str:
+        for key, make in (("about", self.iri), ("ID", lambda x: self.iri("#" + x)), ("nodeID", self.fresh)):
+            if R.RDF + key in own:
+                return make(own.pop(R.RDF + key))
+        return self.fresh()
+
+    def attributes(self, s: str, own: dict[str, str]) -> None:
+        for k, v in own.items():
+            if k == R.TYPE:
+                self.emit(s, k, self.iri(v))
+            elif k.startswith(R.RDF) and k[len(R.RDF):] in ("about", "ID", "nodeID", "resource", "parseType", "datatype", "bagID"):
+                continue
+            elif ":" in k:
+                self.emit(s, k, v, "literal", self.scope[-1][0])
+
+    def node(self, tag: str, own: dict[str, str], parent: list | None) -> None:
+        s = self.subject(own)
+        if parent is not None and parent[0] == "prop":
+            parent[5] = True
+            if parent[7] == "Collection":
+                parent[6].append(s)
+            else:
+                self.emit(parent[1], parent[2], s)
+        if tag != R.RDF + "Description":
+            self.emit(s, R.TYPE, tag)
+        self.attributes(s, own)
+        self.stack.append(["node", s, 0])
+
+    def prop(self, tag: str, own: dict[str, str], node: list) -> None:
+        if tag == R.RDF + "li":
+            node[2] += 1
+            tag = f"{R.RDF}_{node[2]}"
+        s, mode = node[1], own.get(R.RDF + "parseType")
+        frame = ["prop", s, tag, own.get(R.RDF + "datatype"), [], False, [], mode]
+        if mode == "Resource":
+            o = self.fresh()
+            self.emit(s, tag, o)
+            frame = ["node", o, 0]
+        elif mode is None and R.RDF + "datatype" not in own:
+            rest = {k: v for k, v in own.items() if k != R.RDF + "ID"}
+            if rest:
+                o = self.iri(rest.pop(R.RDF + "resource")) if R.RDF + "resource" in rest else self.subject({k: v for k, v in rest.items() if k == R.RDF + "nodeID"})
+                self.emit(s, tag, o)
+                self.attributes(o, rest)
+                frame[5] = True
+        self.stack.append(frame)
+
+    def text(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "prop":
+            self.stack[-1][4].append(data)
+
+    def end(self, tag: str) -> None:
+        frame = self.stack.pop()
+        if frame[0] == "prop":
+            _, s, p, datatype, text, filled, items, mode = frame
+            if mode == "Collection":
+                cells = [self.fresh() for _ in items]
+                self.emit(s, p, cells[0] if cells else R.RDF + "nil")
+                for i, item in enumerate(items):
+                    self.emit(cells[i], R.RDF + "first", item)
+                    self.emit(cells[i], R.RDF + "rest", cells[i + 1] if i + 1 < len(cells) else R.RDF + "nil")
+            elif not filled:
+                typed = R.RDF + "XMLLiteral" if mode == "Literal" else datatype and self.iri(datatype)
+                self.emit(s, p, "".join(text), "literal", None if typed else self.scope[-1][0], typed)
+        self.scope.pop()
+
+    def read(self, content: bytes) -> list[tuple]:
+        parser = expat.ParserCreate(namespace_separator=" ")
+        parser.ordered_attributes, parser.buffer_text = True, True
+        parser.StartNamespaceDeclHandler, parser.StartElementHandler = self.declared, self.start
+        parser.EndElementHandler, parser.CharacterDataHandler = self.end, self.text
+        try:
+            parser.Parse(content, True)
+        except expat.ExpatError as e:
+            raise ValueError(f"{self.path} is not well formed: {e}") from e
+        return self.out
+
+
+def read_rdfxml(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """Distinct triples of RDF/XML files: typed nodes, rdf:about, ID, nodeID and xml:base, property attributes, containers, the three
+    parse types, languages and datatypes. Nested XML literals keep their text alone; reified statements are not made.
+
+    Without ``base`` and xml:base relative names are read against the document's default namespace, else its path.
+    """
+    columns = [f.split()[0] for f in TRIPLE_DDL.split(", ")]
+
+    def parse(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                reader = _RdfXml(file, base)
+                found = reader.read(content)
+                yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in found], pa.string()) for i in range(6)], names=columns)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, TRIPLE_DDL).distinct()
 
 
 # OWL/XML ----------------------------------------------------------------------------------------------

@@ -27,7 +27,10 @@ def test_query(spark, sf, con, name):
     if name in ORACLE:
         assert compare(df, con, ORACLE[name]).startswith("ok")
     else:
-        assert df.columns and df.count() >= 0
+        rows = df.collect()
+        assert rows, "a query of these tables has rows"
+        for r in rows:
+            assert not any(isinstance(v, float) and v != v for v in r), "no figure may be undefined"
 
 
 def test_entry(spark):

@@ -201,3 +201,25 @@ def test_widening_only_small_scans(spark, sf):
     assert "EqualTo(o_orderstatus,F)" in p and "o_orderpriority" not in p
     many = one.repartition(cores * 2)
     assert "RoundRobinPartitioning(8)" not in plan(widened(many))
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\nimport __spark_entry__ as e\nfrom pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            "print('ROWS', e.queries()['knn_embeddings'](s, '/root/testdata/sf0.001').count())") % repo
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS" in out.stdout, out.stderr[-800:]
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from millrace.plans.lineage import checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))

@@ -179,3 +179,47 @@ def test_rdfs_and_checks(spark):
     assert one == {x + "C1"}
     full = {r["o"] for r in O.propagate_types(t, closure=True).filter("inferred").filter(f"s = '{x}i'").collect()}
     assert full == {x + f"C{i}" for i in range(1, 5)}
+
+
+RDF_KINDS = """<?xml version="1.0"?><!DOCTYPE rdf:RDF [<!ENTITY ex "http://ex.org/k#">]>
+<rdf:RDF xmlns="http://other.org/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#"
+ xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:ex="http://ex.org/k#" xml:base="http://ex.org/b">
+<owl:Class rdf:about="&ex;A"/>
+<ex:Person rdf:ID="p" ex:age="7"><ex:knows rdf:nodeID="n1"/><ex:knows><ex:Person rdf:nodeID="n1"/></ex:knows></ex:Person>
+<rdfs:Class rdf:about="#C"><rdfs:label>c &amp; d</rdfs:label></rdfs:Class>
+<owl:TransitiveProperty rdf:about="#t"/>
+<owl:Class rdf:about="#U"><owl:unionOf rdf:parseType="Collection"><rdf:Description rdf:about="#C"/><owl:Class rdf:about="&ex;A"/></owl:unionOf></owl:Class>
+<rdf:Bag rdf:about="#bag" xml:lang="de"><rdf:li>eins</rdf:li><rdf:li rdf:parseType="Resource"><ex:v rdf:datatype="http://www.w3.org/2001/XMLSchema#int">2</ex:v></rdf:li></rdf:Bag>
+</rdf:RDF>"""
+
+
+def test_rdfxml_kinds(spark, tmp_path):
+    for i in range(3):   # several files: names and prefixes stay with their file
+        (tmp_path / f"k{i}.rdf").write_text(RDF_KINDS.replace("ex.org/b", f"ex.org/b{i}"))
+    t = D.read_rdfxml(spark, str(tmp_path)).cache()
+    short = lambda x: x.replace("http://ex.org/b1#", "#").replace("http://ex.org/k#", "ex:").replace(R.RDF, "rdf:").replace(R.RDFS, "rdfs:").replace(R.OWL, "owl:")
+    got = {(short(r.s), short(r.p), short(r.o), r.o_lang, r.o_datatype) for r in t.filter("s like 'http://ex.org/b1#%' or s = 'http://ex.org/k#A'").collect() if not r.o.startswith("_:")}
+    assert got == {("ex:A", "rdf:type", "owl:Class", None, None), ("#p", "rdf:type", "ex:Person", None, None), ("#p", "ex:age", "7", None, None), ("#C", "rdf:type", "rdfs:Class", None, None),
+                   ("#C", "rdfs:label", "c & d", None, None), ("#t", "rdf:type", "owl:TransitiveProperty", None, None), ("#U", "rdf:type", "owl:Class", None, None),
+                   ("#bag", "rdf:type", "rdf:Bag", None, None), ("#bag", "rdf:_1", "eins", "de", None)}
+    link = {r.p: r.o for r in t.filter("s like 'http://ex.org/b1#%' and o_type = 'blank'").collect()}
+    of = lambda s: {short(r.p): r.o for r in t.filter(t.s == s).collect()}
+    assert of(link["http://ex.org/k#knows"]) == {"rdf:type": "http://ex.org/k#Person"} and of(link[R.RDF + "_2"]) == {"ex:v": "2"}
+    cell = of(link[R.OWL + "unionOf"])
+    assert cell["rdf:first"] == "http://ex.org/b1#C" and of(cell["rdf:rest"]) == {"rdf:first": "http://ex.org/k#A", "rdf:rest": R.RDF + "nil"}
+
+
+def test_readers_keep_every_row(spark, tmp_path):
+    (tmp_path / "skip").mkdir(), (tmp_path / "latin").mkdir(), (tmp_path / "split").mkdir()
+    for i in range(20):
+        (tmp_path / "skip" / f"{i:02}.csv").write_text("note\na,b\n" + "".join(f"{i * 1000 + k},x{k}\n" for k in range(50)))
+        (tmp_path / "latin" / f"{i:02}.csv").write_bytes(("a,b\r\n" + "".join(f"{i * 100 + k},é\x0c{k}\r\n" for k in range(5))).encode("cp1252"))
+    df = S.read_csv(spark, str(tmp_path / "skip"), skiprows=1)
+    assert df.columns == ["a", "b"] and df.count() == 1000 and df.select("a").distinct().count() == 1000
+    df = S.read_csv(spark, str(tmp_path / "latin"), encoding="cp1252")
+    assert df.columns == ["a", "b"] and df.count() == 100 and df.filter("b like 'é%'").count() == 100
+    (tmp_path / "split" / "1.json").write_text('{"columns": ["a", "b"], "index": [0], "data": [[1, 2]]}')
+    (tmp_path / "split" / "2.json").write_text('{"columns": ["b", "a"], "index": [0, 1], "data": [[3, 4], [5, 6]]}')
+    assert sorted((r.a, r.b) for r in S.read_json(spark, str(tmp_path / "split"), orient="split").collect()) == [("1", "2"), ("4", "3"), ("6", "5")]
+    (tmp_path / "quoted.csv").write_bytes("n;t\n1;\"two\nlines\"\n2;ü\n".encode("cp1252"))
+    assert {(r.n, r.t) for r in S.read_csv(spark, str(tmp_path / "quoted.csv"), sep=";", encoding="cp1252", multiline=True).collect()} == {(1, "two\nlines"), (2, "ü")}

@@ -147,7 +147,7 @@ def permutation_importance(spark, sf):
 def shapley_values(spark, sf):
     df = _orders(spark, sf)
     f = M.fit(df, "linear_regression", FEATURES, "price", "regression")
-    return M.shapley(f, df, df.orderBy("l_orderkey"), "l_orderkey", permutations=3)
+    return M.shapley(f, df, df, "l_orderkey", permutations=3)
 
 
 @query("learning_curve")

@@ -304,10 +304,24 @@ WITH d AS (SELECT p_size::VARCHAR category, p_retailprice y FROM part),
 SELECT category, count(*) AS n, round(avg(y), 5) AS rate, round((SELECT avg(y) FROM d), 5) AS overall
 FROM d JOIN t USING (category) GROUP BY 1""")
 def target_rate_numeric_top15(spark, sf):
+    df = table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("string"))
+    return _rounded(charts.target_rate(df, "p_size", "p_retailprice", top=15), ["rate", "overall"], 5)
+
+
+@query("target_rate_all_sizes", """
+SELECT p_size::VARCHAR AS category, count(*) AS n, round(avg(p_retailprice), 5) AS rate, round((SELECT avg(p_retailprice) FROM part), 5) AS overall FROM part GROUP BY 1""")
+def target_rate_all_sizes(spark, sf):
+    """Fifty categories, none left out."""
     df = table(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("string"))
     return _rounded(charts.target_rate(df, "p_size", "p_retailprice"), ["rate", "overall"], 5)
 
 
+@query("crosstab_all_types", """
+SELECT p_brand, p_type, n, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY p_brand) AS share FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL)""")
+def crosstab_all_types(spark, sf):
+    return charts.crosstab(table(spark, sf, "part"), "p_brand", "p_type", normalise=True)
+
+
 @query("drift_numeric")
 def drift_numeric(spark, sf):
     df = table(spark, sf, "events")

@@ -24,28 +24,36 @@ def source_csv(spark, sf):
     return S.read_csv(spark, path, schema="o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz")
 
 
-_LATIN = "[^a-zà-ÿ ]"
+_LATIN1 = "[^\\x09\\x0a\\x0d\\x20-\\x7e\\xa0-\\xff]"
 
 
-@query("source_tsv_encoded", f"SELECT doc_id, lang, md5(trim(regexp_replace(text, '{_LATIN}', '', 'g'))) AS digest FROM documents")
+@query("source_tsv_encoded", f"SELECT doc_id, lang, md5(regexp_replace(text, '{_LATIN1}', '', 'g')) AS digest FROM documents")
 def source_tsv_encoded(spark, sf):
-    """Tab-separated Latin-1 without a header."""
+    """Tab-separated Latin-1 without a header; capitals, quotes, tabs and line breaks stay, only what Latin-1 lacks goes."""
     path = scratch_path(spark, "tsv")
-    df = table(spark, sf, "documents").select("doc_id", "lang", F.trim(F.regexp_replace("text", _LATIN, "")).alias("t"))
-    df.write.option("sep", "\t").option("encoding", "iso-8859-1").csv(path)
-    back = S.read_tsv(spark, path, encoding="latin-1", header=False, schema="doc_id bigint, lang string, t string")
+    df = table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", _LATIN1, "").alias("t"))
+    df.write.option("sep", "\t").option("encoding", "iso-8859-1").option("escape", '"').option("quoteAll", True).csv(path)
+    back = S.read_tsv(spark, path, encoding="latin-1", header=False, schema="doc_id bigint, lang string, t string", multiline=True)
     return back.select("doc_id", "lang", F.md5(F.coalesce("t", F.lit(""))).alias("digest"))
 
 
-@query("source_csv_skiprows", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("source_csv_foreign", "SELECT c_custkey, 'café ' || c_name AS name, c_acctbal FROM customer")
+def source_csv_foreign(spark, sf):
+    """Many small files with a header each, in an encoding that the reader lacks."""
+    path = scratch_path(spark, "foreign")
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("café "), "c_name").alias("name"), "c_acctbal")
+    rows.repartition(12).write.options(header=True, encoding="iso-8859-1").csv(path)   # what both encodings have in common
+    return S.read_csv(spark, path, encoding="cp1252", schema="c_custkey bigint, name string, c_acctbal double")
+
+
+@query("source_csv_skiprows", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def source_csv_skiprows(spark, sf):
+    """Two lines to skip and a header at the head of each of many files."""
     path = scratch_path(spark, "skip")
-    rows = table(spark, sf, "nation").select(F.concat_ws(";", "n_nationkey", "n_name", "n_regionkey").alias("value"))
-    notes = F.array(F.lit("made for a test"), F.lit("two lines to skip"), F.lit("n_nationkey;n_name;n_regionkey"))
-    head = table(spark, sf, "region").filter("r_regionkey = 0").select(F.explode(notes).alias("value"))
-    head.unionByName(rows).coalesce(1).write.text(path)
+    rows = table(spark, sf, "customer").select(F.concat_ws(";", "c_custkey", "c_name", "c_nationkey").alias("value"))
+    _wrapped(rows.repartition(6), "made for a test\ntwo lines to skip\nc_custkey;c_name;c_nationkey", None).write.text(path)
     out = S.read_csv(spark, path, sep=";", skiprows=2)
-    return out.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    return out.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"))
 
 
 @query("source_json_lines", "SELECT event_id, event_type, value FROM events")
@@ -178,27 +186,38 @@ def source_ntriples(spark, sf):
     return D.read_ntriples(spark, path)
 
 
-def _wrapped(rows, head: str, tail: str):
+def _wrapped(rows, head: str, tail: str | None):
     """Each task's lines between a head and a tail, so every written file is a document of its own."""
     def wrap(batches):
         yield pd.DataFrame({"value": [head]})
         yield from batches
-        yield pd.DataFrame({"value": [tail]})
+        yield pd.DataFrame({"value": [tail] if tail else []}, dtype=str)
 
     return rows.mapInPandas(wrap, "value string")
 
 
 @query("source_rdfxml", f"""
-SELECT 'http://x.org/c' || c_custkey AS s, '{R.TYPE}' AS p, '{R.INDIVIDUAL}' AS o, 'iri' AS o_type, NULL AS o_lang FROM customer
-UNION ALL SELECT 'http://x.org/c' || c_custkey, 'http://x.org/nation', 'http://x.org/n' || c_nationkey, 'iri', NULL FROM customer
-UNION ALL SELECT 'http://x.org/c' || c_custkey, '{R.LABEL}', c_name, 'literal', 'en' FROM customer""")
+SELECT 'http://x.org/c' || c_custkey AS s, '{R.TYPE}' AS p, '{R.INDIVIDUAL}' AS o, 'iri' AS o_type, NULL AS o_lang, NULL AS o_datatype FROM customer
+UNION ALL SELECT 'http://x.org/c' || c_custkey, 'http://x.org/nation', 'http://x.org/n' || c_nationkey, 'iri', NULL, NULL FROM customer
+UNION ALL SELECT 'http://x.org/c' || c_custkey, '{R.LABEL}', c_name, 'literal', 'en', NULL FROM customer
+UNION ALL SELECT 'http://x.org/c' || c_custkey, 'http://x.org/balance', c_acctbal::VARCHAR, 'literal', NULL, '{R.XSD}double' FROM customer
+UNION ALL SELECT 'http://x.org/o#n' || n_nationkey, '{R.TYPE}', 'http://x.org/Nation', 'iri', NULL, NULL FROM nation
+UNION ALL SELECT 'http://x.org/o#n' || n_nationkey, 'http://x.org/name', n_name, 'literal', NULL, NULL FROM nation
+UNION ALL SELECT 'http://x.org/o#n' || n_nationkey, 'http://x.org/in', 'http://x.org/o#r' || n_regionkey, 'iri', NULL, NULL FROM nation
+UNION ALL SELECT 'http://x.org/o#r' || r_regionkey, '{R.TYPE}', '{R.CLASS}', 'iri', NULL, NULL FROM region
+UNION ALL SELECT 'http://x.org/o#r' || r_regionkey, '{R.SUBCLASS}', 'http://x.org/o#Place', 'iri', NULL, NULL FROM region""")
 def source_rdfxml(spark, sf):
+    """Typed nodes with absolute and relative names, property attributes, languages, datatypes, nested nodes and entities."""
     path = scratch_path(spark, "rdfxml")
-    item = F.concat(F.lit('<owl:NamedIndividual rdf:about="http://x.org/c'), F.col("c_custkey"), F.lit('"><ex:nation rdf:resource="http://x.org/n'),
-                    F.col("c_nationkey"), F.lit('"/><rdfs:label xml:lang="en">'), F.col("c_name"), F.lit("</rdfs:label></owl:NamedIndividual>"))
-    root = '<rdf:RDF xmlns:rdf="%s" xmlns:rdfs="%s" xmlns:owl="%s" xmlns:ex="http://x.org/">' % (R.RDF, R.RDFS, R.OWL)
-    _wrapped(table(spark, sf, "customer").select(item.alias("value")), root, "</rdf:RDF>").write.text(path)
-    return D.read_rdfxml(spark, path, ["owl:NamedIndividual"]).select("s", "p", "o", "o_type", "o_lang")
+    c = lambda *xs: F.concat(*[F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in xs])
+    customer = c('<owl:NamedIndividual rdf:about="&x;c', "$c_custkey", '"><ex:nation rdf:resource="http://x.org/n', "$c_nationkey", '"/><rdfs:label xml:lang="en">', "$c_name",
+                 '</rdfs:label><ex:balance rdf:datatype="%sdouble">' % R.XSD, "$c_acctbal", "</ex:balance></owl:NamedIndividual>")
+    nation = c('<ex:Nation rdf:ID="n', "$n_nationkey", '" ex:name="', "$n_name", '"><ex:in><rdf:Description rdf:about="#r', "$n_regionkey", '"/></ex:in></ex:Nation>')
+    region = c('<owl:Class rdf:about="#r', "$r_regionkey", '"><rdfs:subClassOf rdf:resource="#Place"/></owl:Class>')
+    root = '<!DOCTYPE rdf:RDF [<!ENTITY x "http://x.org/">]><rdf:RDF xml:base="http://x.org/o" xmlns:rdf="%s" xmlns:rdfs="%s" xmlns:owl="%s" xmlns:ex="http://x.org/">' % (R.RDF, R.RDFS, R.OWL)
+    rows = [table(spark, sf, t).select(item.alias("value")) for t, item in (("customer", customer), ("nation", nation), ("region", region))]
+    _wrapped(rows[0].unionByName(rows[1]).unionByName(rows[2]), root, "</rdf:RDF>").write.text(path)
+    return D.read_rdfxml(spark, path)
 
 
 @query("source_owlxml", f"""
