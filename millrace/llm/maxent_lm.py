@@ -31,9 +31,10 @@ SOFT, SHAPES = 16, 16           # classes of frequent words, classes by shape
 HEAD = 1 << 16                  # frequent words that are broadcast, at most
 ROWS = (1 << 13, 1 << 13, 1 << 14, 1 << 14)   # weight rows of each class feature
 INNER = (1 << 13, 1 << 13)      # weight rows of each feature within a class
+assert max(sum(ROWS), sum(INNER)) <= 1 << 16
 BATCH = 16_384
 RATE = 0.4
-REMEMBERED = 600_000            # words whose codes a worker remembers
+REMEMBERED = 400_000            # words whose codes a worker remembers
 TAIL = 1 << 20
 END = b""                       # a word is never empty, so the empty word is the end
 DELTA = 0.1
@@ -147,9 +148,10 @@ def _step(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, feature
     z /= z.sum(1, keepdims=True)
     z[np.arange(len(z)), target] -= 1
     for f in features:
-        order = np.argsort(f, kind="stable")
-        rows, begin = np.unique(f[order], return_index=True)
-        g = np.add.reduceat(z[order], begin, axis=0)
+        order = np.argsort(f.astype(np.uint16), kind="stable")   # rows are fewer than 65 536, and a radix sort is linear
+        place = f[order]
+        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        rows, g = place[begin], np.add.reduceat(z[order], begin, axis=0)
         squares[rows] += (g * g).sum(1)
         touched[rows] += np.diff(np.append(begin, len(f)))
         weights[rows] -= RATE * g / (np.sqrt(squares[rows]) + 1e-6)[:, None]
