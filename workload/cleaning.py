@@ -124,7 +124,7 @@ def interpolate_position(spark, sf):
     return _r(S.interpolate(_gaps(spark, sf), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "value"), 6, "value")
 
 
-@query("interpolate_time", _interp_sql("floor(epoch(ts))::BIGINT"))
+@query("interpolate_time", _interp_sql("epoch_us(ts) / 1e6"))
 def interpolate_time(spark, sf):
     out = S.interpolate(_gaps(spark, sf), "value", ["ts", "event_id"], ["user_id"], time="ts", block_rows=40)
     return _r(out.select("event_id", "value"), 6, "value")

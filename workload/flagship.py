@@ -31,5 +31,5 @@ def flagship_order_rates(spark, sf):
     df = df.withColumn("bin", binning.bin_code("price", binning.width_edges(df, "price", 4)))
     df = df.withColumn("category", F.concat_ws("/", "c_mktsegment", "bin", "o_orderdate_Month"))
     df = df.withColumn("done", P.if_else(P.predicate("o_orderstatus", "==", "F"), "yes", "no"))
-    out = charts.target_rate(df, "category", "done")
+    out = charts.target_rate(df, "category", "done", top=15)
     return out.withColumns({"rate": F.round("rate", 8), "overall": F.round("overall", 8)})
