@@ -235,8 +235,8 @@ def test_votes_find_accuracies():
     truth, accuracy = rng.random(20_000) < 0.7, (0.95, 0.8, 0.65, 0.9)
     votes = [np.where(rng.random(20_000) < 0.2, 0, np.where(rng.random(20_000) < a, 1, -1) * np.where(truth, 1, -1)) for a in accuracy]
     from collections import Counter
-    model = quality_votes.fit_votes(sorted(Counter(zip(*(v.tolist() for v in votes))).items()), 4)
-    assert abs(model.prior - 0.7) < 0.03 and all(abs(a - b) < 0.03 for a, b in zip(model.accuracy, accuracy))
+    model = quality_votes.fit_votes(sorted(Counter(zip(*(v.tolist() for v in votes))).items()), 4, weight=1e-4)
+    assert abs(model.prior - 0.7) < 0.03 and all(abs(model.accuracy(j) - a) < 0.03 for j, a in enumerate(accuracy))
 
 
 @pytest.mark.parametrize("limit", [0, 100_000])
