@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import slices, stored
 from millrace.llm.url_filter import host_of, path_of
 from millrace.plans.lookup import fit_lookup, join_lookup
 
@@ -80,7 +80,7 @@ def text_model(docs: DataFrame, text: str, declared: str) -> LanguageModel:
 
     def count(batches):
         sums = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches, text):
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for c, i in index.items():
                 bucket, _ = trigrams([t for t, d in zip(texts, names) if d == c])
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     shared = docs.sparkSession.sparkContext.broadcast(model)   # languages × BUCKETS numbers
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             ll, n = shared.value.score(batch.column("_text").to_pylist())
             rest = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(list(ll), pa.list_(pa.float64())), pa.array(n, pa.int64())], names=[*rest, "_ll", "_n"])

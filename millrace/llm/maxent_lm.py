@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import slices, stored
 
 WIDTH = 32                      # classes, and words of a class with a softmax of its own
 SOFT, SHAPES = 16, 16           # classes of frequent words, classes by shape
@@ -202,10 +202,10 @@ def word_counts(training: DataFrame, text: str) -> DataFrame:
             seen.clear()
             return pa.RecordBatch.from_arrays(batch, names=["word", "cls", "n"])
 
-        for batch in batches:
+        for batch in slices(batches, text):
             for t in batch.column(0).to_pylist():
                 seen.update(words_of(t))
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     yield out()
         if seen:
             yield out()
@@ -245,7 +245,7 @@ def _streams(batches: Iterator[pa.RecordBatch], codes: Codes, v: Vocabulary, tok
         flat = np.fromiter((c for w in words for c in map(codes.__getitem__, w)), np.int64, int(sizes.sum()))
         return words, sizes, Stream(flat, sizes, v)
 
-    for batch in batches:
+    for batch in slices(batches, "_text"):
         for t in batch.column("_text").to_pylist():
             words.append(words_of(t))
             size += len(words[-1])
@@ -332,7 +332,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
         w, v = shared.value
         codes, at = Codes(v.head), TaskContext.get().partitionId() << 36
         logs = np.log10((v.counts + DELTA) / v.base)
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             done, n = [], 0
             for words, sizes, s in _streams(iter([batch]), codes, v):
                 part = log10_parts(w, s, v)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import slices, stored
 from millrace.plans.lineage import scratch_path
 
 SCALE_BITS = 20
@@ -235,7 +235,7 @@ class TokenFile:
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     keys, texts, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches, text):
         for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
             keys.append(k)
             texts.append(t or "")

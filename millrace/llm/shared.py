@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.lineage import scratch_path
@@ -43,3 +46,15 @@ def let(value: Column, body) -> Column:
     """``body`` of ``value``, evaluated once per row. A column that a lambda refers to may be inlined by the optimiser and
     computed anew for each element; a lambda variable never is."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``most`` bytes of ``text`` (one row at least), so that what a task builds from
+    them is bounded whatever the number of rows in a batch."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
+        part, at = (np.cumsum(size) - size) // most, 0
+        for end in [*np.flatnonzero(np.diff(part)) + 1, batch.num_rows]:
+            if end > at:
+                yield batch.slice(at, end - at)
+            at = end

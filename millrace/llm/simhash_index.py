@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.shared import free_name, stored
+from millrace.llm.shared import free_name, slices, stored
 from millrace.operators.graph import connected_components
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
@@ -57,10 +57,11 @@ def fingerprint(text: str | None) -> int:
 def with_fingerprints(docs: DataFrame, text: str, name: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and the fingerprint as a signed long."""
     schema = docs.select(*keep).schema.add(name, "long")
-    frame = docs.select(F.col(text).alias(free_name(docs.columns, "_text")), *keep)
+    batch_text = free_name(docs.columns, "_text")
+    frame = docs.select(F.col(text).alias(batch_text), *keep)
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches, batch_text):
             prints = pa.array([fingerprint(t) for t in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], prints], names=[*batch.schema.names[1:], name])
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import slices, stored
 from millrace.llm.url_filter import host_of
 from millrace.plans.lookup import fit_lookup, join_lookup
 
@@ -183,7 +183,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
         "tree string, paths array<string>, named array<int>, hashes array<long>, texts array<string>").fields])
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches, "_html"):
             found = [parse(p) for p in batch.column("_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(c) for c in held], pa.array(["\n".join(dict.fromkeys(b.path for b in f)) for f in found], pa.string()),
