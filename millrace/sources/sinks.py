@@ -23,20 +23,50 @@ def safe_name(name: str) -> str:
 
 
 def save_models(spark: SparkSession, models: dict, folder: str) -> DataFrame:
-    """Each fitted pipeline under its path-safe name, and a manifest table next to them."""
+    """Each model under its path-safe name, and a manifest table next to them.
+
+    A ``Fitted`` keeps what prediction needs: task, features, labels and parameters; boosted stumps keep their weights. A bare pipeline
+    is stored as it is.
+    """
+    from millrace.operators.models import Boosted, Fitted
     rows = []
-    for name, model in models.items():
+    for name, given in models.items():
         target = f"{folder}/{safe_name(name)}"
-        model.write().overwrite().save(target)
-        rows.append((name, target, type(model).__name__))
-    manifest = spark.createDataFrame(rows, "model string, path string, kind string")
+        model = given.model if isinstance(given, Fitted) else given
+        facts = {}
+        if isinstance(given, Fitted):
+            facts = {"name": given.name, "task": given.task, "features": given.features, "labels": given.labels, "params": given.params}
+        if isinstance(model, Boosted):
+            facts |= {"alphas": model.alphas, "classes": model.classes}
+            model.assembler.write().overwrite().save(f"{target}/assembler")
+            for i, m in enumerate(model.models):
+                m.write().overwrite().save(f"{target}/{i}")
+        else:
+            model.write().overwrite().save(target)
+        rows.append((name, target, type(model).__name__, json.dumps(facts)))
+    manifest = spark.createDataFrame(rows, "model string, path string, kind string, facts string")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return manifest
 
 
 def load_models(spark: SparkSession, folder: str) -> dict:
+    """What ``save_models`` stored: a ``Fitted`` where there was one, else the pipeline."""
     from pyspark.ml import PipelineModel
-    return {r["model"]: PipelineModel.load(r["path"]) for r in spark.read.parquet(f"{folder}/manifest").collect()}
+    from pyspark.ml.classification import DecisionTreeClassificationModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from millrace.operators.models import Boosted, Fitted
+    out = {}
+    for r in spark.read.parquet(f"{folder}/manifest").collect():
+        facts = json.loads(r["facts"])
+        if r["kind"] == "Boosted":
+            stumps = [DecisionTreeClassificationModel.load(f"{r['path']}/{i}") for i in range(len(facts["alphas"]))]
+            model = Boosted(VectorAssembler.load(f"{r['path']}/assembler"), stumps, facts["alphas"], facts["classes"])
+        else:
+            model = PipelineModel.load(r["path"])
+        out[r["model"]] = Fitted(model, *(facts[k] for k in ("name", "task", "features", "labels", "params"))) if "task" in facts else model
+    return out
+
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:

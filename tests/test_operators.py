@@ -233,3 +233,17 @@ def test_kde_integrates_to_one(spark):
     two = df.withColumn("y", F.col("x") * 0.5 + F.rand(3))
     assert charts.density2d(two, "x", "y").count() == 625
     assert not math.isnan(charts.density2d(two, "x", "y").first()["density"])
+
+
+@pytest.mark.parametrize("name", ["naive_bayes", "adaboost", "logistic_regression"])
+def test_saved_models_predict_labels(spark, tmp_path, name):
+    from millrace.sources import sinks
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), "high" if i % 7 > 3 else "low") for i in range(70)], "id long, a double, b double, y string")
+    f = models.fit(df, name, ["a", "b"], "y", params={"n_estimators": 3} if name == "adaboost" else None)
+    sinks.save_models(spark, {"one/" + name: f}, str(tmp_path))
+    back = sinks.load_models(spark, str(tmp_path))["one/" + name]
+    assert (back.labels, back.features, back.task) == (f.labels, f.features, f.task)
+    want = {r["id"]: r["prediction"] for r in models.predict(f, df, ["id"]).collect()}
+    assert {r["id"]: r["prediction"] for r in models.predict(back, df, ["id"]).collect()} == want and set(want.values()) == {"high", "low"}
+    if name != "naive_bayes":
+        assert models.importance(back).first()["feature"] == "a"
