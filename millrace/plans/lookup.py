@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.plans.lineage import cut
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20   # as JSON text: rows of lists or vectors are large, however few
 HOT_KEYS = 1_000
 
 
@@ -21,11 +22,12 @@ class Lookup:
     total: int
 
 
-def fit_lookup(table: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS) -> Lookup:
-    """Materialise a per-key aggregate (with its count column ``n``) and measure it."""
+def fit_lookup(table: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> Lookup:
+    """Materialise a per-key aggregate (with its count column ``n``) and measure its rows and bytes."""
     saved = cut(table)
-    size, total = saved.agg(F.count(F.lit(1)), F.sum("n")).first()
-    return Lookup(saved, keys, size <= limit, int(total or 0))
+    width = F.length(F.to_json(F.struct(*saved.columns)))
+    size, total, held = saved.agg(F.count(F.lit(1)), F.sum("n"), F.sum(width.cast("long"))).first()
+    return Lookup(saved, keys, size <= limit and (held or 0) <= most_bytes, int(total or 0))
 
 
 def join_lookup(df: DataFrame, lk: Lookup, keep: list[str]) -> DataFrame:

@@ -223,3 +223,8 @@ def test_a_cluster_without_shared_folder_is_refused():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://host:7077")
     with pytest.raises(RuntimeError):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
+
+
+def test_few_but_wide_rows_are_not_broadcast(spark):
+    table = spark.range(50).select("id", F.lit(1).alias("n"), F.array_repeat(F.lit(0.5), 100).alias("v"))
+    assert lookup.fit_lookup(table, ["id"]).small and not lookup.fit_lookup(table, ["id"], most_bytes=10_000).small
