@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import slices, small_batches, stored
 from millrace.llm.url_filter import host_of, path_of
 from millrace.plans.lookup import fit_lookup, join_lookup
 
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("language", "confidence", "accepted")]
     origin = F.col(host).cast("string") if address is None else F.when(host_of(F.col(address)) != "", host_of(F.col(address)))
     suffix = F.lit("") if address is None else F.coalesce(address_suffix(F.col(address)), F.lit(""))
-    frame = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], F.col(text).alias("_text"), F.col(declared).cast("string").alias("_said"),
+    frame = small_batches(docs).select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], F.col(text).alias("_text"), F.col(declared).cast("string").alias("_said"),
                         F.coalesce(origin, F.lit("")).alias("_host"), suffix.alias("_suffix"))
     model = text_model(frame, "_text", "_said")
     classes = [*model.languages, UNKNOWN]

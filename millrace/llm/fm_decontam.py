@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import free_name
+from millrace.llm.shared import free_name, small_batches
 
 WINDOW = 13
 SAMPLE = 16                   # every 16th suffix position is kept
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 BLOCK_ITEM_WORDS = 4_000_000
 
 #: Fixed by the contract: words are runs of digits, letters and everything beyond ASCII, A-Z lower-cased.
@@ -206,7 +206,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in (*STATE, "contaminated")]
     body = free_name(docs.columns, "_body")
-    frame = docs.select(*names, F.col(text).alias(body))
+    frame = small_batches(docs).select(*names, F.col(text).alias(body))
     state: list[str] = []
     blocks = item_blocks(benchmark, item, item_text, block_words)
     block, last = next(blocks), False

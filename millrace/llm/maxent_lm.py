@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import slices, small_batches, stored
 
 WIDTH = 32                      # classes, and words of a class with a softmax of its own
 SOFT, SHAPES = 16, 16           # classes of frequent words, classes by shape
@@ -318,7 +318,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     """
     added = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    frame = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], held_out(F.col(key), fold).alias("held_out"), F.col(text).alias("_text"))
+    frame = small_batches(docs).select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], held_out(F.col(key), fold).alias("held_out"), F.col(text).alias("_text"))
     training = frame.filter(~F.col("held_out")).select("_text")
     counts = stored(word_counts(training, "_text"), "word-counts")
     v = vocabulary_of(counts, head)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import slices, small_batches, stored
 from millrace.plans.lineage import scratch_path
 
 SCALE_BITS = 20
@@ -256,7 +256,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     without blocks. Only ``key`` and ``text`` are read.
     """
     spark = docs.sparkSession
-    frame = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    frame = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     if ordered:
         frame = frame.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
     frame = frame.select(F.col("key").cast("string").alias("key"), "text")

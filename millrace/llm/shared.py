@@ -48,6 +48,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been bounded: whole texts travel in them, off the heap and in both
+    directions, and Spark's defaults (10 000 rows, 64 MB) are meant for narrow rows. Smaller settings are left as they are."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = conf.get(key, "")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``most`` bytes of ``text`` (one row at least), so that what a task builds from
     them is bounded whatever the number of rows in a batch."""

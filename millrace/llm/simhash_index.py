@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.shared import free_name, slices, stored
+from millrace.llm.shared import free_name, slices, small_batches, stored
 from millrace.operators.graph import connected_components
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
@@ -58,7 +58,7 @@ def with_fingerprints(docs: DataFrame, text: str, name: str, keep: list[str]) ->
     """Columns ``keep`` and the fingerprint as a signed long."""
     schema = docs.select(*keep).schema.add(name, "long")
     batch_text = free_name(docs.columns, "_text")
-    frame = docs.select(F.col(text).alias(batch_text), *keep)
+    frame = small_batches(docs).select(F.col(text).alias(batch_text), *keep)
 
     def work(batches):
         for batch in slices(batches, batch_text):

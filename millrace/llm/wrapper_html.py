@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import slices, small_batches, stored
 from millrace.llm.url_filter import host_of
 from millrace.plans.lookup import fit_lookup, join_lookup
 
@@ -177,7 +177,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
     like an added one are replaced.
     """
     names = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
-    frame = pages.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], host_of(F.col(url)).alias("host"), F.col(html).alias("_html"))
+    frame = small_batches(pages).select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], host_of(F.col(url)).alias("host"), F.col(html).alias("_html"))
     held = [c for c in frame.columns if c != "_html"]
     schema = StructType([*frame.select(*held).schema.fields, *StructType.fromDDL(
         "tree string, paths array<string>, named array<int>, hashes array<long>, texts array<string>").fields])
