@@ -53,7 +53,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     directions, and Spark's defaults (10 000 rows, 64 MB) are meant for narrow rows. Smaller settings are left as they are."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = conf.get(key, "")
+        now = conf.get(key, None) or ""
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
