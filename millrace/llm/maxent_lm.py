@@ -28,7 +28,7 @@ from millrace.llm.shared import slices, small_batches, stored
 
 WIDTH = 32                      # classes, and words of a class with a softmax of its own
 SOFT, SHAPES = 16, 16           # classes of frequent words, classes by shape
-HEAD = 1 << 16                  # frequent words that are broadcast, at most
+HEAD = 1 << 17                  # frequent words that are broadcast, at most
 ROWS = (1 << 13, 1 << 13, 1 << 14, 1 << 14)   # weight rows of each class feature
 INNER = (1 << 13, 1 << 13)      # weight rows of each feature within a class
 assert max(sum(ROWS), sum(INNER)) <= 1 << 16
@@ -134,9 +134,10 @@ class Stream:
 
 
 def _logits(weights: np.ndarray, features: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    z = bias + weights[features[0]]
+    z = np.take(weights, features[0], axis=0)
+    z += bias
     for f in features[1:]:
-        z += weights[f]
+        z += np.take(weights, f, axis=0)
     return z
 
 
@@ -151,7 +152,7 @@ def _step(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, feature
         order = np.argsort(f.astype(np.uint16), kind="stable")   # rows are fewer than 65 536, and a radix sort is linear
         place = f[order]
         begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        rows, g = place[begin], np.add.reduceat(z[order], begin, axis=0)
+        rows, g = place[begin], np.add.reduceat(np.take(z, order, axis=0), begin, axis=0)
         squares[rows] += (g * g).sum(1)
         touched[rows] += np.diff(np.append(begin, len(f)))
         weights[rows] -= RATE * g / (np.sqrt(squares[rows]) + 1e-6)[:, None]
