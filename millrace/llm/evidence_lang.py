@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from millrace.llm.shared import slices, small_batches, stored
+from millrace.llm.shared import returning, slices, small_batches, stored
 from millrace.llm.url_filter import host_of, path_of
 from millrace.plans.lookup import fit_lookup, join_lookup
 
@@ -90,7 +90,7 @@ def text_model(docs: DataFrame, text: str, declared: str) -> LanguageModel:
             i, j = lang[at:at + (1 << 16)], bucket[at:at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(sums[i, j])], names=["lang", "bucket", "n"])
 
-    counts = docs.select(text, declared).mapInArrow(count, "lang long, bucket long, n long")
+    counts = docs.select(text, declared).mapInArrow(returning(count), "lang long, bucket long, n long")
     sums = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()   # at most languages × BUCKETS rows
     table = np.zeros((BUCKETS, len(languages) + 1))
     table[sums.bucket.to_numpy(), sums.lang.to_numpy()] = sums.n.to_numpy()
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     def scored(columns):
         chosen = frame.select(*columns, "_text")
         fields = [f for f in chosen.schema.fields if f.name != "_text"]
-        return chosen.mapInArrow(score, StructType(fields).add("_ll", ArrayType(DoubleType())).add("_n", LongType()))
+        return chosen.mapInArrow(returning(score), StructType(fields).add("_ll", ArrayType(DoubleType())).add("_n", LongType()))
 
     # what texts that speak for themselves say about declarations and places
     best = F.array_position(F.col("_ll"), F.array_max("_ll")) - 1

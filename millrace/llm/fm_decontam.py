@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import free_name, small_batches
+from millrace.llm.shared import free_name, returning, small_batches
 
 WINDOW = 13
 SAMPLE = 16                   # every 16th suffix position is kept
@@ -261,7 +261,7 @@ def _pass(frame: DataFrame, body: str, carried: list[str], again: bool, phrases,
         if held:
             yield from search(held, shard, texts)
 
-    return frame.mapInArrow(work, StructType([*frame.select(*carried).schema.fields, *StructType.fromDDL(_DDL).fields]))
+    return frame.mapInArrow(returning(work), StructType([*frame.select(*carried).schema.fields, *StructType.fromDDL(_DDL).fields]))
 
 
 def without_spans(text, spans):

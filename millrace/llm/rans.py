@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm.shared import slices, small_batches, stored
+from millrace.llm.shared import returning, slices, small_batches, stored
 from millrace.plans.lineage import scratch_path
 
 SCALE_BITS = 20
 LOW, WORD = np.uint64(1 << 32), np.uint64(32)
 MAX_LANES = 1024
 BLOCK_IDS = 1 << 18          # a block ends with the document that brings it to so many ids
-CACHED_PIECES = 900_000      # pieces of text whose ids a worker remembers, or as many as one more group of texts brings
+CACHED_PIECES = 400_000      # pieces of text whose ids a worker remembers, or as many as one more group of texts brings
 
 BLOCK_SCHEMA = ("part int, first_row long, start long, n_ids long, lanes int, crc32 long, doc_keys array<string>, "
                 "doc_starts array<long>, states binary, words binary")
@@ -233,7 +233,7 @@ class TokenFile:
     table: str
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
     keys, texts, size = [], [], 0
     for batch in slices(batches, text):
         for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
                 pa.array([i.tobytes() for i in ids], pa.binary())], names=["part", "row", "key", "n", "before", "width", "ids"])
             row, before = row + n, before + int(sizes.sum())
 
-    plain = stored(frame.mapInArrow(tokens, "part int, row long, key string, n long, before long, width int, ids binary"), "token-ids")
+    plain = stored(frame.mapInArrow(returning(tokens), "part int, row long, key string, n long, before long, width int, ids binary"), "token-ids")
 
     def counts(batches):
         total = np.zeros(0, np.int64)
@@ -289,7 +289,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    seen = plain.select("width", "ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    seen = plain.select("width", "ids").mapInArrow(returning(counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     size = int(seen.id.max()) + 1 if len(seen) else 1   # as many rows as the vocabulary has ids
     freq = scaled_frequencies(seen.id.to_numpy(), seen.n.to_numpy(), size)
     parts = plain.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()   # one row per partition
@@ -326,7 +326,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
             yield closed()
 
     file = TokenFile(f"{folder}/blocks", f"{folder}/frequencies")
-    plain.drop("n").mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(file.blocks)
+    plain.drop("n").mapInArrow(returning(blocks), BLOCK_SCHEMA).write.parquet(file.blocks)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(file.table)
     return file
 
@@ -356,7 +356,7 @@ def read_tokens(spark: SparkSession, file: TokenFile, with_ids: bool = True) ->
                                                  names=["key", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     schema = "key string, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return spark.read.parquet(file.blocks).mapInArrow(documents, schema)
+    return spark.read.parquet(file.blocks).mapInArrow(returning(documents), schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0,

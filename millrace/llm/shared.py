@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,6 +60,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def returning(work):
+    """``work`` over a task's batches; then the worker, which Spark keeps for the next stage, gives memory back to the system."""
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):   # another C library than glibc
+            pass
+
+    return run
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``most`` bytes of ``text`` (one row at least), so that what a task builds from
     them is bounded whatever the number of rows in a batch."""

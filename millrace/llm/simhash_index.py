@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.shared import free_name, slices, small_batches, stored
+from millrace.llm.shared import free_name, returning, slices, small_batches, stored
 from millrace.operators.graph import connected_components
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, text: str, name: str, keep: list[str]) ->
             prints = pa.array([fingerprint(t) for t in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], prints], names=[*batch.schema.names[1:], name])
 
-    return frame.mapInArrow(work, schema)
+    return frame.mapInArrow(returning(work), schema)
 
 
 # --- the index ---------------------------------------------------------------------------------------------------
@@ -173,7 +173,7 @@ def _within_lists(lists: DataFrame, max_bits: int, min_bytes: int) -> DataFrame:
             yield found(key, fp)
 
     dealt = lists.select("key", "fp").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "src long, dst long")
+    return dealt.mapInArrow(returning(work), "src long, dst long")
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, limit: int = LIST_LIMIT) -> DataFrame:
