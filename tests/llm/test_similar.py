@@ -1,0 +1,74 @@
+"""The pipeline's near-dedup: word shingles in common, against brute force."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm import simhash_index
+from tests.llm import brute
+
+
+def shingles(text):
+    words = brute.SPACED.findall((text or "").translate(brute.LOWER))
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def kept(rows):
+    """Ids of the first document of each component, by comparing all sets with all others."""
+    rows = sorted(rows)
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted({rows[root(i)][0] for i in range(len(rows))})
+
+
+def varied(base, every, seed):
+    """``base`` with one word of ``every`` replaced."""
+    return " ".join(f"other{seed}x{i}" if i % every == seed % every else w for i, w in enumerate(base.split()))
+
+
+@pytest.fixture(scope="module")
+def rows(spark, sf):
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    long = [(i, t) for i, t in real if len(t.split()) > 200][:6]
+    made = [(10_000 + 100 * i + k, varied(t, every, k)) for i, (_, t) in enumerate(long) for k, every in enumerate((30, 45, 60, 100, 48, 200))]
+    return [*real, *made, (20_000, None), (20_001, ""), (20_002, "a b c"), (20_003, "A  b c"), (20_004, "a b c d")]
+
+
+def test_near_dedup(spark, sf, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = kept(rows)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect())
+    assert got == want
+    assert len(want) < simhash_index.one_of_each(docs).count()      # four bits leave near copies
+
+
+def test_near_dedup_rows(spark, sf):
+    docs = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "x y"), (None, "p q")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [(-1, "p q"), (1, "x y")]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), sf).count() == 0
+    with pytest.raises(ValueError):
+        simhash_index.near_duplicates(docs, max_bits=5).count()
+
+
+def test_shingle_prefix():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        a = rng.choice(200, n, replace=False)
+        b = np.concatenate([a[int(rng.integers(0, 3)):], 200 + rng.choice(50, int(rng.integers(0, 4)), replace=False)])
+        often = np.sort(rng.choice(250, 60, replace=False)).astype(np.uint64)
+        a, b = np.unique(a).astype(np.uint64), np.unique(b).astype(np.uint64)
+        common = len(np.intersect1d(a, b))
+        if len(b) and 9 * common >= 4 * (len(a) + len(b)):
+            assert len(np.intersect1d(simhash_index.shingle_prefix(a, often, 0.8), simhash_index.shingle_prefix(b, often, 0.8)))
