@@ -1,10 +1,11 @@
 """Language identification by fusing evidence in Bayes' rule.
 
 Three pieces of evidence meet for a document: how likely its letters are in each language (byte trigrams, counted over
-all documents that declare a language), the language that its markup or metadata declares (with the reliability that
+all documents that declare it), the language that its markup or metadata declares (with the reliability that
 declarations are found to have), and where it comes from: a prior per host that is smoothed by the prior of the
 host's address suffix, which is smoothed by the prior of the corpus. 'und', no language at all, is a candidate whose
-letters are equally likely everywhere.
+letters are equally likely everywhere. Every declared language is a candidate. The ``MODELLED`` most declared have a model of their own;
+for the others, of which a corpus of real languages has few, letters are as likely as for 'und'.
 
 The three tables come from grouped aggregations over all documents, combined on the map side; trigram counts and the
 reliability of declarations have a size that does not grow with the corpus, the host table is joined (hot hosts apart).
@@ -26,7 +27,8 @@ from millrace.plans.lookup import fit_lookup, join_lookup
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-LEAST_SHARE = 1000        # a language needs one in so many of the declarations to be modelled
+MODELLED = 128            # languages with a model of their letters: bounds the table, whatever is declared
+FEW = 3                   # documents at which half of a model comes from their letters and half is even
 TEMPER = 1 / 3            # overlapping trigrams: a third of them would say the same
 EVEN = 0.2                # share of a language's letters that its model deals out evenly, so that new words don't make a text 'und'
 SURE = 20                 # trigrams from which a text alone may speak for its host and its declaration
@@ -74,28 +76,28 @@ class LanguageModel:
 def text_model(docs: DataFrame, text: str, declared: str) -> LanguageModel:
     """Trigram counts of all documents by their declared language."""
     said = docs.filter(F.col(declared).isNotNull() & (F.col(declared) != UNKNOWN)).groupBy(declared).agg(F.count(F.lit(1)).alias("n"))
-    total = said.agg(F.sum("n")).first()[0] or 0
-    languages = tuple(sorted(r[0] for r in said.filter(F.col("n") * LEAST_SHARE >= total).collect()))   # at most LEAST_SHARE rows
+    documents = {r[0]: r[1] for r in said.orderBy(F.desc("n"), declared).limit(MODELLED).collect()}
+    languages = tuple(sorted(documents))
     index = {c: i for i, c in enumerate(languages)}
 
     def count(batches):
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in slices(batches, text):
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for c, i in index.items():
+            for c in index.keys() & set(names):
                 bucket, _ = trigrams([t for t, d in zip(texts, names) if d == c])
-                sums[i] += np.bincount(bucket, minlength=BUCKETS)
-        lang, bucket = np.nonzero(sums)
-        for at in range(0, len(lang), 1 << 16):
-            i, j = lang[at:at + (1 << 16)], bucket[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(sums[i, j])], names=["lang", "bucket", "n"])
+                sums[index[c]] = sums.get(index[c], 0) + np.bincount(bucket, minlength=BUCKETS)
+        for i, row in sums.items():
+            j = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(j), pa.array(row[j])], names=["lang", "bucket", "n"])
 
     counts = docs.select(text, declared).mapInArrow(returning(count), "lang long, bucket long, n long")
     sums = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()   # at most languages × BUCKETS rows
     table = np.zeros((BUCKETS, len(languages) + 1))
     table[sums.bucket.to_numpy(), sums.lang.to_numpy()] = sums.n.to_numpy()
-    seen = table / np.maximum(table.sum(0), 1)
-    table = (1 - EVEN) * seen + EVEN / BUCKETS
+    d = np.array([*(documents[c] for c in languages), 0.0]) ** 2
+    own = (1 - EVEN) * d / (d + FEW ** 2)   # one wrong declaration must not model its own text
+    table = own * (table / np.maximum(table.sum(0), 1)) + (1 - own) / BUCKETS
     table[:, -1] = 1 / BUCKETS
     return LanguageModel(languages, np.log(table))
 
@@ -123,8 +125,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     ``host`` names the column of hosts; with ``address`` host and suffix are read from that column of urls instead.
     Accepted: the text has letters, the best candidate is a language (one of ``accept`` if given) and its posterior
     is at least ``least``. Null and empty texts have no letters: their language rests on the other evidence and they
-    are not accepted. A null declaration, host or address is no evidence; so is a declared language that fewer than one in
-    ``LEAST_SHARE`` declare. Equal rows get equal results; without any declaration all is 'und'. Input columns named
+    are not accepted. A null declaration, host or address is no evidence. A document of even letters
+    that declares a language without a model is in that language. Equal rows get equal results; without any declaration all is 'und'. Input columns named
     like an added one are replaced.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("language", "confidence", "accepted")]
@@ -171,11 +173,14 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     out = scored([*[f"in_{i}" for i in range(len(names))], "_said", "_host", "_suffix"]).withColumn("place", F.concat_ws("\n", "_host", "_suffix"))
     out = join_lookup(out, fit_lookup(places, ["place"]), ["prior"])
     prior = F.coalesce("prior", F.array(*[F.lit(math.log(x)) for x in overall]))
-    of_said = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in [*declare[:k], declare[k]]]), F.when(said < 0, k).otherwise(said).cast("int"))
-    fused = F.zip_with(F.zip_with(F.col("_ll"), prior, lambda a, b: a + b), of_said, lambda a, b: a + b)
+    rows = docs.sparkSession.createDataFrame([(d if d < k else -1, [float(x) for x in row]) for d, row in enumerate(declare)], "_d int, _declare array<double>")
+    out = out.withColumn("_d", said.cast("int")).join(F.broadcast(rows), "_d")   # k + 1 rows
+    fused = F.zip_with(F.zip_with(F.col("_ll"), prior, lambda a, b: a + b), F.col("_declare"), lambda a, b: a + b)
     out = out.withColumn("_post", fused).withColumn("_top", F.array_max("_post"))
     out = out.withColumn("_sum", F.aggregate(F.transform("_post", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x))
     language = F.get(F.array(*map(F.lit, classes)), (F.array_position(F.col("_post"), F.col("_top")) - 1).cast("int"))
+    unmodelled = (F.col("_said") != UNKNOWN) & (F.col("_d") < 0) & (F.col("_n") > 0)
+    language = F.when((language == UNKNOWN) & unmodelled, F.col("_said")).otherwise(language)
     out = out.withColumns({"language": language, "confidence": 1 / F.col("_sum")})
     good = (F.col("_n") > 0) & (F.col("language") != UNKNOWN) & (F.col("confidence") >= least)
     if accept is not None:
