@@ -323,14 +323,21 @@ def _list_pairs(sets: DataFrame, max_bits: int, chains: bool) -> DataFrame:
     their fingerprints. ``chains``: in each list, ordered by fingerprint, only neighbours."""
     def found(key, fp, name, group):
         at, out = np.arange(len(key)), []
-        for s in range(1, 2 if chains else len(key)):
-            at = at[at + s < len(key)]
-            at = at[key[at] == key[at + s]]
+        to = at + 1
+        if not chains:   # rows of a list and component are together: each row meets what follows its component
+            ends = np.append(np.flatnonzero((key[1:] != key[:-1]) | (group[1:] != group[:-1])) + 1, len(key))
+            to = ends[np.searchsorted(ends, at, "right")]
+        for s in range(1 if chains else len(key)):
+            left = to + s < len(key)
+            at, to = at[left], to[left]
+            left = key[at] == key[to + s]
+            at, to = at[left], to[left]
             if not len(at):
                 break
-            i = at[(group[at] != group[at + s]) & (np.bitwise_count((fp[at] ^ fp[at + s]).view(np.uint64)) <= max_bits)]
+            close = np.bitwise_count((fp[at] ^ fp[to + s]).view(np.uint64)) <= max_bits
+            i, j = at[close], to[close] + s
             if len(i):
-                out.append(np.unique(np.stack([np.minimum(name[i], name[i + s]), np.maximum(name[i], name[i + s])], 1), axis=0))
+                out.append(np.unique(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1), axis=0))
                 if sum(map(len, out)) > 1 << 20:
                     yield from batches_of(out)
                     out = []
@@ -355,7 +362,7 @@ def _list_pairs(sets: DataFrame, max_bits: int, chains: bool) -> DataFrame:
         if held is not None:
             yield from found(*held)
 
-    dealt = sets.select(F.explode("prefix").alias("h"), "fp", "set", "component").repartition("h").sortWithinPartitions("h", "fp")
+    dealt = sets.select(F.explode("prefix").alias("h"), "fp", "set", "component").repartition("h").sortWithinPartitions("h", "fp" if chains else "component")
     return dealt.mapInArrow(returning(work), "src long, dst long").distinct()
 
 
@@ -385,7 +392,6 @@ def similar_links(docs: DataFrame, text: str, key: str, shingle: int = SIMILAR_S
     close = stored(fingerprint_links(of.select("fp")), "close-fingerprints")
     near = (close.join(of.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src")
             .join(of.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-            .unionByName(sets.join(of, "fp").select(F.col("set").alias("src"), F.col("least").alias("dst")))
             .unionByName(_list_pairs(sets.withColumn("component", F.col("set")), max_bits, True)))
     links = compared(near, "near")
     linked = sets.withColumn("component", F.col("set"))
