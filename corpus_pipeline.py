@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that Jaccard similarities of 0.8 or more over five-word shingles connect."""
-    return simhash_index.one_similar_of_each(docs, shingle=5, least=0.8)
+    """One document of each group whose fingerprints of four-word shingles chains of at most four differing bits connect."""
+    return simhash_index.one_of_each(docs, shingle=4, max_bits=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
