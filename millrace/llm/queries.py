@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import (evidence_lang, fm_decontam, line_dedup, maxent_lm, poisson_mix, quality_votes, rans, simhash_index,
-                          url_filter, wrapper_html)
+from millrace.llm import (cover_tree, evidence_lang, external_shuffle, filter_potential, fm_decontam, line_dedup, maxent_lm, poisson_mix,
+                          quality_votes, rans, simhash_index, url_filter, wrapper_html)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,3 +125,56 @@ def op9_wrapper_html(spark, sf):
 def op10_evidence_lang(spark, sf):
     """``lang`` is what a document declares, ``source`` where it comes from; documents have no address."""
     return evidence_lang.identify(table(spark, sf, "documents"), keep=["doc_id", "lang", "source"])
+
+
+@query("op11_cover_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""")
+def op11_cover_negatives(spark, sf):
+    """Every seventh label is wrong by one."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(table(spark, sf, "embeddings"), noise=noisy)
+
+
+@query("op12_filter_potential", r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT w.doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+             100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+             coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS tox
+      FROM w LEFT JOIN labels l ON l.doc_id = w.doc_id),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE tox) AS tox FROM f GROUP BY ALL),
+x(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM x p, x q, x r, x s, x t WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+k AS (SELECT filter_order, step::INTEGER AS step, x.bit AS own, coalesce((SELECT sum(y.bit) FROM x y WHERE instr(filter_order, y.l) < step), 0)::INT AS before
+      FROM o, generate_series(1, 5) g(step) JOIN x ON x.l = substr(filter_order, step::INT, 1)),
+parts AS (SELECT DISTINCT part FROM m),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN tox ELSE 0 END)::BIGINT AS toxic_lost
+      FROM k, parts JOIN m USING (part) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+""")
+def op12_filter_potential(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return filter_potential.audit_documents(docs, table(spark, sf, "labels"))
+
+
+@query("op13_external_shuffle")
+def op13_external_shuffle(spark, sf):
+    """The law of equal row counts: there is no shard count with one more to compare with."""
+    text = F.col("text")
+    return external_shuffle.shard_documents(table(spark, sf, "documents")).select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -11,11 +11,6 @@ A list that is longer than ``LIST_LIMIT`` is indexed again by what its pairs mus
 byte, then three of the eight half-bytes that are left, then a fourth. What is left then has 16 free bits, so
 no list can exceed 65 536 fingerprints, whatever the corpus. Each task keeps a spanning forest of the links it
 verified rather than all pairs of a dense list.
-
-``one_similar_of_each`` asks for word shingles in common (Jaccard) instead of differing bits. At J = 0.8 two fingerprints differ
-in ten bits on average and share too few bytes for any index of bytes, so close copies come from the index above and
-the rest from lists of shingles: texts with J >= 0.8 share one of the first fifth of their shingles in any order that all
-texts use. Fingerprints thin these lists, and every candidate's shingles are compared.
 """
 
 from __future__ import annotations
@@ -32,11 +27,6 @@ from millrace.operators.graph import connected_components
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
 LIST_LIMIT = 512
-SIMILAR_SHINGLE, SIMILAR = 5, 0.8
-#: differing bits up to which a pair is compared by its shingles: at J = 0.8 a bit differs with probability 0.152, so more than
-#: 24 of 64 do in fewer than one pair in 100 000; of unrelated pairs 3 % stay below
-SIMILAR_BITS = 24
-SAMPLE_DOCUMENTS, SAMPLE_COUNT = 100_000, 16   # shingles found so often in a sample come last in the order
 
 
 def triples() -> list[tuple[int, ...]]:
@@ -170,7 +160,6 @@ def _within_lists(lists: DataFrame, max_bits: int, min_bytes: int) -> DataFrame:
     """(src, dst): links found in the lists, as a forest per batch of whole lists."""
     def work(batches):
         key, fp = None, np.zeros(0, np.int64)
-        names: dict[str, int] = {}
 
         def found(key, fp):
             a, b = verified(key, fp, max_bits, min_bytes)
@@ -269,149 +258,3 @@ def _first_rows(keyed: DataFrame, key: str, id_col: str, judged: DataFrame, comp
     single = keyed.join(stay.join(twice, key, "left_anti"), key, "left_semi")
     several = keyed.join(stay.join(twice, key, "left_semi"), key, "left_semi").dropDuplicates([key])
     return single.unionByName(several)
-
-
-# --- shingles in common --------------------------------------------------------------------------------------------
-
-def _frequent_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
-    """Hashes, sorted, of shingles that many documents of a sample hold. Any set of them gives the same links; this one keeps the
-    lists short."""
-    n = docs.count()
-    sample = docs if n <= SAMPLE_DOCUMENTS else docs.sample(SAMPLE_DOCUMENTS / n, seed=SEED)
-
-    def work(batches):
-        for batch in slices(batches, "_text"):
-            found = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
-
-    hashes = small_batches(sample).select(F.col(text).alias("_text")).mapInArrow(returning(work), "h long")
-    often = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SAMPLE_COUNT).select("h")
-    return np.sort(often.toPandas()["h"].to_numpy(np.int64).view(np.uint64))   # at most a sample's shingles by SAMPLE_COUNT
-
-
-def shingle_prefix(hashes: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
-    """Of sorted distinct hashes those, frequent ones last, of which a set with Jaccard ``least`` holds one at least."""
-    length = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        hashes = hashes[np.argsort(frequent[at] == hashes, kind="stable")]
-    return hashes[:length]
-
-
-def _shingle_rows(docs: DataFrame, text: str, key: str, shingle: int, make, ddl: str) -> DataFrame:
-    """(key, set, ...): a hash of each text's set of shingles and what ``make`` makes of text hashes and set."""
-    schema = docs.select(F.col(key).alias("key")).schema.add("set", "long")
-    for field in docs.sparkSession.createDataFrame([], ddl).schema.fields:
-        schema.add(field)
-
-    def work(batches):
-        for batch in slices(batches, "_text"):
-            rows = []
-            for t in batch.column(0).to_pylist():
-                hashes = shingle_hashes(t, shingle)
-                distinct = np.unique(hashes)
-                rows.append((xxhash.xxh64_intdigest(distinct.tobytes(), SEED) - (1 << 63), *make(hashes, distinct)))
-            columns = [pa.array(list(c), f) for c, f in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], names=schema.names)
-
-    kinds = [{"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[f.dataType.simpleString()] for f in schema.fields[1:]]
-    return small_batches(docs).select(F.col(text).alias("_text"), F.col(key).alias("key")).mapInArrow(returning(work), schema)
-
-
-def _list_pairs(sets: DataFrame, max_bits: int, chains: bool) -> DataFrame:
-    """(src, dst): sets of different components that share a shingle of their prefixes and differ in at most ``max_bits`` bits of
-    their fingerprints. ``chains``: in each list, ordered by fingerprint, only neighbours."""
-    def found(key, fp, name, group):
-        at, out = np.arange(len(key)), []
-        to = at + 1
-        if not chains:   # rows of a list and component are together: each row meets what follows its component
-            ends = np.append(np.flatnonzero((key[1:] != key[:-1]) | (group[1:] != group[:-1])) + 1, len(key))
-            to = ends[np.searchsorted(ends, at, "right")]
-        for s in range(1 if chains else len(key)):
-            left = to + s < len(key)
-            at, to = at[left], to[left]
-            left = key[at] == key[to + s]
-            at, to = at[left], to[left]
-            if not len(at):
-                break
-            close = np.bitwise_count((fp[at] ^ fp[to + s]).view(np.uint64)) <= max_bits
-            i, j = at[close], to[close] + s
-            if len(i):
-                out.append(np.unique(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1), axis=0))
-                if sum(map(len, out)) > 1 << 20:
-                    yield from batches_of(out)
-                    out = []
-        yield from batches_of(out)
-
-    def batches_of(out):
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        for k in range(0, len(pairs), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[k:k + (1 << 17), j])) for j in (0, 1)], names=["src", "dst"])
-
-    def work(batches):
-        held = None
-        for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) < 100_000:
-                continue
-            last = int(np.searchsorted(held[0], held[0][-1]))   # the last list may go on in the next batch
-            if last:
-                yield from found(*[x[:last] for x in held])
-                held = [x[last:] for x in held]
-        if held is not None:
-            yield from found(*held)
-
-    dealt = sets.select(F.explode("prefix").alias("h"), "fp", "set", "component").repartition("h").sortWithinPartitions("h", "fp" if chains else "component")
-    return dealt.mapInArrow(returning(work), "src long, dst long").distinct()
-
-
-def similar_links(docs: DataFrame, text: str, key: str, shingle: int = SIMILAR_SHINGLE, least: float = SIMILAR,
-                  max_bits: int = SIMILAR_BITS) -> tuple[DataFrame, DataFrame]:
-    """(key, set) of each document, and (src, dst): links that connect the sets which chains of Jaccard ``least`` connect."""
-    if not 0 < least <= 1:
-        raise ValueError("least must be above 0 and at most 1")
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(docs, text, shingle))
-    cut_off = lambda h, d: (simhash(h) if len(h) else 0, shingle_prefix(d, shared.value, least).view(np.int64))
-    rows = stored(_shingle_rows(docs, text, key, shingle, cut_off, "fp long, prefix array<long>"), "shingle-prefixes")
-    sets = stored(rows.dropDuplicates(["set"]), "shingle-sets")
-    whole = lambda h, d: (d.view(np.int64),)
-
-    def compared(pairs, label):
-        pairs = stored(pairs.filter("src <> dst").distinct(), f"{label}-candidates")
-        ends = pairs.select(F.explode(F.array("src", "dst")).alias("set")).distinct().join(sets.select("set", F.col("key").alias(key)), "set").select(key)
-        held = _shingle_rows(docs.join(ends, key, "left_semi"), text, key, shingle, whole, "shingles array<long>").drop("key").dropDuplicates(["set"])
-        held = stored(held, f"{label}-shingles")
-        both = (pairs.join(held.select(F.col("set").alias("src"), F.col("shingles").alias("a")), "src")
-                .join(held.select(F.col("set").alias("dst"), F.col("shingles").alias("b")), "dst")
-                .select("src", "dst", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common")))
-        return stored(both.filter(F.col("common") * (1 + least) >= F.col("n") * least - 1e-9).select("src", "dst"), f"{label}-links")
-
-    # close copies from the byte index and neighbours in the lists; then only pairs whose components are not yet one
-    of = stored(sets.groupBy("fp").agg(F.min("set").alias("least")), "fingerprint-sets")
-    close = stored(fingerprint_links(of.select("fp")), "close-fingerprints")
-    near = (close.join(of.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src")
-            .join(of.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-            .unionByName(_list_pairs(sets.withColumn("component", F.col("set")), max_bits, True)))
-    links = compared(near, "near")
-    linked = sets.withColumn("component", F.col("set"))
-    if not links.isEmpty():
-        reach = connected_components(links).select(F.col("id").alias("set"), F.col("component").alias("_reach"))
-        linked = sets.join(reach, "set", "left").withColumn("component", F.coalesce("_reach", "set"))
-    more = compared(_list_pairs(linked, max_bits, False), "further")
-    return rows.select("key", "set"), links.unionByName(more)
-
-
-def one_similar_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE,
-                        least: float = SIMILAR, max_bits: int = SIMILAR_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay when one document is kept, as by ``one_of_each``, of each component of texts whose sets of word
-    shingles have a Jaccard similarity of ``least``. Texts of fewer words are one shingle; those without words are equal."""
-    keyed, key = _with_key(docs, id_col, text)
-    rows, links = similar_links(keyed, text, key, shingle, least, max_bits)
-    judged = rows.withColumn("component", F.col("set"))
-    if not links.isEmpty():
-        reach = connected_components(links).select(F.col("id").alias("set"), F.col("component").alias("_reach"))
-        judged = rows.join(reach, "set", "left").withColumn("component", F.coalesce("_reach", "set"))
-    ids = keyed.select(id_col, F.col(key)).distinct()
-    judged = judged.select(F.col("key").alias(key), "component").distinct().join(ids, key)
-    return _first_rows(keyed, key, id_col, judged, "component").select(*docs.columns)
