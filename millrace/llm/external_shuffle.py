@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm.shared import free_name, returning, small_batches
+from millrace.llm.shared import free_name, returning, small_batches, stored
 from millrace.plans.lineage import scratch_path
 from millrace.plans.lookup import fit_lookup, join_lookup
 
@@ -43,7 +43,8 @@ def _scattered(docs: DataFrame, id_col: str, seed: int, hashed: str) -> DataFram
     lookup.table = lookup.table.withColumn(mark, F.lit(True))
     place = free_name([*keyed.columns, hashed, mark], "_place")
     marked = join_lookup(keyed.withColumn(place, F.monotonically_increasing_id()), lookup, [mark])
-    return marked.withColumn(hashed, F.when(F.col(mark), F.xxhash64(key, place)).otherwise(F.col(key))).drop(key, place, mark)
+    # written, so that a place in the input is settled once
+    return stored(marked.withColumn(hashed, F.when(F.col(mark), F.xxhash64(key, place)).otherwise(F.col(key))).drop(key, place, mark), "scattered")
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED,
@@ -51,9 +52,9 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     """Write ``docs`` below ``folder``, one folder per shard, and return the files' rows: all columns, ``slot`` (0, 1, ... in
     each shard) and ``shard``.
 
-    The order depends on seed, ids and row contents, not on the input's partitions; rows of an id that occurs more than
-    ``REPEATED`` times (or is null so often) are placed by their position in the input, which must then be the same when a task is
-    run again, as it is for files. Null ids and texts, equal rows and ties are rows like others. An empty table gives no rows.
+    The order depends on seed, ids and row contents, not on the input's partitions; only rows of an id that occurs more than
+    ``REPEATED`` times (or is null so often) are placed by their position in the input, and the table is then written once more
+    beforehand. Null ids and texts, equal rows and ties are rows like others. An empty table gives no rows.
     Input columns named shard or slot are replaced. One count per bucket passes through the driver.
     """
     if shards < 1:
