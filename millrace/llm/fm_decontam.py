@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import free_name, returning, small_batches
+from millrace.llm.shared import free_name, returning, small_batches, stored
 
 WINDOW = 13
 SAMPLE = 16                   # every 16th suffix position is kept
 SHARD_WORDS = 1_000_000
-BLOCK_ITEM_WORDS = 4_000_000
+BLOCK_ITEM_WORDS = 400_000   # about 135 MB in the driver and in each worker
 
 #: Fixed by the contract: words are runs of digits, letters and everything beyond ASCII, A-Z lower-cased.
 _KEEP = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -185,7 +185,7 @@ _DDL = "n_words long, n_hit long, items array<string>, word_spans array<array<lo
 def item_blocks(benchmark: DataFrame, item: str, text: str, limit: int = BLOCK_ITEM_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The test items with their words, in blocks of about ``limit`` words; the driver holds one block at a time."""
     block, size = [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter("item is not null").toLocalIterator():
+    for row in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).toLocalIterator():
         block.append((row["item"], words_of(row["text"])))
         size += len(block[-1][1])
         if size >= limit:
@@ -201,8 +201,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer but not none. A document's
     word inside any occurrence of a window is hit; contaminated: ``n_hit`` > 0 and ``share * n_hit >= n_words``. Null and
-    empty texts have no words; items without id or without words hit nothing; repeated items and rows count each
-    by itself; empty tables give empty or untouched results. Input columns named like an added one are replaced.
+    empty texts have no words; items without words hit nothing; an item without id hits like any other but is not among ``items``;
+    repeated items and rows count each by itself; empty tables give empty or untouched results. Input columns named like an added one are replaced.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in (*STATE, "contaminated")]
     body = free_name(docs.columns, "_body")
@@ -216,6 +216,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
         carried = names if last else [*names, body]
         frame = _pass(frame, body, carried, bool(state), phrases, shard_words)
+        if not last:   # settled before the next block's phrases are made, so that one block is held at a time
+            frame = stored(frame, "contamination-so-far")
+            phrases.unpersist()
         state, block = list(STATE), following
     hit = (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
     return frame.drop("word_spans").withColumn("contaminated", hit)
@@ -235,7 +238,7 @@ def _pass(frame: DataFrame, body: str, carried: list[str], again: bool, phrases,
                     at += 1
         for doc, word, k in block.occurrences(shard):
             spans[doc].append((word, word + int(block.lengths[k])))
-            items[doc].update(dict.fromkeys(block.owners[k]))
+            items[doc].update(dict.fromkeys(o for o in block.owners[k] if o is not None))
         at = 0
         for batch in batches:
             own = range(at, at + batch.num_rows)

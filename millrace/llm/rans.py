@@ -32,7 +32,7 @@ SCALE_BITS = 20
 LOW, WORD = np.uint64(1 << 32), np.uint64(32)
 MAX_LANES = 1024
 BLOCK_IDS = 1 << 18          # a block ends with the document that brings it to so many ids
-CACHED_PIECES = 400_000      # pieces of text whose ids a worker remembers, or as many as one more group of texts brings
+CACHED_PIECES = 800_000      # pieces of text whose ids a worker remembers, or as many as one more group of texts brings
 
 BLOCK_SCHEMA = ("part int, first_row long, start long, n_ids long, lanes int, crc32 long, doc_keys array<string>, "
                 "doc_starts array<long>, states binary, words binary")
@@ -106,21 +106,22 @@ def slot_table(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- text to ids -------------------------------------------------------------------------------------------------
 
-#: Characters that a space may stand between without beginning a token there are white space for Python too.
+#: A space between two characters that are not white space.
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 FIRST = "\ud800"    # marks the first piece of a text, the only one that no space comes before; no text can hold it
-#: Letters, digits or marks (but for the apostrophe), and marks behind them: a byte-level tokenizer with the usual pattern makes each run one unit.
+#: Letters or digits and marks (but for the apostrophe) behind them, or marks alone: a byte-level tokenizer with the usual pattern makes each
+#: of the two runs one unit, and the space before belongs to the first.
 _MARKS = "[!-&(-/:-@\\[-`{-~]"
-_PLAIN = re.compile(f" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+(?={_MARKS}|\\Z)|(?={_MARKS}))")
-_REST = re.compile(f"{_MARKS}*")
+_PLAIN = re.compile(f"( ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+))({_MARKS}*)|( ?{_MARKS}+)")
 
 
 def pieces(text: str) -> list[str]:
     """The text cut at the spaces before which a byte-level tokenizer with the usual pattern always ends a token, namely those
     between two characters that are not white space; these spaces are left out."""
-    cut = text.split(" ")
-    if text.count(" ") + text.count("\n") + 1 != len(text.split()):   # white space is not single spaces and line feeds throughout
-        cut = _JOINT.split(text)
+    alone = text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and "\n " not in text
+    # the other white space is rare: one search each costs less than looking at every character
+    cut = text.split(" ") if alone and not any(c in text for c in _OTHER_SPACE) else _JOINT.split(text)
     cut[0] = FIRST + cut[0]
     return cut
 
@@ -174,54 +175,50 @@ def byte_characters() -> dict[int, str]:
 
 
 class ByteBpe:
-    """The tokenizer library's ids of many short pieces. Pieces that are one unit of the vocabulary's pre-tokenizer go through the library's
-    model as one text, one unit a line; all others go through the whole tokenizer. Strings of special tokens are ordinary text."""
+    """The tokenizer library's ids of many short pieces. Pieces that are one or two units of the vocabulary's pre-tokenizer go through the
+    library's model unit by unit; all others go through the whole tokenizer. Strings of special tokens in a text become their ids, as by the
+    library's default, or are ordinary text if ``special_as_text``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark has a task for each core
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole, self.units = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.units.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self.whole.encode_special_tokens = self.units.encode_special_tokens = True
-        self.table = str.maketrans({chr(b): c for b, c in byte_characters().items() if b != 10})
-
-    def lines(self, units: list[str], most: int = 20_000) -> list[list[int]]:
-        out: list[list[int]] = []
-        for at in range(0, len(units), most):
-            some = units[at:at + most]
-            found = self.units.encode_batch(["\n".join(some).encode("utf-8").decode("latin-1").translate(self.table)], add_special_tokens=False)[0]
-            ids, ends = found.ids, np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1)).tolist()
-            out += [ids[a:b] for a, b in zip(ends, ends[1:])]
-        return out
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = special_as_text
+        self.model = self.whole.model
+        self.table = str.maketrans({chr(b): c for b, c in byte_characters().items()})
+
+    def unit(self, text: str) -> list[int]:
+        """One unit of letters, digits or marks."""
+        text = text.replace(" ", self.table[32]) if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self.table)
+        return [t.id for t in self.model.tokenize(text)]
 
     def __call__(self, new: list[str]) -> list[list[int]]:
         units: dict[str, list[int]] = {"": []}
-        cut: list[tuple[str, str] | None] = []
-        begin, rest = _PLAIN.match, _REST.fullmatch
+        out: list[list[int] | None] = []
+        plain, other = _PLAIN.fullmatch, []
         for p in new:
-            m = begin(p)
-            k = m.end() if m else 0
-            if not m or not rest(p, k):
-                cut.append(None)
+            if m := plain(p):
+                for u in m.groups(""):
+                    if u not in units:
+                        units[u] = self.unit(u)
+                word, behind, marks = m.groups("")
+                out.append(units[word] + units[behind] if behind else units[word or marks])
             else:
-                pair = (p[:k], p[k:]) if k and p[k - 1] != " " else (p, "")
-                cut.append(pair)
-                units[pair[0]] = units[pair[1]] = []
-        names = [u for u in units if u]
-        units.update(zip(names, self.lines(names)))
-        other = iter(self.whole.encode_batch_fast([p for p, c in zip(new, cut) if c is None], add_special_tokens=False))
-        return [units[c[0]] + units[c[1]] if c else next(other).ids for c in cut]
+                out.append(None)
+                other.append(p)
+        rest = iter(self.whole.encode_batch_fast(other, add_special_tokens=False))
+        return [next(rest).ids if ids is None else ids for ids in out]
 
 
-_ENCODERS: dict[str, PieceIds] = {}
+_ENCODERS: dict[tuple[str, bool], PieceIds] = {}
 
 
-def byte_bpe(path: str) -> PieceIds:
+def byte_bpe(path: str, special_as_text: bool = False) -> PieceIds:
     """The ids of the tokenizer file by piece, loaded once per worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceIds(ByteBpe(path))
-    return _ENCODERS[path]
+    if (path, special_as_text) not in _ENCODERS:
+        _ENCODERS[path, special_as_text] = PieceIds(ByteBpe(path, special_as_text))
+    return _ENCODERS[path, special_as_text]
 
 
 # --- Spark jobs --------------------------------------------------------------------------------------------------
@@ -248,12 +245,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, chars: int
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0,
-                 ordered: bool = True, block_ids: int = BLOCK_IDS) -> TokenFile:
+                 ordered: bool = True, block_ids: int = BLOCK_IDS, special_as_text: bool = False) -> TokenFile:
     """Encode every whole text, append ``end_id`` to each document and write the file below ``folder``.
 
     Documents lie in ascending ``key`` order (null keys first, equal keys in any order), or in the order of the given
     partitions if not ``ordered``. A null or empty text is the end id alone; an empty table gives a file
-    without blocks. Only ``key`` and ``text`` are read.
+    without blocks. Only ``key`` and ``text`` are read. A special token's string in a text becomes its id, as by the tokenizer library's default,
+    unless ``special_as_text``.
     """
     spark = docs.sparkSession
     frame = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -262,34 +260,32 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     frame = frame.select(F.col("key").cast("string").alias("key"), "text")
 
     def tokens(batches):
-        part, row, before = TaskContext.get().partitionId(), 0, 0
-        encoder = byte_bpe(tokenizer)
+        part, row, before, total = TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int64)
+        encoder = byte_bpe(tokenizer, special_as_text)
         for keys, texts in _grouped(batches, "key", "text"):
             ids = [np.append(i, np.uint32(end_id)).astype(np.uint16 if end_id < 65536 and (len(i) == 0 or i.max() < 65536) else np.uint32)
                    for i in encoder.ids(texts)]
             n, sizes = len(ids), np.array([len(i) for i in ids], np.int64)
+            c = np.bincount(np.concatenate(ids), minlength=len(total))
+            c[:len(total)] += total
+            total = c
             yield pa.RecordBatch.from_arrays([
                 pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(keys, pa.string()),
                 pa.array(sizes), pa.array(before + np.cumsum(sizes) - sizes), pa.array([i.itemsize for i in ids], pa.int32()),
-                pa.array([i.tobytes() for i in ids], pa.binary())], names=["part", "row", "key", "n", "before", "width", "ids"])
+                pa.array([i.tobytes() for i in ids], pa.binary()), pa.nulls(n, counted)], names=names)
             row, before = row + n, before + int(sizes.sum())
-
-    plain = stored(frame.mapInArrow(returning(tokens), "part int, row long, key string, n long, before long, width int, ids binary"), "token-ids")
-
-    def counts(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            wide = batch.column("width").to_numpy()
-            for width in np.unique(wide):
-                own = batch.column("ids").filter(pa.array(wide == width))
-                c = np.bincount(np.frombuffer(b"".join(own.to_pylist()), np.uint16 if width == 2 else np.uint32))
-                if len(c) > len(total):
-                    total, c = c.astype(np.int64), total
-                total[:len(c)] += c
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    seen = plain.select("width", "ids").mapInArrow(returning(counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+        if row:   # a last row without a document: how often each id was found in the task
+            seen = np.flatnonzero(total)
+            found = [{"id": i, "n": k} for i, k in zip(seen.tolist(), total[seen].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.nulls(1, pa.string()), pa.array([0], pa.int64()),
+                                              pa.array([before], pa.int64()), pa.array([2], pa.int32()), pa.nulls(1, pa.binary()), pa.array([found], counted)], names=names)
+
+    names = ["part", "row", "key", "n", "before", "width", "ids", "counts"]
+    counted = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+    plain = stored(frame.mapInArrow(returning(tokens), "part int, row long, key string, n long, before long, width int, ids binary, "
+                                                       "counts array<struct<id: long, n: long>>"), "token-ids")
+
+    seen = plain.filter("row < 0").select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     size = int(seen.id.max()) + 1 if len(seen) else 1   # as many rows as the vocabulary has ids
     freq = scaled_frequencies(seen.id.to_numpy(), seen.n.to_numpy(), size)
     parts = plain.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()   # one row per partition
@@ -326,7 +322,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
             yield closed()
 
     file = TokenFile(f"{folder}/blocks", f"{folder}/frequencies")
-    plain.drop("n").mapInArrow(returning(blocks), BLOCK_SCHEMA).write.parquet(file.blocks)
+    plain.filter("row >= 0").drop("n", "counts").mapInArrow(returning(blocks), BLOCK_SCHEMA).write.parquet(file.blocks)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(file.table)
     return file
 
@@ -360,9 +356,9 @@ def read_tokens(spark: SparkSession, file: TokenFile, with_ids: bool = True) ->
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0,
-                     ordered: bool = True, with_ids: bool = False) -> DataFrame:
+                     ordered: bool = True, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Write the documents as a token file in the shared folder and read it back: ``key`` (in its own type), start,
     n_tokens, ids_crc32 and, if wanted, ids."""
-    file = write_tokens(docs, scratch_path(docs.sparkSession, "tokens"), tokenizer, key, text, end_id, ordered)
+    file = write_tokens(docs, scratch_path(docs.sparkSession, "tokens"), tokenizer, key, text, end_id, ordered, special_as_text=special_as_text)
     back = read_tokens(docs.sparkSession, file, with_ids)
     return back.select(F.col("key").cast(docs.schema[key].dataType).alias(key), *[c for c in back.columns if c != "key"])

@@ -65,7 +65,7 @@ def contamination(rows, items, n=13):
     for item, text in items:
         w = word.findall((text or "").translate(LOWER))
         for i in range(max(1, len(w) - n + 1) if w else 0):
-            windows.setdefault(tuple(w[i:i + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[i:i + n]), set()).update([] if item is None else [str(item)])
     sizes = {len(k) for k in windows}
     out = {}
     for doc, text in rows:

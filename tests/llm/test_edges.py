@@ -196,7 +196,7 @@ def test_mixing_rates(spark):
 def test_decontamination(spark, docs, empty):
     items = [(1, TEXT), (2, "lazy dog"), (3, None), (4, ""), (None, "x"), (5, " ".join(LONG.split()[500:520])), (1, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted((i or -1, *brute.contamination([(0, t)], [x for x in items if x[0] is not None])[0]) for i, t in ROWS)
+    want = sorted((i or -1, *brute.contamination([(0, t)], items)[0]) for i, t in ROWS)
     for block in (fm_decontam.BLOCK_ITEM_WORDS, 1):
         for shard in (fm_decontam.SHARD_WORDS, 1):
             out = fm_decontam.find_contamination(docs, bench, block_words=block, shard_words=shard)
