@@ -14,8 +14,12 @@ def width_edges(df: DataFrame, col: str, n: int) -> list[float]:
 
 def frequency_edges(df: DataFrame, col: str, n: int) -> list[float]:
     """Quantile edges; equal neighbours are merged."""
-    q = quantile_dict(df, [col], [i / n for i in range(n + 1)])[col]
-    return sorted(set(q))
+    return frequency_edges_of(df, [col], n).get(col, [])
+
+
+def frequency_edges_of(df: DataFrame, cols: list[str], n: int) -> dict[str, list[float]]:
+    """The edges of several columns from the same scans; columns without a value are left out."""
+    return {c: sorted(set(q)) for c, q in quantile_dict(df, cols, [i / n for i in range(n + 1)]).items()}
 
 
 def bin_code(col: str, edges: list[float], include_lowest: bool = True) -> Column:

@@ -170,17 +170,11 @@ def outlier_report(df: DataFrame, fences: dict[str, tuple[float, float]]) -> Dat
 
 def fit_winsor(df: DataFrame, cols: list[str], tail: float = 0.05) -> dict[str, tuple[float, float]]:
     """The (floor(tail·n)+1)-th smallest and largest values: limits by rank, not by interpolation."""
-    out = {}
     counts = df.agg(*[F.count(num(c)).alias(c) for c in cols]).first()
-    for c in cols:
-        n = counts[c]
-        if not n:
-            continue
-        k = int(tail * n)
-        pos = [k / max(n - 1, 1), (n - 1 - k) / max(n - 1, 1)]
-        low, high = quantile_dict(df, [c], pos)[c]
-        out[c] = (low, high)
-    return out
+    ranks = {c: (int(tail * counts[c]) / max(counts[c] - 1, 1), (counts[c] - 1 - int(tail * counts[c])) / max(counts[c] - 1, 1)) for c in cols if counts[c]}
+    probs = sorted({p for pair in ranks.values() for p in pair})
+    found = quantile_dict(df, list(ranks), probs) if ranks else {}
+    return {c: (found[c][probs.index(low)], found[c][probs.index(high)]) for c, (low, high) in ranks.items()}
 
 
 # duplicates -------------------------------------------------------------------------------------------

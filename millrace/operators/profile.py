@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.counting import is_numeric, num, quantiles, value_counts
 
+SKETCH_LOG2 = 16         # two to this many registers
+SKETCH_ERROR = 0.0041    # their relative standard deviation
 KINDS = ("numeric", "categorical", "datetime", "binary", "id_like", "text")
 
 
@@ -17,11 +21,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if is_numeric(t)]
 
 
-def column_metadata(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+def column_metadata(df: DataFrame, cols: list[str] | None = None, exact: bool = True, lengths: bool = True) -> DataFrame:
     """(column, dtype, kind, non_null, missing, pct_miss, n_unique, mean_length), one row per column.
 
     Two scans: one fused aggregate and one count of distinct values, both combined on the map side.
-    ``exact=False`` replaces the second by sketches in the first. NaN counts as missing.
+    ``exact=False`` replaces the second by sketches in the first; without ``lengths`` only text has a mean length. NaN counts as missing.
     A kind recorded in the column metadata wins over the inferred one.
     """
     cols = cols or scalar_columns(df)
@@ -29,9 +33,11 @@ def column_metadata(df: DataFrame, cols: list[str] | None = None, exact: bool =
     present = {c: num(c) if types[c] in ("float", "double") else F.col(c) for c in cols}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
-        aggs += [F.count(present[c]).alias(f"k{i}"), F.avg(F.length(F.col(c).cast("string"))).alias(f"l{i}")]
+        length = F.avg(F.length(F.col(c).cast("string"))) if lengths or types[c] == "string" else F.lit(None).cast("double")
+        aggs += [F.count(present[c]).alias(f"k{i}"), length.alias(f"l{i}")]
         if not exact:
-            aggs.append(F.approx_count_distinct(present[c]).alias(f"u{i}"))
+            digest = F.when(present[c].isNotNull(), F.xxhash64(present[c]))
+            aggs.append(F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(digest, F.lit(SKETCH_LOG2))), F.lit(0)).alias(f"u{i}"))
     stats = df.agg(*aggs)
     chosen = {f.name: f.metadata.get("kind") for f in df.schema}
     per_column = [F.struct(
@@ -42,17 +48,34 @@ def column_metadata(df: DataFrame, cols: list[str] | None = None, exact: bool =
         F.col("rows").alias("rows")) for i, c in enumerate(cols)]
     meta = stats.select(F.explode(F.array(*per_column)).alias("m")).select("m.*")
     if exact:
-        # long text is counted by its digest, so that whole documents are not shuffled
-        short = lambda c: F.when(F.length(c) > 32, F.md5(c)).otherwise(F.col(c)) if types[c] == "string" else present[c]
-        shown = df.select(*[short(c).alias(c) for c in cols])
-        uniq = value_counts(shown, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-        meta = meta.drop("n_unique").join(F.broadcast(uniq), "column", "left").fillna(0, ["n_unique"])
+        meta = meta.drop("n_unique").join(F.broadcast(distinct_counts(df, cols)), "column", "left").fillna(0, ["n_unique"])
     meta = meta.withColumn("kind", F.coalesce("chosen", kind_rule()))
     return meta.select("column", "dtype", "kind", "non_null", "missing",
                        F.coalesce(F.try_divide(F.col("missing") * 100.0, F.col("rows")), F.lit(0.0)).alias("pct_miss"),
                        "n_unique", "mean_length")
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, n_unique): exact counts of the distinct non-null values (NaN is null) of columns that have any, in one scan.
+
+    Each cell is dealt by its own type, so numbers and times need not become text; long text is counted by its digest, so that
+    whole documents are not shuffled."""
+    types = dict(df.dtypes)
+
+    def cell(i: int, c: str) -> Column:
+        t, x = types[c], F.col(c)
+        whole = x.cast("long") if t in ("tinyint", "smallint", "int", "bigint", "boolean") else F.unix_date(x).cast("long") if t == "date" else None
+        real = num(c) if t in ("float", "double") else None
+        text = None if whole is not None or real is not None else F.when(F.length(x) > 32, F.md5(x)).otherwise(x) if t == "string" else x.cast("string")
+        sides = [(whole, "long"), (real, "double"), (text, "string")]
+        return F.struct(F.lit(i).alias("_c"), *[(F.lit(None).cast(k) if v is None else v).alias(f"_{k}") for v, k in sides])
+
+    keys = ["_c", "_long", "_double", "_string"]
+    cells = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(cols)])).alias("c")).select("c.*")
+    seen = cells.filter("_long IS NOT NULL OR _double IS NOT NULL OR _string IS NOT NULL").groupBy(*keys).agg(F.lit(1).alias("one"))
+    return seen.groupBy("_c").agg(F.count(F.lit(1)).alias("n_unique")).select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_c") + 1).alias("column"), "n_unique")
+
+
 def kind_rule(rule: str = "full") -> Column:
     """Kind from dtype, distinct count, non-null count and mean length.
 
@@ -75,8 +98,29 @@ def kind_rule(rule: str = "full") -> Column:
 
 
 def column_kinds(df: DataFrame, rule: str = "full", exact: bool = True) -> DataFrame:
-    meta = column_metadata(df, exact=exact)
-    return meta.select("column", "kind") if rule == "full" else meta.select("column", kind_rule(rule).alias("kind"))
+    """(column, kind). A sketch of each column's distinct values decides where it is far from the thresholds of the rule; only the columns near
+    one are counted exactly, so that a nearly unique column is not shuffled. ``exact=False`` trusts the sketches."""
+    cols, choose = scalar_columns(df), (F.col("kind") if rule == "full" else kind_rule(rule)).alias("kind")
+    meta = column_metadata(df, cols, exact=False, lengths=False)
+    if not exact:
+        return meta.select("column", choose)
+    rows = meta.collect()   # one per column
+    near = [r["column"] for r in rows if _near_threshold(r["n_unique"], r["non_null"], r["non_null"] + r["missing"])]
+    counts = {r["column"]: r["n_unique"] for r in distinct_counts(df, near).collect()} if near else {}
+    settled = [(*r, counts.get(r["column"], 0) if r["column"] in near else r["n_unique"]) for r in rows]
+    schema = meta.schema.add("settled", "long")
+    chosen = {f.name: f.metadata.get("kind") for f in df.schema}
+    known = df.sparkSession.createDataFrame(settled, schema).withColumn("n_unique", F.col("settled"))
+    ruled = known.withColumn("kind", kind_rule(rule))
+    return ruled.select("column", reduce(lambda e, c: F.when(F.col("column") == c, F.lit(chosen[c])).otherwise(e), [c for c in cols if chosen[c] and rule == "full"], F.col("kind")).alias("kind"))
+
+
+def _near_threshold(seen: int, non_null: int, rows: int) -> bool:
+    """Might the exact count lie on the other side of a threshold? Sketches err by ``SKETCH_ERROR``, four times that is allowed for."""
+    if seen <= 200:     # few values: counting them costs little, and the limits of 2, 50 and 100 are there
+        return True
+    off = 4 * SKETCH_ERROR * seen
+    return any(abs(seen - share * n) <= off for share in (0.90, 0.95) for n in (non_null, rows))
 
 
 def kinds_dict(df: DataFrame, exact: bool = True) -> dict[str, str]:

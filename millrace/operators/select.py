@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators import models
-from millrace.operators.binning import bin_code, frequency_edges
+from millrace.operators.binning import bin_code, frequency_edges_of
 from millrace.operators.correlate import pearson
 from millrace.plans.counting import num
 
@@ -39,7 +39,8 @@ def f_scores(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 def mutual_information(df: DataFrame, cols: list[str], target: str, bins: int = 10) -> DataFrame:
     """(feature, mi) in nats between equal-frequency bins of a feature and the classes."""
     coded = df.filter(F.col(target).isNotNull())
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_code(c, frequency_edges(df, c, bins)).alias("b")) for c in cols])
+    edges = frequency_edges_of(df, cols, bins)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_code(c, edges[c]).alias("b")) for c in cols if c in edges])
     joint = (coded.select(F.col(target).alias("c"), F.explode(cells).alias("k")).select("c", "k.*").filter("b is not null")
              .groupBy("feature", "b", "c").agg(F.count(F.lit(1)).alias("n")))
     by_b = joint.groupBy("feature", "b").agg(F.sum("n").alias("nb"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import predicates as P
 from millrace.operators import charts, correlate, profile
+from millrace.plans.parallel import widened
 from workload.registry import query, table
 
 
@@ -36,7 +37,7 @@ def _kinds(df):
 
 @query("profile_kinds_lineitem", _kind_sql("lineitem", _LINE).replace("* 100.0", "* 100.0::DOUBLE"))
 def profile_kinds_lineitem(spark, sf):
-    return _kinds(table(spark, sf, "lineitem"))
+    return _kinds(widened(table(spark, sf, "lineitem")))
 
 
 @query("profile_kinds_documents", _kind_sql("documents", {
@@ -70,7 +71,8 @@ def _rounded(df, cols, digits=5):
 @query("profile_describe_numeric", _describe_sql("lineitem", [
     "l_quantity::DOUBLE", "l_extendedprice", "l_discount", "l_tax"]).replace("'l_quantity::DOUBLE'", "'l_quantity'"))
 def profile_describe_numeric(spark, sf):
-    d = profile.describe_numeric(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    d = profile.describe_numeric(table(spark, sf, "lineitem"), cols)
     return _rounded(d, ["mean", "std", "q25", "q50", "q75"])
 
 
