@@ -1,14 +1,15 @@
 """Term weights per document as sparse tables (id, term, weight). Whole texts, built-in functions only.
 
 The vocabulary is the ``size`` most frequent terms of the corpus (ties by term), so it is small by
-construction and broadcast; token rows are filtered by it before anything is shuffled per document.
+construction and travels as a literal. Beyond the vocabulary's counts everything is an array expression per text: no
+token becomes a row of its own, and no text is shuffled. Each row is a document, also where keys repeat.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import text as T
 
@@ -24,15 +25,31 @@ def with_terms(df: DataFrame, key: str, text_col: str, ngrams: int = 1) -> DataF
     return out.select(key, F.concat(w, pairs).alias("terms"))
 
 
-def _tokens(df: DataFrame, key: str, text_col: str, ngrams: int) -> DataFrame:
-    return with_terms(df, key, text_col, ngrams).select(key, F.explode("terms").alias("term"))
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once per row: a lambda's variable is never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """array<struct<term, tf>> of an array's distinct items with their numbers, in ascending order: sort, then cut where a new item begins."""
+    def counted(s: Column) -> Column:
+        size = F.size(s)
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), size) - i).cast("long").alias("tf"))))
+
+    return _let(F.array_sort(items), counted)
+
+
+def _counted(df: DataFrame, key: str, text_col: str, vocabulary: list[str], ngrams: int) -> DataFrame:
+    """(key, runs): the vocabulary's terms in each text with their numbers."""
+    found = F.filter("terms", lambda t: t.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
+    return with_terms(df, key, text_col, ngrams).select(key, _runs(found).alias("runs"))
 
 
 def term_counts(df: DataFrame, key: str, text_col: str, vocabulary: list[str], ngrams: int = 1) -> DataFrame:
-    """(key, term, tf) over a fitted vocabulary."""
-    vocab = df.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
-    return (_tokens(df, key, text_col, ngrams).join(F.broadcast(vocab), "term", "left_semi")
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(key, term, tf) over a fitted vocabulary, one row per row of ``df`` and term: texts are counted where they lie, nothing is shuffled."""
+    return _counted(df, key, text_col, vocabulary, ngrams).select(key, F.inline("runs"))
 
 
 def fit_vocabulary(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1) -> dict[str, int]:
@@ -50,10 +67,13 @@ def bag_of_words(df: DataFrame, key: str, text_col: str, size: int = 100) -> Dat
     return term_counts(df, key, text_col, list(fit_vocabulary(df, key, text_col, size)))
 
 
-def _unit(df: DataFrame, key: str, weight: str) -> DataFrame:
-    """Divide by the L2 norm per document; a document has at most vocabulary-many rows."""
-    norm = F.sqrt(F.sum(F.col(weight) ** 2).over(W.partitionBy(key)))
-    return df.withColumn(weight, F.col(weight) / norm)
+def _unit(weighted: Column) -> Column:
+    """Weights divided by their L2 norm; ``weighted`` is an array of structs whose second field is ``weight``."""
+    def scaled(w: Column) -> Column:
+        norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda total, x: total + x["weight"] * x["weight"]))
+        return _let(norm, lambda n: F.transform(w, lambda x: x.withField("weight", x["weight"] / n)))
+
+    return _let(weighted, scaled)
 
 
 def fit_tfidf(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1) -> dict[str, float]:
@@ -64,10 +84,14 @@ def fit_tfidf(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1
 
 
 def apply_tfidf(df: DataFrame, key: str, text_col: str, idf: dict[str, float], ngrams: int = 1) -> DataFrame:
-    table = df.sparkSession.createDataFrame(list(idf.items()), "term string, idf double")
-    tf = term_counts(df, key, text_col, list(idf), ngrams)
-    return _unit(tf.join(F.broadcast(table), "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("weight")), key, "weight")
+    """(key, term, weight) in one pass over the texts, without a shuffle."""
+    terms = sorted(idf)
+    if not terms:
+        return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).filter(F.lit(False))
+    names, weights = F.array(*[F.lit(t) for t in terms]), F.array(*[F.lit(idf[t]) for t in terms])
+    of = lambda x: F.get(weights, (F.array_position(names, x["term"]) - 1).cast("int"))
+    weighted = F.transform("runs", lambda x: F.struct(x["term"].alias("term"), (x["tf"] * of(x)).alias("weight")))
+    return _counted(df, key, text_col, terms, ngrams).select(key, F.inline(_unit(weighted)))
 
 
 def tfidf(df: DataFrame, key: str, text_col: str, size: int = 50, ngrams: int = 1) -> DataFrame:
@@ -76,7 +100,7 @@ def tfidf(df: DataFrame, key: str, text_col: str, size: int = 50, ngrams: int =
 
 def hashing_vector(df: DataFrame, key: str, text_col: str, features: int = 64) -> DataFrame:
     """(key, bucket, weight): md5 bucket counts with unit length per document. Nothing to fit."""
-    bucket = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % features
-    tf = (_tokens(df, key, text_col, 1).groupBy(key, bucket.alias("bucket"))
-          .agg(F.count(F.lit(1)).cast("double").alias("weight")))
-    return _unit(tf, key, "weight")
+    buckets = F.transform("terms", lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % features)
+    counted = with_terms(df, key, text_col).select(key, _runs(buckets).alias("runs"))
+    weighted = F.transform("runs", lambda x: F.struct(x["term"].alias("bucket"), x["tf"].cast("double").alias("weight")))
+    return counted.select(key, F.inline(_unit(weighted)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.functions import terms as R
+from millrace.operators.graph import connected_components
 from millrace.plans.lineage import cut
 from millrace.plans.lookup import fit_lookup, join_lookup
 
@@ -129,19 +130,20 @@ def _iri(s: Column, p: str, o: Column) -> list[Column]:
 
 
 def transitive_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """All (src, dst) reachable in one or more steps, by squaring: a path of length L takes log2(L) rounds.
+    """All (src, dst) reachable in one or more steps; cycles are fine, and make a node reach itself.
 
-    Each round is an equi-join, cut from its lineage, until nothing new appears. Meant for schema edges.
+    Semi-naive: a round joins only the pairs that the last round found (their shortest paths are longer than half of the
+    longest so far) to all known ones, so a pair is extended once and paths of length L take log2(L) rounds. A round reads one table and
+    writes the next. Meant for schema edges.
     """
-    known = cut(edges.select("src", "dst").distinct())
-    size = known.count()
+    known = cut(edges.select("src", "dst").distinct().withColumn("new", F.lit(True)))
     for _ in range(max_rounds):
-        step = known.select(F.col("src").alias("a"), F.col("dst").alias("src")).join(known, "src").select(F.col("a").alias("src"), "dst")
-        known = cut(known.unionByName(step).distinct())
-        grown = known.count()
-        if grown == size:
-            return known
-        size = grown
+        last = known.filter("new").select(F.col("src").alias("a"), F.col("dst").alias("src"))
+        step = last.join(known.select("src", "dst"), "src").select(F.col("a").alias("src"), "dst", F.lit(True).alias("new"))
+        # a pair is new if no row of it was known before
+        known = cut(known.select("src", "dst", F.lit(False).alias("new")).unionByName(step).groupBy("src", "dst").agg(F.bool_and("new").alias("new")))
+        if known.filter("new").isEmpty():
+            return known.select("src", "dst")
     raise RuntimeError("closure did not settle")
 
 
@@ -165,11 +167,16 @@ def materialise_subclasses(t: DataFrame, closure: bool = False) -> DataFrame:
     return with_inferred(t, d.select(*_iri(F.col("src"), R.SUBCLASS, F.col("dst"))))
 
 
-def materialise_equivalents(t: DataFrame) -> DataFrame:
-    """owl:equivalentClass made symmetric and transitive (a class is not stated equivalent to itself)."""
+def materialise_equivalents(t: DataFrame, ways: int = 16) -> DataFrame:
+    """owl:equivalentClass made symmetric and transitive (a class is not stated equivalent to itself).
+
+    Components first, then the pairs of each: the work is the size of the answer. A component's pairs are dealt over ``ways`` tasks.
+    """
     e = t.filter(F.col("p") == R.EQUIVALENT_CLASS).select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    closed = transitive_closure(both).filter("src <> dst")
+    of = cut(connected_components(e))
+    left = of.select(F.col("id").alias("src"), "component", F.pmod(F.xxhash64("id"), F.lit(ways)).alias("way"))
+    right = of.select(F.col("id").alias("dst"), "component", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).alias("way"))
+    closed = left.join(right, ["component", "way"]).filter("src <> dst").select("src", "dst")
     return with_inferred(t, closed.select(*_iri(F.col("src"), R.EQUIVALENT_CLASS, F.col("dst"))))
 
 
@@ -204,8 +211,8 @@ def propagate_types(t: DataFrame, closure: bool = False) -> DataFrame:
 
 
 def rdfs_closure(t: DataFrame) -> DataFrame:
-    """RDFS rules 2, 3, 5, 7, 9 and 11. Schema closures first, so the facts are passed over once:
-    subproperties, then domains and ranges, then types along the class hierarchy."""
+    """RDFS rules 2, 3, 5, 7, 9 and 11. Schema closures first, then the facts once per
+    kind of rule: subproperties, then domains and ranges, then types along the class hierarchy."""
     sub = t.filter(F.col("p") == R.SUBPROPERTY).select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
     props = transitive_closure(sub)
     classes = subclass_closure(t)

@@ -28,20 +28,47 @@ def _triple(s: Column, p, o: Column, kind: str, lang: Column | None = None, dt:
                     (none if dt is None else dt.cast("string")).alias("o_datatype"))
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """One line, one triple; comments and malformed lines are left out. Fully splittable."""
-    line = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\"\S*)\s*\.\s*$"
-    part = lambda i: F.regexp_extract("value", line, i)
-    t = spark.read.text(path).filter(F.col("value").rlike(line)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("x"))
-    lit = F.col("x").startswith('"')
-    body = F.regexp_extract("x", r'^"((?:[^"\\]|\\.)*)"', 1)
-    for a, b in (("\\\"", '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\\\", "\\")):
-        body = F.replace(body, F.lit(a), F.lit(b))
-    bare = lambda c: F.regexp_replace(c, r"^<|>$", "")
-    return t.select(bare(F.col("s")).alias("s"), "p", F.when(lit, body).otherwise(bare(F.col("x"))).alias("o"),
-                    F.when(lit, "literal").when(F.col("x").startswith("_:"), "blank").otherwise("iri").alias("o_type"),
-                    F.nullif(F.regexp_extract("x", r'"@([\w-]+)$', 1), F.lit("")).alias("o_lang"),
-                    F.nullif(F.regexp_extract("x", r'"\^\^<([^>]*)>$', 1), F.lit("")).alias("o_datatype"))
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+#: the terms of a line; white space between them may be missing, a blank label doesn't end with a dot
+_IRI, _BLANK = r"<[^\x00-\x20<>\"{}|^`]*>", r"_:[^\s<>\"#]*[^\s<>\"#.]"
+_STRING = r"\"(?:[^\"\\\n\r]|\\.)*\""
+_LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*(?:({_IRI}|{_BLANK})|({_STRING})(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^({_IRI}))?)\s*\.\s*(?:#.*)?$"
+_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def unescaped(c: Column) -> Column:
+    """A string's escapes undone from left to right, each once; a backslash before any other character stays."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\$"), F.lit(0))
+    point = lambda x: F.decode(F.unhex(F.lpad(F.substr(x, F.lit(3)), 8, "0")), "UTF-32")
+
+    def plain(x: Column) -> Column:
+        return F.when(~x.startswith("\\"), x).when(F.length(x) > 2, point(x)).otherwise(F.coalesce(_lookup(_ESCAPES, F.substr(x, F.lit(2), F.lit(1))), x))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, plain), "")).otherwise(c)
+
+
+def read_ntriples(spark: SparkSession, path: str, documents: bool = False) -> DataFrame:
+    """One line, one triple; comments, also behind a triple, and malformed lines are left out. Fully splittable.
+
+    The files below ``path`` are parts of one document, as Spark writes them, or with ``documents`` each one is its own: blank
+    labels of different files are then different nodes.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    part = lambda i: F.regexp_extract("value", _LINE, i)
+    t = lines.filter(F.col("value").rlike(_LINE)).select("file", *[part(i).alias(c) for i, c in enumerate(("s", "p", "node", "string", "lang", "datatype"), 1)])
+    scope = F.concat(F.lit("_:"), F.substring(F.md5("file"), 1, 16), F.lit("n")) if documents else F.lit("_:")
+
+    def bare(c: str) -> Column:
+        x = F.col(c)
+        return F.when(x.startswith("_:"), F.concat(scope, F.substr(x, F.lit(3)))).otherwise(unescaped(F.substr(x, F.lit(2), F.length(x) - 2)))
+
+    lit = F.col("string") != ""
+    return t.select(bare("s").alias("s"), bare("p").alias("p"), F.when(lit, unescaped(F.substr(F.col("string"), F.lit(2), F.length("string") - 2))).otherwise(bare("node")).alias("o"),
+                    F.when(lit, "literal").when(F.col("node").startswith("_:"), "blank").otherwise("iri").alias("o_type"),
+                    F.nullif(F.col("lang"), F.lit("")).alias("o_lang"), F.when(F.col("datatype") != "", bare("datatype")).alias("o_datatype"))
 
 
 def to_ntriples(t: DataFrame) -> DataFrame:
@@ -63,14 +90,10 @@ _DOCTYPE = r"(?s)^\ufeff?(?:\s|<\?.*?\?>|<!--.*?-->)*<!DOCTYPE\s+(?:[\w.-]+:)?([
 #: fixed values: root elements and line marks by which the formats are told, in order, and the telling file endings
 _ROOTS = {"Ontology": "owlxml", "RDF": "rdfxml"}
 _MARKS = [("rdfxml", r"^\s*<\?xml\s"), ("jsonld", r"^\s*[\{\[]"), ("turtle", r"(?im)^\s*@?(prefix|base)\s+\S*\s*<"),
-          ("n3", r"(?s)(^|\n)\s*#.*<http|<http.*\n\s*#"), ("nt", r"(?m)^(<[^>]+>|_:\S+)\s+<[^>]+>\s+\S")]
+          ("n3", r"(?m)^\s*@for(All|Some)\s|\}\s*<?=>?\s*\{"), ("nt", r"(?m)^(<[^>]+>|_:\S+)\s+<[^>]+>\s+\S")]
 _ENDINGS = {"ttl": "turtle", "nt": "nt", "n3": "n3", "jsonld": "jsonld"}
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
-
-
 def sniff(text: Column, path: Column | None = None) -> Column:
     """Format of a document by its first 4096 characters: the root element of XML (or the one its document type names), else the
     first line mark that is found. A telling file ending wins over the content."""
