@@ -2,18 +2,22 @@
 
 Pages are parsed into trees of block elements in which runs of siblings of one shape are folded, as lists and
 paragraphs are. The pages of a host are aligned with one page of it, the pivot, by simple tree matching, so that the same
-slot of different pages gets one name. A slot whose texts keep coming back over the host's pages is template; one
-whose text varies is content. Counting (host, slot, text hash) is a grouped aggregation that is combined on the map
-side, and only the pivot (one folded tree) and the slots of a host are joined back, hot hosts apart.
-
-Markup that names its purpose (``nav``, ``footer``, a class of ``cookie`` …) is taken at its word, and so is an
-``article`` or ``main``; the wrapper decides the slots that markup leaves open.
+slot of different pages gets one name. A text that the other pages of the host have in the same slot is template, one
+that varies is content; the more distinct pages have the slot, the more that counts, from two pages on. Copies of a page
+are one page. Counting (host, slot, text hash) is a grouped aggregation that is combined on the map side, and only the
+pivot (one folded tree) and the slots of a host are joined back, hot hosts apart.
+
+Markup is a prior: inside of ``article`` or ``main`` a text must recur nearly everywhere to be template, outside of it (on
+pages that have one) it must vary clearly to be content, and elsewhere the wrapper alone decides. Only what names another
+purpose (``nav``, ``footer``, a class of ``cookie`` …) goes in any case: comments and teasers vary as articles do.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +30,16 @@ from millrace.llm.shared import slices, small_batches, stored
 from millrace.llm.url_filter import host_of
 from millrace.plans.lookup import fit_lookup, join_lookup
 
-LEAST_PAGES = 8          # pages with a slot before the wrapper judges it
-TEMPLATE_SHARE = 0.5     # distinct texts per page up to which a slot is template
+#: what markup says before the pages are compared: inside of an article, elsewhere, outside of a page's article. The comparison
+#: adds up to +2 (no other page has the text there) or takes up to 2 away (all have it)
+INSIDE, OPEN, OUTSIDE = 1.5, 0.0, -1.6
+LEAST_SHARE = 0.05       # a text in the same slot of fewer of the other pages counts as varying
+MOST_DEPTH = 60          # levels of a path; what is nested deeper has the slot of its ancestor there
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
+#: attributes: a value may hold < and > if it is short, and few may hold <, so that a tag without an end is given up soon
+_PART = r"""(?:[^'"<>]++|"[^"<]*+"|'[^'<]*+')*+"""
+_ATTRIBUTES = rf"""{_PART}(?:(?:"[^"]{{0,2000}}+"|'[^']{{0,2000}}+'){_PART}){{0,8}}+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRIBUTES})>|<[!?][^<>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -53,14 +63,23 @@ class Block:
 
 
 def parse(page: str | None) -> list[Block]:
-    """The page's texts in order, outside of raw elements. Ends that are left out are supplied; stray ends are ignored."""
-    page, blocks, stack, run, at = page or "", [], [], [], 0
+    """The page's texts in order, outside of raw elements. Ends that are left out are supplied; stray ends are ignored. A script or style
+    without an end takes the rest of the page, as in a browser; other raw elements without one lose their tag alone."""
+    page, blocks, run = page or "", [], []
+    stack: list[tuple[str, int, str]] = []      # label, named, tag
+    path, opened, endless = [], Counter(), set()
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(run)).split())
         run.clear()
         if text:
-            blocks.append(Block("/".join(s[0] for s in stack), stack[-1][1] if stack else 0, text))
+            blocks.append(Block("/".join(path), stack[-1][1] if stack else 0, text))
+
+    def leave() -> str:
+        _, _, tag = stack.pop()
+        opened[tag] -= 1
+        del path[len(stack):]
+        return tag
 
     pos, size = 0, len(page)
     while pos < size:
@@ -73,9 +92,13 @@ def parse(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not m[1] and not m[3].endswith("/") and tag not in endless:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else (pos if tag == "head" else size)
+                if end:
+                    pos = end.end()
+                else:
+                    endless.add(tag)
+                    pos = size if tag in ("script", "style") else pos
             continue
         if tag not in BLOCK:
             if tag == "br":
@@ -83,12 +106,12 @@ def parse(page: str | None) -> list[Block]:
             continue
         close()
         if m[1]:
-            if any(s[0].split(".")[0] == tag for s in stack):
-                while stack.pop()[0].split(".")[0] != tag:
+            if opened[tag] > 0:
+                while leave() != tag:
                     pass
             continue
-        while stack and tag in ENDED_BY.get(stack[-1][0].split(".")[0], ()):
-            stack.pop()
+        while stack and tag in ENDED_BY.get(stack[-1][2], ()):
+            leave()
         if tag in VOID:
             continue
         parent = stack[-1][1] if stack else 0
@@ -97,7 +120,10 @@ def parse(page: str | None) -> list[Block]:
         off = tag in UNWANTED or "hidden" in given or (tag == "header" and parent != 1) or (purpose and PURPOSE.search(purpose) and tag not in ("html", "body"))
         named = -1 if parent == -1 or (off and not (parent == 1 and tag == "header")) else 1 if tag in WANTED else parent
         label = tag + (f".{re.sub(r'[^a-z-]+', '.', given['class'].lower())}" if given.get("class") else "")
-        stack.append((label, named))
+        stack.append((label, named, tag))
+        opened[tag] += 1
+        if len(stack) <= MOST_DEPTH:
+            path.append(label)
     close()
     return blocks
 
@@ -167,57 +193,103 @@ def aligned(own: str, pivot: str) -> dict[str, str]:
 
 # --- Spark jobs --------------------------------------------------------------------------------------------------
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None, least_pages: int = LEAST_PAGES,
-            template_share: float = TEMPLATE_SHARE) -> DataFrame:
+class Wrapper:
+    """A host's slots: on how many distinct pages each is, and the texts that recur there with the share of the other pages."""
+
+    def __init__(self, held: str | None):
+        slots, recurring = json.loads(held) if held else ([], [])
+        self.pages = {x["slot"]: x["n"] for x in slots}
+        self.share = {(x["slot"], x["hash"]): x["share"] for x in recurring}
+
+    def keeps(self, slot: str, text_hash: int, named: int, main: bool) -> bool:
+        if named < 0:
+            return False
+        n = self.pages.get(slot, 1)
+        prior = INSIDE if named else OUTSIDE if main else OPEN
+        return prior + 4 * (1 - 1 / n) * (0.5 - self.share.get((slot, text_hash), 0.0)) * (n > 1) >= 0
+
+
+@lru_cache(maxsize=2_000)
+def _wrapper(held: str | None) -> Wrapper:
+    return Wrapper(held)
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all by default) with text and n_chars.
 
     Blocks are joined by two line feeds in page order, white space within a block is one space, character references are
     decoded. A null or empty page has the text ''. Pages without host are a host of their own. If nothing of a page would
-    be left, the blocks that markup leaves open are kept. Equal rows get equal texts; input columns named
-    like an added one are replaced.
+    be left, the blocks that no markup names otherwise are kept. Equal rows get equal texts; input columns named
+    like an added one are replaced. Nesting of any depth and broken markup are read in time proportional to the page.
     """
     names = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
     frame = small_batches(pages).select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(names)], host_of(F.col(url)).alias("host"), F.col(html).alias("_html"))
     held = [c for c in frame.columns if c != "_html"]
     schema = StructType([*frame.select(*held).schema.fields, *StructType.fromDDL(
-        "tree string, paths array<string>, named array<int>, hashes array<long>, texts array<string>").fields])
+        "page long, tree string, paths array<string>, named array<int>, hashes array<long>, texts array<string>").fields])
+    digest = lambda t: xxhash.xxh64_intdigest(t) - (1 << 63)
 
     def read(batches):
         for batch in slices(batches, "_html"):
             found = [parse(p) for p in batch.column("_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                *[batch.column(c) for c in held], pa.array(["\n".join(dict.fromkeys(b.path for b in f)) for f in found], pa.string()),
+                *[batch.column(c) for c in held], pa.array([digest("\n".join(f"{b.path}\t{b.text}" for b in f)) for f in found], pa.int64()),
+                pa.array(["\n".join(dict.fromkeys(b.path for b in f)) for f in found], pa.string()),
                 pa.array([[b.path for b in f] for f in found], pa.list_(pa.string())), pa.array([[b.named for b in f] for f in found], pa.list_(pa.int32())),
-                pa.array([[xxhash.xxh64_intdigest(b.text) - (1 << 63) for b in f] for f in found], pa.list_(pa.int64())),
+                pa.array([[digest(b.text) for b in f] for f in found], pa.list_(pa.int64())),
                 pa.array([[b.text for b in f] for f in found], pa.list_(pa.string()))], names=schema.names)
 
     parsed = stored(frame.mapInArrow(read, schema), "parsed-pages")
     # the pivot: the host's tree of most pages, so that one odd page does not name the slots
     trees = parsed.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
     pivots = fit_lookup(trees.groupBy("host").agg(F.max(F.struct("n", "tree")).alias("m"), F.sum("n").alias("n")).select("host", F.col("m.tree").alias("pivot"), "n"), ["host"])
+    # copies of a page count as one together
+    copies = fit_lookup(parsed.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("copies", F.col("n")), ["host", "page"])
+
+    def with_pivot(*columns):
+        return join_lookup(parsed.select("host", *columns, "tree", "paths"), pivots, ["pivot"])
 
-    def slots(batches):
+    def named_slots(batch) -> list[list[str]]:
+        own = [aligned(t, p or t) for t, p in zip(batch.column("tree").to_pylist(), batch.column("pivot").to_pylist())]
+        return [[m[p] for p in paths] for m, paths in zip(own, batch.column("paths").to_pylist())]
+
+    def counted(batches):
+        """Each slot of a page once, and each of its texts there once."""
+        for batch in batches:
+            out = {"host": [], "slot": [], "hash": [], "weight": []}
+            for host, copies, slots, hashes in zip(batch.column("host").to_pylist(), batch.column("copies").to_pylist(), named_slots(batch), batch.column("hashes").to_pylist()):
+                found = list(dict.fromkeys([(s, None) for s in slots] + list(zip(slots, hashes))))
+                out["host"] += [host] * len(found)
+                out["slot"] += [f[0] for f in found]
+                out["hash"] += [f[1] for f in found]
+                out["weight"] += [1.0 / (copies or 1)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["slot"], pa.string()), pa.array(out["hash"], pa.int64()),
+                                              pa.array(out["weight"], pa.float64())], names=list(out))
+
+    rows = join_lookup(with_pivot("page", "hashes"), copies, ["copies"]).mapInArrow(counted, "host string, slot string, hash long, weight double")
+    seen = stored(rows.groupBy("host", "slot", "hash").agg(F.round(F.sum("weight")).cast("long").alias("n")).filter("n > 1"), "recurring-texts")
+    slots = seen.filter("hash IS NULL").select("host", "slot", F.col("n").alias("pages"))
+    # at most 1 / LEAST_SHARE texts per slot and block of an average page
+    share = (F.col("n") - 1) / (F.col("pages") - 1)
+    recurring = (seen.filter("hash IS NOT NULL").join(slots.withColumnsRenamed({"host": "h", "slot": "s"}), F.col("host").eqNullSafe(F.col("h")) & (F.col("slot") == F.col("s")))
+                 .select("host", "slot", "hash", share.alias("share")).filter(F.col("share") >= LEAST_SHARE))
+    parts = slots.select("host", F.struct("slot", F.col("pages").alias("n")).alias("a"), F.lit(None).cast("struct<slot:string,hash:bigint,share:double>").alias("b")).unionByName(
+        recurring.select("host", F.lit(None).cast("struct<slot:string,n:bigint>").alias("a"), F.struct("slot", "hash", "share").alias("b")))
+    listed = parts.groupBy("host").agg(F.concat(F.lit("["), F.to_json(F.collect_list("a")), F.lit(","), F.to_json(F.collect_list("b")), F.lit("]")).alias("wrapper"))
+    pages_of = trees.groupBy("host").agg(F.sum("n").alias("n")).withColumnRenamed("host", "h")
+    wrappers = fit_lookup(listed.join(pages_of, F.col("host").eqNullSafe(F.col("h"))).drop("h"), ["host"])
+    shown = join_lookup(with_pivot(*[c for c in held if c != "host"], "named", "hashes", "texts"), wrappers, ["wrapper"])
+
+    def chosen(batches):
         for batch in batches:
-            own = [aligned(t, p or t) for t, p in zip(batch.column("tree").to_pylist(), batch.column("pivot").to_pylist())]
-            named = [[m[p] for p in paths] for m, paths in zip(own, batch.column("paths").to_pylist())]
-            rest = [c for c in batch.schema.names if c not in ("tree", "paths", "pivot")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(named, pa.list_(pa.string()))], names=[*rest, "slots"])
-
-    def with_slots(columns):
-        chosen = join_lookup(parsed.select("host", *columns, "tree", "paths"), pivots, ["pivot"])
-        return chosen.mapInArrow(slots, StructType([*chosen.select("host", *columns).schema.fields, *StructType.fromDDL("slots array<string>").fields]))
-
-    texts = with_slots(["hashes"]).select("host", F.explode(F.arrays_zip("slots", "hashes")).alias("b")).select("host", "b.slots", "b.hashes")
-    seen = texts.groupBy("host", "slots", "hashes").agg(F.count(F.lit(1)).alias("n"))
-    judged = seen.groupBy("host", "slots").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("n"))
-    template = judged.filter((F.col("n") >= least_pages) & (F.col("distinct") <= F.lit(template_share) * F.col("n")))
-    wrapper = fit_lookup(template.groupBy("host").agg(F.collect_set("slots").alias("template"), F.sum("n").alias("n")), ["host"])   # slots of a host
-
-    full = join_lookup(with_slots([*[c for c in held if c != "host"], "named", "texts"]), wrapper, ["template"])
-    gone = F.coalesce("template", F.array().cast("array<string>"))
-    blocks = F.arrays_zip("slots", "named", "texts")
-    kept = F.filter(blocks, lambda b: (b["named"] == 1) | ((b["named"] == 0) & ~F.array_contains(gone, b["slots"])))
-    main = F.exists("named", lambda x: x == 1)            # a page that names its article has no open content outside of it
-    kept = F.when(main, F.filter(blocks, lambda b: b["named"] == 1)).when(F.size(kept) > 0, kept).otherwise(F.filter(blocks, lambda b: b["named"] == 0))
-    out = full.withColumn("text", F.array_join(F.transform(kept, lambda b: b["texts"]), "\n\n")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], "text", "n_chars")
+            texts = []
+            columns = (batch.column(c).to_pylist() for c in ("wrapper", "named", "hashes", "texts"))
+            for (held_wrapper, named, hashes, own), slots in zip(zip(*columns), named_slots(batch)):
+                wrapper, main = _wrapper(held_wrapper), 1 in named
+                kept = [t for t, s, h, k in zip(own, slots, hashes, named) if wrapper.keeps(s, h, k, main)]
+                texts.append("\n\n".join(kept or [t for t, k in zip(own, named) if k >= 0]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in inputs], pa.array(texts, pa.string())], names=[*inputs, "text"])
+
+    inputs = [f"in_{i}" for i in range(len(names))]
+    out = shown.mapInArrow(chosen, StructType([*shown.select(*inputs).schema.fields, *StructType.fromDDL("text string").fields]))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], "text", "n_chars")
