@@ -41,6 +41,12 @@ DEFAULTS = {
     "kmeans": {"k": 8},
     "hierarchical": {"k": 8},
 }
+#: fixed values: further parameters of the catalogue, by model
+FURTHER = {
+    "logistic_regression": {"solver"},
+    "random_forest": {"min_samples_leaf", "min_samples_split", "max_features"},
+    **dict.fromkeys(("gradient_boosting", "xgboost", "lightgbm", "catboost"), {"min_samples_leaf", "min_samples_split", "max_features", "subsample"}),
+}
 BOOSTED = ("gradient_boosting", "xgboost", "lightgbm", "catboost")
 REGRESSORS = ("linear_regression", "ridge", "lasso", "elastic_net")
 UNLIMITED_DEPTH = 30  # Spark trees need a limit; this is its largest
@@ -56,10 +62,40 @@ class Fitted:
     params: dict = field(default_factory=dict)
 
 
+def checked_params(name: str, params: dict) -> dict:
+    """The model's parameters with its defaults filled in. A name that the catalogue's model does not have is an error."""
+    if name not in DEFAULTS:
+        raise ValueError(f"unknown model {name!r}")
+    unknown = set(params) - set(DEFAULTS[name]) - FURTHER.get(name, set()) - {"weight_col"}
+    if unknown:
+        raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
+    return {**DEFAULTS[name], **params}
+
+
+def _tree_params(p: dict) -> dict:
+    """Spark's names for what a tree model was given. The solver of a linear model, in contrast, changes only the way to the same optimum."""
+    out = {}
+    if p.get("min_samples_leaf") is not None:
+        if isinstance(p["min_samples_leaf"], float):
+            raise ValueError("min_samples_leaf is a number of rows")
+        out["minInstancesPerNode"] = int(p["min_samples_leaf"])
+    if p.get("min_samples_split") not in (None, 2):
+        raise ValueError("Spark's trees have no min_samples_split: use min_samples_leaf")
+    if "max_features" in p:
+        f = p["max_features"]
+        if isinstance(f, str) and f not in ("sqrt", "log2", "auto"):
+            raise ValueError("max_features is sqrt, log2, a share, a number or None")
+        out["featureSubsetStrategy"] = "all" if f is None or f == 1.0 and isinstance(f, float) else str(f)
+    if p.get("subsample") is not None:
+        out["subsamplingRate"] = float(p["subsample"])
+    return out
+
+
 def estimator(name: str, task: str, rows: int, classes: int, width: int, params: dict,
               label_sd: float = 1.0):
     """The Spark estimator for a catalogue name with translated parameters."""
-    p = {**DEFAULTS.get(name, {}), **params}
+    p = checked_params(name, params)
+    trees = _tree_params(p)
     cls = {"featuresCol": "_features", "labelCol": "_label"}
     if params.get("weight_col"):
         cls["weightCol"] = params["weight_col"]
@@ -68,11 +104,11 @@ def estimator(name: str, task: str, rows: int, classes: int, width: int, params:
         return LogisticRegression(**cls, maxIter=p["max_iter"], regParam=1.0 / (p["C"] * max(rows, 1)), standardization=False)
     if name == "random_forest":
         forest = RandomForestClassifier if task == "classification" else RandomForestRegressor
-        return forest(**cls, numTrees=p["n_estimators"], maxDepth=depth, seed=42)
+        return forest(**cls, numTrees=p["n_estimators"], maxDepth=depth, seed=42, **trees)
     if name in BOOSTED:
         if task == "regression":
-            return GBTRegressor(**cls, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=depth, seed=42)
-        gbt = GBTClassifier(**cls, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=depth, seed=42)
+            return GBTRegressor(**cls, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=depth, seed=42, **trees)
+        gbt = GBTClassifier(**cls, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=depth, seed=42, **trees)
         return gbt if classes == 2 else OneVsRest(classifier=gbt, featuresCol="_features", labelCol="_label")
     if name == "svm_rbf":
         svc = LinearSVC(**cls, maxIter=100, regParam=1.0 / (p["C"] * max(rows, 1)), standardization=False)

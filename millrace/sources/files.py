@@ -25,12 +25,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
              skiprows: int = 0, nrows: int | None = None, schema=None, infer: bool = True, multiline: bool = False) -> DataFrame:
     """Delimited text. Without a header the columns are ``_c0``, ``_c1`` ...
 
-    ``skiprows`` drops the first lines of every file and, with a header, takes the names from the line after them (of the first file;
-    the files must agree in width); lines are found by position, so no quoted line breaks there. Encodings the reader lacks are
-    decoded in the tasks, file by file. ``multiline`` keeps quoted line breaks, at one task per file.
+    ``skiprows`` drops the first lines of every file and, with a header, takes the names from the line after them; files whose header
+    lines differ are an error there, as columns go by position. Lines are found by position, so no quoted line breaks
+    there. Encodings the reader lacks are decoded in the tasks, file by file. ``multiline`` keeps quoted line breaks, at one task
+    per file; those encodings always do.
     """
     enc = encoding.lower().replace("latin-1", "iso-8859-1").replace("latin1", "iso-8859-1").replace("ascii", "us-ascii") \
         if encoding.lower() != "us-ascii" else "us-ascii"
+    multiline = multiline or enc not in NATIVE_ENCODINGS
     options = {"sep": sep, "escape": '"', "multiLine": multiline}
     if enc in NATIVE_ENCODINGS and not skiprows:
         reader = spark.read.options(header=header, encoding=enc, **options)
@@ -43,7 +45,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
             df = lines.filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
         else:
             reader, as_rdd = spark.read.options(header=False, **options), lambda d: d.rdd.map(lambda r: r[0])  # types are inferred from an RDD alone
-            named = reader.csv(as_rdd(names)).first() if header else None
+            heads = [r["value"] for r in names.collect()] if header else []
+            if len(heads) > 1:
+                raise ValueError(f"files with different headers: {heads[0]!r} and {heads[1]!r}")
+            named = reader.csv(as_rdd(names)).first() if heads else None
             df = reader.option("inferSchema", infer).csv(as_rdd(lines))
             if named:
                 df = df.toDF(*[n if n is not None else f"_c{i}" for i, n in enumerate(named)])
@@ -55,7 +60,7 @@ def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str, enc: str, encoding: str, skip: int, header: bool, multiline: bool):
-    """(data lines, the header line of the first file), both in a column ``value``. Nothing is written between."""
+    """(data lines, the files' header line, two if they differ), both in a column ``value``. Nothing is written between."""
     ahead = skip + bool(header)
     if enc in NATIVE_ENCODINGS and not multiline:
         lines = (spark.read.option("encoding", enc).text(path)
@@ -65,7 +70,7 @@ def _lines(spark: SparkSession, path: str, enc: str, encoding: str, skip: int, h
         heads = lines.filter("start = 0").mapInPandas(lambda it: _first_of_each(it, ahead), lines.schema).withColumn("i", place).filter(F.col("i") <= ahead)
         last = heads.groupBy("file").agg(F.max("id").alias("last"))
         data = lines.join(last, "file", "left").filter((F.col("start") > 0) | F.col("last").isNull() | (F.col("id") > F.col("last"))).select("value")
-        names = heads.filter(F.col("i") == ahead).orderBy("file").limit(1).select("value")
+        names = heads.filter(F.col("i") == ahead).select("value").distinct().limit(2)
     else:
         def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -77,7 +82,7 @@ def _lines(spark: SparkSession, path: str, enc: str, encoding: str, skip: int, h
                     yield pd.DataFrame({"value": parts, "i": range(1, len(parts) + 1), "file": file})
 
         rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "value string, i long, file string")
-        data, names = rows.filter(F.col("i") > ahead).select("value"), rows.filter(F.col("i") == ahead).orderBy("file").limit(1).select("value")
+        data, names = rows.filter(F.col("i") > ahead).select("value"), rows.filter(F.col("i") == ahead).select("value").distinct().limit(2)
     return data, names
 
 

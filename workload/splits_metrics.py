@@ -237,9 +237,9 @@ def metric_residual_histogram(spark, sf):
 
 
 @query("metric_residuals", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS y, l_quantity * 1500 AS y_hat, l_extendedprice - l_quantity * 1500 AS residual FROM lineitem WHERE l_returnflag = 'R'""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS y, l_quantity * 1500 AS y_hat, l_extendedprice - l_quantity * 1500 AS residual FROM lineitem""")
 def metric_residuals(spark, sf):
-    df = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
+    df = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("y_hat"))
     return M.residuals(df)
 
