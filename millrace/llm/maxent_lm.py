@@ -6,8 +6,8 @@ follow their smoothed counts, with room for one unknown word. The features of a
 before it (skip), both (bigram history) and the classes of the last three words, each hashed into rows of weights.
 
 Training is distributed: in each round every task takes the current weights, runs steps of gradient descent (AdaGrad per row of weights) over its documents in
-sparse numpy batches and returns what it changed; changes are averaged by how often a row was touched. All training
-documents are used once. Counts of all words are gathered by a shuffle; the frequent ones, of bounded number, are
+sparse numpy batches and returns what it changed; changes are averaged by how often a row was touched, and enlarged by
+a power of the number of tasks that saw the row, chosen by likelihood. All training documents are used once. Counts of all words are gathered by a shuffle; the frequent ones, of bounded number, are
 broadcast, and the rest of a document's words meets its counts in a join.
 """
 
@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,14 @@ ROWS = (1 << 13, 1 << 13, 1 << 14, 1 << 14)   # weight rows of each class featur
 INNER = (1 << 13, 1 << 13)      # weight rows of each feature within a class
 assert max(sum(ROWS), sum(INNER)) <= 1 << 16
 BATCH = 16_384
+FIRST = 512                     # tokens of a task's first step
 RATE = 0.4
 REMEMBERED = 400_000            # words whose codes a worker remembers
 TAIL = 1 << 20
 END = b""                       # a word is never empty, so the empty word is the end
 DELTA = 0.1
+POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)   # of a row's spread over tasks, tried after each round
+SHARES = (0.1, 0.88, 0.02)      # of the training documents in each round
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -92,9 +96,13 @@ class Codes(dict):
 
 
 class Weights:
-    def __init__(self, outer: np.ndarray | None = None, inner: np.ndarray | None = None):
+    """Rows of weights of both softmaxes and, per row, the sum of its squared gradients, which sets its step."""
+
+    def __init__(self, outer: np.ndarray | None = None, inner: np.ndarray | None = None, outer2: np.ndarray | None = None, inner2: np.ndarray | None = None):
         self.outer = np.zeros((sum(ROWS), WIDTH), np.float32) if outer is None else outer
         self.inner = np.zeros((sum(INNER), WIDTH), np.float32) if inner is None else inner
+        self.outer2 = np.zeros(sum(ROWS)) if outer2 is None else outer2
+        self.inner2 = np.zeros(sum(INNER)) if inner2 is None else inner2
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -141,30 +149,48 @@ def _logits(weights: np.ndarray, features: list[np.ndarray], bias: np.ndarray) -
     return z
 
 
+def _widest(z: np.ndarray) -> np.ndarray:
+    """The largest of each row, as a column; the width is a power of two, so halves are compared as wholes."""
+    while z.shape[1] > 1:
+        half = z.shape[1] // 2
+        z = np.maximum(z[:, :half], z[:, half:])
+    return z
+
+
 def _step(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, features: list[np.ndarray], target: np.ndarray, bias: np.ndarray) -> None:
     """One step on the log likelihood of ``target``."""
     z = _logits(weights, features, bias)
-    z -= z.max(1, keepdims=True)
+    z -= _widest(z)
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     z[np.arange(len(z)), target] -= 1
+    flat, cells, number, at = z.astype(np.float64).ravel(), np.arange(WIDTH), np.empty(len(weights), np.int64), np.empty(z.shape, np.int64)
     for f in features:
-        order = np.argsort(f.astype(np.uint16), kind="stable")   # rows are fewer than 65 536, and a radix sort is linear
-        place = f[order]
-        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        rows, g = place[begin], np.add.reduceat(np.take(z, order, axis=0), begin, axis=0)
-        squares[rows] += (g * g).sum(1)
-        touched[rows] += np.diff(np.append(begin, len(f)))
-        weights[rows] -= RATE * g / (np.sqrt(squares[rows]) + 1e-6)[:, None]
+        often = np.bincount(f)
+        rows = np.flatnonzero(often)
+        number[rows] = np.arange(len(rows)) * WIDTH
+        np.add(number[f][:, None], cells, out=at)
+        g = np.bincount(at.ravel(), flat, len(rows) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
+        squares[rows] += np.einsum("ij,ij->i", g, g)
+        touched[rows] += often[rows]
+        g *= (RATE / (np.sqrt(squares[rows]) + 1e-6)).astype(np.float32)[:, None]
+        weights[rows] -= g
+
+
+def _cuts(n: int, steps: int) -> Iterator[tuple[slice, int]]:
+    """Slices of ``n`` tokens; the first ``steps`` of a task grow from FIRST tokens to BATCH, so that a small share also takes several steps."""
+    at = 0
+    while at < n:
+        size = min(BATCH, FIRST << min(steps, 30))
+        yield slice(at, at + size), (steps := steps + 1)
+        at += size
 
 
 def train_batch(w: Weights, state: dict, s: Stream, v: Vocabulary) -> None:
-    for at in range(0, len(s.codes), BATCH):
-        cut = slice(at, at + BATCH)
-        _step(w.outer, state["outer2"], state["outer_n"], [f[cut] for f in s.outer], s.cls[cut], v.class_bias)
-    for at in range(0, len(s.soft), BATCH):
-        cut = slice(at, at + BATCH)
-        _step(w.inner, state["inner2"], state["inner_n"], [f[cut] for f in s.inner], s.slot[cut], v.word_bias[s.cls[s.soft[cut]]])
+    for cut, state["outer_steps"] in _cuts(len(s.codes), state.get("outer_steps", 0)):
+        _step(w.outer, w.outer2, state["outer_n"], [f[cut] for f in s.outer], s.cls[cut], v.class_bias)
+    for cut, state["inner_steps"] in _cuts(len(s.soft), state.get("inner_steps", 0)):
+        _step(w.inner, w.inner2, state["inner_n"], [f[cut] for f in s.inner], s.slot[cut], v.word_bias[s.cls[s.soft[cut]]])
 
 
 def log10_parts(w: Weights, s: Stream, v: Vocabulary) -> np.ndarray:
@@ -173,12 +199,12 @@ def log10_parts(w: Weights, s: Stream, v: Vocabulary) -> np.ndarray:
     for at in range(0, len(s.codes), BATCH):
         cut = slice(at, at + BATCH)
         z = _logits(w.outer, [f[cut] for f in s.outer], v.class_bias)
-        top = z.max(1)
+        top = _widest(z)[:, 0]
         out[cut] = z[np.arange(len(z)), s.cls[cut]] - top - np.log(np.exp(z - top[:, None]).sum(1))
     for at in range(0, len(s.soft), BATCH):
         cut = slice(at, at + BATCH)
         z = _logits(w.inner, [f[cut] for f in s.inner], v.word_bias[s.cls[s.soft[cut]]])
-        top = z.max(1)
+        top = _widest(z)[:, 0]
         out[s.soft[cut]] += z[np.arange(len(z)), s.slot[cut]] - top - np.log(np.exp(z - top[:, None]).sum(1))
     counted = np.flatnonzero(s.head & (s.cls >= SOFT))
     out[counted] += np.log((v.counts[s.codes[counted]] + DELTA) / v.room[s.cls[counted]])
@@ -243,7 +269,7 @@ def _streams(batches: Iterator[pa.RecordBatch], codes: Codes, v: Vocabulary, tok
 
     def group():
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter((c for w in words for c in map(codes.__getitem__, w)), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         return words, sizes, Stream(flat, sizes, v)
 
     for batch in slices(batches, "_text"):
@@ -257,58 +283,92 @@ def _streams(batches: Iterator[pa.RecordBatch], codes: Codes, v: Vocabulary, tok
         yield group()
 
 
-def train(training: DataFrame, v: Vocabulary, shares: tuple[float, ...] = (0.1, 0.9), block: int = 512) -> Weights:
+def merged(start: Weights, change: Weights, spread: dict[str, np.ndarray], power: float) -> Weights:
+    """The weights after a round: a row moves by the tasks' mean change times its spread to ``power``; squares add up."""
+    return Weights(*(getattr(start, name) + getattr(change, name) * (spread[name] ** power)[:, None] for name in ("outer", "inner")),
+                   start.outer2 + change.outer2, start.inner2 + change.inner2)
+
+
+def best_power(sample: DataFrame, v, start: Weights, change: Weights, spread: dict[str, np.ndarray]) -> float:
+    """The power of ``POWERS`` under which the documents of ``sample`` are most likely; the smallest of equal ones."""
+    shared = sample.sparkSession.sparkContext.broadcast((start, change, spread))
+
+    def measure(batches):
+        tried, codes, sums = [merged(*shared.value, power) for power in POWERS], Codes(v.value.head), np.zeros(len(POWERS))
+        for _, _, stream in _streams(batches, codes, v.value):
+            sums += [log10_parts(w, stream, v.value).sum() for w in tried]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=[f"p{i}" for i in range(len(POWERS))])
+
+    row = sample.mapInArrow(measure, ", ".join(f"p{i} double" for i in range(len(POWERS)))).agg(*[F.sum(f"p{i}") for i in range(len(POWERS))]).first()
+    shared.unpersist()
+    return POWERS[int(np.argmax([x or 0.0 for x in row]))]
+
+
+def train(training: DataFrame, v: Vocabulary, shares: tuple[float, ...] = SHARES, block: int = 512) -> Weights:
     """Rounds over disjoint hash shares of the training documents (column ``_text``), which together are all of them.
 
     A task's changes travel as blocks of weight rows; the averages that reach the driver are the size of the model.
+    All tasks of a round start from the same weights, so the mean of their changes teaches what one task's share does,
+    and their sum is too much where each came close to the best by itself. Between the two lies the mean times a power
+    of the row's spread, the number of tasks it was seen in (all its touches by the most of one task). The power is
+    chosen by the likelihood of the last share, which no round before has learnt from; it is learnt itself in the last
+    round, by the mean alone. The squares of all tasks add up and are carried on, so later steps are smaller.
     """
     weights, sc, done = Weights(), training.sparkSession.sparkContext, 0.0
     part = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) / 1_000_000.0
-    total = sum(shares)
+    total, vocabulary = sum(shares), sc.broadcast(v)
+    last = training.filter(part >= (total - shares[-1]) / total).select("_text")
     for share in shares:
-        shared = sc.broadcast((weights, v))
+        shared = sc.broadcast(weights)
 
         def learn(batches, shared=shared):
-            start, vocabulary = shared.value
-            w = Weights(start.outer.copy(), start.inner.copy())
-            state = {"outer2": np.zeros(len(w.outer)), "inner2": np.zeros(len(w.inner)), "outer_n": np.zeros(len(w.outer), np.int64), "inner_n": np.zeros(len(w.inner), np.int64)}
-            codes = Codes(vocabulary.head)
-            for _, _, stream in _streams(batches, codes, vocabulary):
-                train_batch(w, state, stream, vocabulary)
-            for name, new, old in (("outer", w.outer, start.outer), ("inner", w.inner, start.inner)):
-                n = state[f"{name}_n"]
+            start, v = shared.value, vocabulary.value
+            w = Weights(start.outer.copy(), start.inner.copy(), start.outer2.copy(), start.inner2.copy())
+            state = {"outer_n": np.zeros(len(w.outer), np.int64), "inner_n": np.zeros(len(w.inner), np.int64)}
+            codes = Codes(v.head)
+            for _, _, stream in _streams(batches, codes, v):
+                train_batch(w, state, stream, v)
+            for name in ("outer", "inner"):
+                new, old, n, squares = getattr(w, name), getattr(start, name), state[f"{name}_n"], getattr(w, f"{name}2") - getattr(start, f"{name}2")
                 for at in range(0, len(new), block):
                     m = n[at:at + block].astype(np.float32)
                     if m.any():
                         yield pa.RecordBatch.from_pydict({"name": [name], "at": pa.array([at], pa.int64()), "change": pa.array([((new[at:at + block] - old[at:at + block]) * m[:, None]).tobytes()], pa.binary()),
-                                                          "n": pa.array([m.tobytes()], pa.binary())})
+                                                          "n": pa.array([m.tobytes()], pa.binary()), "squares": pa.array([squares[at:at + block].astype(np.float32).tobytes()], pa.binary())})
 
         def average(batches):
             sums: dict[tuple[str, int], list[np.ndarray]] = {}   # of a few blocks: together never more than the model
             for batch in batches:
-                for name, at, c, m in zip(*(batch.column(x).to_pylist() for x in ("name", "at", "change", "n"))):
+                for name, at, c, m, q in zip(*(batch.column(x).to_pylist() for x in ("name", "at", "change", "n", "squares"))):
                     m = np.frombuffer(m, np.float32).astype(np.float64)
                     c = np.frombuffer(c, np.float32).reshape(len(m), -1).astype(np.float64)
-                    held = sums.setdefault((name, at), [np.zeros_like(c), np.zeros_like(m)])
+                    held = sums.setdefault((name, at), [np.zeros_like(c), *(np.zeros_like(m) for _ in range(3))])
                     held[0] += c
                     held[1] += m
-            for (name, at), (c, m) in sums.items():
-                mean = (c / np.maximum(m, 1)[:, None]).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "at": pa.array([at], pa.int64()), "change": pa.array([mean.tobytes()], pa.binary())})
+                    np.maximum(held[2], m, out=held[2])
+                    held[3] += np.frombuffer(q, np.float32)
+            for (name, at), (c, m, most, squares) in sums.items():
+                parts = [x.astype(np.float32).tobytes() for x in (c / np.maximum(m, 1)[:, None], np.maximum(m, 1) / np.maximum(most, 1), squares)]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["name", "at", "change", "spread", "squares"])
 
         low, done = done / total, done + share
         chosen = training.filter((part >= low) & (part < done / total if done < total else F.lit(True))).select("_text")
-        changes = chosen.mapInArrow(learn, "name string, at long, change binary, n binary")
-        weights = Weights(weights.outer.copy(), weights.inner.copy())
-        for r in changes.repartition("name", "at").mapInArrow(average, "name string, at long, change binary").collect():
+        changes = chosen.mapInArrow(learn, "name string, at long, change binary, n binary, squares binary")
+        change = Weights()
+        spread = {"outer": np.ones(len(change.outer), np.float32), "inner": np.ones(len(change.inner), np.float32)}
+        for r in changes.repartition("name", "at").mapInArrow(average, "name string, at long, change binary, spread binary, squares binary").collect():
             rows = np.frombuffer(r.change, np.float32).reshape(-1, WIDTH)
-            getattr(weights, r.name)[r["at"]:r["at"] + len(rows)] += rows
+            getattr(change, r.name)[r["at"]:r["at"] + len(rows)] = rows
+            spread[r.name][r["at"]:r["at"] + len(rows)] = np.frombuffer(r.spread, np.float32)
+            getattr(change, f"{r.name}2")[r["at"]:r["at"] + len(rows)] = np.frombuffer(r.squares, np.float32)
         shared.unpersist()
+        weights = merged(weights, change, spread, best_power(last, vocabulary, weights, change, spread) if done < total else 0.0)
+    vocabulary.unpersist()
     return weights
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, fold: int = 10,
-                    head: int = HEAD, shares: tuple[float, ...] = (0.1, 0.9)) -> DataFrame:
+                    head: int = HEAD, shares: tuple[float, ...] = SHARES) -> DataFrame:
     """Columns ``keep`` (all by default) with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     The model learns from the rows whose key is not held out, and scores all. base_score is the log10 probability under
@@ -327,38 +387,39 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     shared = docs.sparkSession.sparkContext.broadcast((weights, v))   # the model's fixed size and at most ``head`` words
     carried = [c for c in frame.columns if c != "_text"]
     schema = StructType([*frame.select(*carried).schema.fields, *StructType.fromDDL(
-        "row long, n_tokens long, known long, base double, score double, tail array<struct<word:binary,cls:int,n:long>>").fields])
+        "row long, n_tokens long, known long, base double, score double, tail array<struct<word:binary,cls:int>>").fields])
 
     def score(batches):
         w, v = shared.value
         codes, at = Codes(v.head), TaskContext.get().partitionId() << 36
         logs = np.log10((v.counts + DELTA) / v.base)
         for batch in slices(batches, "_text"):
-            done, n = [], 0
+            columns, rare_words, rare_classes, rare_sizes = [], [], [], []
             for words, sizes, s in _streams(iter([batch]), codes, v):
                 part = log10_parts(w, s, v)
                 base = np.where(s.head, logs[np.where(s.head, s.codes, 0)] if len(logs) else 0.0, 0.0)
                 begin = np.cumsum(sizes) - sizes
-                values = [np.add.reduceat(x, begin) for x in (s.head.astype(np.int64), base, part)]
-                rare = np.flatnonzero(~s.head)
-                owner = np.searchsorted(begin, rare, "right") - 1
-                tails: list[Counter] = [Counter() for _ in words]
-                for d, i, c in zip(owner.tolist(), (rare - begin[owner]).tolist(), s.cls[rare].tolist()):
-                    tails[d][words[d][i], c] += 1
-                done += [(int(k), a, b, c, [{"word": x, "cls": y, "n": m} for (x, y), m in t.items()]) for k, a, b, c, t in zip(sizes, *(x.tolist() for x in values), tails)]
-            if done:
-                columns = list(zip(*done))
-                n = len(done)
-                arrays = [pa.array(range(at, at + n), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), _TAIL))]]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *arrays], names=schema.names)
+                known = np.add.reduceat(s.head.astype(np.int64), begin)
+                columns.append((sizes, known, np.add.reduceat(base, begin), np.add.reduceat(part, begin)))
+                rare, flat = np.flatnonzero(~s.head), list(chain.from_iterable(words))
+                rare_words += map(flat.__getitem__, rare.tolist())
+                rare_classes.append(s.cls[rare])
+                rare_sizes.append(sizes - known)
+            if columns:
+                arrays = [np.concatenate(c) for c in zip(*columns)]
+                n = len(arrays[0])
+                rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(np.concatenate(rare_classes), pa.int32())], fields=list(_RARE))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(rare_sizes))])
+                tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare, type=pa.list_(_RARE))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(range(at, at + n), pa.int64()), *map(pa.array, arrays), tails], names=schema.names)
                 at += n
 
     scored = stored(frame.mapInArrow(score, schema), "scored-heads")
     rooms = F.array(*[F.lit(float(x)) for x in v.room])
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*")
     met = tail.join(counts.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    log = lambda room: F.sum(F.col("n") * F.log10((F.col("c") + DELTA) / room))
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_too"), log(F.lit(float(v.base))).alias("base_too"),
+    log = lambda room: F.sum(F.log10((F.col("c") + DELTA) / room))
+    sums = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known_too"), log(F.lit(float(v.base))).alias("base_too"),
                                   log(F.get(rooms, F.col("cls"))).alias("score_too"))
     out = scored.drop("tail").join(sums, "row", "left")
     plus = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
@@ -366,4 +427,4 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
                       F.lit(v.total).cast("long").alias("train_tokens"), plus("base", "base_too", 0.0).alias("base_score"), plus("score", "score_too", 0.0).alias("score"))
 
 
-_TAIL = pa.list_(pa.struct([("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int64())]))
+_RARE = pa.struct([("word", pa.binary()), ("cls", pa.int32())])

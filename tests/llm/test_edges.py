@@ -118,7 +118,7 @@ def test_language_model_sums_to_one():
     rng = np.random.default_rng(1)
     flat = rng.integers(0, 700, 3000)
     stream = maxent_lm.Stream(flat, np.array([3000]), v)
-    state = {"outer2": np.zeros(len(w.outer)), "inner2": np.zeros(len(w.inner)), "outer_n": np.zeros(len(w.outer), np.int64), "inner_n": np.zeros(len(w.inner), np.int64)}
+    state = {"outer_n": np.zeros(len(w.outer), np.int64), "inner_n": np.zeros(len(w.inner), np.int64)}
     before = maxent_lm.log10_parts(w, stream, v).sum()
     maxent_lm.train_batch(w, state, stream, v)
     assert maxent_lm.log10_parts(w, stream, v).sum() > before
@@ -133,6 +133,36 @@ def test_language_model_sums_to_one():
     assert abs(total - 1) < 1e-4 and codes[b"w3"] == 3
 
 
+def test_language_model_step_is_the_gradient_of_the_likelihood():
+    """One step of one batch, against gradients summed row by row."""
+    rng = np.random.default_rng(2)
+    weights, bias = rng.normal(size=(40, 32)).astype(np.float32), rng.normal(size=32).astype(np.float32)
+    features, target = [rng.integers(0, 40, 500), rng.integers(0, 40, 500)], rng.integers(0, 32, 500)
+    want = weights.astype(float)
+    z = want[features[0]] + want[features[1]] + bias
+    z = np.exp(z) / np.exp(z).sum(1, keepdims=True) - np.eye(32)[target]
+    seen, squares = np.zeros(40), np.zeros(40)
+    for f in features:
+        g = np.zeros((40, 32))
+        np.add.at(g, f, z)
+        np.add.at(seen, f, 1)
+        squares += (g * g).sum(1)
+        want -= maxent_lm.RATE * g / (np.sqrt(squares) + 1e-6)[:, None]
+    got, squares_got, seen_got = weights.copy(), np.zeros(40), np.zeros(40, np.int64)
+    maxent_lm._step(got, squares_got, seen_got, features, target, bias)
+    assert np.allclose(got, want, atol=1e-4) and np.allclose(squares_got, squares, rtol=1e-4) and (seen_got == seen).all()
+
+
+def test_language_model_learns_from_all_tasks(spark):
+    """Eight tasks keep most of what one learns; the mean of their changes alone kept half."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    gains = []
+    for frame in (docs.coalesce(1), docs.repartition(8, "doc_id")):
+        out = maxent_lm.score_documents(frame).filter("held_out").selectExpr("sum(score - base_score) / sum(n_tokens)")
+        gains.append(out.first()[0])
+    assert gains[0] > 0 and gains[1] >= 0.8 * gains[0]
+
+
 def test_simhash(docs, empty):
     out = simhash_index.near_duplicates(docs)
     check_columns(out, docs, {"fingerprint", "component_id", "component_print"})
