@@ -202,6 +202,16 @@ def select_mutual_information(spark, sf):
     return _r(S.mutual_information(table(spark, sf, "part"), ["p_retailprice"], "p_type"), 7, "mi")
 
 
+@query("select_best_columns", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
+def select_best_columns(spark, sf):
+    """Columns of variance above one, and of these the two whose squared correlation with the price is largest, taken from the table."""
+    items, numbers = table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    varied = S.drop_low_variance(items, numbers, 1.0)
+    left = [c for c in numbers if c in varied.columns]
+    scores = varied.agg(*[F.pow(F.corr(c, "l_extendedprice"), F.lit(2)).alias(c) for c in left]).unpivot([], left, "feature", "r2")
+    return varied.select("l_orderkey", "l_linenumber", *sorted(S.k_best(scores, "r2", 2), reverse=True))
+
+
 @query("select_correlated", """
 SELECT 'net' AS dropped WHERE (SELECT corr(l_extendedprice, l_extendedprice * (1 - l_discount)) FROM lineitem) > 0.95
 UNION ALL SELECT 'l_tax' WHERE (SELECT corr(l_extendedprice, l_tax) FROM lineitem) > 0.95""")

@@ -133,6 +133,28 @@ def source_zip_members(spark, sf):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("source_zip_json_text", """
+SELECT 'json' AS kind, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type
+UNION ALL SELECT 'text', event_type, count(*), NULL FROM events GROUP BY event_type""")
+def source_zip_json_text(spark, sf):
+    """Archives with a JSON member and a text member per event type; the text has a line per event."""
+    def pack(batches):
+        for i, pdf in enumerate(batches):
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w") as z:
+                for kind, part in pdf.groupby("event_type"):
+                    z.writestr(f"in/{kind}.json", part.to_json(orient="records"))
+                    z.writestr(f"in/{kind}.txt", "\n".join(part["event_type"]))
+            yield pd.DataFrame({"path": [f"a{i}.zip"], "content": [buf.getvalue()]})
+
+    archives = table(spark, sf, "events").select("event_id", "event_type", "value").mapInPandas(pack, "path string, content binary")
+    members = S.unzip(archives)
+    json = S.zip_json(members, "event_id bigint, event_type string, value double").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.lit("json").alias("kind"), "event_type", "n", "total")
+    lines = S.zip_text(members).select(F.explode(F.split("text", "\n")).alias("event_type")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return json.unionByName(lines.select(F.lit("text").alias("kind"), "event_type", "n", F.lit(None).cast("double").alias("total")))
+
+
 @query("source_series_csv", "SELECT ts, value FROM events")
 def source_series_csv(spark, sf):
     path = scratch_path(spark, "series")
