@@ -14,7 +14,7 @@ from millrace.plans.counting import num, quantile_dict
 from millrace.plans.hashing import hash_unit
 from millrace.plans.lineage import cut
 from millrace.plans.lookup import fit_lookup, join_lookup
-from millrace.plans.neighbours import vector
+from millrace.plans.neighbours import no_rows, vector
 from millrace.plans.ordering import row_numbers
 
 BLOCK = 2_000
@@ -150,7 +150,7 @@ def _against(queries: DataFrame, points: DataFrame, sizes: DataFrame, eps: float
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"vk": [], "cell": [], "within": []})
+            return no_rows("vk", "cell", "within")
         b, w = np.stack(right["v"].to_numpy()), right["n"].to_numpy()
         out = []
         for i in range(0, len(left), 512):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.plans.counting import num
@@ -11,51 +9,26 @@ from millrace.plans.hashing import hash_unit
 from millrace.plans.lineage import cut
 from millrace.plans.lookup import fit_lookup, join_lookup
 from millrace.plans.neighbours import nearest, vector
+from millrace.plans.partial import BLOCK, PIVOTS, digest, donor_means, holed
 
 
-def knn_impute(df: DataFrame, cols: list[str], key: str, k: int = 5) -> DataFrame:
+def knn_impute(df: DataFrame, cols: list[str], key: str, k: int = 5, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Missing values become the mean of the k nearest rows that have the value.
 
-    The distance uses the columns both rows have, scaled by all columns over those. Rows are taken by
-    missing-value pattern, so each pair of patterns is one exact search on its shared columns. A row with
-    nothing in common with any donor takes the column mean.
+    The distance uses the columns both rows have, scaled by all columns over those; one exact search serves all
+    patterns of missing values (``plans/partial.py``). A row with nothing in common with any donor takes the
+    column mean; a column without any value stays null. Equal rows are searched for once.
     """
-    mask = F.concat(*[F.when(num(c).isNotNull(), "1").otherwise("0") for c in cols])
-    data = df.select(F.col(key), *[num(c).alias(c) for c in cols], mask.alias("_m"))
-    patterns = [r["_m"] for r in data.select("_m").distinct().collect()]
     means = df.agg(*[F.avg(num(c)).alias(c) for c in cols]).first()
-    fills = None
-    for hole in [m for m in patterns if "0" in m]:
-        holes = [i for i, b in enumerate(hole) if b == "0"]
-        found: dict[int, list[DataFrame]] = {i: [] for i in holes}
-        for donor in patterns:
-            give = [i for i in holes if donor[i] == "1"]
-            both = [i for i in range(len(cols)) if hole[i] == donor[i] == "1"]
-            if not give or not both:
-                continue
-            names = [cols[i] for i in both]
-            q = data.filter(F.col("_m") == hole).select(key, vector(names).alias("v"))
-            s = data.filter(F.col("_m") == donor).select(F.col(key).alias("_id"), vector(names).alias("v"))
-            hits = nearest(q, s, k, key, "_id")
-            scale = (len(cols) / len(both)) ** 0.5
-            pairs = hits.select(key, F.explode("neighbours").alias("n")).select(
-                key, (F.col("n.dist") * scale).alias("dist"), F.col("n.id").alias("_id"))
-            values = data.filter(F.col("_m") == donor).select(F.col(key).alias("_id"), *[F.col(cols[i]).alias(f"_x{i}") for i in give])
-            uses = pairs.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).join(values, "_id")
-            pairs = cut(join_lookup(pairs, fit_lookup(uses, ["_id"]), [f"_x{i}" for i in give]))
-            for i in give:
-                found[i].append(pairs.select(key, "dist", "_id", F.lit(cols[i]).alias("column"), F.col(f"_x{i}").alias("x")))
-        for parts in found.values():
-            if parts:
-                every = reduce(lambda a, b: a.unionByName(b), parts)
-                place = F.row_number().over(W.partitionBy(key).orderBy("dist", "_id"))
-                one = every.withColumn("_i", place).filter(F.col("_i") <= k).groupBy(key, "column").agg(F.avg("x").alias("x"))
-                fills = one if fills is None else fills.unionByName(one)
-    if fills is None:
-        return df
-    wide = fills.groupBy(key).pivot("column", cols).agg(F.first("x")).select(key, *[F.col(c).alias(f"_f_{c}") for c in cols])
-    out = df.join(wide, key, "left")
-    return out.select(*[F.coalesce(num(c), F.col(f"_f_{c}"), F.lit(means[c])).alias(c) if c in cols else F.col(c) for c in df.columns])
+    found = donor_means(df, cols, key, k, list(means), block, pivots)
+    if found is None:
+        return df.withColumns({c: num(c) for c in cols})
+    keyed = df.withColumn("_vk", digest(holed(cols)))
+    uses = keyed.groupBy("_vk").agg(F.count(F.lit(1)).alias("n"))
+    named = found.select(F.col("vk").alias("_vk"), *[F.col(f"x{i}").alias(f"_knn{i}") for i in range(len(cols))])
+    lk = fit_lookup(named.join(uses, "_vk"), ["_vk"])
+    out = join_lookup(keyed, lk, [f"_knn{i}" for i in range(len(cols))])
+    return out.select(*[F.coalesce(num(c), F.col(f"_knn{cols.index(c)}"), F.lit(means[c])).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def local_outlier_factor(df: DataFrame, cols: list[str], key: str, k: int = 20, threshold: float = 1.5) -> DataFrame:

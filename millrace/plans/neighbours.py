@@ -30,6 +30,11 @@ def vector(cols: list[str] | str) -> Column:
     return F.when(F.size(F.array_compact(values)) == len(cols), values)
 
 
+def no_rows(*names: str) -> pd.DataFrame:
+    """An empty result of any types; pandas takes untyped empty columns for numbers, which are no strings to Arrow."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
 
@@ -91,7 +96,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_key: str, point
     id equals the query's.
     """
     want = k + 1 if exclude_same else k
-    queries, points = queries.filter("v is not null"), points.filter("v is not null")
+    one_zero = F.transform("v", lambda x: x + F.lit(0.0))  # grouping takes -0.0 for 0.0, the digest would not
+    queries, points = [d.filter("v is not null").withColumn("v", one_zero) for d in (queries, points)]
     s = cut(_distinct_vectors(points, point_key, want))
     q = cut(queries.select("v").distinct().withColumn("vk", F.md5(F.to_json("v"))))
     n_points = s.count()
@@ -134,7 +140,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_key: str, point
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"vk": [], "dist": [], "id": []})
+            return no_rows("vk", "dist", "id")
         rows, cols, dist = top_pairs(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), want)
         ids = right["ids"].to_numpy()
         reps = np.fromiter((len(ids[c]) for c in cols), dtype=int, count=len(cols))

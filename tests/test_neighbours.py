@@ -37,6 +37,25 @@ def test_nearest_other_table_and_few_points(cloud, spark):
     assert got == brute(pts[:20], pts[:3], 5)
 
 
+def imputed(rows, k):
+    """Brute force over (id, values...): mean of the k nearest donors under the distance of shared columns."""
+    d, out = len(rows[0]) - 1, {}
+    for r in rows:
+        mine = list(r[1:])
+        for j in range(d):
+            if r[1 + j] is not None:
+                continue
+            cand = []
+            for s in rows:
+                both = [i for i in range(1, d + 1) if r[i] is not None and s[i] is not None]
+                if s[1 + j] is not None and both:
+                    cand.append((np.sqrt(d / len(both) * sum((r[i] - s[i]) ** 2 for i in both)), s[0], s[1 + j]))
+            have = [s[1 + j] for s in rows if s[1 + j] is not None]
+            mine[j] = np.mean([c[2] for c in sorted(cand)[:k]]) if cand else (np.mean(have) if have else None)
+        out[r[0]] = mine
+    return out
+
+
 def test_knn_impute_patterns(spark):
     rng = np.random.default_rng(9)
     data = rng.normal(size=(40, 3))
@@ -46,20 +65,60 @@ def test_knn_impute_patterns(spark):
     for i in range(0, 40, 5):
         rows[i][2] = None
     df = spark.createDataFrame([tuple(r) for r in rows], "id long, a double, b double, c double")
-    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in N.knn_impute(df, ["a", "b", "c"], "id", 3).collect()}
-    for r in rows:
-        for j in (1, 2):
-            if r[j] is not None:
-                continue
-            cand = []
-            for s in rows:
-                if s[j] is None or s[0] == r[0]:
-                    continue
-                both = [k for k in (1, 2, 3) if r[k] is not None and s[k] is not None]
-                if both:
-                    cand.append((np.sqrt(3 / len(both) * sum((r[k] - s[k]) ** 2 for k in both)), s[0], s[j]))
-            want = np.mean([c[2] for c in sorted(cand)[:3]])
-            assert got[r[0]][j - 1] == pytest.approx(want)
+    got = {r["id"]: [r["a"], r["b"], r["c"]] for r in N.knn_impute(df, ["a", "b", "c"], "id", 3).collect()}
+    want = imputed(rows, 3)
+    assert len(got) == 40 and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+@pytest.mark.parametrize("block,pivots", [(1000, 256), (13, 6)])
+def test_knn_impute_any_pattern(spark, block, pivots):
+    """Nearly every pattern of five columns, copies, clusters, empty rows, rows that share nothing, -0.0."""
+    rng = np.random.default_rng(21)
+    data = rng.normal(size=(240, 5)) + 8.0 * rng.integers(0, 3, size=(240, 1))
+    rows = [(i, *[None if rng.random() < 0.35 else float(x) for x in r]) for i, r in enumerate(data)]
+    rows += [(240 + i, 0.0, None, 1.0, None, 2.0) for i in range(60)]
+    rows += [(300, -0.0, None, 1.0, None, 2.0), (301, None, None, None, None, None), (302, None, None, None, None, 3.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, x3 double, e double").withColumn("n", F.lit("kept"))
+    cols = ["a", "b", "c", "x3", "e"]
+    got = {r["id"]: [r[c] for c in cols] for r in N.knn_impute(df, cols, "id", 4, block, pivots).collect()}
+    want = imputed(rows, 4)
+    assert len(got) == len(rows) and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_knn_impute_jobs_do_not_grow_with_patterns(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(200, 6))
+
+    def jobs(share: float) -> int:
+        rows = [(i, *[None if j == i % 2 and share == 0 or rng.random() < share else float(x) for j, x in enumerate(r)]) for i, r in enumerate(data)]
+        df = spark.createDataFrame(rows, "id long, " + ", ".join(f"c{j} double" for j in range(6)))
+        group = f"impute-{share}"
+        spark.sparkContext.setJobGroup(group, group)
+        N.knn_impute(df, [f"c{j}" for j in range(6)], "id", 3).collect()
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    few, many = jobs(0.0), jobs(0.4)  # 2 patterns, about 60
+    assert 0 < many <= few + 5  # adaptive execution may run a stage or two as jobs of their own
+
+
+def test_knn_impute_without_values(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, None)], "id long, a double, b double")
+    assert [tuple(r) for r in N.knn_impute(df, ["a", "b"], "id").orderBy("id").collect()] == [(1, None, 2.0), (2, None, 2.0)]
+    assert N.knn_impute(df.limit(0), ["a", "b"], "id").count() == 0
+
+
+def test_nearest_with_empty_blocks(cloud):
+    pts, df = cloud
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in nearest(df.filter("id < 24"), df.filter("id < 24"), 2, "id", "id", exclude_same=True, block=2, pivots=2).collect()}
+    assert got == {i: [b for _, b in v] for i, v in brute(pts[:24], pts[:24], 2, True).items()}
+
+
+def test_nearest_takes_both_zeros_for_one(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [5.0, 1.0])], "id long, v array<double>")
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in nearest(df, df, 2, "id", "id", exclude_same=True).collect()}
+    assert got == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
 
 
 @pytest.mark.parametrize("block,reps", [(2000, 16), (7, 1)])

@@ -39,6 +39,32 @@ def impute_knn(spark, sf):
     return N.knn_impute(_suppliers(spark, sf), ["a", "b", "t"], "s_suppkey").select("s_suppkey", F.round("t", 6).alias("t"))
 
 
+_HOLES = ("(SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal / 1000 END AS a, CASE WHEN c_custkey % 4 = 0 THEN NULL "
+          "ELSE c_nationkey::DOUBLE END AS b, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 11)::DOUBLE END AS t FROM customer)")
+_GAP = "coalesce(pow(q.a - p.a, 2), 0) + coalesce(pow(q.b - p.b, 2), 0) + coalesce(pow(q.t - p.t, 2), 0)"
+_SHARED = "((q.a - p.a IS NOT NULL)::INT + (q.b - p.b IS NOT NULL)::INT + (q.t - p.t IS NOT NULL)::INT)"
+
+
+def _taken(c: str) -> str:
+    return (f"coalesce(s.{c}, (SELECT avg(x) FROM n WHERE n.k = s.k AND n.c = '{c}'), (SELECT avg({c}) FROM s))")
+
+
+def _donors(c: str) -> str:
+    return (f"SELECT q.k, '{c}' AS c, p.{c} AS x, row_number() OVER (PARTITION BY q.k ORDER BY sqrt(3.0::DOUBLE / {_SHARED} * ({_GAP})), p.k) AS i "
+            f"FROM s q JOIN s p ON q.{c} IS NULL AND p.{c} IS NOT NULL AND {_SHARED} > 0")
+
+
+@query("impute_knn_patterns", f"""
+WITH s AS {_HOLES}, n AS (SELECT * FROM ({" UNION ALL ".join(map(_donors, "abt"))}) WHERE i <= 5)
+SELECT s.k AS c_custkey, {", ".join(f"round({_taken(c)}, 6) AS {c}" for c in "abt")} FROM s""")
+def impute_knn_patterns(spark, sf):
+    """All eight patterns of holes in three columns, the row without any value included."""
+    df = table(spark, sf, "customer").select("c_custkey", F.expr("if(c_custkey % 3 = 0, null, c_acctbal / 1000) as a"),
+                                             F.expr("if(c_custkey % 4 = 0, null, cast(c_nationkey as double)) as b"),
+                                             F.expr("if(c_custkey % 5 = 0, null, cast(c_custkey % 11 as double)) as t"))
+    return N.knn_impute(df, ["a", "b", "t"], "c_custkey").select("c_custkey", *[F.round(c, 6).alias(c) for c in "abt"])
+
+
 @query("outlier_lof", """
 WITH c AS (SELECT c_custkey k, c_acctbal / 1000 a, c_nationkey b FROM customer),
  d AS (SELECT p.k, q.k n, sqrt(pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) dist FROM c p JOIN c q ON p.k <> q.k),
