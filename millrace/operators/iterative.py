@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.operators.graph import connected_components, simple_edges
+from millrace.plans.balls import cover, distance, touching
 from millrace.plans.counting import num, quantile_dict
 from millrace.plans.hashing import hash_unit
 from millrace.plans.lineage import cut
@@ -153,8 +154,9 @@ def _against(queries: DataFrame, points: DataFrame, sizes: DataFrame, eps: float
             return no_rows("vk", "cell", "within")
         b, w = np.stack(right["v"].to_numpy()), right["n"].to_numpy()
         out = []
-        for i in range(0, len(left), 512):
-            a = np.stack(left["v"].to_numpy()[i:i + 512])
+        step = max(8_000_000 // b.size, 1)
+        for i in range(0, len(left), step):
+            a = np.stack(left["v"].to_numpy()[i:i + step])
             d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
             out.append(((d <= eps * eps) * w[None, :]).sum(1))
         return pd.DataFrame({"vk": left["vk"], "cell": left["cell"], "within": np.concatenate(out).astype("int64")})
@@ -163,25 +165,11 @@ def _against(queries: DataFrame, points: DataFrame, sizes: DataFrame, eps: float
     return q.groupBy("cell", "b", "qb").cogroup(p.groupBy("cell", "b", "qb")).applyInPandas(count, "vk string, cell string, within long")
 
 
-def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.5, min_points: int = 5, block: int = BLOCK,
-           representatives: int = 16) -> DataFrame:
-    """(key, cluster, core): density clusters numbered by their smallest core key, -1 for noise, exact.
-
-    Space is cut into cells of diameter eps, so a cell with ``min_points`` rows is all core without a
-    comparison, and one edge between two cells stands for all their pairs. Up to four dimensions: the
-    neighbouring cells are enumerated. A border row near several clusters joins the one with the smallest
-    number.
-    """
-    d = len(cols)
-    if d > 4:
-        raise ValueError("cells are enumerated up to four dimensions; reduce the columns first")
+def _grid_cells(base: DataFrame, d: int, eps: float):
+    """Cells of diameter eps as a grid; the neighbouring ones are enumerated, so for few columns only."""
     side = eps / math.sqrt(d) * (1 - 1e-9)
-    rows = df.select(F.col(key), vector(cols).alias("v")).filter("v is not null")
-    coords = F.transform("v", lambda x: F.floor(x / side).cast("long"))
-    base = cut(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-               .withColumn("vk", F.md5(F.to_json("v"))).withColumn("at", coords).withColumn("cell", F.concat_ws(",", "at")))
+    base = cut(base.withColumn("at", F.transform("v", lambda x: F.floor(x / side).cast("long"))).withColumn("cell", F.concat_ws(",", "at")))
     cells = cut(base.groupBy("cell").agg(F.first("at").alias("at"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")))
-    base = cut(join_lookup(base.drop("at"), fit_lookup(cells.select("cell", "total", F.col("m").alias("n")), ["cell"]), ["total"]))
     reach = math.ceil(math.sqrt(d))
     steps = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if any(o)
              and sum(max(abs(x) - 1, 0) ** 2 for x in o) * side * side <= eps * eps]
@@ -189,8 +177,46 @@ def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.5, min_point
     moved = F.concat_ws(",", F.zip_with("at", "_o", lambda a, b: a + b))
     near = cut(cells.select("cell", "at", F.explode(offs).alias("_o")).select("cell", moved.alias("other"))
                .join(cells.select(F.col("cell").alias("other")), "other", "left_semi"))
+    box = F.zip_with("v", F.transform(F.split("other", ","), lambda t: t.cast("long")), lambda x, k: F.greatest(
+        k * F.lit(side) - x, x - (k + 1) * F.lit(side), F.lit(0.0)))
+    reachable = F.aggregate(F.transform(box, lambda g: g * g), F.lit(0.0), lambda s, g: s + g) <= eps * eps * (1 + 1e-9)
+    return base.drop("at"), cells, near, lambda pairs: pairs.filter(reachable)
+
+
+def _ball_cells(base: DataFrame, eps: float, block: int):
+    """Cells of diameter eps as balls (``plans/balls.py``); the neighbouring ones come from a join of their centres."""
+    covered = cut(cover(base.select("vk", "v"), eps / 2 * (1 - 1e-9), block))
+    sized = covered.select("vk", F.col("centre").alias("cell"), "c", distance("v", "c").alias("r"))
+    base = cut(base.join(sized, "vk"))
+    cells = cut(base.groupBy("cell").agg(F.first("c").alias("c"), F.max("r").alias("r"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")))
+    near = cut(touching(cells.select("cell", "c", "r"), eps, block))
+    facts = fit_lookup(cells.select(F.col("cell").alias("other"), F.col("c").alias("_c"), F.col("r").alias("_r"), F.col("m").alias("n")), ["other"])
+    reachable = distance("v", "_c") <= (F.col("_r") + F.lit(eps)) * (1 + 1e-9)
+    return base.drop("c", "r"), cells, near, lambda pairs: join_lookup(pairs, facts, ["_c", "_r"]).filter(reachable).drop("_c", "_r")
+
 
-    asked = base.filter(F.col("total") < min_points).select("cell", "vk", "v").join(near, "cell").select("vk", "v", F.col("other").alias("cell"))
+def dbscan(df: DataFrame, cols: list[str] | str, key: str, eps: float = 0.5, min_points: int = 5, block: int = BLOCK,
+           representatives: int = 16, balls: bool | None = None) -> DataFrame:
+    """(key, cluster, core): density clusters numbered by their smallest core key, -1 for noise, exact.
+
+    Space is cut into cells of diameter eps, so a cell with ``min_points`` rows is all core without a
+    comparison, and one edge between two cells stands for all their pairs. Up to four columns the cells are a
+    grid, beyond (or by ``balls``) they are balls of radius eps / 2. A border row near several clusters joins
+    the one with the smallest number. Rows with a null are left out. ``cols`` may name one array column.
+    """
+    rows = df.select(F.col(key), vector(cols).alias("v")).filter("v is not null").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    base = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).withColumn("vk", F.md5(F.to_json("v")))
+    if balls or (balls is None and (isinstance(cols, str) or len(cols) > 4)):
+        base, cells, near, aimed = _ball_cells(cut(base), eps, block)
+    else:
+        base, cells, near, aimed = _grid_cells(base, len(cols), eps)
+    base = cut(join_lookup(base, fit_lookup(cells.select("cell", "total", F.col("m").alias("n")), ["cell"]), ["total"]))
+
+    def probes(points: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(vk, cell, v, other): the points of a cell against the cells of its pairs that hold points within eps."""
+        return aimed(points.select("cell", "vk", "v").join(pairs, "cell"))
+
+    asked = probes(base.filter(F.col("total") < min_points), near).select("vk", "v", F.col("other").alias("cell"))
     extra = _against(asked, base.select("cell", "vk", "v", "n"), cells, eps, block).groupBy("vk").agg(F.sum("within").alias("extra"))
     flagged = cut(base.join(extra, "vk", "left")
                   .withColumn("core", F.col("total") + F.coalesce("extra", F.lit(0)) >= min_points)
@@ -208,13 +234,8 @@ def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.5, min_point
               .withColumn("hit", F.exists("vs", lambda a: F.exists("ws", lambda b: dist2(a, b) <= eps * eps))))
     tested = cut(tested.select("cell", "other", "hit"))
     open_ = tested.filter("not hit").select("cell", "other")
-    # only points within eps of the other cell's box can matter
-    box = F.zip_with("v", F.transform(F.split("other", ","), lambda t: t.cast("long")), lambda x, k: F.greatest(
-        k * F.lit(side) - x, x - (k + 1) * F.lit(side), F.lit(0.0)))
-    reachable = F.aggregate(F.transform(box, lambda g: g * g), F.lit(0.0), lambda s, g: s + g) <= eps * eps * (1 + 1e-9)
-    probes = cores.select("cell", "vk", "v").join(open_, "cell").filter(reachable).select(
-        F.concat_ws("|", "vk", "cell").alias("vk"), "v", F.col("other").alias("cell"))
-    met = (_against(probes, cores.select("cell", "vk", "v", F.lit(1).alias("n")), csize, eps, block).filter("within > 0")
+    reaching = probes(cores, open_).select(F.concat_ws("|", "vk", "cell").alias("vk"), "v", F.col("other").alias("cell"))
+    met = (_against(reaching, cores.select("cell", "vk", "v", F.lit(1).alias("n")), csize, eps, block).filter("within > 0")
            .select(F.substring_index("vk", "|", -1).alias("cell"), F.col("cell").alias("other")).distinct())
     edges = tested.filter("hit").select("cell", "other").unionByName(met).select(F.col("cell").alias("src"), F.col("other").alias("dst"))
     comp = connected_components(edges, csize.select(F.col("cell").alias("id"))).withColumnRenamed("id", "cell")
@@ -224,7 +245,7 @@ def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.5, min_point
 
     border = flagged.filter("not core")
     own = border.join(label, "cell").select("vk", "cluster")
-    ask = border.select("cell", "vk", "v").join(near, "cell").select("vk", "v", F.col("other").alias("cell"))
+    ask = probes(border, near).select("vk", "v", F.col("other").alias("cell"))
     touch = (_against(ask, cores.select("cell", "vk", "v", F.lit(1).alias("n")), csize, eps, block).filter("within > 0")
              .join(label, "cell").select("vk", "cluster"))
     of_border = own.unionByName(touch).groupBy("vk").agg(F.min("cluster").alias("cluster"))

@@ -121,13 +121,10 @@ def test_nearest_takes_both_zeros_for_one(spark):
     assert got == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
 
 
-@pytest.mark.parametrize("block,reps", [(2000, 16), (7, 1)])
-def test_dbscan_brute_force(spark, block, reps):
-    rng = np.random.default_rng(2)
-    xy = np.concatenate([rng.normal(0, 0.4, (60, 2)), rng.normal(4, 0.4, (60, 2)), rng.uniform(-3, 7, (40, 2)), np.full((50, 2), 2.0)])
-    eps, m = 0.5, 5
-    n = len(xy)
-    near = np.linalg.norm(xy[:, None] - xy[None], axis=2) <= eps
+def clusters(xs, eps, m):
+    """Brute-force density clusters: labels by smallest core row, -1 for noise, and the core flags."""
+    n = len(xs)
+    near = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(2)) <= eps
     core = near.sum(1) >= m
     label, c = np.full(n, -1), 0
     for i in range(n):
@@ -143,9 +140,31 @@ def test_dbscan_brute_force(spark, block, reps):
         if not core[i]:
             own = [label[k] for k in np.nonzero(near[i] & core)[0]]
             label[i] = min(own) if own else -1
+    return label.tolist(), core.tolist()
+
+
+@pytest.mark.parametrize("block,reps,balls", [(2000, 16, None), (7, 1, None), (2000, 16, True)])
+def test_dbscan_brute_force(spark, block, reps, balls):
+    rng = np.random.default_rng(2)
+    xy = np.concatenate([rng.normal(0, 0.4, (60, 2)), rng.normal(4, 0.4, (60, 2)), rng.uniform(-3, 7, (40, 2)), np.full((50, 2), 2.0)])
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, a double, b double")
-    got = iterative.dbscan(df, ["a", "b"], "id", eps, m, block=block, representatives=reps).orderBy("id").collect()
-    assert [r["cluster"] for r in got] == label.tolist() and [r["core"] for r in got] == core.tolist()
+    got = iterative.dbscan(df, ["a", "b"], "id", 0.5, 5, block=block, representatives=reps, balls=balls).orderBy("id").collect()
+    assert ([r["cluster"] for r in got], [r["core"] for r in got]) == clusters(xy, 0.5, 5)
+
+
+@pytest.mark.parametrize("block,reps", [(2000, 16), (40, 1)])
+def test_dbscan_eight_columns(spark, block, reps):
+    """Clusters, a chain, copies and noise in eight columns; nulls are left out."""
+    rng = np.random.default_rng(6)
+    chain = np.zeros((40, 8))
+    chain[:, 0] = 12 + 0.6 * np.arange(40)
+    xs = np.concatenate([rng.normal(0, 0.35, (80, 8)), rng.normal(4, 0.35, (80, 8)), chain, rng.uniform(-3, 7, (40, 8)), np.full((60, 8), 2.0)])
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(xs)] + [(999, None), (998, [float("nan")] * 8)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = iterative.dbscan(df, "v", "id", 1.0, 4, block=block, representatives=reps).orderBy("id").collect()
+    label, core = clusters(xs, 1.0, 4)
+    assert len(set(label)) > 3 and -1 in label and (np.array(label) >= 0).sum() > sum(core)
+    assert ([r["cluster"] for r in got], [r["core"] for r in got]) == (label, core)
 
 
 def test_isolation_forest_flags_the_far_row(spark):
