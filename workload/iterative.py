@@ -36,6 +36,21 @@ def cluster_dbscan(spark, sf):
     return I.dbscan(df, ["a", "b"], "s_suppkey", eps=1.0, min_points=4)
 
 
+@query("cluster_dbscan_wide", """
+WITH RECURSIVE s AS (SELECT vec_id AS k, embedding[1:8]::DOUBLE[] AS v FROM embeddings),
+ n AS (SELECT x.k, y.k o FROM s x JOIN s y ON list_sum(list_transform(list_zip(x.v, y.v), lambda p: pow(p[1] - p[2], 2))) <= 0.24::DOUBLE * 0.24::DOUBLE),
+ c AS (SELECT k FROM n GROUP BY 1 HAVING count(*) >= 4),
+ e AS (SELECT n.k, n.o FROM n WHERE k IN (SELECT k FROM c) AND o IN (SELECT k FROM c)),
+ r AS (SELECT k, k AS o FROM c UNION SELECT r.k, e.o FROM r JOIN e ON r.o = e.k),
+ l AS (SELECT k, min(o) AS head FROM r GROUP BY 1),
+ d AS (SELECT k, dense_rank() OVER (ORDER BY head) - 1 AS cluster FROM l)
+SELECT s.k AS vec_id, coalesce(d.cluster, (SELECT min(d2.cluster) FROM n JOIN d d2 ON d2.k = n.o WHERE n.k = s.k), -1) AS cluster, d.k IS NOT NULL AS core FROM s LEFT JOIN d ON d.k = s.k""")
+def cluster_dbscan_wide(spark, sf):
+    """Density clusters over eight columns: the first eight components of the embeddings."""
+    df = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
+    return I.dbscan(df, "v", "vec_id", eps=0.24, min_points=4)
+
+
 def _trade(spark, sf):
     return table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey")).select(
         F.expr("'n' || c_nationkey as src"), F.expr("'s' || c_mktsegment as dst"))
