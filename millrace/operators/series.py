@@ -91,10 +91,8 @@ def interpolate(df: DataFrame, col: str, order: list[str], by: list[str] = (), t
     o = ordered(df, list(by), list(order), block_rows)
     if time:
         pos: Column = dates.epoch_time(dates.as_time(df, time))
-    elif o.split:
-        pos = F.col("_rn").cast("double")
     else:
-        pos = F.row_number().over(o.window()).cast("double")
+        pos = o.position().cast("double")
     o = Ordered(o.df.withColumn("_pos", pos).withColumn("_pt", F.when(
         num(col).isNotNull(), F.struct(F.col("_pos").alias("p"), num(col).alias("v")))), o.by, o.order, o.split,
         o.block_rows, [*o.helpers, "_pos", "_pt"])
@@ -120,8 +118,7 @@ def seasonal_decompose(df: DataFrame, col: str, order: list[str], by: list[str]
     half = period // 2
     base = df.filter(num(col).isNotNull())
     o = ordered(base, by, list(order), block_rows)
-    rn = F.col("_rn") if o.split else F.row_number().over(o.window())
-    o = Ordered(o.df.withColumn("_i", rn.cast("long")), o.by, o.order, o.split, o.block_rows, [*o.helpers, "_i"])
+    o = Ordered(o.df.withColumn("_i", o.position()), o.by, o.order, o.split, o.block_rows, [*o.helpers, "_i"])
     h = o.with_halo(before=half, after=half)
     y, w = num(col), h.window()
     full = F.count(F.lit(1)).over(w.rowsBetween(-half, half)) == 2 * half + 1

@@ -1,9 +1,9 @@
 """Order-dependent work without unbounded window partitions.
 
-A window over one key runs in one task. ``ordered`` measures the largest key first: when every key is
-small an ordinary window is used; otherwise rows get a global position through a range partitioning and
-each key is cut into blocks of ``block_rows`` consecutive rows. Bounded frames then take a halo of
-neighbouring rows, unbounded frames take a carry (one row per block).
+A window over one key runs in one task. Keys are measured first and rows are split by the heat of their key: rows
+of small keys use an ordinary window and are written nowhere; rows of keys above ``block_rows`` get a position
+through a range partitioning and each such key is cut into blocks of ``block_rows`` consecutive rows. Bounded
+frames then take a halo of neighbouring rows, unbounded frames take a carry (one row per block).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.plans.keys import join_on
 from millrace.plans.lineage import cut
+from millrace.plans.lookup import BROADCAST_ROWS
 
 BLOCK_ROWS = 1_000_000
 
@@ -23,10 +24,22 @@ def _order_cols(order: list[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def largest_group(df: DataFrame, by: list[str]) -> int:
+def by_heat(df: DataFrame, by: list[str], block_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(cold, hot): the rows of keys with at most ``block_rows`` rows and those of larger keys; None where empty.
+
+    There are fewer hot keys than rows / block_rows; they are counted before they are broadcast, and beyond
+    ``BROADCAST_ROWS`` of them all rows count as hot. Null is a key like any other.
+    """
     if not by:
-        return df.count()
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        return (df, None) if df.count() <= block_rows else (None, df)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_heat")).filter(F.col("_heat") > block_rows)
+    keys = cut(sizes.select(*by))
+    n = keys.count()
+    if n == 0:
+        return df, None
+    if n > BROADCAST_ROWS:
+        return None, df
+    return tuple(join_on(df, F.broadcast(keys), by, how) for how in ("left_anti", "left_semi"))
 
 
 def prefix_totals(df: DataFrame, by: list[str], order: list[str], add: dict[str, Column]) -> DataFrame:
@@ -54,12 +67,16 @@ def prefix_totals(df: DataFrame, by: list[str], order: list[str], add: dict[str,
 
 def running_totals(df: DataFrame, by: list[str], order: list[str], add: dict[str, Column],
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``prefix_totals``, or one ordinary window when the largest group is measured to be small."""
+    """``prefix_totals`` for the rows of large keys, an ordinary window for all others."""
     by = list(by)
-    if largest_group(df, by) > block_rows:
-        return prefix_totals(df, by, order, add)
+    cold, hot = by_heat(df, by, block_rows)
     w = W.partitionBy(*by).orderBy(*_order_cols(order)).rowsBetween(W.unboundedPreceding, 0)
-    return df.select("*", *[F.sum(expr).over(w).alias(n) for n, expr in add.items()])
+    return _both(None if cold is None else cold.select("*", *[F.sum(expr).over(w).alias(n) for n, expr in add.items()]),
+                 None if hot is None else prefix_totals(hot, by, order, add))
+
+
+def _both(cold: DataFrame | None, hot: DataFrame | None) -> DataFrame:
+    return cold if hot is None else hot if cold is None else cold.unionByName(hot)
 
 
 @dataclass
@@ -74,6 +91,11 @@ class Ordered:
     def window(self):
         return W.partitionBy(*self.by, "_blk").orderBy(*_order_cols(self.order))
 
+    def position(self) -> Column:
+        """1-based position in the group; a cold group is one block, so its row number is the position."""
+        own = F.row_number().over(self.window()).cast("long")
+        return F.coalesce(F.col("_rn"), own) if self.split else own
+
     def with_halo(self, before: int = 0, after: int = 0) -> "Ordered":
         """Copy the edge rows of each block into its neighbours, so bounded frames are complete."""
         if not self.split:
@@ -97,7 +119,7 @@ class Ordered:
             return Ordered(self.df.withColumn(name, F.when(F.lit(False), value)), self.by, self.order,
                            False, self.block_rows, [*self.helpers, name])
         pick = F.max_by if forward else F.min_by
-        have = self.df.withColumn("_cv", value)
+        have = self.df.filter(F.col("_rn").isNotNull()).withColumn("_cv", value)
         edge = have.groupBy(*self.by, "_blk").agg(
             pick("_cv", F.when(F.col("_cv").isNotNull(), F.col("_rn"))).alias("_edge"))
         w = W.partitionBy(*self.by).orderBy("_blk" if forward else F.col("_blk").desc()) \
@@ -114,18 +136,21 @@ class Ordered:
 
 def ordered(df: DataFrame, by: list[str], order: list[str], block_rows: int = BLOCK_ROWS) -> Ordered:
     by = list(by or [])
-    if largest_group(df, by) <= block_rows:
+    cold, hot = by_heat(df, by, block_rows)
+    if hot is None:
         return Ordered(df.withColumn("_blk", F.lit(0).cast("long")), by, order, False, block_rows)
-    numbered = prefix_totals(df, by, order, {"_rn": F.lit(1).cast("long")})
+    numbered = prefix_totals(hot, by, order, {"_rn": F.lit(1).cast("long")})
     blocked = numbered.withColumn("_blk", F.floor((F.col("_rn") - 1) / block_rows).cast("long"))
-    return Ordered(blocked, by, order, True, block_rows)
+    if cold is not None:  # one block without positions, which no halo or carry touches
+        cold = cold.withColumn("_rn", F.lit(None).cast("long")).withColumn("_blk", F.lit(0).cast("long"))
+    return Ordered(_both(cold, blocked), by, order, True, block_rows)
 
 
 def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """1-based position inside ``by``; ``order`` unique within the group."""
     by = list(by or [])
-    if largest_group(df, by) <= block_rows:
-        return df.withColumn(name, F.row_number().over(
-            W.partitionBy(*by).orderBy(*_order_cols(order))).cast("long"))
-    return prefix_totals(df, by, order, {name: F.lit(1).cast("long")})
+    cold, hot = by_heat(df, by, block_rows)
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*_order_cols(order))).cast("long")
+    return _both(None if cold is None else cold.withColumn(name, place),
+                 None if hot is None else prefix_totals(hot, by, order, {name: F.lit(1).cast("long")}))

@@ -35,6 +35,19 @@ def test_row_numbers_in_ranges(hot):
     assert rows(a, "id", "rn") == rows(b, "id", "rn")
 
 
+def test_cold_rows_are_not_written(hot, monkeypatch):
+    """Only rows of hot keys go through the range partitioning and the checkpoint; nulls may be hot or cold."""
+    written = []
+    cut = ordering.cut
+    monkeypatch.setattr(ordering, "cut", lambda df: written.append(cut(df)) or written[-1])
+    for df in (hot, hot.withColumn("g", F.when(F.col("g") != "hot", F.col("g"))), hot.withColumn("g", F.when(F.col("g") != "g1", F.col("g")))):
+        written.clear()
+        got = ordering.row_numbers(df, ["g"], ["ord", "id"], "n", block_rows=100)
+        want = df.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("ord", "id")).cast("long"))
+        assert rows(got, "id", "n") == rows(want, "id", "n")
+        assert [w.count() for w in written] == [1, 300]  # the one hot key, and its rows
+
+
 def test_row_numbers_without_key_and_descending(hot):
     a = ordering.row_numbers(hot, [], ["-ord", "id"], "rn", block_rows=20)
     b = hot.withColumn("rn", F.row_number().over(W.orderBy(F.desc("ord"), "id")))
