@@ -298,31 +298,46 @@ def shingles(col: str, n: int = 3):
     return F.array_distinct(grams)
 
 
-def jaccard_links(a: DataFrame, b: DataFrame, left: str, right: str, threshold: float = 0.5, n: int = 3) -> DataFrame:
+LIST_NAMES = 1_000
+
+
+def jaccard_links(a: DataFrame, b: DataFrame, left: str, right: str, threshold: float = 0.5, n: int = 3,
+                  list_names: int = LIST_NAMES) -> DataFrame:
     """(left, right, jaccard) of all pairs of distinct names at or above the threshold, exact.
 
-    Prefix filter: with tokens ordered from rare to frequent, two sets that similar must share one of the
-    first size - ceil(t * size) + 1 tokens, and their sizes may differ by at most the factor t. So only
-    names that meet on a rare token are compared.
+    Positional prefix filter: with tokens ordered from rare to frequent, two sets that similar must share one of
+    the first size - ceil(t * size) + 1 tokens of each. Two names that meet on a token are dropped when their
+    sizes, or the tokens left behind it, cannot reach the overlap that the threshold asks for. A pair is scored
+    only under the first prefix token that the two have in common, so it appears once. The list of a frequent
+    token is dealt into parts of about ``list_names`` names a side, so no task holds all its names.
     """
-    sa = a.select(F.col(left).alias("l")).dropna().distinct().select("l", shingles("l", n).alias("s"))
-    sb = b.select(F.col(right).alias("r")).dropna().distinct().select("r", shingles("r", n).alias("s"))
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold lies above 0 and at most at 1")
+    sa = cut(a.select(F.col(left).alias("l")).dropna().distinct().select("l", shingles("l", n).alias("s")))
+    sb = cut(b.select(F.col(right).alias("r")).dropna().distinct().select("r", shingles("r", n).alias("s")))
     tokens = sa.select(F.explode("s").alias("t")).unionByName(sb.select(F.explode("s").alias("t")))
-    freq = cut(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    freq = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     lk = fit_lookup(freq.withColumn("f", F.col("n")), ["t"])
+    least = lambda size: F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int")
 
-    def prefixed(df: DataFrame, key: str) -> DataFrame:
+    def prefixed(df: DataFrame, key: str, name: str) -> DataFrame:
         tok = join_lookup(df.select(key, F.explode("s").alias("t")), lk, ["f"])
-        per = tok.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))  # a name is short
-        size = F.size("o")
-        keep = size - F.ceil(F.lit(threshold) * size).cast("int") + 1
-        return per.select(key, F.transform("o", lambda x: x["t"]).alias("s"), F.explode(F.slice(F.transform("o", lambda x: x["t"]), 1, keep)).alias("t"))
-
-    x, y = prefixed(sa, "l"), prefixed(sb, "r").withColumnRenamed("s", "s2")
-    sizes = (F.size("s") >= threshold * F.size("s2")) & (F.size("s2") >= threshold * F.size("s"))
-    # a pair is looked at only under the first prefix token the two have in common
-    cand = x.join(y, "t").filter(sizes)
-    both = F.size(F.array_intersect("s", "s2"))
-    scored = cand.withColumn("jaccard", both / (F.size("s") + F.size("s2") - both)).filter(F.col("jaccard") >= threshold)
-    return scored.select(F.col("l").alias(left), F.col("r").alias(right), "jaccard").distinct()
-
+        per = tok.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias(name))  # a name is short
+        keep = F.size(name) - least(F.size(name)) + 1
+        return per.select(key, name, F.posexplode(F.slice(name, 1, keep)).alias(f"_{name}", "t"))
+
+    x, y = cut(prefixed(sa, "l", "x")), cut(prefixed(sb, "r", "y"))
+    parts = lambda df, c: df.groupBy("t").agg(F.count(F.lit(1)).alias(f"n{c}"), F.ceil(F.count(F.lit(1)) / list_names).cast("int").alias(c))
+    both = fit_lookup(parts(x, "_p").join(parts(y, "_q"), "t").withColumn("n", F.col("n_p") + F.col("n_q")), ["t"])
+    part = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x = join_lookup(x, both, ["_p", "_q"]).filter("_p is not null").withColumn("i", part("l", "_p")).withColumn("j", every("_q")).drop("_p", "_q")
+    y = join_lookup(y, both, ["_p", "_q"]).filter("_p is not null").withColumn("j", part("r", "_q")).withColumn("i", every("_p")).drop("_p", "_q")
+    p, q = F.size("x"), F.size("y")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (p + q) - F.lit(1e-9))
+    rest = F.least(p - F.col("_x"), q - F.col("_y"))  # this token and those behind it on both sides
+    met_before = F.arrays_overlap(F.slice("x", 1, F.col("_x")), F.slice("y", 1, F.col("_y")))
+    cand = x.join(y, ["t", "i", "j"]).filter((rest >= need) & ~met_before)
+    shared = F.size(F.array_intersect("x", "y"))
+    scored = cand.withColumn("jaccard", shared / (p + q - shared)).filter(F.col("jaccard") >= threshold)
+    return scored.select(F.col("l").alias(left), F.col("r").alias(right), "jaccard")

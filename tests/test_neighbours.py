@@ -185,6 +185,20 @@ def test_jaccard_links_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold,list_names", [(0.3, 1000), (0.5, 20), (0.8, 7), (1.0, 20)])
+def test_jaccard_links_frequent_token(spark, threshold, list_names):
+    """One token in a third of the names, its list cut into parts; every pair comes once. Empty and null names."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcde"), size=rng.integers(1, 4)))
+    names = sorted({("xyz" if i % 3 == 0 else "") + word() + word() for i in range(240)} | {"", "xyz"})
+    a = spark.createDataFrame([(x,) for x in names] + [(None,)], "a string")
+    b = spark.createDataFrame([(x,) for x in names[::2]] * 2, "b string")
+    sh = lambda s: {s[i:i + 3] for i in range(max(len(s) - 2, 1))}
+    want = sorted((x, y) for x in names for y in names[::2] if len(sh(x) & sh(y)) / len(sh(x) | sh(y)) >= threshold)
+    got = sorted(tuple(r)[:2] for r in iterative.jaccard_links(a, b, "a", "b", threshold, list_names=list_names).collect())
+    assert got == want and len(want) >= len(names) // 2
+
+
 def test_walks_follow_edges(spark):
     e = [(1, 2), (2, 3), (3, 1), (3, 4)]
     both = set(e) | {(b, a) for a, b in e}
