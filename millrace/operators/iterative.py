@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.operators.graph import connected_components, simple_edges
-from millrace.plans.balls import cover, distance, touching
+from millrace.plans.balls import cover, forest, lowest, weigh, within
 from millrace.plans.counting import num, quantile_dict
 from millrace.plans.hashing import hash_unit
 from millrace.plans.lineage import cut
@@ -183,37 +183,13 @@ def _grid_cells(base: DataFrame, d: int, eps: float):
     return base.drop("at"), cells, near, lambda pairs: pairs.filter(reachable)
 
 
-def _ball_cells(base: DataFrame, eps: float, block: int):
-    """Cells of diameter eps as balls (``plans/balls.py``); the neighbouring ones come from a join of their centres."""
-    covered = cut(cover(base.select("vk", "v"), eps / 2 * (1 - 1e-9), block))
-    sized = covered.select("vk", F.col("centre").alias("cell"), "c", distance("v", "c").alias("r"))
-    base = cut(base.join(sized, "vk"))
-    cells = cut(base.groupBy("cell").agg(F.first("c").alias("c"), F.max("r").alias("r"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")))
-    near = cut(touching(cells.select("cell", "c", "r"), eps, block))
-    facts = fit_lookup(cells.select(F.col("cell").alias("other"), F.col("c").alias("_c"), F.col("r").alias("_r"), F.col("m").alias("n")), ["other"])
-    reachable = distance("v", "_c") <= (F.col("_r") + F.lit(eps)) * (1 + 1e-9)
-    return base.drop("c", "r"), cells, near, lambda pairs: join_lookup(pairs, facts, ["_c", "_r"]).filter(reachable).drop("_c", "_r")
-
-
-def dbscan(df: DataFrame, cols: list[str] | str, key: str, eps: float = 0.5, min_points: int = 5, block: int = BLOCK,
-           representatives: int = 16, balls: bool | None = None) -> DataFrame:
-    """(key, cluster, core): density clusters numbered by their smallest core key, -1 for noise, exact.
-
-    Space is cut into cells of diameter eps, so a cell with ``min_points`` rows is all core without a
-    comparison, and one edge between two cells stands for all their pairs. Up to four columns the cells are a
-    grid, beyond (or by ``balls``) they are balls of radius eps / 2. A border row near several clusters joins
-    the one with the smallest number. Rows with a null are left out. ``cols`` may name one array column.
-    """
-    rows = df.select(F.col(key), vector(cols).alias("v")).filter("v is not null").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    base = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).withColumn("vk", F.md5(F.to_json("v")))
-    if balls or (balls is None and (isinstance(cols, str) or len(cols) > 4)):
-        base, cells, near, aimed = _ball_cells(cut(base), eps, block)
-    else:
-        base, cells, near, aimed = _grid_cells(base, len(cols), eps)
+def _grid_clusters(base: DataFrame, d: int, eps: float, min_points: int, block: int, representatives: int) -> DataFrame:
+    """(vk, n, core, cluster or null) of distinct points (vk, v, n, first)."""
+    base, cells, near, aimed = _grid_cells(base, d, eps)
     base = cut(join_lookup(base, fit_lookup(cells.select("cell", "total", F.col("m").alias("n")), ["cell"]), ["total"]))
 
     def probes(points: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(vk, cell, v, other): the points of a cell against the cells of its pairs that hold points within eps."""
+        """(vk, cell, v, other): the points of a cell against the cells of its pairs that can hold points within eps."""
         return aimed(points.select("cell", "vk", "v").join(pairs, "cell"))
 
     asked = probes(base.filter(F.col("total") < min_points), near).select("vk", "v", F.col("other").alias("cell"))
@@ -251,8 +227,66 @@ def dbscan(df: DataFrame, cols: list[str] | str, key: str, eps: float = 0.5, min
     of_border = own.unionByName(touch).groupBy("vk").agg(F.min("cluster").alias("cluster"))
     sized = label.join(csize.select("cell", F.col("m").alias("n")), "cell")
     of_core = join_lookup(cores, fit_lookup(sized, ["cell"]), ["cluster"]).select("vk", "cluster")
-    final = (flagged.select("vk", "n", "core").join(of_core.unionByName(of_border), "vk", "left")
-             .withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))))
+    return flagged.select("vk", "n", "core").join(of_core.unionByName(of_border), "vk", "left")
+
+
+def _ball_clusters(base: DataFrame, eps: float, min_points: int, block: int, representatives: int) -> DataFrame:
+    """(vk, n, core, cluster or null) of distinct points (vk, v, n, first), in any number of columns.
+
+    A ball of radius eps / 2 with ``min_points`` rows is all core; the other points are counted. Balls with core
+    points are linked through a few points of each first; whatever that leaves apart is linked through all of
+    them, where the largest component need not ask: a link between two components has an end outside of it.
+    """
+    base = cut(base)
+    covered = cut(cover(base.select("vk", "v"), eps / 2 * (1 - 1e-9), block).select("vk", F.col("centre").alias("cell")).join(base, "vk"))
+    totals = covered.groupBy("cell").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n"))
+    covered = cut(join_lookup(covered, fit_lookup(totals, ["cell"]), ["total"]))
+    asked = covered.filter(F.col("total") < min_points).select("vk", "v")
+    found = within(asked, covered.select("vk", "v", "n"), eps, block, weigh, "vk string, within long")
+    found = found.groupBy("vk").agg(F.sum("within").alias("within"))
+    core = (F.col("total") >= min_points) | (F.coalesce("within", F.lit(0)) >= min_points)
+    flagged = cut(covered.join(found, "vk", "left").withColumn("core", core).select("vk", "v", "n", "first", "cell", "core"))
+    cores = flagged.filter("core").withColumn("node", F.col("cell"))
+    balls = cut(cores.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")))
+
+    link = lambda a, b: within(a.select("vk", "v", "node"), b.select("vk", "v", "node"), eps, block, forest, "src string, dst string")
+    place = F.row_number().over(W.partitionBy("cell").orderBy("vk"))
+    few = cut(cores.withColumn("_i", place).filter(F.col("_i") <= representatives))
+    parts = connected_components(cut(link(few, few)), balls.select(F.col("cell").alias("id"))).withColumnRenamed("id", "cell")
+    parts = cut(parts.join(balls, "cell"))
+    largest = parts.groupBy("component").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "component").first()
+    if largest is not None and parts.select("component").distinct().count() > 1:
+        named = join_lookup(cores.drop("node"), fit_lookup(parts.select("cell", "component", "n"), ["cell"]), ["component"])
+        named = cut(named.withColumnRenamed("component", "node"))
+        joined = connected_components(cut(link(named.filter(F.col("node") != largest["component"]), named)),
+                                      parts.select(F.col("component").alias("id")).distinct())
+        whole = joined.select(F.col("id").alias("component"), F.col("component").alias("_whole"))
+        parts = cut(parts.join(whole, "component").drop("component").withColumnRenamed("_whole", "component"))
+    heads = parts.groupBy("component").agg(F.min("first").alias("first"))
+    numbered = row_numbers(heads, [], ["first"], "cluster").select("component", (F.col("cluster") - 1).alias("cluster"))
+    label = parts.join(numbered, "component").select("cell", "cluster", "n")
+    of_core = cut(join_lookup(cores.select("vk", "v", "cell"), fit_lookup(label, ["cell"]), ["cluster"]).select("vk", "v", "cluster"))
+    touch = within(flagged.filter("not core").select("vk", "v"), of_core, eps, block, lowest, "vk string, cluster long")
+    of_border = touch.groupBy("vk").agg(F.min("cluster").alias("cluster"))
+    return flagged.select("vk", "n", "core").join(of_core.select("vk", "cluster").unionByName(of_border), "vk", "left")
+
+
+def dbscan(df: DataFrame, cols: list[str] | str, key: str, eps: float = 0.5, min_points: int = 5, block: int = BLOCK,
+           representatives: int = 16, balls: bool | None = None) -> DataFrame:
+    """(key, cluster, core): density clusters numbered by their smallest core key, -1 for noise, exact.
+
+    Space is cut into cells of diameter eps, so a cell with ``min_points`` rows is all core without a
+    comparison, and one edge between two cells stands for all their pairs. Up to four columns the cells are a
+    grid, beyond (or by ``balls``) they are balls of radius eps / 2. A border row near several clusters joins
+    the one with the smallest number. Rows with a null are left out. ``cols`` may name one array column.
+    """
+    rows = df.select(F.col(key), vector(cols).alias("v")).filter("v is not null").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    base = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).withColumn("vk", F.md5(F.to_json("v")))
+    if balls or (balls is None and (isinstance(cols, str) or len(cols) > 4)):
+        found = _ball_clusters(base, eps, min_points, block, representatives)
+    else:
+        found = _grid_clusters(base, len(cols), eps, min_points, block, representatives)
+    final = found.withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
     keyed = rows.select(key, F.md5(F.to_json("v")).alias("vk"))
     return join_lookup(keyed, fit_lookup(final, ["vk"]), ["cluster", "core"]).select(key, "cluster", "core")
 

@@ -1,4 +1,4 @@
-"""Covering points by balls of a given radius, and finding the balls that come near each other, in any number of columns.
+"""Covering points by balls of a given radius, and joining points within a distance, in any number of columns.
 
 Points are dealt to blocks of bounded size by their nearest pivot, so near points tend to share a task. Only the size
 of the cover depends on that; every point lies within the radius of its centre whatever the blocks.
@@ -8,26 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.plans.lineage import cut
 from millrace.plans.neighbours import PIVOTS, _assign, no_rows, squared
 
 
-def distance(a: str, b: str) -> Column:
-    """Euclidean distance of two array columns."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
-def _pivots(points: DataFrame, key: str, v: str) -> np.ndarray:
-    n = points.count()
-    take = int(min(PIVOTS, max(1, round(n ** 0.5 / 2))))
-    return np.array([r["v"] for r in points.orderBy(key).select(F.col(v).alias("v")).limit(take).collect()], dtype=float)
+def _pivots(points: DataFrame, key: str, v: str, blocks: int) -> np.ndarray:
+    """A pivot per block, as far as ``PIVOTS``: the points with the smallest digests."""
+    return np.array([r["v"] for r in points.orderBy(key).select(F.col(v).alias("v")).limit(min(PIVOTS, blocks)).collect()], dtype=float)
 
 
 def _half_cover(points: DataFrame, radius: float, block: int) -> DataFrame:
     """(vk, v, centre, c): points (vk, v) with a centre within ``radius``, chosen greedily in each block."""
-    piv = _pivots(points, "vk", "v")
+    piv = _pivots(points, "vk", "v", -(-points.count() // block))
     if len(piv) == 0:
         return points.select("vk", "v", F.col("vk").alias("centre"), F.col("v").alias("c"))
     placed = cut(_assign(points.select("vk", "v"), piv).drop("r"))
@@ -61,53 +55,79 @@ def cover(points: DataFrame, radius: float, block: int) -> DataFrame:
         "vk", "v", F.col("_top").alias("centre"), "c")
 
 
-def touching(balls: DataFrame, eps: float, block: int) -> DataFrame:
-    """(cell, other): all ordered pairs of balls (cell, c, r) whose points may lie within ``eps`` of each other.
+def within(left: DataFrame, right: DataFrame, eps: float, block: int, work, schema: str) -> DataFrame:
+    """``work(left rows, right rows, hits)`` for blocks of points (vk, v, ...) that together hold all pairs within ``eps``.
 
-    A ball stays at its nearest pivot and is copied to the pivots where such a partner can be: those for which the
-    distance to the pivot is at most the farthest ball there plus delta, and at most its own nearest pivot's
-    distance plus 2 delta (both by the triangle inequality). Pivots' lists meet in blocks.
+    A left point stays at its nearest pivot; a right one is copied to the pivots where a partner can be: those whose
+    distance is at most that of their farthest left point plus eps, and at most its own nearest pivot's distance
+    plus 2 eps (both by the triangle inequality). ``hits`` is the boolean matrix of the pairs within eps; no pair
+    leaves a task unless ``work`` returns it. There is a pivot per block, so copies grow no faster than the blocks.
     """
-    piv = _pivots(balls, "cell", "c")
+    piv = _pivots(left, "vk", "v", -(-left.count() // block))
     if len(piv) == 0:
-        return balls.select("cell", F.col("cell").alias("other"))
-    widest = balls.agg(F.max("r")).first()[0]
-    delta = (2 * widest + eps) * (1 + 1e-9)
-    at = cut(_assign(balls.select(F.col("cell").alias("id"), F.col("c").alias("v"), F.col("r").alias("rad")), piv))
+        return left.sparkSession.createDataFrame([], schema)
+    at = cut(_assign(left, piv))
     far = {r["cell"]: r["u"] for r in at.groupBy("cell").agg(F.max("r").alias("u")).collect()}  # one row per pivot
-    reach = np.array([far.get(i, -np.inf) for i in range(len(piv))]) + delta
+    reach = np.array([far.get(i, -np.inf) for i in range(len(piv))]) + eps
 
     @F.pandas_udf("array<int>")
     def homes(v: pd.Series) -> pd.Series:
         if len(v) == 0:
             return pd.Series([], dtype=object)
         away = np.sqrt(squared(np.stack(v.to_numpy()), piv))
-        slack = 1e-7 * (1.0 + away)
-        go = (away <= reach + slack) & (away <= away.min(1)[:, None] + 2 * delta + slack)
+        slack = 1e-6 * (1.0 + away)
+        go = (away <= reach + slack) & (away <= away.min(1)[:, None] + 2 * eps + slack)
         return pd.Series([np.nonzero(g)[0].astype("int32").tolist() for g in go], dtype=object)
 
-    copies = cut(at.select("id", "v", "rad", F.explode(homes("v")).alias("cell")))
+    copies = cut(right.withColumn("cell", F.explode(homes("v"))))
     parts = lambda d, name: d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = F.broadcast(cut(parts(at, "_nx").join(parts(copies, "_ny"), "cell")))
-    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("vk"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = at.join(sizes, "cell").withColumn("xb", part(F.col("_nx"))).withColumn("yb", every("_ny")).select("cell", "xb", "yb", "id", "v", "rad")
-    y = copies.join(sizes, "cell").withColumn("yb", part(F.col("_ny"))).withColumn("xb", every("_nx")).select("cell", "xb", "yb", "id", "v", "rad")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return no_rows("cell", "other")
-        b, rb, ids = np.stack(right["v"].to_numpy()), right["rad"].to_numpy(), right["id"].to_numpy()
-        mine, out = left["id"].to_numpy(), []
-        step = max(8_000_000 // b.size, 1)
-        for i in range(0, len(left), step):
-            a, ra = np.stack(left["v"].to_numpy()[i:i + step]), left["rad"].to_numpy()[i:i + step]
-            apart = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-            p, q = np.nonzero(apart <= (ra[:, None] + rb[None, :] + eps) * (1 + 1e-9))
-            other = mine[i:i + step][p] != ids[q]
-            out.append((mine[i:i + step][p[other]], ids[q[other]]))
-        one, two = map(np.concatenate, zip(*out))
-        return pd.DataFrame({"cell": pd.Series(one, dtype=object), "other": pd.Series(two, dtype=object)})
-
-    x, y = x.toDF(*x.columns), y.toDF(*y.columns)  # both sides come from one frame
-    return x.groupBy("cell", "xb", "yb").cogroup(y.groupBy("cell", "xb", "yb")).applyInPandas(meet, "cell string, other string")
+    x = at.join(sizes, "cell").withColumn("xb", part(F.col("_nx"))).withColumn("yb", every("_ny")).drop("_nx", "_ny", "r")
+    y = copies.join(sizes, "cell").withColumn("yb", part(F.col("_ny"))).withColumn("xb", every("_nx")).drop("_nx", "_ny")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if len(one) == 0 or len(two) == 0:
+            return no_rows(*names)
+        q, s = np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy())
+        hits, step = np.empty((len(q), len(s)), dtype=bool), max(8_000_000 // s.size, 1)
+        for i in range(0, len(q), step):
+            hits[i:i + step] = ((q[i:i + step, None, :] - s[None, :, :]) ** 2).sum(2) <= eps * eps
+        return work(one, two, hits)
+
+    x, y = x.toDF(*x.columns), y.toDF(*y.columns)  # both sides may come from one frame
+    return x.groupBy("cell", "xb", "yb").cogroup(y.groupBy("cell", "xb", "yb")).applyInPandas(meet, schema)
+
+
+def weigh(one: pd.DataFrame, two: pd.DataFrame, hits: np.ndarray) -> pd.DataFrame:
+    """(vk, within): the weight ``n`` of the right points near each left one."""
+    return pd.DataFrame({"vk": one["vk"], "within": (hits @ two["n"].to_numpy().astype("int64")).astype("int64")})
+
+
+def lowest(one: pd.DataFrame, two: pd.DataFrame, hits: np.ndarray) -> pd.DataFrame:
+    """(vk, cluster): the smallest ``cluster`` near each left point that has any."""
+    near = hits.any(1)
+    best = np.where(hits, two["cluster"].to_numpy()[None, :], np.iinfo("int64").max).min(1)
+    return pd.DataFrame({"vk": pd.Series(one["vk"].to_numpy()[near], dtype=object), "cluster": best[near].astype("int64")})
+
+
+def forest(one: pd.DataFrame, two: pd.DataFrame, hits: np.ndarray) -> pd.DataFrame:
+    """(src, dst): the components of the nodes that a block's hits link, as stars; at most a row per point."""
+    nodes, code = np.unique(np.concatenate([one["node"].to_numpy(), two["node"].to_numpy()]).astype(str), return_inverse=True)
+    left, right = code[:len(one)], code[len(one):]
+    head = np.arange(len(nodes))
+    while True:  # each round takes the smallest head over the links, then over the points of a node
+        low = np.full(len(nodes), len(nodes))
+        across = np.where(hits, head[right][None, :], len(nodes)).min(1)
+        back = np.where(hits, head[left][:, None], len(nodes)).min(0)
+        np.minimum.at(low, left, across)
+        np.minimum.at(low, right, back)
+        low = np.minimum(low, head)
+        low = low[low]
+        if (low == head).all():
+            break
+        head = low
+    linked = head != np.arange(len(nodes))
+    return pd.DataFrame({"src": pd.Series(nodes[head[linked]], dtype=object), "dst": pd.Series(nodes[linked], dtype=object)})
