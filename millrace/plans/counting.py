@@ -58,6 +58,8 @@ def _at_ranks(counts: DataFrame, by: list[str], probs: list[float], small: bool)
         run = prefix_totals(counts, by, ["at"], {"cum": F.col("n")})
         run = join_on(run, counts.groupBy(*by).agg(F.sum("n").alias("total")), by, "inner")
     run = run.withColumn("before", F.col("cum") - F.col("n"))
+    if len(probs) > MOST_PROBS:
+        return _at_many_ranks(run, counts, by, probs)
 
     def at(idx: Column) -> Column:
         return F.max(F.when((F.col("before") <= idx) & (idx < F.col("cum")), F.col("value")))
@@ -74,6 +76,25 @@ def _at_ranks(counts: DataFrame, by: list[str], probs: list[float], small: bool)
     return agg.select(*by, q.alias("q"), "n", missed.alias("missed"))
 
 
+def _at_many_ranks(run: DataFrame, counts: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """(by..., q array, n) as ``_at_ranks``, for counts without gaps: each rank is a row that meets the values of its run of
+    ranks, so neither the plan nor the work per value grows with the number of probabilities."""
+    runs = F.expr(f"greatest(total div {len(probs)}, 1)")   # ranks a run; about as many runs as probabilities
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total")).withColumn("_run", runs)
+    ranks = (total.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+             .withColumn("_pos", F.col("_p") * (F.col("total") - 1)))
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.floor("_pos").alias("rank")), F.struct(F.lit(1).alias("end"), F.ceil("_pos").alias("rank")))
+    wanted = ranks.select(*by, "_i", (F.col("_pos") - F.floor("_pos")).alias("_f"), "_run", F.explode(ends).alias("_e")).select(
+        *by, "_i", "_f", "_e.*", F.expr("_e.rank div _run").alias("_block"))
+    spans = run.withColumn("_run", runs).select(
+        *by, "value", "before", "cum", "total", F.explode(F.expr("sequence(before div _run, (cum - 1) div _run)")).alias("_block"))
+    found = join_on(spans, wanted, [*by, "_block"], "inner").filter("before <= rank and rank < cum")
+    q = (found.groupBy(*by, "_i").agg(F.max(F.expr("if(end = 0, value, null)")).alias("_a"), F.max(F.expr("if(end = 1, value, null)")).alias("_b"),
+                                      F.max("_f").alias("_f"), F.max("total").alias("n"))
+         .withColumn("q", F.col("_a") + F.when(F.col("_f") > 0, (F.col("_b") - F.col("_a")) * F.col("_f")).otherwise(F.lit(0.0))))
+    return q.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "q")))["q"].alias("q"), F.max("n").alias("n"))
+
+
 def quantile_brackets(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (), whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """(by..., n, lo0, hi0, lo1, ...): per column two arrays with ends that enclose the values at each probability, from one scan
     that builds a KLL sketch per column. Sketches are merged in ``MERGE_WAYS`` groups first, so that no task meets those

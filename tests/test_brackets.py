@@ -111,3 +111,16 @@ def test_unique_columns_are_not_shuffled(spark, monkeypatch):
     df = spark.range(20_000).select("id", (F.col("id") * 3).alias("other"), (F.col("id") % 5).alias("five"), (F.col("id") % 9000).alias("half"))
     assert profile.kinds_dict(df) == {"id": "id_like", "other": "id_like", "five": "numeric", "half": "numeric"}
     assert seen == ["five"]
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_a_thousand_probabilities_need_no_deep_plan(spark, limit):
+    """One value holds half of the rows, a group has one row and one a null key; 1000 ranks are met as rows."""
+    rows = [("a", float(i % 977) if i % 2 else 3.0) for i in range(4000)] + [("b", 7.5)] + [(None, i * 0.25) for i in range(33)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [i / 999 for i in range(1000)]
+    got = {r["g"]: r for r in counting.quantiles(df, ["x"], probs, by=["g"], distinct_limit=limit).collect()}
+    for g in ("a", "b", None):
+        mine = [x for k, x in rows if k == g and x is not None]
+        assert got[g]["n"] == len(mine) and np.allclose(got[g]["q"], np.quantile(mine, probs))
+    assert np.allclose(counting.quantile_dict(df, ["x"], probs, distinct_limit=limit)["x"], np.quantile([x for _, x in rows if x is not None], probs))
