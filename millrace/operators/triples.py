@@ -158,7 +158,8 @@ def subclass_closure(t: DataFrame, full: bool = True) -> DataFrame:
 
 def with_inferred(t: DataFrame, derived: DataFrame) -> DataFrame:
     """The triples plus the derived ones that were not asserted, with an ``inferred`` mark."""
-    new = derived.select(*COLUMNS).distinct().join(t.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(*COLUMNS)
+    known = t.select("s", "p", "o").hint("merge")   # a few MB of files may hold GBs of triples: never collected for a broadcast
+    new = derived.select(*COLUMNS).distinct().join(known, ["s", "p", "o"], "left_anti").select(*COLUMNS)
     return t.select(*COLUMNS).withColumn("inferred", F.lit(False)).unionByName(new.withColumn("inferred", F.lit(True)))
 
 
@@ -217,13 +218,14 @@ def rdfs_closure(t: DataFrame) -> DataFrame:
     props = transitive_closure(sub)
     classes = subclass_closure(t)
     up = _mapped_pairs(t, props.select(F.col("src").alias("p"), F.col("dst").alias("target")), "p")
-    facts = t.select(*COLUMNS).unionByName(up.drop("p").withColumnRenamed("target", "p").select(*COLUMNS)).distinct()
+    # facts and types are read by several rules; written once, the plan does not repeat what they come from
+    facts = cut(t.select(*COLUMNS).unionByName(up.drop("p").withColumnRenamed("target", "p").select(*COLUMNS)).distinct())
     dom = t.filter(F.col("p") == R.DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("target")).distinct()
     ran = t.filter(F.col("p") == R.RANGE).select(F.col("s").alias("p"), F.col("o").alias("target")).distinct()
     by_domain = _mapped_pairs(facts, dom, "p").select("s", F.col("target").alias("cls"))
     by_range = _mapped_pairs(facts.filter("o_type <> 'literal'"), ran, "p").select(F.col("o").alias("s"), F.col("target").alias("cls"))
     direct = facts.filter(F.col("p") == R.TYPE).select("s", F.col("o").alias("cls"))
-    types = direct.unionByName(by_domain).unionByName(by_range).distinct()
+    types = cut(direct.unionByName(by_domain).unionByName(by_range).distinct())
     above = _mapped_pairs(types, classes.select(F.col("src").alias("cls"), F.col("dst").alias("target")), "cls")
     all_types = types.unionByName(above.select("s", F.col("target").alias("cls"))).distinct()
     derived = (facts.unionByName(all_types.select(*_iri(F.col("s"), R.TYPE, F.col("cls"))))
