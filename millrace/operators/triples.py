@@ -16,12 +16,18 @@ from millrace.plans.lookup import fit_lookup, join_lookup
 COLUMNS = ["s", "p", "o", "o_type", "o_lang", "o_datatype"]
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by keys that are nearly unique, ahead of a grouping by them: combining in the scan would hold all keys of a split,
+    and a split of a few MB may hold millions of triples. The parts are sized by what is shuffled."""
+    return df.repartition(*keys)
+
+
 def union_graphs(*graphs: DataFrame) -> DataFrame:
     """Set union on all term fields."""
     out = graphs[0].select(*COLUMNS)
     for g in graphs[1:]:
         out = out.unionByName(g.select(*COLUMNS))
-    return out.dropDuplicates(COLUMNS)
+    return _dealt(out, COLUMNS).dropDuplicates(COLUMNS)
 
 
 def typed(t: DataFrame, cls: str) -> DataFrame:
@@ -32,16 +38,18 @@ def typed(t: DataFrame, cls: str) -> DataFrame:
 def counts(t: DataFrame) -> DataFrame:
     """(triples, classes, object_properties, datatype_properties, annotation_properties, individuals,
     namespaces) in one row."""
-    is_type = F.col("p") == R.TYPE
     def of(cls):
-        return F.sum((is_type & (F.col("o") == cls)).cast("long"))
-    kinds = (t.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("triples"), of(R.CLASS).alias("classes"), of(R.OBJECT_PROPERTY).alias("object_properties"),
-        of(R.DATATYPE_PROPERTY).alias("datatype_properties"), of(R.ANNOTATION_PROPERTY).alias("annotation_properties"),
-        of(R.INDIVIDUAL).alias("individuals")))
-    ns = t.select(F.explode(F.array(R.namespace(F.col("s")), R.namespace(F.col("p")))).alias("ns")).distinct() \
-          .count()
-    return kinds.withColumn("namespaces", F.lit(ns).cast("long"))
+        return F.coalesce(F.sum((F.col("o") == cls).cast("long")), zero)
+    spaces = t.select(F.explode(F.array(R.namespace(F.col("s")), R.namespace(F.col("p")))).alias("ns")).groupBy("ns").agg(F.count(F.lit(1)).alias("n"))
+    ns, ends = spaces.agg(F.count(F.lit(1)), F.sum("n")).first()   # a triple has two
+    triples = F.lit(None if ends is None else ends // 2).cast("long")
+    zero = F.lit(None if ends is None else 0).cast("long")
+    kinds = [R.CLASS, R.OBJECT_PROPERTY, R.DATATYPE_PROPERTY, R.ANNOTATION_PROPERTY, R.INDIVIDUAL]
+    # only what the counted types say must be distinct
+    declared = _dealt(t.filter((F.col("p") == R.TYPE) & F.col("o").isin(kinds)).select("s", "o"), ["s", "o"]).distinct()
+    names = ["classes", "object_properties", "datatype_properties", "annotation_properties", "individuals"]
+    return (declared.agg(*[of(k).alias(n) for k, n in zip(kinds, names)])
+            .select(triples.alias("triples"), *names, F.lit(ns).cast("long").alias("namespaces")))
 
 
 def profile_name(t: DataFrame) -> DataFrame:

@@ -112,3 +112,17 @@ def test_known_triples_are_not_broadcast(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not any("BroadcastHashJoin" in x and "LeftAnti" in x for x in plan.split("\n"))
     assert sorted(r["s"] for r in out.filter("inferred").collect()) == sorted(f"x{i}" for i in range(20) if i != 3)
+
+
+def test_nearly_unique_triples_are_not_combined_in_the_scan(spark):
+    """Repeated triples count once among the kinds and each time in the total; the scan keeps no table of all triples."""
+    rows = [(f"http://x/a#i{i % 30}", R.TYPE, R.INDIVIDUAL, "iri", None, None) for i in range(40)] + [
+        ("http://x/b#C", R.TYPE, R.CLASS, "iri", None, None), ("http://x/b#C", R.TYPE, "http://x/b#D", "iri", None, None), (None, None, "v", "literal", "en", None)]
+    t = spark.createDataFrame(rows, "s string, p string, o string, o_type string, o_lang string, o_datatype string")
+    assert tuple(O.counts(t).first()) == (43, 1, 0, 0, 0, 30, 4)   # two namespaces, that of rdf and none
+    assert tuple(O.counts(t.limit(0)).first()) == (None,) * 6 + (0,)
+    assert tuple(O.counts(t.filter("s is null")).first()) == (1, 0, 0, 0, 0, 0, 1)
+    assert O.union_graphs(t, t).count() == 33
+    plan = O.union_graphs(t, t)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange"):]
+    assert "Exchange hashpartitioning" in plan and "Aggregate" not in below
