@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.plans.lineage import cut
-from millrace.plans.neighbours import PIVOTS, _assign, no_rows, squared
+from millrace.plans.neighbours import _assign, no_rows, squared
+
+
+PIVOTS = 256
 
 
 def _pivots(points: DataFrame, key: str, v: str, blocks: int) -> np.ndarray:

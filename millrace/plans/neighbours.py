@@ -18,7 +18,7 @@ from millrace.plans.lineage import cut
 from millrace.plans.lookup import fit_lookup, join_lookup
 
 BLOCK = 2_000
-PIVOTS = 256
+PIVOTS = 1_024
 
 
 def vector(cols: list[str] | str) -> Column:
@@ -82,6 +82,12 @@ def _blocks(sizes: dict[int, int], block: int) -> dict[int, int]:
     return {c: max(-(-n // block), 1) for c, n in sizes.items()}
 
 
+def _sent(q_size: dict[int, int], s_size: dict[int, int], block: int) -> int:
+    """Rows that the search sends: points written for their cells, then both sides of every pair of blocks."""
+    q, s = _blocks(q_size, block), _blocks(s_size, block)
+    return sum(n * s.get(c, 1) for c, n in q_size.items()) + sum(n * q.get(c, 1) for c, n in s_size.items()) + (sum(s_size.values()) if len(s_size) > 1 else 0)
+
+
 def _lut(values: dict[int, int], cell: Column, default: int = 1) -> Column:
     """Small per-cell number as an array look-up."""
     size = max(values, default=0) + 1
@@ -126,9 +132,15 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_key: str, point
         return pd.Series([np.nonzero(low[:, ci] <= di)[0].astype("int32").tolist() for ci, di in zip(c, d)])
 
     spread = s.withColumn("target", F.explode(goes_to("cell", "r"))).select(F.col("target").alias("cell"), "v", "ids", "vk")
-    spread = cut(spread)
     s_size = {r["cell"]: r["count"] for r in spread.groupBy("cell").count().collect()}
-    q_blocks, s_blocks = _blocks({c: n for c, (n, _) in qr.items()}, block), _blocks(s_size, block)
+    q_size = {c: n for c, (n, _) in qr.items()}
+    if _sent(q_size, s_size, block) > _sent({0: sum(q_size.values())}, {0: n_points}, block):
+        # the bounds rule out too little: one cell, all blocks against all blocks, sends fewer rows
+        q, spread = [d.withColumn("cell", F.lit(0)) for d in (q, s.select("cell", "v", "ids", "vk"))]
+        q_size, s_size = {0: sum(q_size.values())}, {0: n_points}
+    else:
+        spread = cut(spread)
+    q_blocks, s_blocks = _blocks(q_size, block), _blocks(s_size, block)
     pick = lambda salt, n: F.pmod(F.xxhash64("vk", F.lit(salt)), n).cast("int")
     qb = (q.withColumn("qb", pick(1, _lut(q_blocks, F.col("cell"))))
           .withColumn("sb", F.explode(F.sequence(F.lit(0), _lut(s_blocks, F.col("cell")) - 1)))

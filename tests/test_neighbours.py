@@ -216,3 +216,17 @@ def test_chained_impute_recovers_a_plane(spark):
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, ta double, tc double")
     bad = iterative.chained_impute(df, ["a", "b", "c"]).filter("abs(a - ta) > 1e-3 or abs(c - tc) > 1e-3").count()
     assert bad == 0
+
+
+def test_weak_bounds_do_not_spread_the_points(spark, monkeypatch):
+    """Where the bounds rule out nothing, points are not written once per cell; the answer stays that of brute force."""
+    from millrace.plans import neighbours as P
+    rng, written, real = np.random.default_rng(8), [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: (lambda x: written.append(x.count()) or x)(real(df)))
+    for dims in (40, 1):
+        pts = [(i, [float(x) for x in rng.normal(size=dims)]) for i in range(300)]
+        df = spark.createDataFrame(pts, "id long, v array<double>")
+        written.clear()
+        got = {r["id"]: [(round(n["dist"], 6), n["id"]) for n in r["neighbours"]] for r in nearest(df, df, 3, "id", "id", exclude_same=True, block=10, pivots=64).collect()}
+        assert got == brute(pts, pts, 3, True)
+        assert len(written) == (4 if dims == 40 else 5)   # the fifth has a row per point and cell that it goes to
