@@ -8,6 +8,7 @@ one row per element.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import urljoin
 from xml.parsers import expat
@@ -220,16 +221,23 @@ class _RdfXml:
                 self.emit(s, p, "".join(text), "literal", None if typed else self.scope[-1][0], typed)
         self.scope.pop()
 
-    def read(self, content: bytes) -> list[tuple]:
+    def read(self, content, piece: int = 1 << 20, most: int = 10_000) -> Iterator[list[tuple]]:
+        """The triples in lists of about ``most``; the document is parsed piece by piece, so that few are held."""
         parser = expat.ParserCreate(namespace_separator=" ")
         parser.ordered_attributes, parser.buffer_text = True, True
         parser.StartNamespaceDeclHandler, parser.StartElementHandler = self.declared, self.start
         parser.EndElementHandler, parser.CharacterDataHandler = self.end, self.text
+        view = memoryview(content)
         try:
-            parser.Parse(content, True)
+            for at in range(0, len(view), piece):
+                parser.Parse(bytes(view[at:at + piece]), False)
+                while len(self.out) >= most:
+                    yield self.out[:most]
+                    del self.out[:most]
+            parser.Parse(b"", True)
         except expat.ExpatError as e:
             raise ValueError(f"{self.path} is not well formed: {e}") from e
-        return self.out
+        yield self.out
 
 
 def read_rdfxml(spark: SparkSession, path: str, base: str = "") -> DataFrame:
@@ -242,10 +250,9 @@ def read_rdfxml(spark: SparkSession, path: str, base: str = "") -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                reader = _RdfXml(file, base)
-                found = reader.read(content)
-                yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in found], pa.string()) for i in range(6)], names=columns)
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for found in _RdfXml(file, base).read(content.as_buffer()):   # the column's memory, not a copy
+                    yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in found], pa.string()) for i in range(6)], names=columns)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, TRIPLE_DDL).distinct()
 

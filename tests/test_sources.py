@@ -223,3 +223,14 @@ def test_readers_keep_every_row(spark, tmp_path):
     assert sorted((r.a, r.b) for r in S.read_json(spark, str(tmp_path / "split"), orient="split").collect()) == [("1", "2"), ("4", "3"), ("6", "5")]
     (tmp_path / "quoted.csv").write_bytes("n;t\n1;\"two\nlines\"\n2;ü\n".encode("cp1252"))
     assert {(r.n, r.t) for r in S.read_csv(spark, str(tmp_path / "quoted.csv"), sep=";", encoding="cp1252", multiline=True).collect()} == {(1, "two\nlines"), (2, "ü")}
+
+
+def test_rdfxml_is_read_in_pieces():
+    """A document cut anywhere gives the same triples, and few of them are held at a time."""
+    doc = RDF_KINDS.encode()
+    read = lambda **kw: [list(x) for x in D._RdfXml("f.rdf", "").read(doc, **kw)]
+    whole, parts = read(), read(piece=5, most=3)
+    assert [t for x in parts for t in x] == [t for x in whole for t in x] and len(whole) == 1
+    assert len(parts) > 3 and max(map(len, parts)) <= 3 + 1
+    with pytest.raises(ValueError, match="not well formed"):
+        list(D._RdfXml("f.rdf", "").read(doc[:-9]))
