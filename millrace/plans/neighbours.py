@@ -18,7 +18,7 @@ from millrace.plans.lineage import cut
 from millrace.plans.lookup import fit_lookup, join_lookup
 
 BLOCK = 2_000
-PIVOTS = 1_024
+PIVOTS = 256
 
 
 def vector(cols: list[str] | str) -> Column:
