@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.operators.graph import connected_components, simple_edges
-from millrace.plans.balls import cover, forest, lowest, weigh, within
+from millrace.plans.balls import at_home, cover, forest, lowest, weigh, within
 from millrace.plans.counting import num, quantile_dict
 from millrace.plans.hashing import hash_unit
 from millrace.plans.lineage import cut
@@ -230,36 +230,38 @@ def _grid_clusters(base: DataFrame, d: int, eps: float, min_points: int, block:
     return flagged.select("vk", "n", "core").join(of_core.unionByName(of_border), "vk", "left")
 
 
-def _ball_clusters(base: DataFrame, eps: float, min_points: int, block: int, representatives: int) -> DataFrame:
+def _ball_clusters(base: DataFrame, eps: float, min_points: int, block: int) -> DataFrame:
     """(vk, n, core, cluster or null) of distinct points (vk, v, n, first), in any number of columns.
 
-    A ball of radius eps / 2 with ``min_points`` rows is all core; the other points are counted. Balls with core
-    points are linked through a few points of each first; whatever that leaves apart is linked through all of
-    them, where the largest component need not ask: a link between two components has an end outside of it.
+    A ball of radius eps / 2 with ``min_points`` rows is all core; so is a point with that many near rows in its
+    own block, and only the others are counted against all. Balls with core points are linked inside blocks, dealt
+    by two sets of pivots; whatever that leaves apart is linked through all points, where the largest component
+    need not ask: a link between two components has an end outside of it.
     """
     base = cut(base)
     covered = cut(cover(base.select("vk", "v"), eps / 2 * (1 - 1e-9), block).select("vk", F.col("centre").alias("cell")).join(base, "vk"))
     totals = covered.groupBy("cell").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n"))
-    covered = cut(join_lookup(covered, fit_lookup(totals, ["cell"]), ["total"]))
-    asked = covered.filter(F.col("total") < min_points).select("vk", "v")
-    found = within(asked, covered.select("vk", "v", "n"), eps, block, weigh, "vk string, within long")
+    covered = join_lookup(covered, fit_lookup(totals, ["cell"]), ["total"])
+    home = at_home(base.select("vk", "v", "n"), eps, block, weigh, "vk string, within long").withColumnRenamed("within", "home")
+    settled = (F.col("total") >= min_points) | (F.col("home") >= min_points)
+    covered = cut(covered.join(home, "vk").withColumn("settled", settled).drop("home", "total"))
+    found = within(cut(covered.filter("not settled").select("vk", "v")), covered.select("vk", "v", "n"), eps, block, weigh, "vk string, within long")
     found = found.groupBy("vk").agg(F.sum("within").alias("within"))
-    core = (F.col("total") >= min_points) | (F.coalesce("within", F.lit(0)) >= min_points)
+    core = F.col("settled") | (F.coalesce("within", F.lit(0)) >= min_points)
     flagged = cut(covered.join(found, "vk", "left").withColumn("core", core).select("vk", "v", "n", "first", "cell", "core"))
     cores = flagged.filter("core").withColumn("node", F.col("cell"))
     balls = cut(cores.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")))
 
-    link = lambda a, b: within(a.select("vk", "v", "node"), b.select("vk", "v", "node"), eps, block, forest, "src string, dst string")
-    place = F.row_number().over(W.partitionBy("cell").orderBy("vk"))
-    few = cut(cores.withColumn("_i", place).filter(F.col("_i") <= representatives))
-    parts = connected_components(cut(link(few, few)), balls.select(F.col("cell").alias("id"))).withColumnRenamed("id", "cell")
+    link = "src string, dst string"
+    inside = [at_home(cores.select("vk", "v", "node"), eps, block, forest, link, turned) for turned in (False, True)]
+    parts = connected_components(cut(inside[0].unionByName(inside[1])), balls.select(F.col("cell").alias("id"))).withColumnRenamed("id", "cell")
     parts = cut(parts.join(balls, "cell"))
     largest = parts.groupBy("component").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "component").first()
     if largest is not None and parts.select("component").distinct().count() > 1:
         named = join_lookup(cores.drop("node"), fit_lookup(parts.select("cell", "component", "n"), ["cell"]), ["component"])
-        named = cut(named.withColumnRenamed("component", "node"))
-        joined = connected_components(cut(link(named.filter(F.col("node") != largest["component"]), named)),
-                                      parts.select(F.col("component").alias("id")).distinct())
+        named = cut(named.withColumnRenamed("component", "node").select("vk", "v", "node"))
+        apart = within(cut(named.filter(F.col("node") != largest["component"])), named, eps, block, forest, link)
+        joined = connected_components(cut(apart), parts.select(F.col("component").alias("id")).distinct())
         whole = joined.select(F.col("id").alias("component"), F.col("component").alias("_whole"))
         parts = cut(parts.join(whole, "component").drop("component").withColumnRenamed("_whole", "component"))
     heads = parts.groupBy("component").agg(F.min("first").alias("first"))
@@ -278,12 +280,13 @@ def dbscan(df: DataFrame, cols: list[str] | str, key: str, eps: float = 0.5, min
     Space is cut into cells of diameter eps, so a cell with ``min_points`` rows is all core without a
     comparison, and one edge between two cells stands for all their pairs. Up to four columns the cells are a
     grid, beyond (or by ``balls``) they are balls of radius eps / 2. A border row near several clusters joins
-    the one with the smallest number. Rows with a null are left out. ``cols`` may name one array column.
+    the one with the smallest number. Rows with a null are left out. ``cols`` may name one array column. Grid cells
+    are first linked through ``representatives`` of their points.
     """
     rows = df.select(F.col(key), vector(cols).alias("v")).filter("v is not null").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     base = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).withColumn("vk", F.md5(F.to_json("v")))
     if balls or (balls is None and (isinstance(cols, str) or len(cols) > 4)):
-        found = _ball_clusters(base, eps, min_points, block, representatives)
+        found = _ball_clusters(base, eps, min_points, block)
     else:
         found = _grid_clusters(base, len(cols), eps, min_points, block, representatives)
     final = found.withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))

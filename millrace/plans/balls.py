@@ -14,9 +14,50 @@ from millrace.plans.lineage import cut
 from millrace.plans.neighbours import PIVOTS, _assign, no_rows, squared
 
 
-def _pivots(points: DataFrame, key: str, v: str, blocks: int) -> np.ndarray:
-    """A pivot per block, as far as ``PIVOTS``: the points with the smallest digests."""
-    return np.array([r["v"] for r in points.orderBy(key).select(F.col(v).alias("v")).limit(min(PIVOTS, blocks)).collect()], dtype=float)
+def _pivots(points: DataFrame, key: str, v: str, blocks: int, turned: bool = False) -> np.ndarray:
+    """A pivot per block, as far as ``PIVOTS``: the points with the smallest digests, or ``turned`` the largest."""
+    order = F.col(key).desc() if turned else F.col(key)
+    return np.array([r["v"] for r in points.orderBy(order).select(F.col(v).alias("v")).limit(min(PIVOTS, blocks)).collect()], dtype=float)
+
+
+def _dealt(points: DataFrame, piv: np.ndarray, block: int) -> DataFrame:
+    """``points`` with ``cell``, the nearest pivot, and ``b``, a part of about ``block`` points of the cell."""
+    placed = cut(_assign(points, piv).drop("r"))
+    sizes = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb")))  # one row per pivot
+    return placed.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("vk"), F.col("_nb"))).drop("_nb")
+
+
+def near(q: np.ndarray, s: np.ndarray, eps: float) -> np.ndarray:
+    """The boolean matrix of the pairs within eps, as from differences. A matrix product decides all pairs but those
+    so close to the limit that its rounding could; they are computed again from their differences."""
+    hits, limit = np.empty((len(q), len(s)), dtype=bool), eps * eps
+    q2, s2 = (q * q).sum(1), (s * s).sum(1)
+    slack = 1e-14 * (q.shape[1] + 4) * (q2.max(initial=0.0) + s2.max(initial=0.0) + limit)
+    step = max(2_000_000 // max(len(s), 1), 1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for i in range(0, len(q), step):
+            over = q2[i:i + step, None] + (s2 - limit)[None, :] - 2.0 * (q[i:i + step] @ s.T)
+            part = over <= 0
+            a, b = np.nonzero(~(np.abs(over) > slack))  # also what is no number
+            for j in range(0, len(a), 200_000):
+                x, y = a[j:j + 200_000], b[j:j + 200_000]
+                part[x, y] = ((q[i + x] - s[y]) ** 2).sum(1) <= limit
+            hits[i:i + step] = part
+    return hits
+
+
+def at_home(points: DataFrame, eps: float, block: int, work, schema: str, turned: bool = False) -> DataFrame:
+    """``work(rows, rows, hits)`` for blocks of near points, each point in one block: some of the pairs within eps, at
+    a cost in proportion to the points. ``turned`` deals them by other pivots."""
+    piv = _pivots(points, "vk", "v", -(-points.count() // block), turned)
+    if len(piv) == 0:
+        return points.sparkSession.createDataFrame([], schema)
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["v"].to_numpy())
+        return work(rows, rows, near(x, x, eps))
+
+    return _dealt(points, piv, block).groupBy("cell", "b").applyInPandas(meet, schema)
 
 
 def _half_cover(points: DataFrame, radius: float, block: int) -> DataFrame:
@@ -24,10 +65,6 @@ def _half_cover(points: DataFrame, radius: float, block: int) -> DataFrame:
     piv = _pivots(points, "vk", "v", -(-points.count() // block))
     if len(piv) == 0:
         return points.select("vk", "v", F.col("vk").alias("centre"), F.col("v").alias("c"))
-    placed = cut(_assign(points.select("vk", "v"), piv).drop("r"))
-    sizes = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb")))  # one row per pivot
-    dealt = placed.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("vk"), F.col("_nb"))).drop("_nb")
-
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vk")
         x = np.stack(rows["v"].to_numpy())
@@ -39,7 +76,7 @@ def _half_cover(points: DataFrame, radius: float, block: int) -> DataFrame:
         vk, v = rows["vk"].to_numpy(), rows["v"].to_numpy()
         return pd.DataFrame({"vk": vk, "v": v, "centre": vk[centre], "c": v[centre]})
 
-    return dealt.groupBy("cell", "b").applyInPandas(choose, "vk string, v array<double>, centre string, c array<double>")
+    return _dealt(points.select("vk", "v"), piv, block).groupBy("cell", "b").applyInPandas(choose, "vk string, v array<double>, centre string, c array<double>")
 
 
 def cover(points: DataFrame, radius: float, block: int) -> DataFrame:
@@ -91,11 +128,7 @@ def within(left: DataFrame, right: DataFrame, eps: float, block: int, work, sche
     def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if len(one) == 0 or len(two) == 0:
             return no_rows(*names)
-        q, s = np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy())
-        hits, step = np.empty((len(q), len(s)), dtype=bool), max(8_000_000 // s.size, 1)
-        for i in range(0, len(q), step):
-            hits[i:i + step] = ((q[i:i + step, None, :] - s[None, :, :]) ** 2).sum(2) <= eps * eps
-        return work(one, two, hits)
+        return work(one, two, near(np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy()), eps))
 
     x, y = x.toDF(*x.columns), y.toDF(*y.columns)  # both sides may come from one frame
     return x.groupBy("cell", "xb", "yb").cogroup(y.groupBy("cell", "xb", "yb")).applyInPandas(meet, schema)
@@ -103,28 +136,34 @@ def within(left: DataFrame, right: DataFrame, eps: float, block: int, work, sche
 
 def weigh(one: pd.DataFrame, two: pd.DataFrame, hits: np.ndarray) -> pd.DataFrame:
     """(vk, within): the weight ``n`` of the right points near each left one."""
-    return pd.DataFrame({"vk": one["vk"], "within": (hits @ two["n"].to_numpy().astype("int64")).astype("int64")})
+    a, b = np.nonzero(hits)
+    total = np.zeros(len(one), dtype="int64")
+    np.add.at(total, a, two["n"].to_numpy().astype("int64")[b])
+    return pd.DataFrame({"vk": one["vk"], "within": total})
 
 
 def lowest(one: pd.DataFrame, two: pd.DataFrame, hits: np.ndarray) -> pd.DataFrame:
     """(vk, cluster): the smallest ``cluster`` near each left point that has any."""
-    near = hits.any(1)
-    best = np.where(hits, two["cluster"].to_numpy()[None, :], np.iinfo("int64").max).min(1)
-    return pd.DataFrame({"vk": pd.Series(one["vk"].to_numpy()[near], dtype=object), "cluster": best[near].astype("int64")})
+    a, b = np.nonzero(hits)
+    best = np.full(len(one), np.iinfo("int64").max)
+    np.minimum.at(best, a, two["cluster"].to_numpy().astype("int64")[b])
+    found = hits.any(1)
+    return pd.DataFrame({"vk": pd.Series(one["vk"].to_numpy()[found], dtype=object), "cluster": best[found]})
 
 
 def forest(one: pd.DataFrame, two: pd.DataFrame, hits: np.ndarray) -> pd.DataFrame:
     """(src, dst): the components of the nodes that a block's hits link, as stars; at most a row per point."""
     nodes, code = np.unique(np.concatenate([one["node"].to_numpy(), two["node"].to_numpy()]).astype(str), return_inverse=True)
-    left, right = code[:len(one)], code[len(one):]
+    a, b = np.nonzero(hits)
+    left, right = code[:len(one)][a], code[len(one):][b]
+    other = left != right
+    left, right = left[other], right[other]
     head = np.arange(len(nodes))
-    while True:  # each round takes the smallest head over the links, then over the points of a node
-        low = np.full(len(nodes), len(nodes))
-        across = np.where(hits, head[right][None, :], len(nodes)).min(1)
-        back = np.where(hits, head[left][:, None], len(nodes)).min(0)
-        np.minimum.at(low, left, across)
-        np.minimum.at(low, right, back)
-        low = np.minimum(low, head)
+    while True:  # each round takes the smallest head over the links, also for the heads themselves, and follows it
+        low = head.copy()
+        np.minimum.at(low, left, head[right])
+        np.minimum.at(low, right, head[left])
+        np.minimum.at(low, head, low.copy())
         low = low[low]
         if (low == head).all():
             break

@@ -1,8 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import iterative, neighbours as N
+from millrace.plans import balls
 from millrace.plans.neighbours import nearest
 
 
@@ -167,6 +170,32 @@ def test_dbscan_eight_columns(spark, block, reps):
     assert ([r["cluster"] for r in got], [r["core"] for r in got]) == (label, core)
 
 
+def test_dbscan_few_points_meet_all(spark, monkeypatch):
+    """In a dense cloud only points without enough rows in their own block, or outside the largest component, meet all points."""
+    rng = np.random.default_rng(8)
+    xs = np.concatenate([rng.normal(0, 0.5, (600, 5)), rng.uniform(-9, 9, (20, 5))])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(xs)], "id long, v array<double>")
+    asked, whole = [], iterative.within
+
+    def counted(left, *args):
+        asked.append(left.count())
+        return whole(left, *args)
+
+    monkeypatch.setattr(iterative, "within", counted)
+    got = iterative.dbscan(df, "v", "id", 1.2, 4, block=200).orderBy("id").collect()
+    assert ([r["cluster"] for r in got], [r["core"] for r in got]) == clusters(xs, 1.2, 4)
+    assert 0 < sum(asked) < 200
+
+
+def test_near_decides_the_limit_from_differences():
+    rng = np.random.default_rng(9)
+    q = np.concatenate([rng.integers(0, 4, (200, 3)) / 10.0, rng.normal(1e4, 1e-3, (50, 3)), [[np.inf, 0.0, 0.0]]])
+    for eps in (0.1, 0.1 * math.sqrt(2), 0.3):
+        with np.errstate(invalid="ignore"):
+            want = ((q[:, None, :] - q[None, :, :]) ** 2).sum(2) <= eps * eps
+        assert (balls.near(q, q, eps) == want).all()
+
+
 def test_isolation_forest_flags_the_far_row(spark):
     rng = np.random.default_rng(0)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))] + [(999, 30.0, -30.0)]
