@@ -97,10 +97,48 @@ def _linked(pairs: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id of each undirected component.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014). A step keeps at most the number of
-    edges it had and is cut from its lineage; it stops when the edges no longer change.
+    Nodes with a single neighbour, where they are the greater part, are folded into it first: they link nothing else,
+    so only the other edges go through the rounds. The component of a neighbour then reaches them by a measured look-up.
     """
-    e = cut(simple_edges(edges).filter("src <> dst").select(F.col("dst").alias("u"), F.col("src").alias("v")))
+    e = cut(simple_edges(edges).filter("src <> dst"))
+    ends = e.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    met = cut(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("other")))
+    single, total = met.agg(F.sum((F.col("n") == 1).cast("long")), F.count(F.lit(1))).first()
+    labelled = _folded(e, met, max_rounds) if total and 2 * single > total else _rounds(e, max_rounds)
+    ids = node_ids(edges, nodes)
+    return ids.join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _folded(e: DataFrame, met: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, component) of all nodes of ``e``; ``met`` has their numbers of neighbours ``n`` and the smallest neighbour.
+
+    The two ends of an edge that stands alone are folded into each other, and both find the smaller.
+    """
+    inner = met.filter("n > 1").select("id", "n")
+    rest = e
+    for c in ("src", "dst"):
+        lk = fit_lookup(inner.select(F.col("id").alias(c), "n", F.lit(True).alias("_in")), [c])
+        rest = join_lookup(rest, lk, ["_in"]).filter("_in").drop("_in")
+    of_inner = cut(_rounds(cut(rest), max_rounds))
+    least = met.filter("n = 1").groupBy(F.col("other").alias("id")).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    roots = inner.select("id", F.lit(None).cast(least.schema["low"].dataType).alias("low"), F.lit(0).cast("long").alias("n")).unionByName(least.select("id", "low", "n"))
+    roots = roots.groupBy("id").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    roots = cut(roots.join(of_inner, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    whole = roots.groupBy("component").agg(F.min(F.least("component", "low")).alias("_low"), F.count(F.lit(1)).alias("n"))
+    named = cut(join_lookup(roots, fit_lookup(whole, ["component"]), ["_low"]).select("id", "n", F.col("_low").alias("component")))
+    asked = met.filter("n = 1").select(F.col("id").alias("_leaf"), F.col("other").alias("id"))
+    leaves = join_lookup(asked, fit_lookup(named, ["id"]), ["component"]).select(F.col("_leaf").alias("id"), "component")
+    return leaves.unionByName(named.join(inner.select("id"), "id", "left_semi").select("id", "component"))
+
+
+def _rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, component) of the nodes that are not the smallest of their component, by alternating large-star and
+    small-star steps (Kiveris et al., 2014).
+
+    ``edges`` are distinct, with src < dst. A step keeps at most the number of edges it had and is cut from its
+    lineage; it stops when the edges no longer change.
+    """
+    e = edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))
     seen = None
     big = e.count() > LARGE_EDGES
     for _ in range(max_rounds):
@@ -118,6 +156,4 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    labelled = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    ids = node_ids(edges, nodes)
-    return ids.join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

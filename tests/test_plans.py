@@ -155,6 +155,22 @@ def test_components_large_graph_path(spark, monkeypatch):
     assert {r["id"]: r["component"] for r in out.collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
 
 
+@pytest.mark.parametrize("large", [0, 1_000_000])
+def test_components_leaves_are_folded(spark, monkeypatch, large):
+    """Leaves with larger and smaller ids than their neighbour, hot neighbours, edges that stand alone; only the rest goes through the rounds."""
+    from millrace.operators import graph
+    monkeypatch.setattr(graph, "LARGE_EDGES", large)
+    sizes, rounds = [], graph._rounds
+    monkeypatch.setattr(graph, "_rounds", lambda e, n: sizes.append(e.count()) or rounds(e, n))
+    edges = [(100 + i, 101 + i) for i in range(20)] + [(110, 1000 + i) for i in range(50)] + [(5, 118), (7, 300), (300, 301), (300, 299)]
+    edges += [(41, 40), (500, 501), (60, 60), (70, None), (301, 300)]
+    out = graph.connected_components(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(9,)], "id long")).collect()
+    got = {r["id"]: r["component"] for r in out}
+    want = {**{100 + i: 5 for i in range(21)}, **{1000 + i: 5 for i in range(50)}, 5: 5, 7: 7, 299: 7, 300: 7, 301: 7, 40: 40, 41: 40, 500: 500, 501: 500,
+            60: 60, 70: 70, None: None, 9: 9}
+    assert got == want and len(out) == len(want) and sizes == [18]
+
+
 def test_kendall_brute_force(spark):
     rng = random.Random(5)
     pts = [(rng.randrange(8), rng.randrange(6)) for _ in range(80)]
