@@ -151,9 +151,13 @@ def _fourier(df: DataFrame, features: list[str], components: int, seed: int = 42
 
 
 def fit(df: DataFrame, name: str, features: list[str], target: str, task: str = "classification", params: dict | None = None) -> Fitted:
-    """Fit on rows with a target. Classes are indexed in sorted order. Feature nulls are an error: clean first."""
+    """Fit on rows with a target. Classes are indexed in sorted order. Feature nulls are an error: clean first.
+
+    The columns that take part are written once: counting, indexing and every pass of the estimator read those.
+    """
     params = params or {}
-    data = df.dropna(subset=[target])
+    used = list(dict.fromkeys([*features, target, *([params["weight_col"]] if params.get("weight_col") else [])]))
+    data = cut(df.dropna(subset=[target]).select(*used))
     rows = data.count()
     stages, labels, sd = [], [], 1.0
     if task == "classification":

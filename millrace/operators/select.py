@@ -10,6 +10,7 @@ from millrace.operators import models
 from millrace.operators.binning import bin_code, frequency_edges_of
 from millrace.operators.correlate import pearson
 from millrace.plans.counting import num
+from millrace.plans.lineage import cut
 
 
 def variances(df: DataFrame, cols: list[str], threshold: float = 0.0) -> DataFrame:
@@ -69,6 +70,7 @@ def eliminate(df: DataFrame, cols: list[str], target: str, keep: int = 10, task:
               depth: int = 5) -> DataFrame:
     """(feature, rank): recursive elimination, one feature per random forest; survivors rank 1."""
     left, rows = list(cols), []
+    df = cut(df.select(*dict.fromkeys([*cols, target])))  # read again for each forest
     while len(left) > keep:
         f = models.fit(df, "random_forest", left, target, task, {"n_estimators": trees, "max_depth": depth})
         worst = min(zip(f.model.stages[-1].featureImportances.toArray(), left))[1]

@@ -217,6 +217,22 @@ def test_adaboost_and_search(spark):
     assert tune.draw_params({"a": [1, 2]}, 20, 1) in ([{"a": 1}, {"a": 2}], [{"a": 2}, {"a": 1}])
 
 
+def test_a_fit_reads_its_input_once(spark):
+    from millrace.operators import select
+    base = spark.createDataFrame([(i, float(i % 7), float(i % 5), "x" if i % 7 > 3 else "y") for i in range(140)], "id long, a double, b double, y string").repartition(2)
+    for run in (lambda d: models.fit(d, "mlp", ["a", "b"], "y", params={"hidden": [3], "max_iter": 5}),
+                lambda d: select.eliminate(d, ["a", "b"], "y", keep=1, trees=2, depth=2)):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.udf("double")
+        def counted(x):
+            seen.add(1)
+            return x
+
+        run(base.withColumn("a", counted.asNondeterministic()("a")))
+        assert seen.value == 140
+
+
 def test_shapley_adds_up_for_a_linear_model(spark):
     df = spark.createDataFrame([(i, float(i % 5), float(i % 3), 2.0 * (i % 5) - (i % 3)) for i in range(60)], "id long, a double, b double, y double")
     f = models.fit(df, "linear_regression", ["a", "b"], "y", "regression")
