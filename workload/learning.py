@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import metrics, models as M, select as S, tune as T
 from millrace.operators.split import folds, random_split
-from millrace.plans.lineage import scratch_path
+from millrace.plans.lineage import cut, scratch_path
 from millrace.sources import sinks as K
 from workload.registry import query, table
 
@@ -25,7 +25,7 @@ FEATURES = ["items", "quantity", "discount"]
 
 
 def _scored(spark, sf, name, params, task="classification", target="y", features=FEATURES):
-    df = random_split(_orders(spark, sf), ["l_orderkey"])
+    df = cut(random_split(cut(_orders(spark, sf)), ["l_orderkey"]))
     f = M.fit(df.filter("split = 'train'"), name, features, target, task, params)
     return f, M.predict(f, df.filter("split = 'test'"), ["l_orderkey", target])
 
