@@ -332,22 +332,32 @@ def permutation_importance(f: Fitted, df: DataFrame, target: str, keys: list[str
     return df.sparkSession.createDataFrame(rows, "feature string, drop double")
 
 
+PART_ROWS = 250_000   # pairs of a row and a permutation that a task scores
+
+
 def shapley(f: Fitted, rows: DataFrame, background: DataFrame, key: str, permutations: int = 20) -> DataFrame:
     """(key, feature, value): Monte-Carlo Shapley values of every row given.
 
     Each row goes through ``permutations`` seeded feature orders; in each, features switch one by one from
     a background row to the row's own value. Background rows (``key`` unique there too) are numbered in hash order; a
     (row, permutation) draws a number and meets that row in an equi-join, so every complete background row can be drawn. The
-    work is rows × permutations × (features + 1) model scores, all in one plan.
+    work is rows × permutations × (features + 1) model scores, all in one plan. The join, which also
+    scores, is dealt into parts of bounded size, whatever the number of shuffle partitions.
     """
     d = len(f.features)
     pool = background.select(F.col(key).alias("_k"), F.array(*[num(c) for c in f.features]).alias("_b")).filter(~F.exists("_b", lambda v: v.isNull()))
+    pool = cut(pool)
     total = pool.count()
     pool = hash_numbered(pool, ["_k"], 17, "_at", rows=total).drop("_k")
     draw = lambda *xs: F.conv(F.substring(F.md5(F.concat_ws("#", *xs)), 1, 8), 16, 10).cast("long")
-    x = rows.select(F.col(key), F.array(*[num(c) for c in f.features]).alias("_x"))
+    x = cut(rows.select(F.col(key), F.array(*[num(c) for c in f.features]).alias("_x")))
+    parts = -(-x.count() * permutations // PART_ROWS)
+    many = max(parts, x.sparkSession.sparkContext.defaultParallelism)
     x = x.withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    x = x.withColumn("_at", draw(F.col(key).cast("string"), F.col("_m").cast("string")) % F.lit(max(total, 1)) + 1).join(pool, "_at").drop("_at")
+    x = x.withColumn("_at", draw(F.col(key).cast("string"), F.col("_m").cast("string")) % F.lit(max(total, 1)) + 1)
+    if parts > 1 and total > 100 * many:   # a smaller background is left to a broadcast
+        x, pool = x.repartition(many, "_at"), pool.repartition(many, "_at")
+    x = x.join(pool, "_at").drop("_at")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.struct(
         F.md5(F.concat_ws("#", F.col(key).cast("string"), F.col("_m").cast("string"), j.cast("string"))).alias("h"), j.alias("j"))))
     x = x.withColumn("_o", F.transform(order, lambda s: s["j"])).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(d))))
@@ -355,7 +365,8 @@ def shapley(f: Fitted, rows: DataFrame, background: DataFrame, key: str, permuta
              for j, c in enumerate(f.features)}
     scored = f.model.transform(x.withColumns(mixed))
     val = output_value(f, scored)
-    parts = F.array(F.struct(F.get("_o", F.col("_s") - 1).alias("j"), val.alias("v")), F.struct(F.get("_o", F.col("_s")).alias("j"), (-val).alias("v")))
+    steps = F.array(F.struct(F.get("_o", F.col("_s") - 1).alias("j"), val.alias("v")), F.struct(F.get("_o", F.col("_s")).alias("j"), (-val).alias("v")))
     names = F.array(*[F.lit(c) for c in f.features])
-    return (scored.select(key, F.explode(parts).alias("p")).filter("p.j is not null").groupBy(key, "p.j")
-            .agg((F.sum("p.v") / permutations).alias("value")).select(key, F.get(names, F.col("j")).alias("feature"), "value"))
+    steps = scored.select(key, F.explode(steps).alias("p")).filter("p.j is not null").select(key, "p.j", "p.v")
+    return (steps.groupBy(key, "j").agg((F.sum("v") / permutations).alias("value"))
+            .select(key, F.get(names, F.col("j")).alias("feature"), "value"))

@@ -242,6 +242,18 @@ def test_shapley_adds_up_for_a_linear_model(spark):
     assert got == {"a": pytest.approx(8.0, abs=1e-4), "b": pytest.approx(-1.0, abs=1e-4)}
 
 
+def test_shapley_joins_in_parts_of_bounded_size(spark, monkeypatch):
+    """The number of parts follows the rows, not the session; values stay."""
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), 2.0 * (i % 7) - (i % 3)) for i in range(3000)], "id long, a double, b double, y double")
+    f = models.fit(df, "linear_regression", ["a", "b"], "y", "regression")
+    values = lambda out: {(r["id"], r["feature"]): round(r["value"], 6) for r in out.collect()}
+    want = values(models.shapley(f, df, df, "id", 2))
+    monkeypatch.setattr(models, "PART_ROWS", 300)
+    out = models.shapley(f, df, df, "id", 2)
+    assert ", 20), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert values(out) == want and len(want) == 6000
+
+
 def test_kde_integrates_to_one(spark):
     df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(0).normal(size=500)], "x double")
     d = charts.density(df, "x", grid=(-6.0, 6.0)).collect()
