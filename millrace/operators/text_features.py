@@ -2,7 +2,7 @@
 
 The vocabulary is the ``size`` most frequent terms of the corpus (ties by term), so it is small by
 construction and travels as a literal. Beyond the vocabulary's counts everything is an array expression per text: no
-token becomes a row of its own, and no text is shuffled. Each row is a document, also where keys repeat.
+token becomes a row of its own, and no text is shuffled. Pairs are built only of words that can be in it. Each row is a document, also where keys repeat.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ def with_terms(df: DataFrame, key: str, text_col: str, ngrams: int = 1) -> DataF
     """(key, terms): lower-cased tokens of two or more letters; with ``ngrams=2`` also adjacent pairs."""
     w = F.col("terms")
     out = df.select(key, T.words(text_col, T.WORD2).alias("terms"))
-    if ngrams == 1:
-        return out
+    return out if ngrams == 1 else out.select(key, F.concat(w, _pairs(w)).alias("terms"))
+
+
+def _pairs(w: Column, met=None) -> Column:
+    """Adjacent pairs of an array of words, joined by a space; of those only that ``met`` (first, second) holds for."""
     rest = F.greatest(F.size(w) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat_ws(" ", a, b))
-    return out.select(key, F.concat(w, pairs).alias("terms"))
+    joined = lambda a, b: F.concat_ws(" ", a, b)
+    pairs = F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.when(met(a, b), joined(a, b)) if met else joined(a, b))
+    return F.array_compact(pairs) if met else pairs
 
 
 def _let(value: Column, body) -> Column:
@@ -43,8 +47,12 @@ def _runs(items: Column) -> Column:
 
 def _counted(df: DataFrame, key: str, text_col: str, vocabulary: list[str], ngrams: int) -> DataFrame:
     """(key, runs): the vocabulary's terms in each text with their numbers."""
-    found = F.filter("terms", lambda t: t.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
-    return with_terms(df, key, text_col, ngrams).select(key, _runs(found).alias("runs"))
+    known = lambda terms: F.filter(terms, lambda t: t.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
+    found, pairs = known("terms"), [t.split(" ") for t in vocabulary if " " in t]
+    if ngrams != 1 and pairs:
+        firsts, seconds = sorted({p[0] for p in pairs}), sorted({p[-1] for p in pairs})
+        found = F.concat(found, known(_pairs(F.col("terms"), lambda a, b: a.isin(firsts) & b.isin(seconds))))
+    return with_terms(df, key, text_col).select(key, _runs(found).alias("runs"))
 
 
 def term_counts(df: DataFrame, key: str, text_col: str, vocabulary: list[str], ngrams: int = 1) -> DataFrame:
@@ -52,17 +60,43 @@ def term_counts(df: DataFrame, key: str, text_col: str, vocabulary: list[str], n
     return _counted(df, key, text_col, vocabulary, ngrams).select(key, F.inline("runs"))
 
 
-def fit_vocabulary(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1) -> dict[str, int]:
-    """The ``size`` most frequent terms with the number of documents each occurs in, in one scan."""
+def _frequent(terms: DataFrame, size: int) -> dict[str, int]:
+    """The ``size`` most frequent items of the arrays ``terms`` with the number of arrays each occurs in, in one scan."""
     t = F.col("terms")
     hits = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
                     F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    rows = (with_terms(df, key, text_col, ngrams).select(F.explode(hits).alias("h")).groupBy("h.term")
-            .agg(F.sum("h.tf").alias("n"), F.sum("h.df").alias("docs"))
+    rows = (terms.select(F.explode(hits).alias("h")).groupBy("h.term").agg(F.sum("h.tf").alias("n"), F.sum("h.df").alias("docs"))
             .orderBy(F.desc("n"), "term").limit(size).collect())
     return {r["term"]: r["docs"] for r in rows}
 
 
+SECONDS = 10   # times ``size``: words that travel as a literal
+
+
+def fit_vocabulary(df: DataFrame, key: str, text_col: str, size: int, ngrams: int = 1) -> dict[str, int]:
+    """The ``size`` most frequent terms with the number of documents each occurs in.
+
+    A pair is no more frequent than either of its words and sorts behind its first. So of all pairs only those can be
+    among the terms whose first word is one of the ``size`` most frequent words, and whose second is as frequent as the
+    last of these. Words are counted first, then these words and pairs: the table of all pairs is never built.
+    """
+    words = with_terms(df, key, text_col).select("terms")
+    if ngrams == 1:
+        return _frequent(words, size)
+    most = (words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("n"), "term").limit(SECONDS * size + 1).collect())
+    firsts = [r["term"] for r in most[:size]]
+    if not firsts:
+        return {}
+    seconds = [r["term"] for r in most if r["n"] >= most[len(firsts) - 1]["n"]]
+    if len(seconds) > SECONDS * size:   # so many are as frequent as the last: any second word
+        met = lambda a, b: a.isin(firsts)
+    else:
+        met = lambda a, b: a.isin(firsts) & b.isin(seconds)
+    able = F.concat(F.filter("terms", lambda t: t.isin(firsts)), _pairs(F.col("terms"), met))
+    return _frequent(words.select(able.alias("terms")), size)
+
+
 def bag_of_words(df: DataFrame, key: str, text_col: str, size: int = 100) -> DataFrame:
     return term_counts(df, key, text_col, list(fit_vocabulary(df, key, text_col, size)))
 

@@ -1,9 +1,11 @@
 """Text vectors without shuffles, closures, equivalents and N-Triples."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import terms as R
 from millrace.operators import text_features as TF, triples as O
@@ -29,6 +31,24 @@ def test_counts_and_weights(spark, ngrams):
     assert got.keys() == want.keys()
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 40, 500])
+def test_vocabulary_of_pairs_without_the_table_of_all_pairs(spark, monkeypatch, size):
+    """Words and pairs by frequency, then by term, with many ties; few pairs are counted."""
+    rng = random.Random(size)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"] + [f"w{j}" for j in range(60)], [9, 8, 7, 6, 5] + [1] * 60, k=rng.randrange(30))) for _ in range(60)]
+    words = [t.split() for t in [*texts, "zz aa", "zz aa"]] + [[]]
+    terms = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    whole = Counter(x for t in terms for x in t)
+    want = sorted(whole, key=lambda x: (-whole[x], x))[:size]
+    seen, frequent = [], TF._frequent
+    monkeypatch.setattr(TF, "_frequent", lambda t, n: seen.append(t.select(F.explode("terms").alias("t")).distinct().count()) or frequent(t, n))
+    for seconds in (10, 1):
+        monkeypatch.setattr(TF, "SECONDS", seconds)
+        got = TF.fit_vocabulary(spark.createDataFrame([*[(i, " ".join(w)) for i, w in enumerate(words)], (99, None)], "id int, t string"), "id", "t", size, 2)
+        assert got == {x: sum(x in t for t in terms) for x in want}
+    assert size > 3 or max(seen) < len(whole) / 3
+
+
 def test_one_stage_after_the_vocabulary(spark):
     df = spark.createDataFrame(ROWS, "id int, t string")
     for out in (TF.apply_tfidf(df, "id", "t", {"cat": 1.5, "dog": 2.0}), TF.term_counts(df, "id", "t", ["cat"]), TF.hashing_vector(df, "id", "t")):
