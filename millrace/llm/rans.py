@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm.shared import returning, slices, small_batches, stored
+from millrace.llm.shared import held, returning, slices, small_batches, stored
 from millrace.plans.lineage import scratch_path
 
 SCALE_BITS = 20
@@ -211,14 +211,9 @@ class ByteBpe:
         return [next(rest).ids if ids is None else ids for ids in out]
 
 
-_ENCODERS: dict[tuple[str, bool], PieceIds] = {}
-
-
 def byte_bpe(path: str, special_as_text: bool = False) -> PieceIds:
-    """The ids of the tokenizer file by piece, loaded once per worker."""
-    if (path, special_as_text) not in _ENCODERS:
-        _ENCODERS[path, special_as_text] = PieceIds(ByteBpe(path, special_as_text))
-    return _ENCODERS[path, special_as_text]
+    """The ids of the tokenizer file by piece, loaded once per worker and stage."""
+    return held((path, special_as_text), lambda: PieceIds(ByteBpe(path, special_as_text)))
 
 
 # --- Spark jobs --------------------------------------------------------------------------------------------------

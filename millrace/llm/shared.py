@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.plans.lineage import scratch_path
@@ -60,15 +62,46 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_HELD: dict[Hashable, tuple[int | None, object]] = {}   # in a worker: the stage that something is kept for, and the thing
+
+
+def _stage() -> int | None:
+    context = TaskContext.get()
+    return None if context is None else context.stageId()
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """``make()``, kept in the worker for the tasks of this stage that follow; ``returning`` drops it when one of another stage begins."""
+    if key not in _HELD or _HELD[key][0] != _stage():
+        _HELD.pop(key, None)
+        _HELD[key] = _stage(), make()
+    return _HELD[key][1]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library than glibc
+        pass
+
+
+def _let_go() -> None:
+    """Drop what this worker has ``held`` for another stage. A function of the module: one that Spark sends by value has a ``_HELD`` of its own."""
+    if old := [key for key, (stage, _) in _HELD.items() if stage != _stage()]:
+        for key in old:
+            del _HELD[key]
+        gc.collect()
+        _give_back()
+
+
 def returning(work):
-    """``work`` over a task's batches; then the worker, which Spark keeps for the next stage, gives memory back to the system."""
+    """``work`` over a task's batches, without what the worker, which Spark keeps for the next stage, has ``held`` for an
+    earlier one; then the worker gives memory back to the system."""
     def run(batches):
+        _let_go()
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):   # another C library than glibc
-            pass
+        _give_back()
 
     return run
 

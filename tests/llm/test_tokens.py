@@ -1,12 +1,15 @@
 """The token file's shortcuts against the plain tokenizer library."""
 
+import gc
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from millrace.llm import rans
+from millrace.llm.shared import returning
 from tests.llm import brute
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,3 +43,28 @@ def test_file_of_odd_texts(spark):
     docs = spark.createDataFrame(list(enumerate([*ODD, None])), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rans.encode_documents(docs, PATH).collect()}
     assert got == brute.encoded(list(enumerate([*ODD, None])))
+
+
+def test_later_stages_hold_no_pieces(spark):
+    """Spark gives a worker to the next stage: by then the tokenizer and its pieces are gone."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert rans.encode_documents(docs, PATH).count() == 64
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ == "PieceIds" for x in gc.get_objects())]})
+
+    assert {r.n for r in docs.select("doc_id").mapInArrow(returning(kept), "n long").collect()} == {0}
+
+
+def test_pieces_stay_for_a_stage(spark):
+    """Tasks of one stage that share a worker load the tokenizer once."""
+    def loaded(batches):
+        for _ in batches:
+            pass
+        first = rans.byte_bpe(PATH)
+        first["mark"] = 0
+        yield pa.RecordBatch.from_pydict({"n": [int(rans.byte_bpe(PATH) is first) + sum(type(x).__name__ == "PieceIds" for x in gc.get_objects())]})
+
+    assert {r.n for r in spark.range(64, numPartitions=32).mapInArrow(returning(loaded), "n long").collect()} == {2}
