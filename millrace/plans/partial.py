@@ -10,6 +10,10 @@ bounds that hold whatever is absent:
 
 One search serves all patterns: a first pass meets the cells around a query, its k-th distance then rules out cells
 for the second pass. The number of jobs depends neither on the patterns nor on the columns.
+
+Where a query meets a cell, the distance depends on the shared coordinates alone, and one of them can't differ by more than
+the whole: rows sorted by a shared coordinate give a bound on the k-th distance from those next to the query, and then
+the stretch outside of which no donor can be. Only that stretch is compared.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ from millrace.plans.counting import num
 from millrace.plans.lineage import cut
 from millrace.plans.neighbours import _distinct_vectors, no_rows, squared
 
-BLOCK = 1_000
+BLOCK = 20_000  # queries and donors of a cell that meet at once
+DENSE = 1_000   # of these, where all pairs are compared
+SIDE = 32       # donors on each side of a query, by one coordinate, from which its k-th distance is bounded
+PAIRS = 500_000 # pairs compared at once
 PIVOTS = 256
 PATTERNS = 16   # patterns with cells of their own; all others share cells, whose box bounds are weaker
 
@@ -40,7 +47,92 @@ def _matrix(v: pd.Series, d: int) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, d))
 
 
+def _stretches(q: np.ndarray, s: np.ndarray, most: np.ndarray, k: int):
+    """(order, begin, count): ``s[order[begin:begin + count]]`` holds all rows that may be among the k nearest of a query, none
+    farther than ``most`` being wanted. All coordinates are shared; of those with the most values each query takes the
+    one with the shortest stretch. ``order`` has the rows once per such coordinate."""
+    n, side = len(s), max(SIDE, k)
+    sorts = [s[:, j].argsort(kind="stable") for j in range(s.shape[1])]
+    steps = [np.count_nonzero(np.diff(s[o, j])) for j, o in enumerate(sorts)]
+    chosen = sorted(range(len(sorts)), key=lambda j: -steps[j])[:4]
+    most = most.copy()
+    if n > 2 * side:
+        for j in chosen:
+            at = np.clip(np.searchsorted(s[sorts[j], j], q[:, j]) - side, 0, n - 2 * side)
+            for i in range(0, len(q), DENSE):
+                near = s[sorts[j][at[i:i + DENSE, None] + np.arange(2 * side)]]
+                gap = ((q[i:i + DENSE, None, :] - near) ** 2).sum(2)
+                most[i:i + DENSE] = np.minimum(most[i:i + DENSE], np.sqrt(np.partition(gap, k - 1, axis=1)[:, k - 1]))
+    most = most * (1 + 1e-9) + 1e-9 + 1e-12 * np.abs(q).max(1)
+    begin, count = np.zeros(len(q), dtype=int), np.full(len(q), n + 1)
+    for i, j in enumerate(chosen):
+        values = s[sorts[j], j]
+        low, high = np.searchsorted(values, q[:, j] - most, "left"), np.searchsorted(values, q[:, j] + most, "right")
+        fewer = high - low < count
+        begin[fewer], count[fewer] = (low + i * n)[fewer], (high - low)[fewer]
+    return np.concatenate([sorts[j] for j in chosen]), begin, count
+
+
 def _compare(left: pd.DataFrame, right: pd.DataFrame, d: int, k: int) -> pd.DataFrame:
+    """The k best donors of each query and missing coordinate, none farther than its ``t``; pattern by pattern if these are few."""
+    empty = no_rows("vk", "c", "dist", "id", "x")
+    if len(left) == 0 or len(right) == 0:
+        return empty
+    finite = lambda f: f[~np.isinf(_matrix(f["v"], d)).any(1)]  # no distance from what is infinite
+    left, right = finite(left), finite(right)
+    if len(left) == 0 or len(right) == 0:
+        return empty
+    q, s = _matrix(left["v"], d), _matrix(right["v"], d)
+    vk, t = left["vk"].to_numpy(), left["t"].to_numpy(dtype=float)
+    length = right["ids"].map(len).to_numpy()
+    ids, start = np.concatenate(right["ids"].to_numpy()), np.cumsum(length) - length
+    asked, of_q = np.unique(~np.isnan(q), axis=0, return_inverse=True)
+    given, of_s = np.unique(~np.isnan(s), axis=0, return_inverse=True)
+    of_q, of_s = of_q.reshape(-1), of_s.reshape(-1)
+    out = []
+
+    def dense(rows, donors):
+        for i in range(0, len(rows), DENSE):
+            for j in range(0, len(donors), DENSE):
+                out.append(_compare_all(left.iloc[rows[i:i + DENSE]], right.iloc[donors[j:j + DENSE]], d, k))
+
+    def best(a, b, new):
+        gap = q[a] - s[b]
+        dist = np.sqrt(d / (~np.isnan(gap)).sum(1) * np.nansum(gap * gap, axis=1))
+        keep = dist <= t[a] * (1 + 1e-9)
+        a, b, dist = a[keep], b[keep], dist[keep]
+        reps = length[b]
+        at = np.repeat(start[b] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        flat = pd.DataFrame({"row": np.repeat(a, reps), "donor": np.repeat(b, reps), "dist": np.repeat(dist, reps), "id": ids[at]})
+        flat = flat.sort_values(["row", "dist", "id"], kind="stable").groupby("row", sort=False).head(k)
+        for c in np.flatnonzero(new):
+            out.append(pd.DataFrame({"vk": vk[flat["row"]], "c": np.full(len(flat), c, dtype="int32"), "dist": flat["dist"].to_numpy(),
+                                     "id": flat["id"].to_numpy(), "x": s[flat["donor"], c]}))
+
+    if len(asked) * len(given) > PATTERNS ** 2:
+        dense(np.arange(len(q)), np.arange(len(s)))
+    else:
+        for i, has in enumerate(asked):
+            for j, gives in enumerate(given):
+                both, new = has & gives, gives & ~has
+                if not both.any() or not new.any():
+                    continue
+                rows, donors = np.flatnonzero(of_q == i), np.flatnonzero(of_s == j)
+                order, begin, count = _stretches(q[np.ix_(rows, both)], s[np.ix_(donors, both)], t[rows] * np.sqrt(both.sum() / d), k)
+                wide = (count > len(donors) / 4) & (len(donors) > DENSE)   # most of the donors: matrix products are faster
+                if wide.any():
+                    dense(rows[wide], donors)
+                rows, begin, count = rows[~wide], begin[~wide], count[~wide]
+                part = (np.cumsum(count) - count) // PAIRS
+                for g in np.unique(part):
+                    r, f, n = rows[part == g], begin[part == g], count[part == g]
+                    at = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    best(np.repeat(r, n), donors[order[at]], new)
+    out = [x for x in out if len(x)]
+    return pd.concat(out, ignore_index=True) if out else empty
+
+
+def _compare_all(left: pd.DataFrame, right: pd.DataFrame, d: int, k: int) -> pd.DataFrame:
     """The k best donors of each query and missing coordinate; matrix products only preselect."""
     empty = no_rows("vk", "c", "dist", "id", "x")
     if len(left) == 0 or len(right) == 0:
@@ -78,13 +170,13 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, d: int, k: int) -> pd.Data
 
 
 def _meet(asked: DataFrame, donors: DataFrame, d: int, k: int, block: int, id_type: str) -> DataFrame:
-    """(vk, c, dist, id, x): queries (cell, vk, v) against the donors of their cells, block by block."""
+    """(vk, c, dist, id, x): queries (cell, vk, v, t) against the donors of their cells, block by block; none farther than ``t`` is wanted."""
     sizes = (asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nq"))
              .join(donors.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb")), "cell"))
     sizes = F.broadcast(cut(sizes))  # at most PIVOTS * PATTERNS rows
     part = lambda n: F.pmod(F.xxhash64("vk"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = asked.join(sizes, "cell").withColumn("qb", part(F.col("_nq"))).withColumn("sb", every("_nb")).select("cell", "qb", "sb", "vk", "v")
+    q = asked.join(sizes, "cell").withColumn("qb", part(F.col("_nq"))).withColumn("sb", every("_nb")).select("cell", "qb", "sb", "vk", "v", "t")
     s = donors.join(sizes, "cell").withColumn("sb", part(F.col("_nb"))).withColumn("qb", every("_nq")).select("cell", "qb", "sb", "v", "ids")
     q, s = q.toDF(*q.columns), s.toDF(*s.columns)  # both sides may come from one frame
     return q.groupBy("cell", "qb", "sb").cogroup(s.groupBy("cell", "qb", "sb")).applyInPandas(
@@ -104,10 +196,11 @@ def donor_means(df: DataFrame, cols: list[str], key: str, k: int, means: list[fl
     go to the smallest ``key``. Null where there is no donor, as are the columns that the row has. None without
     any row that could give or take.
     """
-    d = len(cols)
+    d, spark = len(cols), df.sparkSession
+    spread = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     some = F.exists("v", lambda x: ~F.isnan(x))
     rows = df.select(F.col(key), holed(cols).alias("v")).filter(some)
-    donors = cut(_distinct_vectors(rows, key, k).withColumn("vk", digest("v")))
+    donors = cut(_distinct_vectors(rows, key, k).withColumn("vk", digest("v")).repartition(spread, "vk"))
     asking = rows.filter(F.exists("v", F.isnan)).select("v").distinct().withColumn("vk", digest("v"))
     n = donors.count()
     if n == 0:
@@ -165,13 +258,14 @@ def donor_means(df: DataFrame, cols: list[str], key: str, k: int, means: list[fl
         return pd.Series(out, dtype=object)
 
     id_type = dict(df.dtypes)[key]
-    asking = cut(asking)
-    one = cut(asking.withColumn("cell", F.explode(first_cells("v"))))
+    asking = cut(asking.repartition(spread, "vk"))
+    one = cut(asking.withColumn("cell", F.explode(first_cells("v"))).withColumn("t", F.lit(float("inf"))))
     near = cut(_best(_meet(one, donors, d, k, block, id_type), k))
     last = near.groupBy("vk", "c").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("t")).filter(F.col("m") >= k)
     reach = last.groupBy("vk").agg(F.count(F.lit(1)).alias("known"), F.max("t").alias("t"))
     holes = F.size(F.filter("v", F.isnan))
     theta = F.when(F.col("known") == holes, F.col("t")).otherwise(F.lit(float("inf")))
-    two = cut(asking.join(reach, "vk", "left").select("vk", "v", F.explode(other_cells("v", theta)).alias("cell")))
+    bounded = asking.join(reach, "vk", "left").select("vk", "v", theta.alias("t")).repartition(spread, "vk")
+    two = cut(bounded.select("vk", "v", "t", F.explode(other_cells("v", "t")).alias("cell")))
     best = _best(near.unionByName(_meet(two, donors, d, k, block, id_type)), k)
     return best.groupBy("vk").agg(*[F.avg(F.when(F.col("c") == i, F.col("x"))).alias(f"x{i}") for i in range(d)])

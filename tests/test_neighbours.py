@@ -1,11 +1,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import iterative, neighbours as N
-from millrace.plans import balls
+from millrace.plans import balls, partial
 from millrace.plans.neighbours import nearest
 
 
@@ -88,6 +89,31 @@ def test_knn_impute_any_pattern(spark, block, pivots):
     assert len(got) == len(rows) and all(got[i] == pytest.approx(want[i]) for i in want)
 
 
+def test_donors_of_a_large_cell_are_compared_in_stretches():
+    """Few donors of a cell are compared, and only those at most ``t`` away are given; they are the nearest."""
+    rng = np.random.default_rng(3)
+    q, s = rng.random((2_000, 3)), rng.random((9_000, 3))
+    q[:, 2], s[::3, 1], q[::2, 1] = np.nan, np.nan, np.nan
+    s[:, 0] = s[:, 0].round(3)
+    open_ended, near = np.full(len(q), np.inf), np.full(len(q), 0.01)
+    both = [q[1::2, :2], s[np.flatnonzero(np.arange(len(s)) % 3)][:, :2]]
+    assert partial._stretches(*both, open_ended[1::2], 5)[2].mean() < 0.1 * len(both[1])
+    assert partial._stretches(q[:, :1], s[:, :1], open_ended, 5)[2].mean() < 0.02 * len(s)
+    donors = pd.DataFrame({"v": list(s), "ids": [[2 * i, 2 * i + 1] for i in range(len(s))]})
+    for t in (open_ended, near):
+        got = partial._compare(pd.DataFrame({"vk": np.arange(len(q)).astype(str), "v": list(q), "t": t}), donors, 3, 5)
+        best = {key: rows.sort_values(["dist", "id"]).head(5) for key, rows in got.groupby(["vk", "c"])}
+        for i in range(0, len(q), 97):
+            for c in np.flatnonzero(np.isnan(q[i])):
+                gap = q[i] - s
+                shared = (~np.isnan(gap)).sum(1)
+                dist = np.sqrt(3 / np.maximum(shared, 1) * np.nansum(gap * gap, axis=1))
+                want = sorted((dist[j], k, s[j, c]) for j in np.flatnonzero((shared > 0) & ~np.isnan(s[:, c]) & (dist <= t[i])) for k in (2 * j, 2 * j + 1))[:5]
+                rows = best.get((str(i), c))
+                assert ([] if rows is None else list(zip(rows["dist"], rows["id"], rows["x"]))) == want
+        assert got["dist"].max() <= t.max() * (1 + 1e-9)
+
+
 def test_knn_impute_jobs_do_not_grow_with_patterns(spark):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(200, 6))
