@@ -14,13 +14,12 @@ broadcast, and the rest of a document's words meets its counts in a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
@@ -32,11 +31,12 @@ SOFT, SHAPES = 16, 16           # classes of frequent words, classes by shape
 HEAD = 1 << 17                  # frequent words that are broadcast, at most
 ROWS = (1 << 13, 1 << 13, 1 << 14, 1 << 14)   # weight rows of each class feature
 INNER = (1 << 13, 1 << 13)      # weight rows of each feature within a class
-assert max(sum(ROWS), sum(INNER)) <= 1 << 16
+assert max(sum(ROWS), sum(INNER)) <= 1 << 16 and not any(n & n - 1 for n in (*ROWS, *INNER))
 BATCH = 16_384
 FIRST = 512                     # tokens of a task's first step
 RATE = 0.4
-REMEMBERED = 400_000            # words whose codes a worker remembers
+FEW = 32                        # a weight row's tokens in a step up to which they are added for all rows at once
+TEXTS = 1 << 22                 # bytes of text that are split at once
 TAIL = 1 << 20
 END = b""                       # a word is never empty, so the empty word is the end
 DELTA = 0.1
@@ -44,17 +44,28 @@ POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)   # of a row's spread over tasks, tried aft
 SHARES = (0.1, 0.88, 0.02)      # of the training documents in each round
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words between white space ([ \\t-\\r]), A-Z lower-cased, and the end."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()   # bytes: ASCII letters and white space only
-    found.append(END)
-    return found
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words between white space ([ \\t-\\r]), A-Z lower-cased, and the end of each text, as one array; how many each text has."""
+    bare = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.string()), "")))
+    ended = pc.if_else(pc.equal(bare, ""), "", pc.binary_join_element_wise(bare, "", " "))   # what follows the last space is empty: the end
+    found = pc.ascii_split_whitespace(ended)
+    return found.flatten().cast(pa.binary()), np.asarray(pc.list_value_length(found), np.int64)
 
 
 def shape(word: bytes) -> int:
     return SOFT + zlib.crc32(word[-3:]) % SHAPES
 
 
+def shapes(words: pa.Array) -> np.ndarray:
+    """``shape`` of each word; it is worked out once per ending."""
+    ends = pc.binary_slice(words, -3).dictionary_encode()
+    return np.fromiter(map(shape, _bytes(ends.dictionary)), np.int64, len(ends.dictionary))[np.asarray(ends.indices)]
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()   # several times as fast as to_pylist()
+
+
 @dataclass
 class Vocabulary:
     """Counts of the training tokens: in all, by class of other words, and of the frequent words (most frequent first)."""
@@ -81,18 +92,22 @@ class Vocabulary:
             self.word_bias[r // WIDTH, r % WIDTH] = np.log(max(self.counts[r], DELTA))
 
 
-class Codes(dict):
+class Codes:
     """Word to code: the rank of a frequent word, else ``HEAD`` + class and hash."""
 
     def __init__(self, head: list[bytes]):
-        super().__init__(zip(head, range(len(head))))
-        self.own = len(head)
+        self.head = pa.array(head, pa.binary())
+
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.of(pa.array([word], pa.binary()))[0])
 
-    def __missing__(self, word: bytes) -> int:
-        code = HEAD + shape(word) * TAIL + zlib.crc32(word) % TAIL
-        if len(self) < REMEMBERED:
-            self[word] = code
-        return code
+    def of(self, words: pa.Array) -> np.ndarray:
+        codes = np.array(pc.fill_null(pc.index_in(words, self.head), -1), np.int64)
+        if len(rare := np.flatnonzero(codes < 0)):
+            others = words.take(pa.array(rare))
+            hashes = np.fromiter(map(zlib.crc32, _bytes(others)), np.int64, len(rare))
+            codes[rare] = HEAD + shapes(others) * TAIL + hashes % TAIL
+        return codes
 
 
 class Weights:
@@ -108,9 +123,19 @@ class Weights:
 def _mix(*parts: np.ndarray) -> np.ndarray:
     h = np.zeros(len(parts[0]), np.uint64)
     for p in parts:
-        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= p.view(np.uint64)
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return h >> np.uint64(20)
+    h >>= np.uint64(20)
+    return h
+
+
+def _rows(at: int, rows: int, *parts: np.ndarray) -> np.ndarray:
+    """Of ``rows`` rows, a power of two, from ``at`` on the one that ``parts`` are hashed into."""
+    h = _mix(*parts)
+    h &= np.uint64(rows - 1)
+    h += np.uint64(at)
+    return h.view(np.int64)
 
 
 class Stream:
@@ -119,7 +144,9 @@ class Stream:
     def __init__(self, codes: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary):
         self.codes = codes
         self.head = codes < HEAD
-        self.cls = np.where(self.head, vocabulary.classes[np.where(self.head, codes, 0)] if len(vocabulary.classes) else 0, (codes - HEAD) // TAIL)
+        others = np.flatnonzero(~self.head)
+        self.cls = np.take(vocabulary.classes, codes, mode="clip") if len(vocabulary.classes) else np.zeros(len(codes), np.int64)
+        self.cls[others] = (codes[others] - HEAD) // TAIL
         place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
         def back(values, k, missing):
@@ -128,15 +155,14 @@ class Stream:
 
         one, two = back(codes, 1, -1), back(codes, 2, -1)
         kinds = [back(self.cls, k, WIDTH) for k in (1, 2, 3)]
-        hashed = (_mix(one), _mix(two), _mix(one, two), _mix(*kinds))
         at, self.outer = 0, []
-        for h, rows in zip(hashed, ROWS):
-            self.outer.append(at + (h % np.uint64(rows)).astype(np.int64))
+        for parts, rows in zip(((one,), (two,), (one, two), kinds), ROWS):
+            self.outer.append(_rows(at, rows, *parts))
             at += rows
         self.soft = np.flatnonzero(self.cls < SOFT)              # tokens whose class has a softmax
         own, at, self.inner = self.cls[self.soft], 0, []
         for p, rows in zip((one, two), INNER):
-            self.inner.append(at + (_mix(own, p[self.soft]) % np.uint64(rows)).astype(np.int64))
+            self.inner.append(_rows(at, rows, own, p[self.soft]))
             at += rows
         self.slot = self.codes[self.soft] % WIDTH
 
@@ -164,19 +190,35 @@ def _step(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, feature
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     z[np.arange(len(z)), target] -= 1
-    flat, cells, number, at = z.astype(np.float64).ravel(), np.arange(WIDTH), np.empty(len(weights), np.int64), np.empty(z.shape, np.int64)
+    z = z.astype(np.float64)
     for f in features:
-        often = np.bincount(f)
-        rows = np.flatnonzero(often)
-        number[rows] = np.arange(len(rows)) * WIDTH
-        np.add(number[f][:, None], cells, out=at)
-        g = np.bincount(at.ravel(), flat, len(rows) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
+        rows, often, g = _row_sums(z, f)
         squares[rows] += np.einsum("ij,ij->i", g, g)
-        touched[rows] += often[rows]
+        touched[rows] += often
         g *= (RATE / (np.sqrt(squares[rows]) + 1e-6)).astype(np.float32)[:, None]
         weights[rows] -= g
 
 
+def _row_sums(z: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers in ``f``, how often each is there, and the sums of their lines of ``z``, each added in the order of ``z``.
+
+    The most frequent come first, so the numbers that have a k-th line are a run, and one sum adds it for all of them."""
+    often = np.bincount(f)
+    rows = np.flatnonzero(often)
+    rows = rows[np.argsort((FEW + 1 - np.minimum(often[rows], FEW + 1)).astype(np.uint8), kind="stable")]
+    lines, begin = np.argsort(f.astype(np.uint16), kind="stable"), (np.cumsum(often) - often)[rows]   # 16 bits: sorted by counting
+    often = often[rows]
+    least = len(rows) - np.cumsum(np.bincount(np.minimum(often, FEW + 1), minlength=FEW + 2))          # numbers with more than k lines
+    out, many = np.take(z, lines[begin], axis=0), least[FEW]
+    for k in range(1, FEW):
+        if least[k] == many:
+            break
+        out[many:least[k]] += np.take(z, lines[begin[many:least[k]] + k], axis=0)
+    for r in range(many):
+        np.add.reduce(np.take(z, lines[begin[r]:begin[r] + often[r]], axis=0), axis=0, out=out[r])
+    return rows, often, out.astype(np.float32)
+
+
 def _cuts(n: int, steps: int) -> Iterator[tuple[slice, int]]:
     """Slices of ``n`` tokens; the first ``steps`` of a task grow from FIRST tokens to BATCH, so that a small share also takes several steps."""
     at = 0
@@ -193,19 +235,23 @@ def train_batch(w: Weights, state: dict, s: Stream, v: Vocabulary) -> None:
         _step(w.inner, w.inner2, state["inner_n"], [f[cut] for f in s.inner], s.slot[cut], v.word_bias[s.cls[s.soft[cut]]])
 
 
+def _log_shares(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax at ``target``; ``z`` is used up."""
+    top, own = _widest(z), z[np.arange(len(z)), target]
+    z -= top
+    np.exp(z, out=z)
+    return own - top[:, 0] - np.log(z.sum(1))
+
+
 def log10_parts(w: Weights, s: Stream, v: Vocabulary) -> np.ndarray:
     """Per token, log10 of all but the counts of words that are not broadcast."""
     out = np.zeros(len(s.codes))
     for at in range(0, len(s.codes), BATCH):
         cut = slice(at, at + BATCH)
-        z = _logits(w.outer, [f[cut] for f in s.outer], v.class_bias)
-        top = _widest(z)[:, 0]
-        out[cut] = z[np.arange(len(z)), s.cls[cut]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        out[cut] = _log_shares(_logits(w.outer, [f[cut] for f in s.outer], v.class_bias), s.cls[cut])
     for at in range(0, len(s.soft), BATCH):
         cut = slice(at, at + BATCH)
-        z = _logits(w.inner, [f[cut] for f in s.inner], v.word_bias[s.cls[s.soft[cut]]])
-        top = _widest(z)[:, 0]
-        out[s.soft[cut]] += z[np.arange(len(z)), s.slot[cut]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        out[s.soft[cut]] += _log_shares(_logits(w.inner, [f[cut] for f in s.inner], v.word_bias[s.cls[s.soft[cut]]]), s.slot[cut])
     counted = np.flatnonzero(s.head & (s.cls >= SOFT))
     out[counted] += np.log((v.counts[s.codes[counted]] + DELTA) / v.room[s.cls[counted]])
     return out / np.log(10)
@@ -221,21 +267,10 @@ def held_out(key: Column, fold: int = 10) -> Column:
 def word_counts(training: DataFrame, text: str) -> DataFrame:
     """(word, cls, n) of all training tokens; ``cls`` is the word's class by shape."""
     def count(batches):
-        seen: Counter = Counter()
-
-        def out():
-            words = list(seen)
-            batch = [pa.array(words, pa.binary()), pa.array([shape(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())]
-            seen.clear()
-            return pa.RecordBatch.from_arrays(batch, names=["word", "cls", "n"])
-
-        for batch in slices(batches, text):
-            for t in batch.column(0).to_pylist():
-                seen.update(words_of(t))
-                if len(seen) > 300_000:
-                    yield out()
-        if seen:
-            yield out()
+        for batch in _texts(batches, text, 2 * TEXTS):
+            seen = words_of(batch.column(0))[0].value_counts()
+            words = seen.field("values")
+            yield pa.RecordBatch.from_arrays([words, pa.array(shapes(words), pa.int32()), seen.field("counts")], names=["word", "cls", "n"])
 
     return training.select(text).mapInArrow(count, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
@@ -262,24 +297,45 @@ def vocabulary_of(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(n, k, [bytes(r.word) for r in rows], np.array([r.n for r in rows], np.int64), *totals)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], codes: Codes, v: Vocabulary, tokens: int = 200_000) -> Iterator[tuple[list[list[bytes]], np.ndarray, Stream]]:
+def _texts(batches: Iterable[pa.RecordBatch], text: str, most: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones joined and large ones cut, with about ``most`` bytes: looking words up costs the same for few of them."""
+    def joined():
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= most // 2:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, size = [], 0
+        if waiting:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    return slices(joined(), text, most)
+
+
+def _streams(batches: Iterable[pa.RecordBatch], codes: Codes, v: Vocabulary, tokens: int = 200_000) -> Iterator[tuple[pa.Array, np.ndarray, Stream]]:
     """Documents in groups of about ``tokens`` tokens: words, sizes, stream."""
-    words: list[list[bytes]] = []
+    parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []   # of the next group: words, their codes, sizes of documents
     size = 0
 
     def group():
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-        return words, sizes, Stream(flat, sizes, v)
-
-    for batch in slices(batches, "_text"):
-        for t in batch.column("_text").to_pylist():
-            words.append(words_of(t))
-            size += len(words[-1])
-            if size >= tokens:
-                yield group()
-                words, size = [], 0
-    if words:
+        words, flat, sizes = zip(*parts)
+        parts.clear()
+        return pa.concat_arrays(words), (sizes := np.concatenate(sizes)), Stream(np.concatenate(flat), sizes, v)
+
+    for batch in _texts(batches, "_text"):
+        words, sizes = words_of(batch.column("_text"))
+        flat, ends = codes.of(words), np.cumsum(sizes)
+        at = row = 0
+        while (last := int(np.searchsorted(ends, at + tokens - size))) < len(ends):   # the document that fills the group
+            end = int(ends[last])
+            parts.append((words[at:end], flat[at:end], sizes[row:last + 1]))
+            yield group()
+            at, row, size = end, last + 1, 0
+        if row < len(sizes):
+            parts.append((words[at:], flat[at:], sizes[row:]))
+            size += len(flat) - at
+    if parts:
         yield group()
 
 
@@ -393,7 +449,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
         w, v = shared.value
         codes, at = Codes(v.head), TaskContext.get().partitionId() << 36
         logs = np.log10((v.counts + DELTA) / v.base)
-        for batch in slices(batches, "_text"):
+        for batch in _texts(batches, "_text"):
             columns, rare_words, rare_classes, rare_sizes = [], [], [], []
             for words, sizes, s in _streams(iter([batch]), codes, v):
                 part = log10_parts(w, s, v)
@@ -401,14 +457,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
                 begin = np.cumsum(sizes) - sizes
                 known = np.add.reduceat(s.head.astype(np.int64), begin)
                 columns.append((sizes, known, np.add.reduceat(base, begin), np.add.reduceat(part, begin)))
-                rare, flat = np.flatnonzero(~s.head), list(chain.from_iterable(words))
-                rare_words += map(flat.__getitem__, rare.tolist())
+                rare = np.flatnonzero(~s.head)
+                rare_words.append(words.take(pa.array(rare)))
                 rare_classes.append(s.cls[rare])
                 rare_sizes.append(sizes - known)
             if columns:
                 arrays = [np.concatenate(c) for c in zip(*columns)]
                 n = len(arrays[0])
-                rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(np.concatenate(rare_classes), pa.int32())], fields=list(_RARE))
+                rare = pa.StructArray.from_arrays([pa.concat_arrays(rare_words), pa.array(np.concatenate(rare_classes), pa.int32())], fields=list(_RARE))
                 ends = np.concatenate([[0], np.cumsum(np.concatenate(rare_sizes))])
                 tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare, type=pa.list_(_RARE))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(range(at, at + n), pa.int64()), *map(pa.array, arrays), tails], names=schema.names)

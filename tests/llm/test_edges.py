@@ -1,10 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, operator by operator."""
 
+import cProfile
+import collections
 import hashlib
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +166,44 @@ def test_language_model_learns_from_all_tasks(spark):
     assert gains[0] > 0 and gains[1] >= 0.8 * gains[0]
 
 
+def test_language_model_splits_whole_batches_as_it_would_each_text():
+    """Words, counts of words, codes and groups, against the texts one by one; one Python call per word failed."""
+    rng = np.random.default_rng(3)
+    odd = [None, "", " ", "\n\t", "a", " A  b\x0b\x0c\r c ", "\x1c\x1d x\x85y", "É\u2003İ", "A\x00b c", "x" * 50, "ab abc zabc"]
+    texts = odd + [" ".join(f"W{i}" for i in rng.integers(0, 10 ** 9, rng.integers(0, 400))) for _ in range(500)]
+    want = [[w.encode() for w in brute.SPACED.findall((t or "").translate(brute.LOWER))] + [b""] for t in texts]
+    flat = [w for ws in want for w in ws]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i:i + 7], pa.string())], names=["_text"]) for i in range(0, len(texts), 7)]
+    words, sizes = maxent_lm.words_of(pa.array([None, "x", *texts], pa.string())[2:])
+    assert words.to_pylist() == flat and sizes.tolist() == [len(ws) for ws in want]
+    head = sorted(set(flat[:60]))
+    v = maxent_lm.Vocabulary(len(flat), len(set(flat)), head, np.arange(len(head), 0, -1), np.ones(32), np.ones(32))
+    code = {w: i for i, w in enumerate(head)}
+    other = lambda w: maxent_lm.HEAD + maxent_lm.shape(w) * maxent_lm.TAIL + zlib.crc32(w) % maxent_lm.TAIL
+    profile = cProfile.Profile()
+    groups = profile.runcall(lambda: list(maxent_lm._streams(iter(batches), maxent_lm.Codes(head), v, tokens=4_500)))
+    assert sum(e.callcount for e in profile.getstats()) < len(flat) / 4
+    assert [w for g in groups for w in g[0].to_pylist()] == flat
+    assert [c for g in groups for c in g[2].codes.tolist()] == [code.get(w, other(w)) for w in flat]
+    begin = 0
+    for k, (_, sizes, _) in enumerate(groups):   # a group ends with the document that fills it
+        assert sizes.tolist() == [len(ws) for ws in want[begin:begin + len(sizes)]]
+        assert sizes[:-1].sum() < 4_500 and (sizes.sum() >= 4_500 or k == len(groups) - 1)
+        begin += len(sizes)
+    assert begin == len(want) and len(groups) > 10 and list(maxent_lm._streams(iter([]), maxent_lm.Codes([]), v)) == []
+
+
+def test_language_model_sums_rows_in_order():
+    """Sums by row equal those of counting, to the last bit, for rows that occur once, several times and very often."""
+    rng = np.random.default_rng(4)
+    for f in (rng.zipf(1.3, 5000) % 40_000, np.zeros(300, np.int64), np.arange(200), np.repeat(np.arange(5), [1, maxent_lm.FEW - 1, maxent_lm.FEW, maxent_lm.FEW + 1, 500])):
+        f, z = rng.permutation(f), rng.normal(size=(len(f), 32)).astype(np.float32).astype(np.float64)
+        rows, often, sums = maxent_lm._row_sums(z, f)
+        want = np.bincount((f[:, None] * 32 + np.arange(32)).ravel(), z.ravel(), 32 * (f.max() + 1)).reshape(-1, 32)
+        assert sorted(zip(rows.tolist(), often.tolist())) == sorted(collections.Counter(f.tolist()).items())
+        assert (sums == want[rows].astype(np.float32)).all()
+
+
 def test_simhash(docs, empty):
     out = simhash_index.near_duplicates(docs)
     check_columns(out, docs, {"fingerprint", "component_id", "component_print"})
