@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import slices, small_batches, stored
+from millrace.llm.shared import returning, slices, small_batches, stored
 
 WIDTH = 32                      # classes, and words of a class with a softmax of its own
 SOFT, SHAPES = 16, 16           # classes of frequent words, classes by shape
@@ -272,7 +272,7 @@ def word_counts(training: DataFrame, text: str) -> DataFrame:
             words = seen.field("values")
             yield pa.RecordBatch.from_arrays([words, pa.array(shapes(words), pa.int32()), seen.field("counts")], names=["word", "cls", "n"])
 
-    return training.select(text).mapInArrow(count, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    return training.select(text).mapInArrow(returning(count), "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
 
 def vocabulary_of(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -355,7 +355,7 @@ def best_power(sample: DataFrame, v, start: Weights, change: Weights, spread: di
             sums += [log10_parts(w, stream, v.value).sum() for w in tried]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=[f"p{i}" for i in range(len(POWERS))])
 
-    row = sample.mapInArrow(measure, ", ".join(f"p{i} double" for i in range(len(POWERS)))).agg(*[F.sum(f"p{i}") for i in range(len(POWERS))]).first()
+    row = sample.mapInArrow(returning(measure), ", ".join(f"p{i} double" for i in range(len(POWERS)))).agg(*[F.sum(f"p{i}") for i in range(len(POWERS))]).first()
     shared.unpersist()
     return POWERS[int(np.argmax([x or 0.0 for x in row]))]
 
@@ -409,7 +409,7 @@ def train(training: DataFrame, v: Vocabulary, shares: tuple[float, ...] = SHARES
 
         low, done = done / total, done + share
         chosen = training.filter((part >= low) & (part < done / total if done < total else F.lit(True))).select("_text")
-        changes = chosen.mapInArrow(learn, "name string, at long, change binary, n binary, squares binary")
+        changes = chosen.mapInArrow(returning(learn), "name string, at long, change binary, n binary, squares binary")
         change = Weights()
         spread = {"outer": np.ones(len(change.outer), np.float32), "inner": np.ones(len(change.inner), np.float32)}
         for r in changes.repartition("name", "at").mapInArrow(average, "name string, at long, change binary, spread binary, squares binary").collect():
@@ -470,7 +470,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(range(at, at + n), pa.int64()), *map(pa.array, arrays), tails], names=schema.names)
                 at += n
 
-    scored = stored(frame.mapInArrow(score, schema), "scored-heads")
+    scored = stored(frame.mapInArrow(returning(score), schema), "scored-heads")
     rooms = F.array(*[F.lit(float(x)) for x in v.room])
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*")
     met = tail.join(counts.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
