@@ -285,3 +285,55 @@ def test_weak_bounds_do_not_spread_the_points(spark, monkeypatch):
         got = {r["id"]: [(round(n["dist"], 6), n["id"]) for n in r["neighbours"]] for r in nearest(df, df, 3, "id", "id", exclude_same=True, block=10, pivots=64).collect()}
         assert got == brute(pts, pts, 3, True)
         assert len(written) == (4 if dims == 40 else 5)   # the fifth has a row per point and cell that it goes to
+
+
+def shuffled_rows(spark, work) -> int:
+    """Rows that ``work`` writes to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
+
+    def total() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    work()
+    return total() - before
+
+
+def test_neighbours_in_the_plane_send_each_point_a_few_times(spark):
+    """Cells of several blocks do not send their points once per block, and few points go to other cells."""
+    rng, per_point = np.random.default_rng(11), []
+    for n in (400, 1_600):
+        df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.random((n, 2)))], "id long, v array<double>").cache()
+        df.count()
+        per_point.append(shuffled_rows(spark, lambda: nearest(df, df, 20, "id", "id", exclude_same=True, block=40, pivots=4).count()) / n)
+    assert per_point[1] < 1.5 * per_point[0] and per_point[1] < 30
+
+
+def test_outlier_factor_brute_force(spark):
+    """Copies, ties on a grid and a far row; keys are strings."""
+    rng = np.random.default_rng(12)
+    xs = np.concatenate([rng.integers(0, 12, (150, 2)) / 4.0, rng.normal(9, 0.3, (60, 2)), np.full((30, 2), 5.0), [[40.0, -40.0]]])
+    keys = [f"k{i:03d}" for i in rng.permutation(len(xs))]
+    hits = {q: d for q, d in brute(list(zip(keys, xs)), list(zip(keys, xs)), 7, True).items()}
+    kd = {q: d[-1][0] for q, d in hits.items()}
+    lrd = {q: 1 / (np.mean([max(d, kd[i]) for d, i in h]) + 1e-10) for q, h in hits.items()}
+    want = {q: np.mean([lrd[i] for _, i in h]) / lrd[q] for q, h in hits.items()}
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(keys, xs)], "k string, a double, b double")
+    got = {r["k"]: r for r in N.local_outlier_factor(df, ["a", "b"], "k", 7).collect()}
+    assert got.keys() == want.keys() and all(got[q]["lof"] == pytest.approx(want[q], rel=1e-4) for q in want)
+    assert got[keys[-1]]["is_outlier"] == 1
+
+
+@pytest.mark.parametrize("dims", [1, 2, 6])
+def test_parts_without_points_and_queries_far_off(spark, dims):
+    """Parts of one or two points, many of them empty, and many queries in the cell of one point."""
+    rng = np.random.default_rng(13)
+    s = [(i, [float(x) for x in r]) for i, r in enumerate(np.concatenate([rng.normal(size=(60, dims)), 1e6 + rng.normal(size=(5, dims))]))]
+    q = [(f"q{i}", [float(x) for x in r]) for i, r in enumerate(np.concatenate([rng.normal(size=(20, dims)), 900 + rng.normal(size=(60, dims)), 1e6 + rng.normal(size=(10, dims))]))]
+    left, right = spark.createDataFrame(q, "qid string, v array<double>"), spark.createDataFrame(s, "id long, v array<double>")
+    got = {r["qid"]: [n["id"] for n in r["neighbours"]] for r in nearest(left, right, 3, "qid", "id", block=2, pivots=40).collect()}
+    exact = {a: [j for _, j in sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in s)[:3]] for a, v in q}
+    assert got == exact
