@@ -26,6 +26,7 @@ from millrace.plans.lookup import fit_lookup, join_lookup
 BLOCK = 16_384           # queries and points that meet at once
 BLOCK_BYTES = 16 << 20   # of the vectors of a block that is read again and again
 CELLS = 2_048            # pivots of ``nearest``; up to 16 million vectors, cells grow with the root of their number
+PAIRS = 4_000_000        # compared at once
 COPIES = 8               # parts that a query is copied to, on average, before all blocks meet all blocks
 PIVOTS = 256             # of ``plans/balls.py``
 
@@ -57,8 +58,11 @@ class Closest:
 
     def __init__(self, q: np.ndarray, k: int, limit: np.ndarray):
         self.q, self.k, self.limit = q, k, limit.astype(float)
-        self.q2 = (q * q).sum(1)
-        self.product = np.column_stack([-2.0 * q, np.ones(len(q))])
+        finite = q[np.isfinite(q).all(1)]
+        self.centre = finite.mean(0) if len(finite) else np.zeros(q.shape[1])   # the product is exact to the distance from it
+        moved = q - self.centre
+        self.q2 = (moved * moved).sum(1)
+        self.product = np.column_stack([-2.0 * moved, np.ones(len(q))])
         self.row, self.dist, self.ids = np.empty(0, dtype=int), np.empty(0), None
 
     def offer(self, s: np.ndarray, first: np.ndarray, ids: np.ndarray, tight: bool = True) -> None:
@@ -66,35 +70,45 @@ class Closest:
         lower the limits first."""
         if len(s) == 0 or len(self.q) == 0:
             return
-        s2 = (s * s).sum(1)
-        across = np.column_stack([s, s2]).T
-        slack = 1e-9 * (1.0 + self.q2 + s2.max())
-        step, rows, cols = max(4_000_000 // len(s), 1), [], []
+        moved = s - self.centre
+        s2 = (moved * moved).sum(1)
+        across = np.column_stack([moved, s2]).T
+        slack = 1e-14 * (s.shape[1] + 8) * (self.q2 + np.fmax.reduce(s2))
+        step, found = max(PAIRS // len(s), 1), []
         for i in range(0, len(self.q), step):
             part = self.product[i:i + step] @ across
             most = self.limit[i:i + step] ** 2 - self.q2[i:i + step]
             if not tight and len(s) > self.k:
-                most = np.minimum(most, np.partition(part, self.k - 1, axis=1)[:, self.k - 1])
+                most = np.fmin(most, np.partition(part, self.k - 1, axis=1)[:, self.k - 1])
             hit = np.flatnonzero(part <= (most + slack[i:i + step])[:, None])
-            rows.append(hit // len(s) + i)
-            cols.append(hit % len(s))
-        row, col = np.concatenate(rows), np.concatenate(cols)
+            if len(hit):
+                found.append(self._exact(hit // len(s) + i, hit % len(s), s, first, ids))
+        if found:
+            row, col, dist = [np.concatenate(x) for x in zip(*found)]
+            many = (first[1:] - first[:-1])[col]
+            place = np.repeat(first[col], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            self._keep(np.repeat(row, many), np.repeat(dist, many), ids[place])
+
+    def _exact(self, row: np.ndarray, col: np.ndarray, s: np.ndarray, first: np.ndarray, ids: np.ndarray):
+        """The preselected pairs within the limits. Where they are many, as the product could not tell them apart, the k best
+        points of each query, by distance and smallest id, hold its k best ids."""
         dist = np.empty(len(row))
         for i in range(0, len(row), 200_000):
             j = slice(i, i + 200_000)
             dist[j] = np.sqrt(((self.q[row[j]] - s[col[j]]) ** 2).sum(1))
         near = dist <= self.limit[row]
         row, col, dist = row[near], col[near], dist[near]
-        if len(row) == 0:
-            return
-        many = (first[1:] - first[:-1])[col]
-        place = np.repeat(first[col], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        self._keep(np.repeat(row, many), np.repeat(dist, many), ids[place])
+        if len(row) > 8 * self.k * len(np.unique(row)):
+            order = np.lexsort((_codes(ids[first[col]]), dist, row))
+            ordered = row[order]
+            order = order[np.arange(len(row)) - np.searchsorted(ordered, ordered) < self.k]
+            row, col, dist = row[order], col[order], dist[order]
+        return row, col, dist
 
     def _keep(self, row: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
         row, dist = np.concatenate([self.row, row]), np.concatenate([self.dist, dist])
         ids = ids if self.ids is None else np.concatenate([self.ids, ids])
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, dist, row))
+        order = np.lexsort((_codes(ids), dist, row))
         row = row[order]
         start = np.searchsorted(row, np.arange(len(self.q)))
         best = np.arange(len(row)) - start[row] < self.k
@@ -111,6 +125,11 @@ class Closest:
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x, type=_list(x.type)) for x in values]
 
 
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """Ids of any type as what sorts like them."""
+    return np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+
+
 def _list(kind: pa.DataType) -> pa.DataType:
     return pa.list_(pa.field("element", kind))
 

@@ -337,3 +337,37 @@ def test_parts_without_points_and_queries_far_off(spark, dims):
     got = {r["qid"]: [n["id"] for n in r["neighbours"]] for r in nearest(left, right, 3, "qid", "id", block=2, pivots=40).collect()}
     exact = {a: [j for _, j in sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in s)[:3]] for a, v in q}
     assert got == exact
+
+
+def test_vectors_of_many_columns_are_not_sent_once_per_block(spark):
+    """Where all blocks meet all blocks, what is shuffled grows with the points and not with the blocks; groups of copies included."""
+    rng, per_point = np.random.default_rng(14), []
+    for n in (400, 1_600):
+        pts = [(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(n, 40)))] + [(n + i, [0.25] * 40) for i in range(20)]
+        df = spark.createDataFrame(pts, "id long, v array<double>").cache()
+        df.count()
+        got = {}
+        per_point.append(shuffled_rows(spark, lambda: got.update({r["id"]: [(round(m["dist"], 6), m["id"]) for m in r["neighbours"]] for r in nearest(
+            df, df, 5, "id", "id", exclude_same=True, block=40, pivots=64).collect()})) / n)
+        some = dict(pts[:20] + pts[-3:])
+        assert {i: got[i] for i in some} == {i: v for i, v in brute(list(some.items()), pts, 5, True).items()}
+    assert per_point[1] < 1.5 * per_point[0] and per_point[1] < 30
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e9])
+def test_closest_where_the_product_cannot_tell(shift, monkeypatch):
+    """Far from the origin, and with two far clusters, whose product hides small distances; many ties; ids of text."""
+    from millrace.plans import neighbours as P
+    rng = np.random.default_rng(15)
+    s = np.concatenate([rng.integers(0, 9, (300, 2)) / 8.0, 1e12 + rng.integers(0, 9, (300, 2))]) + shift
+    q, ids = s[::7], np.array([f"k{i:03d}" for i in rng.permutation(1_200)], dtype=object)
+    first = np.arange(0, 1_201, 2)
+    ids = np.concatenate([sorted(ids[i:i + 2]) for i in first[:-1]]).astype(object)
+    monkeypatch.setattr(P, "PAIRS", 5_000)
+    for tight in (False, True):
+        best = P.Closest(q, 5, np.full(len(q), np.inf))
+        for i in range(0, 600, 150):
+            best.offer(s[i:i + 150], first[:151], ids[2 * i:2 * i + 300], tight)
+        got = [list(zip(best.dist[best.row == i], best.ids[best.row == i])) for i in range(len(q))]
+        dist = np.sqrt(((q[:, None] - s[None]) ** 2).sum(2))
+        assert got == [sorted((d[j // 2], ids[j]) for j in range(1_200))[:5] for d in dist]
