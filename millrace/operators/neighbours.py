@@ -38,10 +38,10 @@ def local_outlier_factor(df: DataFrame, cols: list[str], key: str, k: int = 20,
     hits = cut(hits.select(key, F.col("neighbours.dist").alias("dist"), F.col("neighbours.id").alias("id")))  # two arrays take half of what an array of structs does
     kdist = hits.select(F.col(key).alias("id"), F.element_at("dist", -1).alias("kd"))
     pairs = hits.select(key, F.explode(F.arrays_zip("dist", "id")).alias("n")).select(key, F.col("n.dist").alias("dist"), F.col("n.id").alias("id"))
-    uses = cut(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")))
-    reach = join_lookup(pairs, fit_lookup(uses.join(kdist, "id"), ["id"]), ["kd"])
+    uses = fit_lookup(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(kdist, "id"), ["id"])  # an id of several rows counts as often below
+    reach = join_lookup(pairs, uses, ["kd"])
     lrd = cut(reach.groupBy(key).agg((1.0 / (F.avg(F.greatest("dist", "kd")) + F.lit(1e-10))).alias("lrd")))
-    near = join_lookup(pairs.select(key, "id"), fit_lookup(uses.join(lrd.withColumnRenamed(key, "id"), "id"), ["id"]), ["lrd"])
+    near = join_lookup(pairs.select(key, "id"), fit_lookup(uses.table.drop("kd").join(lrd.withColumnRenamed(key, "id"), "id"), ["id"]), ["lrd"])
     lof = (near.groupBy(key).agg(F.avg("lrd").alias("_near")).join(lrd, key)
            .select(key, (F.col("_near") / F.col("lrd")).alias("lof")))
     return lof.withColumn("is_outlier", (F.col("lof") > threshold).cast("int"))

@@ -327,6 +327,23 @@ def test_outlier_factor_brute_force(spark):
     assert got[keys[-1]]["is_outlier"] == 1
 
 
+def test_outlier_factor_of_rows_that_come_twice(spark):
+    """A neighbour whose row comes twice weighs twice in both means, as often as it is found."""
+    rng, k = np.random.default_rng(16), 4
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(40, 2)))]
+    rows += rows[:40:5]
+    times = {i: sum(r[0] == i for r in rows) for i in range(40)}
+    hits = {}
+    for i, a, b in rows:
+        found = sorted((math.hypot(a - c, b - d), j) for j, c, d in rows)[:k + 1]
+        hits[i] = [(d, j) for d, j in found if j != i][:k]
+    weigh = lambda h, value: sum(times[j] * value(d, j) for d, j in h) / sum(times[j] for _, j in h)
+    lrd = {i: 1 / (weigh(h, lambda d, j: max(d, hits[j][-1][0])) + 1e-10) for i, h in hits.items()}
+    want = {i: weigh(h, lambda d, j: lrd[j]) / lrd[i] for i, h in hits.items()}
+    got = N.local_outlier_factor(spark.createDataFrame(rows, "k long, a double, b double"), ["a", "b"], "k", k).collect()
+    assert {r["k"]: r["lof"] for r in got} == pytest.approx(want, rel=1e-9) and len(got) == 40
+
+
 @pytest.mark.parametrize("dims", [1, 2, 6])
 def test_parts_without_points_and_queries_far_off(spark, dims):
     """Parts of one or two points, many of them empty, and many queries in the cell of one point."""
