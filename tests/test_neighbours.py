@@ -288,18 +288,18 @@ def test_weak_bounds_do_not_spread_the_points(spark, monkeypatch):
 
 
 def shuffled_rows(spark, work) -> int:
-    """Rows that ``work`` writes to shuffles."""
+    """Rows that ``work`` writes to shuffles, by its own stages (Spark forgets the oldest ones)."""
     sc = spark.sparkContext
     store, none = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
 
-    def total() -> int:
+    def stages() -> dict:
         sc._jsc.sc().listenerBus().waitUntilEmpty()
-        stages = store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+        found = store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
 
-    before = total()
+    before = max(stages(), default=-1)
     work()
-    return total() - before
+    return sum(n for i, n in stages().items() if i > before)
 
 
 def test_neighbours_in_the_plane_send_each_point_a_few_times(spark):
